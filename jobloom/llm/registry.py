@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, toxicity
+from . import chat, exact_dedup, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op5_warc": warc.op5_warc,
+    "op8_chat": chat.op8_chat,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 
 ORACLES = {
+    "op5_warc": warc.OP5_SQL,
+    "op8_chat": chat.OP8_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
 }
