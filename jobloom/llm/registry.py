@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, toxicity, warc
+from . import bpe, chat, exact_dedup, packing, pii, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op5_warc": warc.op5_warc,
+    "op6_packing": packing.op6_packing,
+    "op7_pii": pii.op7_pii,
     "op8_chat": chat.op8_chat,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_bpe": bpe.op10_bpe,
 }
 
 ORACLES = {
