@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, packing, pii, toxicity, warc
+from . import bpe, chat, exact_dedup, packing, pii, syncmers, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op3_syncmers": syncmers.op3_syncmers,
     "op5_warc": warc.op5_warc,
     "op6_packing": packing.op6_packing,
     "op7_pii": pii.op7_pii,
