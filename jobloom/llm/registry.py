@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, packing, pii, syncmers, toxicity, warc
+from . import bpe, chat, exact_dedup, jaccard_join, packing, pii, syncmers, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op3_syncmers": syncmers.op3_syncmers,
+    "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op5_warc": warc.op5_warc,
     "op6_packing": packing.op6_packing,
     "op7_pii": pii.op7_pii,
