@@ -1,7 +1,70 @@
-"""Placeholder until the stages exist."""
-STAGES = []
+"""The corpus pipeline: toxicity, exact copies, near copies, personal data, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps, or what it made
+of them, with the columns of documents; the last returns the packed pieces. Between stages the
+rows are written as Parquet to the shared folder, so a lost executor costs one stage's tasks.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from jobloom.llm.common import shared_folder, table
+from jobloom.llm.exact_dedup import exact_dedup
+from jobloom.llm.jaccard_join import jaccard_components
+from jobloom.llm.packing import pack_documents
+from jobloom.llm.pii import pii_pseudonyms
+from jobloom.llm.toxicity import fit_toxicity, score_toxicity, training_rows
+
+#: Near copies: shingles of so many words, alike by so many per cent.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on labelled ones among them, doesn't hold for toxic."""
+    model = fit_toxicity(training_rows(docs, table(spark, sf_dir, "labels")))
+    return score_toxicity(docs, model).filter("predicted = 0").select(docs.columns)
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts, that with the largest id."""
+    return exact_dedup(docs).filter("kept").select(docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies, that with the smallest id.
+
+    Documents without an id, and those that share one, are kept or dropped together.
+    """
+    found = jaccard_components(docs, percent=NEAR_PERCENT, words=NEAR_WORDS)
+    kept = found.filter("component_id <=> id").select("id").distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["id"]), "left_semi")
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with pseudonyms in place of personal numbers, dates and addresses."""
+    return pii_pseudonyms(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents as pieces of token windows."""
+    return pack_documents(docs)
+
+
+STAGES = [("toxicity", toxicity), ("exact_dedup", exact_copies), ("near_dedup", near_copies), ("pii", personal_data), ("packing", packing)]
+
+#: The stages learn a model and tokenise; tests hold them against brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages, one after another, over documents."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, jaccard_join, packing, pii, syncmers, toxicity, warc
+from . import bpe, chat, exact_dedup, jaccard_join, packing, pii, suffix_dedup, syncmers, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_syncmers": syncmers.op3_syncmers,
     "op4_jaccard_join": jaccard_join.op4_jaccard_join,
     "op5_warc": warc.op5_warc,
