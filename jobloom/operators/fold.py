@@ -1,0 +1,254 @@
+"""The ordered fold: streams of lifecycle commands, slot by slot.
+
+Claims, terminal writes and appends depend on what came before, so they are folded in order of
+seq. Commands are dealt out by slot (keyless ones by job) and sorted by Spark; a task walks its
+rows and keeps the state of one slot at a time, however many commands the slot has.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+TERMINAL = ("completed", "failed", "superseded")
+
+
+@dataclass
+class Job:
+    """A job within its slot."""
+
+    id: str
+    type: str
+    key: str | None
+    scope: str | None
+    data: str | None
+    status: str
+    max_attempts: int
+    seq: int
+    attempt: int = 0
+    token: str | None = None
+    claimed_seq: int | None = None
+    receipts: dict[tuple[str, str], str] = field(default_factory=dict)
+    steps: dict[int, str] = field(default_factory=dict)
+    terminal_writes: int = 0
+
+
+class Slot:
+    """All jobs of a slot and what commands do to them."""
+
+    def __init__(self) -> None:
+        self.jobs: dict[str, Job] = {}
+
+    def _open(self, status: str, scope: str | None) -> Job | None:
+        return next((j for j in self.jobs.values() if j.status == status and j.key is not None and j.scope == scope), None)
+
+    def room(self, scope: str | None, key: str | None, status: str) -> bool:
+        """May one more open job of that status come in?"""
+        if key is None:
+            return True
+        if scope == "pending":
+            return self._open(status, scope) is None
+        return self._open("pending", scope) is None and self._open("active", scope) is None
+
+    def enqueue(self, c: dict) -> str:
+        """Insert a pending job, or nothing where the slot is taken."""
+        if not self.room(c["dedupe_scope"], c["dedupe_key"], "pending"):
+            return "rejected"
+        self._insert(c, "pending")
+        return "enqueued"
+
+    def _insert(self, c: dict, status: str) -> Job:
+        job = Job(c["job_id"], c["type"], c["dedupe_key"], c["dedupe_scope"], c["data"], status, c["max_attempts"] or 3, c["seq"])
+        self.jobs[job.id] = job
+        return job
+
+    def _claim(self, job: Job, seq: int) -> str:
+        job.status, job.attempt, job.claimed_seq = "active", job.attempt + 1, seq
+        job.token = f"{job.id}:{job.attempt}"
+        return "claimed"
+
+    def claim(self, c: dict) -> tuple[str, Job | None]:
+        """Claim the slot's longest waiting job of a type."""
+        for job in sorted((j for j in self.jobs.values() if j.status == "pending" and j.type == c["type"]), key=lambda j: j.seq):
+            if job.key is None or self._open("active", job.scope) is None:
+                return self._claim(job, c["seq"]), job
+        return "nothing", None
+
+    def claim_or_enqueue(self, c: dict, latest: bool) -> str:
+        """Claim at once where the slot is free; else leave one follower behind (scope 'pending'), or nothing."""
+        key, scope = c["dedupe_key"], c["dedupe_scope"]
+        waiting = next((j for j in self.jobs.values() if j.status == "pending" and j.key is not None and j.key == key), None)
+        if waiting is not None and latest and waiting.type == c["type"] and waiting.scope == scope:
+            waiting.data = c["data"]
+            return "replaced"
+        if waiting is not None and not latest:
+            return "waiting"
+        if self.room(scope, key, "active"):
+            self._claim(self._insert(c, "active"), c["seq"])
+            return "claimed"
+        if scope == "pending" and self.room(scope, key, "pending"):
+            self._insert(c, "pending")
+            return "queued"
+        return "rejected"
+
+    def current(self, c: dict) -> Job | None:
+        """The job that a command names, or else the one claimed last."""
+        if c["job_id"] in self.jobs:
+            return self.jobs[c["job_id"]]
+        return max((j for j in self.jobs.values() if j.claimed_seq is not None), key=lambda j: j.claimed_seq, default=None)
+
+    def _follower(self, job: Job) -> bool:
+        return job.scope == "pending" and self._open("pending", "pending") is not None
+
+    def finish(self, job: Job | None, op: str, token: str | None) -> str:
+        """complete, fail, failFatal or release, fenced by a token where one is given."""
+        if job is None:
+            return "not-found"
+        told = job.receipts.get((token or "", op))
+        if told is not None:
+            return told
+        if token is not None:
+            answered = any(t == token for t, _ in job.receipts)
+            late = op == "complete" and job.status == "failed" and job.token == token and not answered
+            may = late or job.status == "active" and job.token == token
+        else:
+            may = job.status == "active" or job.status == "pending" and op != "release"
+        if not may:
+            return "already-terminal" if job.status in TERMINAL else "lease-lost"
+        if op == "complete":
+            result = job.status = "completed"
+        elif op == "failFatal":
+            job.status, result = "failed", "failed-terminal"
+        elif self._follower(job) and job.status == "active":
+            result = job.status = "superseded"
+        elif op == "release":
+            job.status, result = "pending", "released"
+        elif job.attempt >= job.max_attempts:
+            job.status, result = "failed", "failed-terminal"
+        else:
+            job.status, result = "pending", "retry-scheduled"
+        job.terminal_writes += job.status in TERMINAL
+        job.receipts[token or "", op] = result
+        if token is None:
+            del job.receipts["", op]  # only a fenced write can be told apart from another like it
+        return result
+
+    def heartbeat(self, job: Job | None, token: str | None) -> str:
+        """Renew the lease; unfenced beats always apply."""
+        if token is None:
+            return "applied"
+        if job is None:
+            return "not-found"
+        return "applied" if job.status == "active" and job.token == token else "lease-lost"
+
+    def complete_claimed(self, job: Job | None, token: str | None) -> str:
+        """Complete an active job, or one that was failed, under the same token."""
+        if job is None or job.token is None or job.token != token or job.status not in ("active", "failed"):
+            return "lease-lost"
+        job.status = "completed"
+        job.terminal_writes += 1
+        return "completed"
+
+    def append_step(self, job: Job | None, token: str | None, seq: int, name: str) -> str:
+        """Record a step once; another name at its place is a divergence."""
+        if job is None or job.status != "active" or job.token != token:
+            return "lease-lost"
+        if seq in job.steps:
+            return "already-recorded" if job.steps[seq] == name else "diverged"
+        job.steps[seq] = name
+        return "appended"
+
+    def apply(self, c: dict) -> tuple[str, str | None]:
+        """(outcome, id of the job it fell to) of one command; token None stands for the current one, '' for none."""
+        op = c["op"]
+        if op == "enqueue":
+            return self.enqueue(c), c["job_id"]
+        if op in ("claimOrEnqueue", "claimOrEnqueueLatest"):
+            return self.claim_or_enqueue(c, op.endswith("Latest")), c["job_id"]
+        if op == "claim":
+            outcome, job = self.claim(c)
+            return outcome, job.id if job else None
+        job = self.current(c)
+        token = job.token if job is not None and c["token"] is None else c["token"] or None
+        if op in ("complete", "fail", "failFatal", "release"):
+            outcome = self.finish(job, op, token)
+        elif op == "heartbeat":
+            outcome = self.heartbeat(job, token)
+        elif op == "completeClaimed":
+            outcome = self.complete_claimed(job, token)
+        elif op == "step":
+            outcome = self.append_step(job, token, c["step_seq"], c["step_name"])
+        else:
+            outcome = "unknown-op"
+        return outcome, job.id if job else None
+
+
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Slot, dict, bool]]:
+    """(state, command, is it the first of its slot)."""
+    slot, last = Slot(), object()
+    for batch in batches:
+        for c in batch.to_pylist():
+            first = c["slot"] != last
+            if first:
+                slot, last = Slot(), c["slot"]
+            yield slot, c, first
+
+
+def _dealt(commands: DataFrame) -> DataFrame:
+    slot = F.coalesce(F.concat(F.lit("k:"), F.nullif("dedupe_key", F.lit(""))), F.concat(F.lit("j:"), "group_id"))
+    return commands.withColumn("slot", slot).repartition("slot").sortWithinPartitions("slot", "seq")
+
+
+def fold_outcomes(commands: DataFrame) -> DataFrame:
+    """(seq, op, job_id, outcome) of every command; group_id names the group of keyless ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for slot, c, _ in _slots(batches):
+            outcome, job_id = slot.apply(c)
+            out.append((c["seq"], c["op"], job_id, outcome))
+            if len(out) >= 10_000:
+                yield _rows(out, OUTCOME)
+                out = []
+        if out:
+            yield _rows(out, OUTCOME)
+
+    return _dealt(commands).mapInArrow(run, "seq bigint, op string, job_id string, outcome string")
+
+
+def fold_jobs(commands: DataFrame) -> DataFrame:
+    """The jobs as all commands leave them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        before: Slot | None = None
+
+        def state(slot: Slot) -> list[tuple]:
+            return [(j.id, j.type, j.key, j.scope, j.status, j.attempt, j.max_attempts, j.terminal_writes, len(j.steps)) for j in slot.jobs.values()]
+
+        for slot, c, first in _slots(batches):
+            if first and before is not None:
+                out += state(before)
+            before = slot
+            slot.apply(c)
+            if len(out) >= 10_000:
+                yield _rows(out, STATE)
+                out = []
+        if before is not None:
+            out += state(before)
+        if out:
+            yield _rows(out, STATE)
+
+    return _dealt(commands).mapInArrow(run, "id string, type string, dedupe_key string, dedupe_scope string, status string, attempt int, max_attempts int, terminal_writes int, n_steps int")
+
+
+OUTCOME = pa.schema([("seq", pa.int64()), ("op", pa.string()), ("job_id", pa.string()), ("outcome", pa.string())])
+STATE = pa.schema([*((n, pa.string()) for n in ("id", "type", "dedupe_key", "dedupe_scope", "status")), *((n, pa.int32()) for n in ("attempt", "max_attempts", "terminal_writes", "n_steps"))])
+
+
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import queue_queries
+
+QUERIES = {**queue_queries.QUERIES}
+ORACLES = {**queue_queries.ORACLES}
