@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queue_queries
+from . import journal_queries, queue_queries
 
-QUERIES = {**queue_queries.QUERIES}
-ORACLES = {**queue_queries.ORACLES}
+QUERIES = {**queue_queries.QUERIES, **journal_queries.QUERIES}
+ORACLES = {**queue_queries.ORACLES, **journal_queries.ORACLES}
