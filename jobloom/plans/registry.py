@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import journal_queries, queue_queries
+from . import journal_queries, queue_queries, stream_queries
 
-QUERIES = {**queue_queries.QUERIES, **journal_queries.QUERIES}
-ORACLES = {**queue_queries.ORACLES, **journal_queries.ORACLES}
+QUERIES = {**queue_queries.QUERIES, **journal_queries.QUERIES, **stream_queries.QUERIES}
+ORACLES = {**queue_queries.ORACLES, **journal_queries.ORACLES, **stream_queries.ORACLES}

@@ -20,7 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def raw_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A job for each order. Slots are not yet unique: see operators.admission."""
-    return table(spark, sf_dir, "orders").selectExpr(
+    return jobs_from_orders(table(spark, sf_dir, "orders"))
+
+
+def jobs_from_orders(orders: DataFrame) -> DataFrame:
+    """The same for a batch or a stream of orders."""
+    return orders.selectExpr(
         "cast(o_orderkey as string) as id",
         "concat('t', o_orderkey % 4) as type",
         """concat('{"userId":', o_custkey, ',"cents":', cast(round(o_totalprice * 100) as bigint), '}') as data""",

@@ -1,0 +1,108 @@
+from __future__ import annotations
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from jobloom.operators import fold
+from jobloom.plans import registry
+
+SF = "/root/testdata/sf0.001"
+
+
+def command(seq, op, key="k1", scope="pending", token=None, **more):
+    base = {"seq": seq, "op": op, "job_id": f"j{seq}", "type": "a", "dedupe_key": key, "dedupe_scope": scope if key else None, "data": "{}", "token": token, "max_attempts": 2, "step_seq": 0, "step_name": "s"}
+    return base | more
+
+
+commands = st.lists(
+    st.tuples(
+        st.sampled_from(["enqueue", "claim", "complete", "fail", "failFatal", "release", "claimOrEnqueue", "claimOrEnqueueLatest", "completeClaimed", "step", "heartbeat"]),
+        st.sampled_from(["pending", "pending+active"]),
+        st.sampled_from(["a", "b"]),
+        st.sampled_from([None, "", "stale"]),
+    ),
+    min_size=4,
+    max_size=40,
+)
+
+
+@settings(max_examples=150, deadline=None)
+@given(commands)
+def test_no_sequence_breaks_a_slot(ops):
+    slot = fold.Slot()
+    for seq, (op, scope, kind, token) in enumerate(ops):
+        slot.apply(command(seq, op, scope=scope, token=token, type=kind))
+        jobs = slot.jobs.values()
+        both = [j for j in jobs if j.scope == "pending+active" and j.status in ("pending", "active")]
+        assert len(both) <= 1
+        for status in ("pending", "active"):
+            assert sum(j.scope == "pending" and j.status == status for j in jobs) <= 1
+        assert all(j.attempt > 0 for j in jobs if j.status == "active")
+
+
+def told(*ops):
+    slot = fold.Slot()
+    return [slot.apply(command(i, *op[:1], **(op[1] if len(op) > 1 else {})))[0] for i, op in enumerate(ops)]
+
+
+def test_retry_then_exhausted():
+    assert told(["enqueue"], ["claim"], ["fail"], ["claim"], ["fail"], ["claim"]) == ["enqueued", "claimed", "retry-scheduled", "claimed", "failed-terminal", "nothing"]
+
+
+def test_a_follower_supersedes_the_failing_job():
+    assert told(["enqueue"], ["claim"], ["enqueue"], ["fail"], ["claim"]) == ["enqueued", "claimed", "enqueued", "superseded", "claimed"]
+
+
+def test_release_keeps_the_attempt_and_yields_to_a_follower():
+    assert told(["enqueue"], ["claim"], ["release"], ["claim"]) == ["enqueued", "claimed", "released", "claimed"]
+    assert told(["enqueue"], ["claim"], ["enqueue"], ["release"]) == ["enqueued", "claimed", "enqueued", "superseded"]
+
+
+def test_stale_tokens_change_nothing():
+    assert told(["enqueue"], ["claim"], ["complete", {"token": "stale"}], ["heartbeat", {"token": "stale"}], ["complete"]) == ["enqueued", "claimed", "lease-lost", "lease-lost", "completed"]
+
+
+def test_a_repeated_command_is_told_the_same():
+    slot = fold.Slot()
+    slot.apply(command(0, "enqueue"))
+    slot.apply(command(1, "claim"))
+    job = slot.jobs["j0"]
+    assert slot.finish(job, "complete", job.token) == "completed"
+    assert slot.finish(job, "complete", job.token) == "completed"
+    assert slot.finish(job, "fail", job.token) == "already-terminal"
+    assert job.terminal_writes == 1
+
+
+def test_the_owner_completes_what_the_reaper_failed():
+    slot = fold.Slot()
+    slot.apply(command(0, "enqueue"))
+    slot.apply(command(1, "claim"))
+    job = slot.jobs["j0"]
+    job.status = "failed"
+    assert slot.finish(job, "complete", "other") == "already-terminal"
+    assert slot.finish(job, "complete", job.token) == "completed"
+
+
+def test_claim_or_enqueue():
+    assert told(["claimOrEnqueue"], ["claimOrEnqueue"], ["claimOrEnqueue"]) == ["claimed", "queued", "waiting"]
+    assert told(["claimOrEnqueue"], ["claimOrEnqueueLatest"], ["claimOrEnqueueLatest"]) == ["claimed", "queued", "replaced"]
+    assert told(*[["claimOrEnqueue", {"dedupe_scope": "pending+active"}]] * 2) == ["claimed", "rejected"]
+
+
+def test_steps_are_recorded_once():
+    assert told(["enqueue"], ["claim"], ["step"], ["step"], ["step", {"step_name": "t"}], ["step", {"step_seq": 1, "token": "stale"}]) == ["enqueued", "claimed", "appended", "already-recorded", "diverged", "lease-lost"]
+
+
+def test_folding_in_spark_equals_folding_in_order(spark):
+    from jobloom.sources.fixtures import commands as fixture
+
+    rows = fixture(spark, SF)
+    slots: dict[str, fold.Slot] = {}
+    want = {}
+    for c in sorted((r.asDict() for r in rows.collect()), key=lambda c: c["seq"]):
+        slot = slots.setdefault(c["dedupe_key"] or c["group_id"], fold.Slot())
+        want[c["seq"]] = slot.apply(c)
+    got = {r.seq: (r.outcome, r.job_id) for r in registry.QUERIES["fold_outcomes"](spark, SF).collect()}
+    assert got == want
+    state = {r.id: r.status for r in registry.QUERIES["fold_final_state"](spark, SF).collect()}
+    assert state == {j.id: j.status for s in slots.values() for j in s.jobs.values()}
