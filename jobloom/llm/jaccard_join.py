@@ -6,9 +6,10 @@ the estimated cost is least: a longer prefix means more rows, but a candidate mu
 of them. Tokens are ordered from rare to frequent by a sketch of all documents' frequencies.
 
 Documents with equal sets are one vertex from the start. Before all candidates are verified,
-each vertex is compared with the ends of the lists that it shares most tokens with; what that
-connects needs no further comparison, so a group of near copies isn't expanded into all its
-pairs. All other candidates are then verified, so no link between components is lost.
+each vertex is compared with the set that leads most of its tokens' lists, in a group of near
+copies the original; what that connects needs no further comparison, so such a group isn't
+expanded into all its pairs. All other candidates are then verified, so no link between
+components is lost.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, mixed, shuffle_width, table
@@ -28,9 +29,9 @@ from .shingles import shingle_sets
 #: Buckets of the frequency sketch, as bits.
 SKETCH_BITS = 18
 #: Shared prefix tokens that a document may ask for at most.
-MOST_MATCHES = 4
-#: Cost of verifying a candidate, in prefix rows.
-VERIFY_COST = 6
+MOST_MATCHES = 8
+#: Documents that share a rare token by chance, which the sketch can't see.
+BY_CHANCE = 0.5
 #: Bits of the filter of ids whose sets are wanted. Beyond some millions of ids it lets more
 #: through than it need; a join behind it decides.
 FILTER_BITS = 24
@@ -87,7 +88,8 @@ def prefix(tokens: np.ndarray, frequency: np.ndarray, percent: int) -> tuple[int
     lists = np.cumsum(often[order[: n - t + most]])
     matches = np.arange(1, most + 1)
     length = n - t + matches
-    cost = length + VERIFY_COST * lists[length - 1] / matches  # a candidate takes l entries of the lists at least
+    # a candidate takes l entries of the lists at least, and few share that many by chance; its set has n tokens to send
+    cost = length + n * (lists[length - 1] + BY_CHANCE * length) / matches**2
     k = int(np.argmin(cost))
     return int(matches[k]), tokens[order[: length[k]]]
 
@@ -153,21 +155,25 @@ def verified(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, percent: in
     bits = docs.sparkSession.sparkContext.broadcast(_id_filter(wanted.select("id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        on = np.unpackbits(bits.value).astype(bool)
+        on, sent = np.unpackbits(bits.value).astype(bool), set()
         for batch in batches:
             ids = batch.column(0)
             keep = on[_filter_places(ids.fill_null(0).to_numpy())].all(0)
             part = batch.filter(pa.array(keep))
-            made = [(*signatures(s), len(s), s.view(np.int64)) for s in shingle_sets(part.column(1), words)]
-            one, two, n, sets = zip(*made, strict=True) if made else ((), (), (), ())
+            made = []
+            for i, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1), words), strict=True):
+                one, two = signatures(s)
+                if (i, one, two) not in sent:  # rows alike in id and text give one set in a task
+                    sent.add((i, one, two))
+                    made.append((i, one, two, len(s), s.view(np.int64)))
+            ids, one, two, n, sets = zip(*made, strict=True) if made else ((), (), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(list(sets), pa.list_(pa.int64()))], ["id", "n", "sig1", "sig2", "tokens"]
+                [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(list(sets), pa.list_(pa.int64()))], ["id", "n", "sig1", "sig2", "tokens"]
             )
 
     made = docs.mapInArrow(run, "id bigint, n bigint, sig1 bigint, sig2 bigint, tokens array<bigint>")
     key = [F.coalesce("id", F.lit(0)).alias("k"), "n", "sig1", "sig2"]
-    # rows alike in id and text give one set each; any of them will do
-    sets = made.select(*key, "tokens").join(wanted.select(*key, "v"), ["k", "n", "sig1", "sig2"]).select("v", "tokens").dropDuplicates(["v"])
+    sets = made.select(*key, "tokens").join(wanted.select(*key, "v"), ["k", "n", "sig1", "sig2"]).select("v", "tokens")
     a = sets.select(F.col("v").alias("a"), F.col("tokens").alias("ta"))
     b = sets.select(F.col("v").alias("b"), F.col("tokens").alias("tb"))
     both = pairs.select("a", "b").join(a, "a").join(b, "b")
@@ -175,8 +181,19 @@ def verified(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, percent: in
     return both.filter(100 * shared >= percent * (F.size("ta") + F.size("tb") - shared)).select("a", "b")
 
 
-def _alike_in_size(n: str, m: str, percent: int) -> F.Column:
-    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+def _may_link(percent: int) -> F.Column:
+    """Of two sets that meet in a token, can they still be alike, and this be one of the first matches?
+
+    They must share alpha tokens. The first l shared ones lie in the first n - alpha + l of each,
+    each has room there for the others, and the tokens before a match, as far as any other set
+    has them, with those from it on must come to alpha.
+    """
+    alpha = F.ceil(percent * (F.col("n") + F.col("n2")) / (100 + percent))
+    l = F.least("matches", "matches2")  # noqa: E741
+    room, room2 = F.col("n") - alpha + l - F.col("pos"), F.col("n2") - alpha + l - F.col("pos2")
+    ahead = F.least("q", "q2")
+    alike = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
+    return alike & (room > 0) & (room2 > 0) & (ahead + F.least(room, room2) >= l) & (ahead + F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= alpha)
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 90, words: int = 3) -> DataFrame:
@@ -194,22 +211,24 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     first = rows.filter("n > 0").groupBy(*sets).agg(F.min(F.struct("id", "matches", "prefix")).alias("x"))
     vertices = checkpointed(first.select(F.monotonically_increasing_id().alias("v"), "x.id", *sets, "x.matches", "x.prefix"))
 
-    posts = vertices.select(F.explode("prefix").alias("token"), "v", "n", "matches")
-    lists = posts.groupBy("token").agg(F.count("v").alias("size"), F.min("v").alias("low"), F.max("v").alias("high")).filter("size > 1").drop("size")
-    posts = checkpointed(posts.join(lists, "token"))
+    posts = vertices.select(F.posexplode("prefix").alias("pos", "token"), "v", "n", "matches")
+    # of a list, the set in which the token comes earliest has the fewest tokens of its own: the likeliest original
+    lists = posts.groupBy("token").agg(F.count("v").alias("size"), F.min_by("v", "pos").alias("center")).filter("size > 1").drop("size")
+    before = F.row_number().over(Window.partitionBy("v").orderBy("pos")) - 1
+    # q: how many tokens before this one another set may have at all
+    posts = checkpointed(posts.join(lists, "token").withColumn("q", before))
 
-    ends = posts.select("v", F.explode(F.array(F.struct(F.lit(0).alias("end"), F.col("low").alias("c")), F.struct(F.lit(1).alias("end"), F.col("high").alias("c")))).alias("x"))
-    hits = ends.select("v", "x.end", "x.c").filter("v <> c").groupBy("v", "end", "c").count()
-    best = hits.groupBy("v", "end").agg(F.max_by("c", F.col("count")).alias("c"))
+    hits = posts.filter("v <> center").groupBy("v", "matches", "center").count().filter("count >= matches")
+    best = hits.groupBy("v").agg(F.max_by("center", "count").alias("c"))
     pairs = checkpointed(best.select(F.greatest("v", "c").alias("a"), F.least("v", "c").alias("b")).distinct())
     links = checkpointed(verified(pairs, vertices, docs, percent, words))
 
     found = connected_components(links).select("v", F.col("root").alias("c"))
-    placed = posts.join(found, "v", "left").select("token", "v", "n", "matches", F.coalesce("c", "v").alias("c"))
+    placed = posts.drop("center").join(found, "v", "left").withColumn("c", F.coalesce("c", "v"))
     mixed_lists = placed.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("token")
     left = checkpointed(placed.join(mixed_lists, "token"))
-    other = left.select("token", *(F.col(x).alias(f"{x}2") for x in ("v", "n", "matches", "c")))
-    met = left.join(other, "token").filter("v > v2 and c <> c2").filter(_alike_in_size("n", "n2", percent))
+    other = left.select("token", *(F.col(x).alias(f"{x}2") for x in left.columns if x != "token"))
+    met = left.join(other, "token").filter("v > v2 and c <> c2").filter(_may_link(percent))
     more = met.groupBy(F.col("v").alias("a"), F.col("v2").alias("b")).agg(F.count("v").alias("k"), F.min(F.least("matches", "matches2")).alias("m")).filter("k >= m").select("a", "b")
     rest = checkpointed(more)
     if not rest.isEmpty():

@@ -10,10 +10,11 @@ import pyarrow as pa
 from .common import mixed, text_buffer
 
 #: Bytes of text that are hashed at a time (one document at least).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 17
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
-LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+#: What a byte counts in a hash: A-Z as a-z, and never 0.
+VALUE = np.array([c + 33 if 65 <= c <= 90 else c + 1 for c in range(256)], np.uint64)
 SPACE = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
 
 _powers: list[np.ndarray] = []
@@ -39,7 +40,8 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     begin, end = np.flatnonzero(begins), np.flatnonzero(ends)
     power, inverse = _power(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((LOWER[data].astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
+    np.multiply(VALUE[data], power[: len(data)], out=total[1:])
+    np.cumsum(total, out=total)
     words = mixed((total[end + 1] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
     return words, np.searchsorted(at, begin, "right") - 1
 
@@ -65,7 +67,8 @@ def shingle_sets(column: pa.Array, n: int = 3) -> Iterator[np.ndarray]:
             grams = mixed(grams)
         for i in range(hi - lo):
             if count[i] >= n:
-                yield np.unique(grams[first[i] : first[i + 1] - n + 1])
+                found = np.sort(grams[first[i] : first[i + 1] - n + 1])
+                yield found[np.append(True, found[1:] != found[:-1])]
             elif count[i]:
                 short = np.full(1, count[i], np.uint64)
                 for k in range(count[i]):

@@ -23,10 +23,10 @@ from .common import mixed, table, text_buffer
 from .run_index import STOP, earlier_copies
 
 #: Bytes of a string that is removed where it repeats, and bytes of an anchor.
-LEAST, K = 100, 16
-BLOCK = 1 << 19
+LEAST, K = 100, 32
+BLOCK = 1 << 15
 #: Bytes of text that are indexed together, unless one group has more.
-CHUNK = 3 << 20
+CHUNK = 1 << 19
 #: Anchors of one owner from which on they are dealt out apart.
 OWNER_ANCHORS = 50_000
 #: Stands for a null id, which counts as smallest.
@@ -57,9 +57,14 @@ def anchors(data: np.ndarray, at: np.ndarray, least: int = LEAST, k: int = K) ->
             low = np.minimum(low[:-width], low[width:])
             width *= 2
         low = np.minimum(low[: len(part) - least + 1], low[w - width :])
-        begin = np.arange(lo, lo + len(low))
-        inside = begin + least <= at[np.searchsorted(at, begin, "right")]
-        i = np.unique((low[inside] & np.uint64((1 << 20) - 1)).astype(np.int64))
+        inside = np.ones(len(low), bool)
+        for end in at[np.searchsorted(at, lo, "right") : np.searchsorted(at, lo + len(part))].tolist():
+            inside[max(0, end - least + 1 - lo) : end - lo] = False
+        low = low[inside]
+        if not len(low):
+            continue
+        low = low[np.append(True, low[1:] != low[:-1])]
+        i = np.unique((low & np.uint64((1 << 20) - 1)).astype(np.int64))
         places.append(i + lo)
         hashes.append(h[i])
     if not places:
@@ -79,17 +84,16 @@ def _tie(high: int) -> int:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(d, text) -> (h, d, at) with at = tie << 32 | position."""
+    """(d, text) -> (h, d, pos) for each anchor."""
     for batch in batches:
         data, at = text_buffer(batch.column(1))
         ids = batch.column(0).to_numpy()
-        tie = np.array([_tie(_digest(data[a:b].tobytes())[0]) for a, b in zip(at[:-1], at[1:], strict=True)], np.int64)
         lo = 0
         while lo < len(ids):  # some texts at a time, to bound memory
             hi = max(lo + 1, int(np.searchsorted(at, at[lo] + (4 << 20), "right")) - 1)
             place, h = anchors(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
             row = np.searchsorted(at, place + at[lo], "right") - 1
-            yield pa.RecordBatch.from_pydict({"h": h.view(np.int64), "d": ids[row], "at": tie[row] << 32 | (place + at[lo] - at[row])})
+            yield pa.RecordBatch.from_pydict({"h": h.view(np.int64), "d": ids[row], "pos": place + at[lo] - at[row]})
             lo = hi
 
 
@@ -107,12 +111,18 @@ def _packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fragment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(d, tie, n, z, marks) -> (owner, part, d, tie, start, bytes): the text around each owner's anchors."""
+    """(d, tie, n, z, marks, ties) -> (owner, part, d, tie, start, bytes): the text around each owner's anchors.
+
+    Texts whose tie isn't among ties are copies. Where texts share an id, marks has the anchors
+    of all of them, and so some text that needn't be looked at.
+    """
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         out: list[tuple] = []
         size = 0
-        for d, tie, n, z, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for d, tie, n, z, marks, ties in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if tie not in ties:
+                continue
             text = unpack.decompress(z)
             marks = sorted((m["owner"], m["part"], m["pos"]) for m in marks)
             open_group, begin, end = None, 0, 0
@@ -121,7 +131,7 @@ def _fragment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 if (owner, part) == open_group and a <= end:
                     end = b
                     continue
-                if open_group:
+                if open_group and begin < end:
                     out.append((*open_group, d, tie, begin, text[begin:end]))
                     size += end - begin
                 open_group, begin, end = (owner, part), a, b
@@ -184,18 +194,22 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed
 
 
 def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(d, tie, n, z, first, spans), sorted by (d, tie) -> results; of rows alike the first counts as earlier."""
+    """(d, tie, n, z, firsts), sorted by (d, tie) -> results; of rows alike the first counts as earlier.
+
+    firsts has (tie, spans) of the id's texts that aren't copies.
+    """
     unpack = zstandard.ZstdDecompressor()
     last = None
     for batch in batches:
         out: list[tuple] = []
         size = 0
-        for d, tie, n, z, first, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (not first or (d, tie) == last) and n >= LEAST:
+        for d, tie, n, z, firsts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own = next((f for f in firsts or () if f["tie"] == tie), None)
+            if (own is None or (d, tie) == last) and n >= LEAST:
                 merged = [(0, n)]
             else:
                 merged = []
-                for a, b in sorted((s["start"], s["stop"]) for s in spans or ()):
+                for a, b in sorted((s["start"], s["stop"]) for s in (own and own["spans"]) or ()):
                     if merged and a <= merged[-1][1]:
                         merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
                     else:
@@ -226,27 +240,28 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     and of rows alike in both one counts as first. An empty df gives no rows.
     """
     docs = df.select(F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(LOWEST)).alias("d"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    found = docs.mapInArrow(_anchor_rows, "h bigint, d bigint, at bigint")
+    found = docs.mapInArrow(_anchor_rows, "h bigint not null, d bigint not null, pos bigint not null")
     twice = found.groupBy("h").agg(F.count("d").alias("c"), F.min("d").alias("owner")).filter("c > 1")
     # an owner of very many anchors is split by anchor, as finely as their number asks
     load = twice.groupBy("owner").agg(F.sum("c").alias("load")).filter(F.col("load") > OWNER_ANCHORS)
     twice = twice.join(load, "owner", "left").select("h", "owner", F.expr(f"coalesce(pmod(h, load div {OWNER_ANCHORS} + 1), 0)").alias("part"))
 
-    texts = docs.mapInArrow(_packed_rows, "d bigint, tie bigint, n bigint, hi bigint, lo bigint, z binary")
-    digests = texts.groupBy("hi", "lo", "d", "tie").agg(F.first("n").alias("n"))
-    firsts = digests.groupBy("hi", "lo").agg(F.min("d").alias("d")).withColumn("tie", F.expr(f"hi & {(1 << TIE_BITS) - 1}L")).select("d", "tie")
+    # keys that can't be null need no filter, so both joins read one and the same exchange of texts
+    texts = docs.mapInArrow(_packed_rows, "d bigint not null, tie bigint not null, n bigint, hi bigint not null, lo bigint not null, z binary")
+    firsts = texts.groupBy("hi", "lo").agg(F.min("d").alias("d")).select("d", F.expr(f"hi & {(1 << TIE_BITS) - 1}L").alias("tie"))
 
-    marks = found.join(twice, "h").select("d", F.expr("at >> 32").alias("tie"), F.struct(F.expr("at & 4294967295L").alias("pos"), "owner", "part").alias("mark"))
-    marks = marks.groupBy("d", "tie").agg(F.collect_list("mark").alias("marks")).join(firsts, ["d", "tie"], "left_semi")
-    fragments = texts.join(marks, ["d", "tie"]).select("d", "tie", "n", "z", "marks").mapInArrow(_fragment_rows, "owner bigint, part bigint, d bigint, tie bigint, start bigint, bytes binary")
+    marks = found.join(twice, "h").groupBy("d").agg(F.collect_list(F.struct("pos", "owner", "part")).alias("marks"))
+    marks = marks.join(firsts.groupBy("d").agg(F.collect_list("tie").alias("ties")), "d")
+    rows = texts.select("d", "tie", "n", "z")
+    fragments = rows.join(marks, "d").select("d", "tie", "n", "z", "marks", "ties").mapInArrow(_fragment_rows, "owner bigint, part bigint, d bigint, tie bigint, start bigint, bytes binary")
     # rows alike in id and text give equal fragments, which count as one place
     fragments = fragments.repartition("owner", "part").sortWithinPartitions("owner", "part", "d", "tie", "start")
     spans = fragments.mapInArrow(_span_rows, "d bigint, tie bigint, start bigint, stop bigint")
     spans = spans.groupBy("d", "tie").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
-    about = firsts.withColumn("first", F.lit(True)).join(spans, ["d", "tie"], "left")
-    rows = texts.join(about, ["d", "tie"], "left").sortWithinPartitions("d", "tie").select("d", "tie", "n", "z", F.coalesce("first", F.lit(False)), "spans")
-    return rows.mapInArrow(_kept_rows, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed array<struct<start: bigint, stop: bigint>>, kept binary")
+    about = firsts.join(spans, ["d", "tie"], "left").groupBy("d").agg(F.collect_list(F.struct("tie", "spans")).alias("firsts"))
+    done = rows.join(about, "d", "left").sortWithinPartitions("d", "tie").select("d", "tie", "n", "z", "firsts")
+    return done.mapInArrow(_kept_rows, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed array<struct<start: bigint, stop: bigint>>, kept binary")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

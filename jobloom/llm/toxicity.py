@@ -122,6 +122,8 @@ def fit_toxicity(labelled: DataFrame, text_col: str = "text", label_col: str = "
 
     rows = labelled.select(F.col(f"`{text_col}`").cast("string").alias("t"), F.col(f"`{label_col}`").cast("int").alias("y")).filter("y in (0, 1)")
     got = rows.repartition(1).sortWithinPartitions("t", "y").mapInArrow(fit, "b binary, w binary, bias double").first()
+    if got is None:  # not a single row
+        return fit_arrays([], np.empty(0))
     return ToxicityModel(np.frombuffer(got.b, "<i8"), np.frombuffer(got.w, "<f8"), got.bias)
 
 
