@@ -225,11 +225,15 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     found = connected_components(links).select("v", F.col("root").alias("c"))
     placed = posts.drop("center").join(found, "v", "left").withColumn("c", F.coalesce("c", "v"))
-    mixed_lists = placed.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("token")
-    left = checkpointed(placed.join(mixed_lists, "token"))
-    other = left.select("token", *(F.col(x).alias(f"{x}2") for x in left.columns if x != "token"))
-    met = left.join(other, "token").filter("v > v2 and c <> c2").filter(_may_link(percent))
-    more = met.groupBy(F.col("v").alias("a"), F.col("v2").alias("b")).agg(F.count("v").alias("k"), F.min(F.least("matches", "matches2")).alias("m")).filter("k >= m").select("a", "b")
+    # tokens that occur in the same vertices, as copies' do, are one list of that many tokens
+    same = [F.bit_xor(F.xxhash64("v")).alias("list1"), F.bit_xor(F.xxhash64("v", F.lit(1))).alias("list2")]
+    mixed_lists = placed.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), *same).filter("c0 < c1").select("token", "list1", "list2")
+    # whatever any token of the list allows, the least pos and the largest q do
+    loosest = [F.min("pos").alias("pos"), F.max("q").alias("q"), F.count("token").alias("tokens")]
+    left = checkpointed(placed.join(mixed_lists, "token").groupBy("list1", "list2", "v", "c", "n", "matches").agg(*loosest))
+    other = left.select("list1", "list2", *(F.col(x).alias(f"{x}2") for x in left.columns if x not in ("list1", "list2")))
+    met = left.join(other, ["list1", "list2"]).filter("v > v2 and c <> c2").filter(_may_link(percent))
+    more = met.groupBy(F.col("v").alias("a"), F.col("v2").alias("b")).agg(F.sum(F.least("tokens", "tokens2")).alias("k"), F.min(F.least("matches", "matches2")).alias("m")).filter("k >= m").select("a", "b")
     rest = checkpointed(more)
     if not rest.isEmpty():
         links = checkpointed(links.union(verified(rest, vertices, docs, percent, words)))
