@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,8 @@ SKETCH_BITS = 18
 MOST_MATCHES = 8
 #: Documents that share a rare token by chance, which the sketch can't see.
 BY_CHANCE = 0.5
+#: 64-bit words of the bitmap that each set has.
+BITMAP_WORDS = 4
 #: Bits of the filter of ids whose sets are wanted. Beyond some millions of ids it lets more
 #: through than it need; a join behind it decides.
 FILTER_BITS = 24
@@ -102,14 +106,20 @@ def signatures(tokens: np.ndarray) -> tuple[int, int]:
     return a - (a >> 63 << 64), b - (b >> 63 << 64)
 
 
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """Parities of a set's tokens by their low bits: two sets differ in as many tokens as bits, or more."""
+    count = np.bincount((tokens & np.uint64(64 * BITMAP_WORDS - 1)).astype(np.int64), minlength=64 * BITMAP_WORDS)
+    return np.packbits((count & 1).astype(np.uint8)).view("<i8")
+
+
 def _sets(docs: DataFrame, frequency: np.ndarray, percent: int, words: int) -> DataFrame:
-    """(id, n, sig1, sig2, matches, prefix) of every document."""
+    """(id, n, sig1, sig2, matches, prefix, bits) of every document."""
     excess = np.maximum(0.0, frequency.astype(float) - np.median(frequency))  # the rest of a bucket is other tokens
     sent = docs.sparkSession.sparkContext.broadcast(excess)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, one, two, matches, kept = [], [], [], [], []
+            n, one, two, matches, kept, bits = [], [], [], [], [], []
             for s in shingle_sets(batch.column(1), words):
                 m, p = prefix(s, sent.value, percent)
                 a, b = signatures(s)
@@ -118,12 +128,13 @@ def _sets(docs: DataFrame, frequency: np.ndarray, percent: int, words: int) -> D
                 two.append(b)
                 matches.append(m)
                 kept.append(p.view(np.int64))
+                bits.append(bitmap(s))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(matches, pa.int32()), pa.array(kept, pa.list_(pa.int64()))],
-                ["id", "n", "sig1", "sig2", "matches", "prefix"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(matches, pa.int32()), pa.array(kept, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                ["id", "n", "sig1", "sig2", "matches", "prefix", "bits"],
             )
 
-    return docs.mapInArrow(run, "id bigint, n bigint, sig1 bigint, sig2 bigint, matches int, prefix array<bigint>")
+    return docs.mapInArrow(run, "id bigint, n bigint, sig1 bigint, sig2 bigint, matches int, prefix array<bigint>, bits array<bigint>")
 
 
 def _filter_places(ids: np.ndarray) -> np.ndarray:
@@ -186,14 +197,16 @@ def _may_link(percent: int) -> F.Column:
 
     They must share alpha tokens. The first l shared ones lie in the first n - alpha + l of each,
     each has room there for the others, and the tokens before a match, as far as any other set
-    has them, with those from it on must come to alpha.
+    has them, with those from it on must come to alpha. Their bitmaps differ in no more bits than
+    the sets in tokens.
     """
     alpha = F.ceil(percent * (F.col("n") + F.col("n2")) / (100 + percent))
     l = F.least("matches", "matches2")  # noqa: E741
     room, room2 = F.col("n") - alpha + l - F.col("pos"), F.col("n2") - alpha + l - F.col("pos2")
     ahead = F.least("q", "q2")
     alike = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
-    return alike & (room > 0) & (room2 > 0) & (ahead + F.least(room, room2) >= l) & (ahead + F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= alpha)
+    unlike = reduce(add, [F.bit_count(F.col(f"b{i}").bitwiseXOR(F.col(f"b{i}2"))) for i in range(BITMAP_WORDS)])
+    return alike & (unlike <= F.col("n") + F.col("n2") - 2 * alpha) & (room > 0) & (room2 > 0) & (ahead + F.least(room, room2) >= l) & (ahead + F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= alpha)
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 90, words: int = 3) -> DataFrame:
@@ -208,8 +221,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = checkpointed(_sets(docs, token_frequencies(docs, words), percent, words))
     sets = ["n", "sig1", "sig2"]
     # equal sets are one vertex; its prefix is the same in each document
-    first = rows.filter("n > 0").groupBy(*sets).agg(F.min(F.struct("id", "matches", "prefix")).alias("x"))
-    vertices = checkpointed(first.select(F.monotonically_increasing_id().alias("v"), "x.id", *sets, "x.matches", "x.prefix"))
+    first = rows.filter("n > 0").groupBy(*sets).agg(F.min(F.struct("id", "matches", "prefix", "bits")).alias("x"))
+    vertices = checkpointed(first.select(F.monotonically_increasing_id().alias("v"), "x.id", *sets, "x.matches", "x.prefix", "x.bits"))
 
     posts = vertices.select(F.posexplode("prefix").alias("pos", "token"), "v", "n", "matches")
     # of a list, the set in which the token comes earliest has the fewest tokens of its own: the likeliest original
@@ -231,6 +244,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # whatever any token of the list allows, the least pos and the largest q do
     loosest = [F.min("pos").alias("pos"), F.max("q").alias("q"), F.count("token").alias("tokens")]
     left = checkpointed(placed.join(mixed_lists, "token").groupBy("list1", "list2", "v", "c", "n", "matches").agg(*loosest))
+    bits = vertices.select("v", *(F.col("bits")[i].alias(f"b{i}") for i in range(BITMAP_WORDS)))
+    left = left.join(bits, "v")
     other = left.select("list1", "list2", *(F.col(x).alias(f"{x}2") for x in left.columns if x not in ("list1", "list2")))
     met = left.join(other, ["list1", "list2"]).filter("v > v2 and c <> c2").filter(_may_link(percent))
     more = met.groupBy(F.col("v").alias("a"), F.col("v2").alias("b")).agg(F.sum(F.least("tokens", "tokens2")).alias("k"), F.min(F.least("matches", "matches2")).alias("m")).filter("k >= m").select("a", "b")
