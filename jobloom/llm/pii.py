@@ -191,7 +191,7 @@ def secret(text: str, key: bytes, inverse: bool = False) -> str | None:
     return f"{permute(int(text, 16), 16 ** len(text), key, 'hex%d' % len(text), inverse):0{len(text)}x}"
 
 
-#: Kind -> what may be one, and the function that validates and maps it. The first that matches at a place counts.
+#: Kind -> what may be one, and the function that validates and maps it. The first that is valid at a place counts.
 KINDS: dict[str, tuple[str, Callable[[str, bytes, bool], str | None]]] = {
     "email": (r"(?<![\w.+%-])[^\W_][\w.+%-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])", email),
     "secret": (r"(?<![\w])[0-9a-f]{32,128}(?!\w)", secret),
@@ -199,35 +199,114 @@ KINDS: dict[str, tuple[str, Callable[[str, bytes, bool], str | None]]] = {
     "ipv4": (r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", ipv4),
     "date": (r"(?<![\w./-])(?:\d{4}(?P<s>[-/.])\d{2}(?P=s)\d{2}|\d{2}(?P<t>[-/.])\d{2}(?P=t)\d{4})(?![\w]|[-/.]\d)", date),
     "ssn": (r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w]|-\d)", ssn),
-    "card": (r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w]|[-.]\d)", card),
+    "card": (r"(?:(?<![\w.+-])|(?<=\d-))\d(?:[ -]?\d){12,18}(?!\w|\.\d)", card),
     "phone": (r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)", phone),
 }
 PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, (p, _) in KINDS.items()))
+ALONE = {k: re.compile(p) for k, (p, _) in KINDS.items()}
 NEEDED = re.compile(r"[0-9@]")
+#: Digits of the groups that cards are printed in, besides a single group.
+LAYOUTS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 5), (4, 4, 4, 1), (4, 4, 4, 2), (4, 4, 4, 3), (4, 4, 4, 4, 1), (4, 4, 4, 4, 2), (4, 4, 4, 4, 3), (6, 13)}
+GROUP, FIRST = re.compile(r"\w+"), re.compile(r"\W*\w+")
+
+
+def _printed(text: str) -> list[int]:
+    """Where a card in one of the printed layouts may end, the shortest first: text after it is a CVV or a date."""
+    groups = list(GROUP.finditer(text))
+    sizes = tuple(len(g[0]) for g in groups)
+    return [g.end() for i, g in enumerate(groups, 1) if (i == 1 and 13 <= sizes[0] <= 19) or sizes[:i] in LAYOUTS]
+
+
+def _ends(kind: str, text: str) -> list[int]:
+    """Ends of what may be the value within a candidate, in the order of trial: it may have swallowed what follows."""
+    if kind not in ("card", "iban", "phone"):
+        return [len(text)]
+    edges = [g.end() for g in GROUP.finditer(text)][::-1]
+    if kind == "iban":
+        return [e for e in edges if e == len(text) or len(text[:e].replace(" ", "")) >= 15]
+    if kind == "phone":
+        return edges
+    # groups of no printed layout are no card by chance as often, so a part of them has to begin like a bank's
+    printed = _printed(text)
+    return printed + [e for e in edges if e not in printed and (e == len(text) or text[0] in "23456")]
+
+
+def _valid(kind: str, text: str, key: bytes) -> tuple[int, str] | None:
+    """The length and the pseudonym of the valid value that a candidate begins with."""
+    for end in _ends(kind, text):
+        if (new := KINDS[kind][1](text[:end], key, False)) is not None:
+            return end, new
+    return None
+
+
+def _printed_card(text: str, at: int) -> bool:
+    """Whether a valid card in a printed layout begins at a place of text."""
+    m = ALONE["card"].match(text, at)
+    return bool(m) and any(card(m[0][:e], b"") for e in _printed(m[0]))
+
+
+def _card_inside(text: str, start: int, stop: int) -> bool:
+    """Whether such a card begins at a later group of text[start:stop]; it may go on past stop."""
+    return any(_printed_card(text, g.start()) for g in list(GROUP.finditer(text, start, stop))[1:])
+
+
+def _before_others(text: str, start: int, stop: int) -> int:
+    """stop, or where a valid value of another kind begins in a phone number's candidate, without the separator.
+
+    The first such place counts that leaves a valid number before it, or else the first.
+    """
+    cuts = []
+    for g in list(GROUP.finditer(text, start, stop))[1:]:
+        for kind, pattern in ALONE.items():
+            if kind == "card":
+                other = _printed_card(text, g.start())
+            else:
+                other = kind != "phone" and (m := pattern.match(text, g.start())) and _valid(kind, m[0], b"")
+            if other:
+                cuts.append(start + len(text[start : g.start()].rstrip(" .-(")))
+                break
+    return next((c for c in cuts if phone(text[start:c], b"")), (cuts or [stop])[0])
 
 
 def pseudonymise(text: str | None, key: bytes, memo: dict | None = None) -> tuple[str | None, list[tuple[str, str]]]:
-    """The text with every validated value replaced, and (kind, pseudonym) of each in order."""
+    """The text with every validated value replaced, and (kind, pseudonym) of each in order.
+
+    Where a candidate isn't valid as a whole, its beginnings that end with a group are tried, then
+    the other kinds at that place; the search goes on after its first group.
+    """
     if not text or not NEEDED.search(text):
         return text, []
     memo = {} if memo is None else memo
     found: list[tuple[str, str]] = []
 
-    def swap(m: re.Match) -> str:
-        kind, old = m.lastgroup, m[0]
-        if kind not in KINDS:  # the separators' own groups
-            kind = next(k for k in KINDS if m[k] is not None)
+    def value(kind: str, start: int, old: str) -> tuple[int, str] | None:
         if (kind, old) not in memo:
             if len(memo) >= MEMO:
                 memo.clear()
-            memo[kind, old] = KINDS[kind][1](old, key, False)
-        new = memo[kind, old]
-        if new is None:
-            return old
-        found.append((kind, new))
-        return new
-
-    return PATTERN.sub(swap, text), found
+            memo[kind, old] = _valid(kind, old, key)
+        got = memo[kind, old]
+        # digits before a card, and some of its own, may be valid by chance
+        if got and kind == "card" and got[0] not in _printed(old) and _card_inside(text, start, start + got[0]):
+            return None
+        return got
+
+    parts, done, at = [], 0, 0
+    while m := PATTERN.search(text, at):
+        start = m.start()
+        for kind, pattern in ALONE.items():
+            if one := pattern.match(text, start):
+                stop = _before_others(text, start, one.end()) if kind == "phone" else one.end()
+                if got := value(kind, start, text[start:stop]):
+                    break
+        else:
+            got = None
+        if got:
+            parts += [text[done:start], got[1]]
+            found.append((kind, got[1]))
+            done = at = start + got[0]
+        else:
+            at = FIRST.match(text, start).end()
+    return "".join([*parts, text[done:]]), found
 
 
 def pii_pseudonyms(df: DataFrame, key: bytes = DEMO_KEY, text_col: str = "text") -> DataFrame:

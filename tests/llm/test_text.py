@@ -156,6 +156,33 @@ def test_what_fails_validation_stays(clean):
     assert pii.pseudonymise(f"x {clean} y", KEY) == (f"x {clean} y", [])
 
 
+CARD = "4111 1111 1111 1111"
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["{} 737", "{}-737", "{} 12/27", "{} 1", "{} 12/25/2001", "{}-12345", "737 {}", "12-{}", "order 12345 {} 12/27", "2021-02-30 {} 99", "{} {}", "{} 737 {}"]
+    + [f"{{}} {n:03d}" for n in range(0, 1000, 37)],
+)
+@pytest.mark.parametrize("form", [CARD, CARD.replace(" ", ""), CARD.replace(" ", "-")])
+def test_a_card_with_digits_around_it_is_found_and_links(text, form):
+    alone = pii.pseudonymise(form, KEY)[0]
+    got, found = pii.pseudonymise(f"pay {text.replace('{}', form)}, ok", KEY)
+    assert alone != form and form not in got and ("card", alone) in found and got.count(alone) == text.count("{}")
+    assert text.endswith("2001") or got == f"pay {text.replace('{}', alone)}, ok"
+
+
+def test_what_follows_other_numbers_is_not_swallowed():
+    for value, tail in (("BE68 5390 0754 7034", " THEN"), ("+44 20 7946 0951 1234", " 5678 9999"), ("123-45-6789", " 4111111111111112")):
+        alone = pii.pseudonymise(value, KEY)[0]
+        assert alone != value and pii.pseudonymise(f"x {value}{tail}", KEY)[0] == f"x {alone}{tail}"
+    assert pii.pseudonymise("4111 1111 1111 1112 144.137.247.239", KEY)[1][0][0] == "ipv4"
+    for other in ("190.137.223.204", "10.1.2.3", "12/25/2001", "123-45-6789", CARD):
+        a, b = (pii.pseudonymise(x, KEY)[0] for x in ("+1 (826) 555-4081", other))
+        assert pii.pseudonymise(f"+1 (826) 555-4081 {other}", KEY)[0] == f"{a} {b}"
+    assert pii.pseudonymise(f"+1 {CARD}", KEY)[0] == f"+1 {pii.pseudonymise(CARD, KEY)[0]}"
+
+
 def test_pii_of_odd_rows(spark):
     rows = pii.pii_pseudonyms(documents(spark, [*ROWS, (60, VALUES[0]), (61, "see " + VALUES[0])])).collect()
     by = Counter((r.doc_id, r.text) for r in rows)
