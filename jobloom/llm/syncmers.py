@@ -2,12 +2,13 @@
 
 A k-mer of code points is chosen when the smallest hash among its inner substrings lies at its
 first or last place. That depends on the k-mer alone, so an edit elsewhere never changes the
-choice. A fingerprint holds the chosen k-mers with the smallest hashes and where each stands;
+choice. A fingerprint holds all chosen k-mers, whatever the text's length, and where each stands;
 two fingerprints are alike as far as they share k-mers along one diagonal.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
 
@@ -21,15 +22,20 @@ from .common import mixed, shuffle_width, table
 
 #: Code points of a k-mer and of its inner substrings (their difference is a power of two).
 K, S = 24, 8
-#: Anchors that a fingerprint holds at most, those with the smallest hashes of the whole text.
-ANCHORS = 64
 #: Code points by which shared anchors may leave the common diagonal.
 SLACK = 48
 BLOCK = 1 << 18
+#: Bytes of fingerprints that a task gathers before it hands them on.
+FLUSH = 1 << 23
+#: An anchor in a fingerprint: its hash, and how far it stands from the one before (at most K - S).
+ANCHOR = np.dtype([("hash", ">u4"), ("step", "u1")])
 P = 0x9E3779B97F4A7C15
 LOWEST = -(1 << 63)
 
 
+Anchors = tuple[np.ndarray, np.ndarray]
+
+
 def _block_syncmers(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes (32 bits) and positions of the closed syncmers of some code points."""
     h = (points.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
@@ -49,55 +55,48 @@ def _block_syncmers(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (mixed(kmer[at]) >> np.uint64(32)).astype(np.uint32), at
 
 
-def syncmers(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The ANCHORS smallest distinct syncmer hashes of the whole text, and each one's first position."""
+def syncmers(text: str) -> Anchors:
+    """The hashes and positions of all closed syncmers of the whole text, in order of position."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     if len(points) < K:
         if not len(points):
             return np.empty(0, np.uint32), np.empty(0, np.int64)
         whole = int.from_bytes(hashlib.blake2b(points.tobytes(), digest_size=4).digest())
         return np.array([whole], np.uint32), np.zeros(1, np.int64)
-    hashes, places = np.empty(0, np.uint32), np.empty(0, np.int64)
-    for lo in range(0, len(points) - K + 1, BLOCK):
-        h, at = _block_syncmers(points[lo : lo + BLOCK + K - 1])
-        h, at = np.concatenate([hashes, h]), np.concatenate([places, at + lo])
-        hashes, first = np.unique(h, return_index=True)
-        hashes, places = hashes[:ANCHORS], at[first[:ANCHORS]]
-    return hashes, places
-
-
-Anchors = tuple[np.ndarray, np.ndarray]
+    found = [(h, at + lo) for lo in range(0, len(points) - K + 1, BLOCK) for h, at in [_block_syncmers(points[lo : lo + BLOCK + K - 1])]]
+    return np.concatenate([h for h, _ in found]), np.concatenate([at for _, at in found])
 
 
 def to_text(anchors: Anchors) -> str:
-    """A fingerprint: 8 hexadecimal digits of hash, 10 of position, for each anchor."""
-    return "".join(f"{h:08x}{p:010x}" for h, p in zip(anchors[0].tolist(), anchors[1].tolist(), strict=True))
+    """A fingerprint: base64 of 4 bytes of hash and 1 byte of distance from the last, for each anchor.
+
+    Every K - S k-mers in a row have a closed syncmer among them, so no distance is larger.
+    """
+    rows = np.empty(len(anchors[0]), ANCHOR)
+    rows["hash"], rows["step"] = anchors[0], np.diff(anchors[1], prepend=0)
+    return base64.b64encode(rows.tobytes()).decode()
 
 
 def from_text(fingerprint: str) -> Anchors:
     """The reverse of to_text()."""
-    at = range(0, len(fingerprint), 18)
-    return np.array([int(fingerprint[i : i + 8], 16) for i in at], np.uint32), np.array([int(fingerprint[i + 8 : i + 18], 16) for i in at], np.int64)
+    rows = np.frombuffer(base64.b64decode(fingerprint), ANCHOR)
+    return rows["hash"].astype(np.uint32), np.cumsum(rows["step"], dtype=np.int64)
 
 
 def likeness(a: Anchors, b: Anchors) -> float:
     """Twice the shared anchors over all anchors of both (1 for two empty texts).
 
-    Anchors count as shared along one diagonal. Their share among the smallest hashes of both
-    fingerprints together estimates the two sets' overlap.
+    Distinct hashes count, each where it stands first, and as shared along one diagonal.
     """
     if not len(a[0]) or not len(b[0]):
         return float(len(a[0]) == len(b[0]))
-    both = np.union1d(a[0], b[0])
-    if len(a[0]) == ANCHORS or len(b[0]) == ANCHORS:
-        both = both[:ANCHORS]
-    shared, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    keep = shared <= both[-1]
-    if not keep.any():
+    (ha, ia), (hb, ib) = (np.unique(x[0], return_index=True) for x in (a, b))
+    shared, i, j = np.intersect1d(ha, hb, assume_unique=True, return_indices=True)
+    if not len(shared):
         return 0.0
-    shift = np.sort(a[1][i[keep]] - b[1][j[keep]])
+    shift = np.sort(a[1][ia[i]] - b[1][ib[j]])
     on = np.searchsorted(shift, shift + SLACK, "right") - np.arange(len(shift))
-    share = on.max() / len(both)
+    share = on.max() / (len(ha) + len(hb) - len(shared))
     return float(2 * share / (1 + share))
 
 
@@ -111,8 +110,13 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [to_text(syncmers(x.as_py() or "")) for x in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], [*batch.schema.names, "fingerprint"])
+            made, size, lo = [], 0, 0
+            for hi, x in enumerate(batch.column(at), 1):
+                made.append(to_text(syncmers(x.as_py() or "")))
+                size += len(made[-1])
+                if size > FLUSH or hi == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(made, pa.string())], [*batch.schema.names, "fingerprint"])
+                    made, size, lo = [], 0, hi
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*(f"`{c}`" for c in rest)).schema)
     return df.select(*(f"`{c}`" for c in rest)).mapInArrow(run, f"{types}, fingerprint string")
@@ -169,17 +173,24 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = own if edited == text else syncmers(edited)
         return doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), to_text(own), to_text(marks), likeness(own, marks), likeness(own, other)
 
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) if i else pa.array(c, pa.int64()) for i, c in enumerate(zip(*out, strict=True))], names)
+
     for batch in batches:
-        out = []
+        out, size = [], 0
         for dest, spare, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if prior is None and spare:
                 continue  # a second spare row, of a repeated id
             own = syncmers(text)
             if prior is not None:
                 out.append(row(*prior[1:], text, own))
+                size += len(out[-1][3]) + len(out[-1][4])
+                if size > FLUSH:
+                    yield packed(out)
+                    out, size = [], 0
             prior = None if spare else (dest, doc_id, text, own)
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c) if i else pa.array(c, pa.int64()) for i, c in enumerate(zip(*out, strict=True))], names)
+            yield packed(out)
 
 
 def compare_with_edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:

@@ -335,3 +335,19 @@ def test_syncmers_ignore_context_and_blocks(monkeypatch):
     monkeypatch.setattr(syncmers, "BLOCK", 333)
     assert syncmers.to_text(syncmers.syncmers(text)) == whole
     assert syncmers.likeness(*[syncmers.from_text(whole)] * 2) == 1.0
+
+
+@pytest.mark.parametrize("size", [1_000, 10_000, 130_000])
+def test_a_passage_is_matched_in_a_text_of_any_length(size):
+    rng = random.Random(8)
+    passage, a, b = ("".join(rng.choice("abcdefghijk ") for _ in range(n)) for n in (500, size, size))
+    a, b = a[: size // 3] + passage + a[size // 3 :], b[: size // 2] + passage + b[size // 2 :]
+    x, y = syncmers.syncmers(a), syncmers.syncmers(b)
+    inside = {h for h, p in zip(*(v.tolist() for v in x), strict=True) if size // 3 <= p <= size // 3 + 500 - syncmers.K}
+    assert len(inside) > 40 and inside <= set(y[0].tolist())
+    n = len(np.union1d(x[0], y[0]))
+    assert syncmers.likeness(x, y) == pytest.approx(2 * len(inside) / (n + len(inside)), rel=0.1)
+    for data in (a, "x" * size, "ab " * size, "", "short"):
+        made = syncmers.syncmers(data)
+        back = syncmers.from_text(syncmers.to_text(made))
+        assert all(np.array_equal(*v) for v in zip(made, back, strict=True))
