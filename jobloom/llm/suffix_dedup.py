@@ -194,38 +194,40 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed
 
 
 def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(d, tie, n, z, firsts), sorted by (d, tie) -> results; of rows alike the first counts as earlier.
+    """(d, tie, n, z, m, firsts) -> m results; of rows alike one counts as first.
 
     firsts has (tie, spans) of the id's texts that aren't copies.
     """
     unpack = zstandard.ZstdDecompressor()
-    last = None
+
+    def result(d: int, n: int, text: bytes, spans: list[tuple[int, int]]) -> tuple:
+        merged: list[tuple[int, int]] = []
+        for a, b in sorted(spans):
+            if merged and a <= merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
+            else:
+                merged.append((a, b))
+        at, parts = 0, []
+        for a, b in merged:
+            parts.append(text[at:a])
+            at = b
+        kept = b"".join([*parts, text[at:]])
+        return (None if d == LOWEST else d, n, sum(b - a for a, b in merged), len(merged), hashlib.sha256(kept).hexdigest(), [{"start": a, "stop": b} for a, b in merged], kept)
+
     for batch in batches:
         out: list[tuple] = []
         size = 0
-        for d, tie, n, z, firsts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for d, tie, n, z, m, firsts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             own = next((f for f in firsts or () if f["tie"] == tie), None)
-            if (own is None or (d, tie) == last) and n >= LEAST:
-                merged = [(0, n)]
-            else:
-                merged = []
-                for a, b in sorted((s["start"], s["stop"]) for s in (own and own["spans"]) or ()):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-                    else:
-                        merged.append((a, b))
-            last = d, tie
-            text, at, parts = unpack.decompress(z), 0, []
-            for a, b in merged:
-                parts.append(text[at:a])
-                at = b
-            kept = b"".join([*parts, text[at:]])
-            removed = sum(b - a for a, b in merged)
-            out.append((None if d == LOWEST else d, n, removed, len(merged), hashlib.sha256(kept).hexdigest(), [{"start": a, "stop": b} for a, b in merged], kept))
-            size += len(kept)
-            if size > 1 << 23:
-                yield _batch(out, RESULT)
-                out, size = [], 0
+            text = unpack.decompress(z)
+            first = result(d, n, text, [(s["start"], s["stop"]) for s in own["spans"] or ()]) if own else None
+            copy = result(d, n, text, [(0, n)] if n >= LEAST else []) if m > 1 or not own else None
+            for k in range(m):
+                out.append(copy if k or not own else first)
+                size += len(out[-1][-1]) + 200
+                if size > 1 << 23:
+                    yield _batch(out, RESULT)
+                    out, size = [], 0
         if out:
             yield _batch(out, RESULT)
 
@@ -248,19 +250,20 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     # keys that can't be null need no filter, so both joins read one and the same exchange of texts
     texts = docs.mapInArrow(_packed_rows, "d bigint not null, tie bigint not null, n bigint, hi bigint not null, lo bigint not null, z binary")
+    # rows alike in id and text become one with their number, wherever they come from
+    texts = texts.groupBy("d", "tie", "hi", "lo").agg(F.first("n").alias("n"), F.first("z").alias("z"), F.count("*").alias("m"))
     firsts = texts.groupBy("hi", "lo").agg(F.min("d").alias("d")).select("d", F.expr(f"hi & {(1 << TIE_BITS) - 1}L").alias("tie"))
 
     marks = found.join(twice, "h").groupBy("d").agg(F.collect_list(F.struct("pos", "owner", "part")).alias("marks"))
     marks = marks.join(firsts.groupBy("d").agg(F.collect_list("tie").alias("ties")), "d")
-    rows = texts.select("d", "tie", "n", "z")
+    rows = texts.select("d", "tie", "n", "z", "m")
     fragments = rows.join(marks, "d").select("d", "tie", "n", "z", "marks", "ties").mapInArrow(_fragment_rows, "owner bigint, part bigint, d bigint, tie bigint, start bigint, bytes binary")
-    # rows alike in id and text give equal fragments, which count as one place
     fragments = fragments.repartition("owner", "part").sortWithinPartitions("owner", "part", "d", "tie", "start")
     spans = fragments.mapInArrow(_span_rows, "d bigint, tie bigint, start bigint, stop bigint")
     spans = spans.groupBy("d", "tie").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
     about = firsts.join(spans, ["d", "tie"], "left").groupBy("d").agg(F.collect_list(F.struct("tie", "spans")).alias("firsts"))
-    done = rows.join(about, "d", "left").sortWithinPartitions("d", "tie").select("d", "tie", "n", "z", "firsts")
+    done = rows.join(about, "d", "left").select("d", "tie", "n", "z", "m", "firsts")
     return done.mapInArrow(_kept_rows, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed array<struct<start: bigint, stop: bigint>>, kept binary")
 
 

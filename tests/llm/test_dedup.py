@@ -162,6 +162,24 @@ def test_repeated_strings_equal_brute_force(spark, monkeypatch, split):
     assert got == brute_repeats(rows)
 
 
+def test_rows_alike_in_different_partitions_are_kept_once(spark):
+    rng = random.Random(6)
+    word = "".join(rng.choice("abcdefghij ") for _ in range(400))
+    rows = [(i, word) for i in (None, None, 3, 3, 3, 4)] + [(9, "short")] * 3
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id bigint, text string")
+    # a broadcast join that reads each task's rows apart
+    conf = {"spark.sql.shuffle.partitions": "32", "spark.sql.autoBroadcastJoinThreshold": "100m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = Counter(tuple(r)[:5] for r in suffix_dedup.suffix_dedup(docs).collect())
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert got == brute_repeats(rows)
+
+
 def test_every_string_holds_an_anchor():
     rng = np.random.default_rng(2)
     data = rng.integers(97, 101, 100_000).astype(np.uint8)
