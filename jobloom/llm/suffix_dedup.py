@@ -2,8 +2,8 @@
 
 Every string of LEAST bytes holds an anchor, the k-mer with the smallest hash of all that the
 string contains, and equal strings hold it at the same place. So only text around anchors that
-occur twice can repeat. That text is dealt out by the anchor's owner, the first document that
-has it; where an owner has very much of it, by the anchor as well. Each task builds run-length
+occur twice can repeat. That text is dealt out by the anchor's owner, of the texts that
+have it the one with the smallest digest; where an owner has very much of it, by the anchor as well. Each task builds run-length
 indexes of what it gets, streams the matching statistics and marks what also starts earlier.
 Copies of a whole text are told by digest and aren't indexed again.
 """
@@ -31,7 +31,6 @@ CHUNK = 1 << 19
 OWNER_ANCHORS = 50_000
 #: Stands for a null id, which counts as smallest.
 LOWEST = -(1 << 63)
-TIE_BITS = 30
 
 
 def anchors(data: np.ndarray, at: np.ndarray, least: int = LEAST, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -79,50 +78,48 @@ def _digest(text: bytes) -> tuple[int, int]:
 
 
 def _tie(high: int) -> int:
-    """What tells texts apart that share an id; also their order."""
-    return high & ((1 << TIE_BITS) - 1)
+    """What orders texts that share an id, from the digest's first half; its other half comes after."""
+    return high
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(d, text) -> (h, d, pos) for each anchor."""
+    """(text) -> (h, tie, pos) for each anchor."""
     for batch in batches:
-        data, at = text_buffer(batch.column(1))
-        ids = batch.column(0).to_numpy()
+        data, at = text_buffer(batch.column(0))
+        ids = np.array([_tie(_digest(data[a:b].tobytes())[0]) for a, b in zip(at[:-1], at[1:], strict=True)], np.int64)
         lo = 0
         while lo < len(ids):  # some texts at a time, to bound memory
             hi = max(lo + 1, int(np.searchsorted(at, at[lo] + (4 << 20), "right")) - 1)
             place, h = anchors(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
             row = np.searchsorted(at, place + at[lo], "right") - 1
-            yield pa.RecordBatch.from_pydict({"h": h.view(np.int64), "d": ids[row], "pos": place + at[lo] - at[row]})
+            yield pa.RecordBatch.from_pydict({"h": h.view(np.int64), "tie": ids[row], "pos": place + at[lo] - at[row]})
             lo = hi
 
 
 def _packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(d, text) -> (d, tie, n, hi, lo, z): digests, and the text compressed for the shuffle."""
+    """(d, text) -> (d, tie, lo, n, z): digests, and the text compressed for the shuffle."""
     pack = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         data, at = text_buffer(batch.column(1))
         raw = [data[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
         hi, lo = zip(*map(_digest, raw), strict=True) if raw else ((), ())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(map(_tie, hi), pa.int64()), pa.array(np.diff(at)), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(map(pack.compress, raw), pa.binary())],
-            ["d", "tie", "n", "hi", "lo", "z"],
+            [batch.column(0), pa.array(map(_tie, hi), pa.int64()), pa.array(lo, pa.int64()), pa.array(np.diff(at)), pa.array(map(pack.compress, raw), pa.binary())],
+            ["d", "tie", "lo", "n", "z"],
         )
 
 
 def _fragment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(d, tie, n, z, marks, ties) -> (owner, part, d, tie, start, bytes): the text around each owner's anchors.
+    """(d, tie, lo, n, z, m, marks) -> (owner, part, d, tie, lo, start, bytes): the text around each owner's anchors.
 
-    Texts whose tie isn't among ties are copies. Where texts share an id, marks has the anchors
-    of all of them, and so some text that needn't be looked at.
+    Should two texts ever share a tie, marks has the anchors of both, and so some text that
+    needn't be looked at.
     """
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         out: list[tuple] = []
         size = 0
-        for d, tie, n, z, marks, ties in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if tie not in ties:
-                continue
+        for d, tie, low, n, z, _, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             text = unpack.decompress(z)
             marks = sorted((m["owner"], m["part"], m["pos"]) for m in marks)
             open_group, begin, end = None, 0, 0
@@ -132,7 +129,7 @@ def _fragment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     end = b
                     continue
                 if open_group and begin < end:
-                    out.append((*open_group, d, tie, begin, text[begin:end]))
+                    out.append((*open_group, d, tie, low, begin, text[begin:end]))
                     size += end - begin
                 open_group, begin, end = (owner, part), a, b
             if size > 1 << 22:
@@ -146,21 +143,21 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
 
-FRAGMENT = pa.schema([("owner", pa.int64()), ("part", pa.int64()), ("d", pa.int64()), ("tie", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())])
-SPAN = pa.schema([("d", pa.int64()), ("tie", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
+FRAGMENT = pa.schema([("owner", pa.int64()), ("part", pa.int64()), ("d", pa.int64()), ("tie", pa.int64()), ("lo", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())])
+SPAN = pa.schema([("d", pa.int64()), ("tie", pa.int64()), ("lo", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
 
 
-def repeated_spans(fragments: list[tuple[int, int, int, bytes]], least: int = LEAST) -> list[tuple[int, int, int, int]]:
-    """Fragments (d, tie, start, bytes) of texts -> spans (d, tie, start, stop) of their bytes that
+def repeated_spans(fragments: list[tuple[int, int, int, int, bytes]], least: int = LEAST) -> list[tuple[int, int, int, int, int]]:
+    """Fragments (d, tie, lo, start, bytes) of texts -> spans (d, tie, lo, start, stop) of their bytes that
     lie in a string of least bytes that also starts earlier in one of the fragments.
 
-    Earlier means in a smaller (d, tie), or in the same at a smaller position.
+    Earlier means in a smaller (d, tie, lo), or in the same at a smaller position.
     """
-    text = np.frombuffer(b"".join(x for f in fragments for x in (f[3], bytes([STOP]))), np.uint8)
-    sizes = np.array([len(f[3]) + 1 for f in fragments], np.int64)
+    text = np.frombuffer(b"".join(x for f in fragments for x in (f[4], bytes([STOP]))), np.uint8)
+    sizes = np.array([len(f[4]) + 1 for f in fragments], np.int64)
     begin = np.cumsum(sizes) - sizes
-    names = {x: i for i, x in enumerate(sorted({f[:2] for f in fragments}))}
-    base = np.array([(names[f[:2]] << 40) + f[2] for f in fragments], np.int64) - begin
+    names = {x: i for i, x in enumerate(sorted({f[:3] for f in fragments}))}
+    base = np.array([(names[f[:3]] << 40) + f[3] for f in fragments], np.int64) - begin
     key = np.arange(len(text)) + np.repeat(base, sizes)
     hit = earlier_copies(text, np.repeat(begin + sizes - 1, sizes), key, least)
     edge = np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))
@@ -168,23 +165,23 @@ def repeated_spans(fragments: list[tuple[int, int, int, bytes]], least: int = LE
     for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
         # a STOP is never marked, so a run lies in one fragment
         i = int(np.searchsorted(begin, a, "right")) - 1
-        d, tie, start, _ = fragments[i]
-        out.append((d, tie, start + a - int(begin[i]), start + b - 1 - int(begin[i]) + least))
+        d, tie, low, start, _ = fragments[i]
+        out.append((d, tie, low, start + a - int(begin[i]), start + b - 1 - int(begin[i]) + least))
     return out
 
 
 def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Fragments sorted by group -> spans; whole groups are indexed together, about CHUNK bytes at a time."""
-    held: list[tuple[int, int, int, bytes]] = []
+    held: list[tuple[int, int, int, int, bytes]] = []
     size, last = 0, None
     for batch in batches:
-        for owner, part, d, tie, start, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for owner, part, d, tie, low, start, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if size > CHUNK and (owner, part) != last:
                 if spans := repeated_spans(held):
                     yield _batch(spans, SPAN)
                 held, size = [], 0
             last = owner, part
-            held.append((d, tie, start, data))
+            held.append((d, tie, low, start, data))
             size += len(data) + 1
     if held and (spans := repeated_spans(held)):
         yield _batch(spans, SPAN)
@@ -194,9 +191,9 @@ RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed
 
 
 def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(d, tie, n, z, m, firsts) -> m results; of rows alike one counts as first.
+    """(d, n, z, m, own, spans) -> m results; of rows alike one counts as first.
 
-    firsts has (tie, spans) of the id's texts that aren't copies.
+    own isn't null where the text is no copy of one with a smaller id.
     """
     unpack = zstandard.ZstdDecompressor()
 
@@ -217,10 +214,9 @@ def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[tuple] = []
         size = 0
-        for d, tie, n, z, m, firsts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            own = next((f for f in firsts or () if f["tie"] == tie), None)
+        for d, n, z, m, own, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             text = unpack.decompress(z)
-            first = result(d, n, text, [(s["start"], s["stop"]) for s in own["spans"] or ()]) if own else None
+            first = result(d, n, text, [(s["start"], s["stop"]) for s in spans or ()]) if own else None
             copy = result(d, n, text, [(0, n)] if n >= LEAST else []) if m > 1 or not own else None
             for k in range(m):
                 out.append(copy if k or not own else first)
@@ -242,28 +238,29 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     and of rows alike in both one counts as first. An empty df gives no rows.
     """
     docs = df.select(F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(LOWEST)).alias("d"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    found = docs.mapInArrow(_anchor_rows, "h bigint not null, d bigint not null, pos bigint not null")
-    twice = found.groupBy("h").agg(F.count("d").alias("c"), F.min("d").alias("owner")).filter("c > 1")
+    found = docs.select("text").mapInArrow(_anchor_rows, "h bigint not null, tie bigint not null, pos bigint not null")
+    twice = found.groupBy("h").agg(F.count("tie").alias("c"), F.min("tie").alias("owner")).filter("c > 1")
     # an owner of very many anchors is split by anchor, as finely as their number asks
     load = twice.groupBy("owner").agg(F.sum("c").alias("load")).filter(F.col("load") > OWNER_ANCHORS)
     twice = twice.join(load, "owner", "left").select("h", "owner", F.expr(f"coalesce(pmod(h, load div {OWNER_ANCHORS} + 1), 0)").alias("part"))
 
     # keys that can't be null need no filter, so both joins read one and the same exchange of texts
-    texts = docs.mapInArrow(_packed_rows, "d bigint not null, tie bigint not null, n bigint, hi bigint not null, lo bigint not null, z binary")
+    texts = docs.mapInArrow(_packed_rows, "d bigint not null, tie bigint not null, lo bigint not null, n bigint, z binary")
+    firsts = texts.groupBy("tie", "lo").agg(F.min("d").alias("d"))
     # rows alike in id and text become one with their number, wherever they come from
-    texts = texts.groupBy("d", "tie", "hi", "lo").agg(F.first("n").alias("n"), F.first("z").alias("z"), F.count("*").alias("m"))
-    firsts = texts.groupBy("hi", "lo").agg(F.min("d").alias("d")).select("d", F.expr(f"hi & {(1 << TIE_BITS) - 1}L").alias("tie"))
-
-    marks = found.join(twice, "h").groupBy("d").agg(F.collect_list(F.struct("pos", "owner", "part")).alias("marks"))
-    marks = marks.join(firsts.groupBy("d").agg(F.collect_list("tie").alias("ties")), "d")
-    rows = texts.select("d", "tie", "n", "z", "m")
-    fragments = rows.join(marks, "d").select("d", "tie", "n", "z", "marks", "ties").mapInArrow(_fragment_rows, "owner bigint, part bigint, d bigint, tie bigint, start bigint, bytes binary")
-    fragments = fragments.repartition("owner", "part").sortWithinPartitions("owner", "part", "d", "tie", "start")
-    spans = fragments.mapInArrow(_span_rows, "d bigint, tie bigint, start bigint, stop bigint")
-    spans = spans.groupBy("d", "tie").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-
-    about = firsts.join(spans, ["d", "tie"], "left").groupBy("d").agg(F.collect_list(F.struct("tie", "spans")).alias("firsts"))
-    done = rows.join(about, "d", "left").select("d", "tie", "n", "z", "m", "firsts")
+    key = ["d", "tie", "lo"]
+    rows = texts.groupBy(*key).agg(F.first("n").alias("n"), F.first("z").alias("z"), F.count("*").alias("m"))
+
+    # copies of a text have the same anchors, which the set holds once
+    marks = found.join(twice, "h").groupBy("tie").agg(F.collect_set(F.struct("pos", "owner", "part")).alias("marks"))
+    marks = marks.join(firsts, "tie").select(*key, "marks")
+    fragments = rows.join(marks, key).select(*key, "n", "z", "m", "marks").mapInArrow(_fragment_rows, "owner bigint, part bigint, d bigint, tie bigint, lo bigint, start bigint, bytes binary")
+    fragments = fragments.repartition("owner", "part").sortWithinPartitions("owner", "part", *key, "start")
+    spans = fragments.mapInArrow(_span_rows, "d bigint, tie bigint, lo bigint, start bigint, stop bigint")
+    spans = spans.groupBy(*key).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+
+    about = firsts.join(spans, key, "left").select(*key, F.lit(True).alias("own"), "spans")
+    done = rows.join(about, key, "left").select("d", "n", "z", "m", "own", "spans")
     return done.mapInArrow(_kept_rows, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed array<struct<start: bigint, stop: bigint>>, kept binary")
 
 

@@ -180,6 +180,20 @@ def test_rows_alike_in_different_partitions_are_kept_once(spark):
     assert got == brute_repeats(rows)
 
 
+def test_many_texts_under_one_id_stay_apart(spark):
+    # two texts whose digests agree in 30 bits, which some 30,000 texts of an id have
+    seen, rng = {}, random.Random(12)
+    for i in range(1 << 20):
+        text = f"{i} " + "".join(chr(97 + (i * k + k * k) % 26) for k in range(1, 110))
+        other = seen.setdefault(suffix_dedup._digest(text.encode())[0] & ((1 << 30) - 1), text)
+        if other != text:
+            break
+    rows = [(None, x) for x in (text, other, text)] + [(None, "".join(rng.choice("abcdef") for _ in range(150))) for _ in range(40)]
+    rows += [(7, rows[5][1]), (7, rows[6][1] + "z"), (7, other)]
+    got = Counter(tuple(r)[:5] for r in suffix_dedup.suffix_dedup(documents(spark, rows)).collect())
+    assert got == brute_repeats(rows)
+
+
 def test_every_string_holds_an_anchor():
     rng = np.random.default_rng(2)
     data = rng.integers(97, 101, 100_000).astype(np.uint8)
