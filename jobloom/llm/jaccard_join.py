@@ -36,9 +36,13 @@ MOST_MATCHES = 8
 BY_CHANCE = 0.5
 #: 64-bit words of the bitmap that each set has.
 BITMAP_WORDS = 4
-#: Bits of the filter of ids whose sets are wanted. Beyond some millions of ids it lets more
-#: through than it need; a join behind it decides.
-FILTER_BITS = 24
+#: Bits of the filter of ids whose sets are wanted, for each of them; a join behind it decides.
+FILTER_BITS_EACH = 12
+#: Bits of the largest filter, as a power of two (8 MB). Where even that would let most ids
+#: through, there is none, and all sets go to the join.
+FILTER_MOST = 26
+#: Pairs of one document from which on its set is sent to several tasks, so many for each.
+SET_PAIRS = 4096
 
 
 def reduced(parts: DataFrame, dtype: str, op: Callable) -> np.ndarray | None:
@@ -113,7 +117,8 @@ def bitmap(tokens: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, frequency: np.ndarray, percent: int, words: int) -> DataFrame:
-    """(id, n, sig1, sig2, matches, prefix, bits) of every document."""
+    """(id, n, sig1, sig2, matches, prefix, bits) of every document (id, text, and what else is carried along)."""
+    carried = docs.columns[2:]
     excess = np.maximum(0.0, frequency.astype(float) - np.median(frequency))  # the rest of a bucket is other tokens
     sent = docs.sparkSession.sparkContext.broadcast(excess)
 
@@ -130,30 +135,43 @@ def _sets(docs: DataFrame, frequency: np.ndarray, percent: int, words: int) -> D
                 kept.append(p.view(np.int64))
                 bits.append(bitmap(s))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(matches, pa.int32()), pa.array(kept, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
-                ["id", "n", "sig1", "sig2", "matches", "prefix", "bits"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(matches, pa.int32()), pa.array(kept, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64())), *batch.columns[2:]],
+                ["id", "n", "sig1", "sig2", "matches", "prefix", "bits", *carried],
             )
 
-    return docs.mapInArrow(run, "id bigint, n bigint, sig1 bigint, sig2 bigint, matches int, prefix array<bigint>, bits array<bigint>")
+    more = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.schema[2:])
+    return docs.mapInArrow(run, f"id bigint, n bigint, sig1 bigint, sig2 bigint, matches int, prefix array<bigint>, bits array<bigint>{more}")
 
 
-def _filter_places(ids: np.ndarray) -> np.ndarray:
-    """Two bits of the filter for each id."""
+def _filter_places(ids: np.ndarray, bits: int) -> np.ndarray:
+    """Two places in a filter of 2 ** bits for each id."""
     h = mixed(ids.view(np.uint64) + np.uint64(7))
-    return np.stack([h >> np.uint64(64 - FILTER_BITS), h & np.uint64((1 << FILTER_BITS) - 1)]).astype(np.int64)
+    return np.stack([h >> np.uint64(64 - bits), h & np.uint64((1 << bits) - 1)]).astype(np.int64)
 
 
-def _id_filter(ids: DataFrame) -> np.ndarray:
-    """Bits of a Bloom filter of fixed size over a column of ids (null counts as 0)."""
+def _id_filter(ids: DataFrame, most: int) -> tuple[int, np.ndarray] | None:
+    """The size, as a power of two, and the bits of a Bloom filter over a column of at most so many ids (null counts as 0)."""
+    if most > 1 << FILTER_MOST - 1:
+        return None
+    size = min(FILTER_MOST, max(16, (FILTER_BITS_EACH * most).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << FILTER_BITS, bool)
+        bits = np.zeros(1 << size, bool)
         for batch in batches:
-            bits[_filter_places(batch.column(0).fill_null(0).to_numpy()).ravel()] = True
+            bits[_filter_places(batch.column(0).fill_null(0).to_numpy(), size).ravel()] = True
         yield pa.RecordBatch.from_pydict({"a": [np.packbits(bits).tobytes()]})
 
     got = reduced(ids.mapInArrow(run, "a binary"), "u1", np.bitwise_or)
-    return got if got is not None else np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    return size, got if got is not None else np.zeros((1 << size) // 8, np.uint8)
+
+
+def _with_set(rows: DataFrame, pairs: DataFrame, sets: DataFrame, side: str, other: str) -> DataFrame:
+    """rows, one for each of pairs, with the tokens t_<side> of one side; a document in very many pairs is dealt out among tasks."""
+    many = pairs.groupBy(side).agg((F.count(other) / SET_PAIRS).cast("int").alias("parts")).filter("parts > 0")
+    parts = F.coalesce("parts", F.lit(0))
+    dealt = rows.join(many, side, "left").withColumn("salt", F.pmod(F.xxhash64(other), parts + 1).cast("int")).drop("parts")
+    own = sets.select(F.col("v").alias(side), F.col("tokens").alias(f"t_{side}")).join(many, side, "left")
+    return dealt.join(own.withColumn("salt", F.explode(F.sequence(F.lit(0), parts))).drop("parts"), [side, "salt"]).drop("salt")
 
 
 def verified(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
@@ -163,14 +181,17 @@ def verified(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, percent: in
     """
     about = vertices.select("v", "id", "n", "sig1", "sig2")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(about, "v")
-    bits = docs.sparkSession.sparkContext.broadcast(_id_filter(wanted.select("id")))
+    found = _id_filter(wanted.select("id"), 2 * pairs.count())
+    sent_filter = docs.sparkSession.sparkContext.broadcast(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        on, sent = np.unpackbits(bits.value).astype(bool), set()
+        sent: set[tuple] = set()
         for batch in batches:
-            ids = batch.column(0)
-            keep = on[_filter_places(ids.fill_null(0).to_numpy())].all(0)
-            part = batch.filter(pa.array(keep))
+            part = batch
+            if sent_filter.value is not None:
+                size, bits = sent_filter.value
+                at = _filter_places(batch.column(0).fill_null(0).to_numpy(), size)
+                part = batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).all(0)))
             made = []
             for i, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1), words), strict=True):
                 one, two = signatures(s)
@@ -185,11 +206,9 @@ def verified(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, percent: in
     made = docs.mapInArrow(run, "id bigint, n bigint, sig1 bigint, sig2 bigint, tokens array<bigint>")
     key = [F.coalesce("id", F.lit(0)).alias("k"), "n", "sig1", "sig2"]
     sets = made.select(*key, "tokens").join(wanted.select(*key, "v"), ["k", "n", "sig1", "sig2"]).select("v", "tokens")
-    a = sets.select(F.col("v").alias("a"), F.col("tokens").alias("ta"))
-    b = sets.select(F.col("v").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.select("a", "b").join(a, "a").join(b, "b")
-    shared = F.size(F.array_intersect("ta", "tb"))
-    return both.filter(100 * shared >= percent * (F.size("ta") + F.size("tb") - shared)).select("a", "b")
+    both = _with_set(_with_set(pairs.select("a", "b"), pairs, sets, "a", "b"), pairs, sets, "b", "a")
+    shared = F.size(F.array_intersect("t_a", "t_b"))
+    return both.filter(100 * shared >= percent * (F.size("t_a") + F.size("t_b") - shared)).select("a", "b")
 
 
 def _may_link(percent: int) -> F.Column:
@@ -209,16 +228,20 @@ def _may_link(percent: int) -> F.Column:
     return alike & (unlike <= F.col("n") + F.col("n2") - 2 * alpha) & (room > 0) & (room2 > 0) & (ahead + F.least(room, room2) >= l) & (ahead + F.least(F.col("n") - F.col("pos"), F.col("n2") - F.col("pos2")) >= alpha)
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 90, words: int = 3) -> DataFrame:
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 90, words: int = 3, key_col: str | None = None) -> DataFrame:
     """(id, n_shingles, component_id) of every document, for links of Jaccard similarity of percent or more.
 
     Sets are the distinct shingles of so many words, A-Z lower-cased; a text of fewer words is
     one shingle, and one without words, or null, has none and links with nothing. component_id
     is the smallest id that links reach; null ids take part but never name a component unless
-    there is no other. Repeated rows stay. An empty df gives no rows.
+    there is no other. Repeated rows stay. An empty df gives no rows. With key_col there are two
+    more columns: key, that column of df, and component, a number that tells components apart
+    whatever ids they share (null without words). Other columns of df are left out.
     """
-    docs = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    rows = checkpointed(_sets(docs, token_frequencies(docs, words), percent, words))
+    docs = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *([F.col(f"`{key_col}`").alias("key")] if key_col else []))
+    plain = docs.select("id", "text")
+    rows = checkpointed(_sets(docs, token_frequencies(plain, words), percent, words))
+    docs = plain
     sets = ["n", "sig1", "sig2"]
     # equal sets are one vertex; its prefix is the same in each document
     first = rows.filter("n > 0").groupBy(*sets).agg(F.min(F.struct("id", "matches", "prefix", "bits")).alias("x"))
@@ -243,9 +266,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     mixed_lists = placed.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), *same).filter("c0 < c1").select("token", "list1", "list2")
     # whatever any token of the list allows, the least pos and the largest q do
     loosest = [F.min("pos").alias("pos"), F.max("q").alias("q"), F.count("token").alias("tokens")]
-    left = checkpointed(placed.join(mixed_lists, "token").groupBy("list1", "list2", "v", "c", "n", "matches").agg(*loosest))
+    left = placed.join(mixed_lists, "token").groupBy("list1", "list2", "v", "c", "n", "matches").agg(*loosest)
     bits = vertices.select("v", *(F.col("bits")[i].alias(f"b{i}") for i in range(BITMAP_WORDS)))
-    left = left.join(bits, "v")
+    left = checkpointed(left.join(bits, "v"))
     other = left.select("list1", "list2", *(F.col(x).alias(f"{x}2") for x in left.columns if x not in ("list1", "list2")))
     met = left.join(other, ["list1", "list2"]).filter("v > v2 and c <> c2").filter(_may_link(percent))
     more = met.groupBy(F.col("v").alias("a"), F.col("v2").alias("b")).agg(F.sum(F.least("tokens", "tokens2")).alias("k"), F.min(F.least("matches", "matches2")).alias("m")).filter("k >= m").select("a", "b")
@@ -256,8 +279,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     known = vertices.select("v", "id", *sets).join(found, "v", "left").withColumn("c", F.coalesce("c", "v"))
     named = known.groupBy("c").agg(F.min("id").alias("component_id"))
-    of_set = known.join(named, "c").select(*sets, "component_id")
-    return rows.join(of_set, sets, "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    of_set = known.join(named, "c").select(*sets, "component_id", F.col("c").alias("component"))
+    more = ["key", "component"] if key_col else []
+    return rows.join(of_set, sets, "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"), *more)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,25 +12,22 @@ from .common import mixed, text_buffer
 
 #: Bytes of text that are hashed at a time (one document at least).
 SLICE_BYTES = 1 << 17
-BASE = 0x9E3779B97F4A7C15
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
-#: What a byte counts in a hash: A-Z as a-z, and never 0.
-VALUE = np.array([c + 33 if 65 <= c <= 90 else c + 1 for c in range(256)], np.uint64)
+#: Words of more bytes are hashed one by one, with a cryptographic function.
+LONG_WORD = 64
+#: A-Z become a-z.
+LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 SPACE = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
-
-_powers: list[np.ndarray] = []
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and its inverse modulo 2 ** 64, for i below n at least."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 2 * SLICE_BYTES)
-        _powers[:] = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, b, np.uint64)])) for b in (BASE, BASE_INVERSE)]
-    return _powers[0], _powers[1]
+#: Keeps the first k bytes of eight.
+FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+START, TURN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word of some texts, A-Z lower-cased, and the text that it is of."""
+    """Hash of each word of some texts, A-Z lower-cased, and the text that it is of.
+
+    Eight bytes at a time go through a step that isn't linear, so no string makes words collide
+    whatever else is known of it, as some do with sums of powers.
+    """
     space = SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[at] = True
@@ -38,14 +36,30 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     ends = ~space
     ends[:-1] &= space[1:] | edge[1:-1]
     begin, end = np.flatnonzero(begins), np.flatnonzero(ends)
-    power, inverse = _power(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.multiply(VALUE[data], power[: len(data)], out=total[1:])
-    np.cumsum(total, out=total)
-    words = mixed((total[end + 1] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
+    size = end + 1 - begin
+    low = np.concatenate([LOWER[data], np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.sliding_window_view(low, 8)
+    words = mixed(size.astype(np.uint64) + START)
+    live = np.flatnonzero(size <= LONG_WORD)
+    done = 0
+    while len(live):
+        block = np.ascontiguousarray(eight[begin[live] + done]).view("<u8").ravel() & FIRST_BYTES[np.minimum(size[live] - done, 8)]
+        words[live] = mixed((words[live] ^ block) * TURN)
+        done += 8
+        live = live[size[live] > done]
+    for i in np.flatnonzero(size > LONG_WORD):
+        words[i] = int.from_bytes(hashlib.blake2b(low[begin[i] : end[i] + 1].tobytes(), digest_size=8).digest())
     return words, np.searchsorted(at, begin, "right") - 1
 
 
+def _chained(words: list[np.ndarray]) -> np.ndarray:
+    """Hash of sequences of words: place by place, each step mixed anew."""
+    h = mixed(words[0] + np.uint64(len(words)))
+    for w in words[1:]:
+        h = mixed((h ^ w) * TURN)
+    return h
+
+
 def shingle_sets(column: pa.Array, n: int = 3) -> Iterator[np.ndarray]:
     """For each text of a column its sorted distinct shingles of n words.
 
@@ -59,21 +73,14 @@ def shingle_sets(column: pa.Array, n: int = 3) -> Iterator[np.ndarray]:
         words, text = word_hashes(part, offset)
         count = np.bincount(text, minlength=hi - lo)
         first = np.concatenate([[0], np.cumsum(count)])
-        mult = [np.uint64(pow(BASE, k + 2, 1 << 64)) for k in range(n)]
         if len(words) >= n:
-            grams = words[: len(words) - n + 1] * mult[0]
-            for k in range(1, n):
-                grams = grams + words[k : len(words) - n + 1 + k] * mult[k]
-            grams = mixed(grams)
+            grams = _chained([words[k : len(words) - n + 1 + k] for k in range(n)])
         for i in range(hi - lo):
             if count[i] >= n:
                 found = np.sort(grams[first[i] : first[i + 1] - n + 1])
                 yield found[np.append(True, found[1:] != found[:-1])]
             elif count[i]:
-                short = np.full(1, count[i], np.uint64)
-                for k in range(count[i]):
-                    short = mixed(short + words[first[i] + k : first[i] + k + 1] * mult[k])
-                yield short
+                yield _chained([words[first[i] + k : first[i] + k + 1] for k in range(count[i])])
             else:
                 yield np.empty(0, np.uint64)
         lo = hi

@@ -6,9 +6,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from jobloom.llm import components, exact_dedup, jaccard_join, run_index, suffix_dedup
+from jobloom.llm import components, exact_dedup, jaccard_join, run_index, shingles, suffix_dedup
+from jobloom.llm.common import text_buffer
 
 from .helpers import ROWS, SF, documents
 
@@ -87,6 +89,9 @@ def test_near_copies_equal_brute_force(spark, percent, words):
             for _ in range(rng.choice([0, 1, 2, 4])):
                 own[rng.randrange(len(own))] = rng.choice(vocabulary)
             rows.append((100 + len(rows), " ".join(own)))
+    # words whose sums of powers modulo 2 ** 64 are equal whatever the base
+    thue = ["".join("ab"[(i.bit_count() + k) % 2] for i in range(2048)) for k in (0, 1)]
+    rows += [(700, thue[0]), (701, thue[1]), (702, " ".join(["x", thue[0], "y", "z", "q"])), (703, " ".join(["x", thue[1], "y", "z", "q"]))]
     # a chain: neighbours are alike, its ends aren't
     chain = [f"c{i}" for i in range(140)]
     rows += [(900 + k, " ".join(chain[k * 2 : k * 2 + 100])) for k in range(20)]
@@ -94,6 +99,36 @@ def test_near_copies_equal_brute_force(spark, percent, words):
     assert got == brute_components(rows, percent, words)
 
 
+def test_word_hashes_tell_words_apart():
+    rng = random.Random(11)
+    words = {"".join(rng.choice("abé😀") for _ in range(rng.choice([1, 2, 7, 8, 9, 15, 16, 17, 63, 64, 65, 200]))) for _ in range(5000)}
+    words |= {"".join("ab"[(i.bit_count() + k) % 2] for i in range(n)) for k in (0, 1) for n in (16, 64, 512, 2048)}
+    text = pa.array([" ".join(w.upper() for w in words), "\t".join(words)])
+    data, at = text_buffer(text)
+    made, of = shingles.word_hashes(data, at)
+    # É isn't lower-cased, all else is
+    assert len(set(made[of == 1].tolist())) == len(words) and made[of == 0].size == made[of == 1].size
+    plain = np.array(["é" not in w for w in words])
+    assert (made[of == 0] == made[of == 1])[plain].all()
+
+
+def test_a_set_in_very_many_pairs_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SET_PAIRS", 3)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join([*words, f"own{k}"])) for k in range(40)] + [(100 + k, " ".join([f"v{k}{i}" for i in range(9)])) for k in range(5)]
+    got = Counter(tuple(r) for r in jaccard_join.jaccard_components(documents(spark, rows)).collect())
+    assert got == brute_components(rows, 90, 3)
+
+
+@pytest.mark.parametrize("most", [None, 1])
+def test_the_filter_only_saves_work(spark, monkeypatch, most):
+    if most:
+        monkeypatch.setattr(jaccard_join, "FILTER_MOST", most)  # too many ids for any filter
+    rows = [(k, " ".join(f"w{i + k // 10}" for i in range(50))) for k in range(40)]
+    got = Counter(tuple(r) for r in jaccard_join.jaccard_components(documents(spark, rows)).collect())
+    assert got == brute_components(rows, 90, 3)
+
+
 def test_prefixes_meet_the_condition():
     rng = np.random.default_rng(3)
     frequency = rng.random(1 << jaccard_join.SKETCH_BITS) * 3

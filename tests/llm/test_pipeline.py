@@ -3,10 +3,11 @@ from __future__ import annotations
 from collections import Counter
 
 import corpus_pipeline
+import pytest
 from jobloom.llm import packing, pii, toxicity
 from jobloom.llm.common import table
 
-from .helpers import SF, documents
+from .helpers import ROWS, SF, documents
 from .test_dedup import brute_components, lower
 
 
@@ -45,8 +46,52 @@ def test_run_over_whole_tables(spark):
 
 
 def test_odd_rows_pass_every_stage(spark):
+    rows = Counter(ROWS)
     docs = documents(spark)
     for name, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         docs = spark.createDataFrame(docs.collect(), docs.schema)
-        assert docs.count() > 0, name
+        if name == "packing":
+            continue
+        got = Counter((r.doc_id, r.text) for r in docs.collect())
+        assert docs.columns == documents(spark).columns
+        if name == "exact_dedup":
+            rows = {}
+            for i, t in ROWS:
+                rows.setdefault(lower(t), []).append(i)
+            assert Counter(lower(t) for _, t in got.elements()) == Counter(list(rows))
+            assert all(i == max((x for x in rows[lower(t)] if x is not None), default=None) for i, t in got)
+        else:
+            assert got, name
+    assert {r.doc_id for r in docs.collect() if r.start == 0} >= {7, 8, 9, 11, 13, -14}
+
+
+def test_stages_of_an_empty_table(spark):
+    docs = documents(spark, [])
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0, name
+
+
+WORDS = [f"word{i}" for i in range(40)]
+T, U = " ".join(WORDS), " ".join([*WORDS[:-1], "other"])
+APART = "something else that is said only once here"
+
+
+@pytest.mark.parametrize(
+    "rows,kept",
+    [
+        ([(5, T), (7, T), (7, U)], [(5, T)]),
+        ([(1, T), (None, T), (None, U)], [(1, T)]),
+        ([(None, T), (None, U), (None, U), (None, APART), (None, APART)], [(None, min(T, U)), (None, APART)]),
+        ([(7, T), (7, T), (7, APART), (8, APART)], [(7, T), (7, APART)]),
+        ([(1, ""), (1, ""), (2, None), (None, " \t"), (3, "one"), (4, "ONE")], [(1, ""), (1, ""), (2, None), (None, " \t"), (3, "one")]),
+        ([], []),
+    ],
+)
+def test_near_copies_are_decided_by_row(spark, rows, kept):
+    got = corpus_pipeline.near_copies(spark, documents(spark, rows).repartition(3), SF)
+    found = Counter((r.doc_id, r.text) for r in got.collect())
+    if all(i is None for i, _ in rows) and rows:  # which of two texts without an id stays is up to the key
+        assert sum(found.values()) == len(kept) and (None, APART) in found
+    else:
+        assert found == Counter(kept)
