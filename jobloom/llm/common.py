@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -20,20 +21,39 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set, as in tests."""
+    """The cluster's shared checkpoint folder; in local mode, where none is set, a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = getattr(spark, "_jobloom_shared", None) or f"file://{tempfile.mkdtemp(prefix='jobloom-')}"
         spark._jobloom_shared = found
     return found
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The same rows read from a reliable checkpoint, with their lineage cut."""
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path below the shared one; what lies there goes when the application ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    file.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(file)
+    return path
+
+
+def saved(df: DataFrame, name: str = "step") -> DataFrame:
+    """The same rows as a written table in the shared folder: lineage ends there, and lost executors cost no more than their tasks."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._jobloom_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of saved() that nothing will read again."""
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+    file = spark._jvm.org.apache.hadoop.fs.Path(df._jobloom_path)
+    file.getFileSystem(spark._jsc.hadoopConfiguration()).delete(file, True)
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -1,9 +1,10 @@
 """Exact dedup by content sort.
 
 Sampled splitters range-partition the normalised bytes, each partition is sorted
-(externally, by Spark), and neighbours are compared in full. The splitters include the
-row's id, so a text that a third of all rows share is spread over several partitions;
-the few groups that touch a partition's edge are then joined up by digest.
+(externally, by Spark), and neighbours are compared in full. Rows are ordered by the first
+bytes, then by digest, so equal texts are neighbours however long they are. The splitters
+include the row's id, so a text that a third of all rows share is spread over several
+partitions; the few groups that touch a partition's edge are then joined up by digest.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import from_buffer, shuffle_width, table, text_buffer
+from .common import from_buffer, saved, shuffle_width, table, text_buffer
 
 #: Leading bytes of a normalised text that take part in the splitters.
 SPLIT_BYTES = 48
@@ -25,11 +26,13 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
 def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The last column becomes its A-Z lower-cased UTF-8; null becomes empty."""
+    """The last column becomes its A-Z lower-cased UTF-8, null becoming empty, and its digest follows."""
     for batch in batches:
         data, at = text_buffer(batch.column(batch.num_columns - 1))
-        norm = from_buffer(data.tobytes().translate(LOWER), at, pa.large_binary()).cast(pa.binary())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], norm], [*batch.schema.names[:-1], "norm"])
+        low = data.tobytes().translate(LOWER)
+        norm = from_buffer(low, at, pa.large_binary()).cast(pa.binary())
+        digest = pa.array([hashlib.sha256(low[a:b]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.string())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], norm, digest], [*batch.schema.names[:-1], "norm", "text_sha256"])
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch], row_key: int) -> Iterator[pa.RecordBatch]:
@@ -42,12 +45,14 @@ def _neighbours(batches: Iterator[pa.RecordBatch], row_key: int) -> Iterator[pa.
     last: pa.Scalar | None = None
     first_run = True
 
-    def closed(rows: pa.Table, text: bytes, edge: bool) -> pa.RecordBatch:
-        n = rows.num_rows
-        ids = rows.column(row_key)
-        out = rows.append_column("text_sha256", pa.array([hashlib.sha256(text).hexdigest()] * n))
-        out = out.append_column("run_keep", pa.array([ids[0].as_py()] * n, ids.type)).append_column("run_size", pa.array(np.full(n, n)))
-        return out.append_column("first", pa.array(np.arange(n) == 0)).append_column("edge", pa.array(np.full(n, edge))).combine_chunks().to_batches()[0]
+    def closed(rows: list[pa.RecordBatch], edge: bool) -> Iterator[pa.RecordBatch]:
+        rows = [x for x in rows if x.num_rows]
+        size, keep, kind = sum(x.num_rows for x in rows), rows[0].column(row_key)[0].as_py(), rows[0].column(row_key).type
+        for i, x in enumerate(rows):
+            n = x.num_rows
+            first = np.zeros(n, bool)
+            first[0] = i == 0
+            yield pa.RecordBatch.from_arrays([*x.columns, pa.array([keep] * n, kind), pa.array(np.full(n, size)), pa.array(first), pa.array(np.full(n, edge))], [*names, "run_keep", "run_size", "first", "edge"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -62,7 +67,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch], row_key: int) -> Iterator[pa.
             held.append(rest)
             continue
         if held or starts[0]:
-            yield closed(pa.Table.from_batches([*held, rest.slice(0, starts[0])]), last, first_run)
+            yield from closed([*held, rest.slice(0, starts[0])], first_run)
             first_run = False
         ends = starts[1:]
         inner = starts[:-1]
@@ -71,18 +76,17 @@ def _neighbours(batches: Iterator[pa.RecordBatch], row_key: int) -> Iterator[pa.
             lo, size = inner, ends - inner
             of = np.repeat(np.arange(len(inner)), size)
             part = rest.slice(lo[0], ends[-1] - lo[0])
-            digest = np.array([hashlib.sha256(norm[int(i)].as_buffer()).hexdigest() for i in lo], object)
             ids = part.column(row_key)
             edge = np.zeros(len(inner), bool)
             edge[0], first_run = first_run, False
             row = np.arange(len(part))
             yield pa.RecordBatch.from_arrays(
-                [*part.columns, pa.array(digest[of]), ids.take(pa.array(lo[of] - lo[0])), pa.array(size[of]), pa.array(row == (lo - lo[0])[of]), pa.array(edge[of])],
-                [*names, "text_sha256", "run_keep", "run_size", "first", "edge"],
+                [*part.columns, ids.take(pa.array(lo[of] - lo[0])), pa.array(size[of]), pa.array(row == (lo - lo[0])[of]), pa.array(edge[of])],
+                [*names, "run_keep", "run_size", "first", "edge"],
             )
         held, last = [rest.slice(starts[-1])], norm[int(starts[-1])].as_py()
     if held:
-        yield closed(pa.Table.from_batches(held), last, True)
+        yield from closed(held, True)
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry_text: bool = True, partitions: int | None = None) -> DataFrame:
@@ -102,17 +106,18 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     n = partitions or shuffle_width(df.sparkSession)
     plain = df.select(*(F.col(f"`{c}`").alias(inner[c]) for c in rest), F.col(f"`{text_col}`").cast("string").alias("norm"))
     types = ", ".join(f"{inner[f.name]} {f.dataType.simpleString()}" for f in df.schema if f.name in inner)
-    rows = plain.mapInArrow(_normalise, f"{types}, norm binary")
-    rows = rows.withColumn("head", F.substring("norm", 1, SPLIT_BYTES)).withColumn("h", F.xxhash64("norm"))
-    dealt = rows.repartitionByRange(n, "head", "h", F.desc_nulls_last(row_id)).sortWithinPartitions("head", "h", "norm", F.desc_nulls_last(row_id))
+    rows = plain.mapInArrow(_normalise, f"{types}, norm binary, text_sha256 string").withColumn("head", F.substring("norm", 1, SPLIT_BYTES))
+    order = ["head", "text_sha256", F.desc_nulls_last(row_id)]
+    dealt = rows.repartitionByRange(n, *order).sortWithinPartitions("head", "text_sha256", "norm", order[-1])
     key = list(inner.values()).index(row_id)
     id_type = df.schema[id_col].dataType.simpleString()
-    runs = dealt.drop("head", "h").mapInArrow(
+    runs = dealt.drop("head").mapInArrow(
         lambda b: _neighbours(b, key), f"{types}, text_sha256 string, run_keep {id_type}, run_size bigint, first boolean, edge boolean"
     )
-    # at most two runs of a partition touch its edges, so this side has at most 2 * n rows of fixed width
+    runs = saved(runs, "exact")
+    # two runs of a partition touch its edges at most
     edges = runs.filter("edge and first").groupBy(F.col("text_sha256").alias("edge_sha")).agg(F.max("run_keep").alias("edge_keep"), F.sum("run_size").alias("edge_size"))
-    joined = runs.join(F.broadcast(edges), F.col("edge") & (F.col("text_sha256") == F.col("edge_sha")), "left")
+    joined = runs.join(edges, F.col("edge") & (F.col("text_sha256") == F.col("edge_sha")), "left")
     keep = F.when(F.col("edge"), F.col("edge_keep")).otherwise(F.col("run_keep"))
     return joined.select(
         *(F.col(inner[c]).alias(c) for c in rest),

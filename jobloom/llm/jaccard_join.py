@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, mixed, shuffle_width, table
+from .common import mixed, saved, shuffle_width, table
 from .components import connected_components
 from .shingles import shingle_sets
 
@@ -177,7 +177,7 @@ def _with_set(rows: DataFrame, pairs: DataFrame, sets: DataFrame, side: str, oth
 def verified(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
     """Those of pairs (a, b) whose whole sets are alike; their documents' sets are made anew.
 
-    pairs and vertices are to be checkpoints. Sets travel for the pairs' own documents only.
+    pairs and vertices are to be written tables. Sets travel for the pairs' own documents only.
     """
     about = vertices.select("v", "id", "n", "sig1", "sig2")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(about, "v")
@@ -240,24 +240,24 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     docs = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *([F.col(f"`{key_col}`").alias("key")] if key_col else []))
     plain = docs.select("id", "text")
-    rows = checkpointed(_sets(docs, token_frequencies(plain, words), percent, words))
+    rows = saved(_sets(docs, token_frequencies(plain, words), percent, words))
     docs = plain
     sets = ["n", "sig1", "sig2"]
     # equal sets are one vertex; its prefix is the same in each document
     first = rows.filter("n > 0").groupBy(*sets).agg(F.min(F.struct("id", "matches", "prefix", "bits")).alias("x"))
-    vertices = checkpointed(first.select(F.monotonically_increasing_id().alias("v"), "x.id", *sets, "x.matches", "x.prefix", "x.bits"))
+    vertices = saved(first.select(F.monotonically_increasing_id().alias("v"), "x.id", *sets, "x.matches", "x.prefix", "x.bits"))
 
     posts = vertices.select(F.posexplode("prefix").alias("pos", "token"), "v", "n", "matches")
     # of a list, the set in which the token comes earliest has the fewest tokens of its own: the likeliest original
     lists = posts.groupBy("token").agg(F.count("v").alias("size"), F.min_by("v", "pos").alias("center")).filter("size > 1").drop("size")
     before = F.row_number().over(Window.partitionBy("v").orderBy("pos")) - 1
     # q: how many tokens before this one another set may have at all
-    posts = checkpointed(posts.join(lists, "token").withColumn("q", before))
+    posts = saved(posts.join(lists, "token").withColumn("q", before))
 
     hits = posts.filter("v <> center").groupBy("v", "matches", "center").count().filter("count >= matches")
     best = hits.groupBy("v").agg(F.max_by("center", "count").alias("c"))
-    pairs = checkpointed(best.select(F.greatest("v", "c").alias("a"), F.least("v", "c").alias("b")).distinct())
-    links = checkpointed(verified(pairs, vertices, docs, percent, words))
+    pairs = saved(best.select(F.greatest("v", "c").alias("a"), F.least("v", "c").alias("b")).distinct())
+    links = saved(verified(pairs, vertices, docs, percent, words))
 
     found = connected_components(links).select("v", F.col("root").alias("c"))
     placed = posts.drop("center").join(found, "v", "left").withColumn("c", F.coalesce("c", "v"))
@@ -268,13 +268,13 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     loosest = [F.min("pos").alias("pos"), F.max("q").alias("q"), F.count("token").alias("tokens")]
     left = placed.join(mixed_lists, "token").groupBy("list1", "list2", "v", "c", "n", "matches").agg(*loosest)
     bits = vertices.select("v", *(F.col("bits")[i].alias(f"b{i}") for i in range(BITMAP_WORDS)))
-    left = checkpointed(left.join(bits, "v"))
+    left = saved(left.join(bits, "v"))
     other = left.select("list1", "list2", *(F.col(x).alias(f"{x}2") for x in left.columns if x not in ("list1", "list2")))
     met = left.join(other, ["list1", "list2"]).filter("v > v2 and c <> c2").filter(_may_link(percent))
     more = met.groupBy(F.col("v").alias("a"), F.col("v2").alias("b")).agg(F.sum(F.least("tokens", "tokens2")).alias("k"), F.min(F.least("matches", "matches2")).alias("m")).filter("k >= m").select("a", "b")
-    rest = checkpointed(more)
+    rest = saved(more)
     if not rest.isEmpty():
-        links = checkpointed(links.union(verified(rest, vertices, docs, percent, words)))
+        links = saved(links.union(verified(rest, vertices, docs, percent, words)))
         found = connected_components(links).select("v", F.col("root").alias("c"))
 
     known = vertices.select("v", "id", *sets).join(found, "v", "left").withColumn("c", F.coalesce("c", "v"))
