@@ -9,8 +9,11 @@ key's owner can reverse the mapping.
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import hashlib
 import re
+import string
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -31,12 +34,13 @@ def permute(x: int, size: int, key: bytes, domain: str, inverse: bool = False) -
     if size < 2:
         return x
     half = max(1, ((size - 1).bit_length() + 1) // 2)
-    mask = (1 << half) - 1
-    tag = f"{domain}:{size}:".encode()
+    mask, width = (1 << half) - 1, (half + 7) // 8
+    tag = f"{domain}:{size:x}:".encode()
     order = range(ROUNDS - 1, -1, -1) if inverse else range(ROUNDS)
 
     def turn(i: int, v: int) -> int:
-        return int.from_bytes(hashlib.blake2b(tag + b"%d:%d" % (i, v), key=key[:64], digest_size=16).digest()) & mask
+        digest = hashlib.blake2b(tag + b"%d:" % i + v.to_bytes(width), key=key[:64]).digest()
+        return int.from_bytes(digest if width <= 64 else hashlib.shake_256(digest).digest(width)) & mask
 
     while True:
         left, right = x >> half, x & mask
@@ -47,6 +51,14 @@ def permute(x: int, size: int, key: bytes, domain: str, inverse: bool = False) -
             return x
 
 
+def moved(x: int, size: int, key: bytes, domain: str, inverse: bool = False) -> int:
+    """Keyed permutation of range(size) that moves every element: one long cycle, in an order that the key decides."""
+    if size < 2:
+        return x
+    place = permute(x, size, key, domain, inverse=True)
+    return permute((place + (-1 if inverse else 1)) % size, size, key, domain)
+
+
 def luhn_digit(body: str) -> str:
     """The check digit for a string of digits."""
     total = 0
@@ -64,7 +76,7 @@ def _refill(shape: str, digits: str) -> str:
 
 def _digits(text: str, key: bytes, domain: str, inverse: bool) -> str:
     """A string of decimal digits of the same length."""
-    return str(permute(int(text), 10 ** len(text), key, f"{domain}{len(text)}", inverse)).zfill(len(text))
+    return str(moved(int(text), 10 ** len(text), key, f"{domain}{len(text)}", inverse)).zfill(len(text))
 
 
 def card(text: str, key: bytes, inverse: bool = False) -> str | None:
@@ -91,7 +103,7 @@ def iban(text: str, key: bytes, inverse: bool = False) -> str | None:
     if at:
         for i, c in zip(at, _digits("".join(body[i] for i in at), key, "iban" + country, inverse), strict=True):
             new[i] = c
-    body = "".join(new)
+    body = "".join(new) if at else _letters(body, key, "iban" + country, inverse)
     flat = f"{country}{98 - rest(body + country + '00'):02d}{body}"
     it = iter(flat)
     return re.sub(r"[^ ]", lambda _: next(it), text)
@@ -103,7 +115,7 @@ def ssn(text: str, key: bytes, inverse: bool = False) -> str | None:
     if not (0 < a < 900 and a != 666 and b and c):
         return None
     x = ((a - 1 - (a > 666)) * 99 + b - 1) * 9999 + c - 1
-    x = permute(x, 898 * 99 * 9999, key, "ssn", inverse)
+    x = moved(x, 898 * 99 * 9999, key, "ssn", inverse)
     x, c = divmod(x, 9999)
     a, b = divmod(x, 99)
     a += 1
@@ -125,7 +137,7 @@ def ipv4(text: str, key: bytes, inverse: bool = False) -> str | None:
     parts = text.split(".")
     if any(int(p) > 255 or str(int(p)) != p for p in parts):
         return None
-    x = permute(int.from_bytes(bytes(map(int, parts))), 1 << 32, key, "ipv4", inverse)
+    x = moved(int.from_bytes(bytes(map(int, parts))), 1 << 32, key, "ipv4", inverse)
     return ".".join(map(str, x.to_bytes(4)))
 
 
@@ -151,7 +163,7 @@ def date(text: str, key: bytes, inverse: bool = False) -> str | None:
             return d.day <= 12
 
         while True:
-            x = permute(x, DAYS, key, "date" + order, inverse)
+            x = moved(x, DAYS, key, "date" + order, inverse)
             day = dt.date.fromordinal(FIRST_DAY + x)
             if order != "mdy" or not ambiguous(day):
                 break
@@ -160,20 +172,30 @@ def date(text: str, key: bytes, inverse: bool = False) -> str | None:
     return None
 
 
-def _letters(text: str, key: bytes, domain: str, inverse: bool) -> str:
-    """ASCII letters and digits are permuted among strings of the same classes; other characters stay."""
-    size, x, bases = 1, 0, []
-    for c in text:
-        base = (10, "0") if c.isascii() and c.isdigit() else (26, "a") if "a" <= c <= "z" else (26, "A") if "A" <= c <= "Z" else None
-        bases.append(base)
-        if base:
-            size, x = size * base[0], x * base[0] + ord(c) - ord(base[1])
-    x = permute(x, size, key, domain + re.sub(r"[A-Z]", "A", re.sub(r"[a-z]", "a", re.sub(r"[0-9]", "9", text))), inverse)
+@functools.cache
+def _class(c: str) -> str:
+    """The characters that one may become: of its kind and near it in Unicode; empty where it stays."""
+    if c.isascii():
+        return next((x for x in (string.digits, string.ascii_lowercase, string.ascii_uppercase) if c in x), "")
+    low, kind = ord(c) & ~0x3F, unicodedata.category(c)
+    near = "".join(x for x in map(chr, range(low, low + 64)) if unicodedata.category(x) == kind and unicodedata.normalize("NFC", x) == x)
+    return near if c.isalnum() and c in near else ""
+
+
+def _letters(text: str, key: bytes, domain: str, inverse: bool) -> str | None:
+    """Letters and digits are permuted among strings of the same classes; other characters stay. None where nothing can change."""
+    size, x, classes = 1, 0, [_class(c) for c in text]
+    for c, among in zip(text, classes, strict=True):
+        if among:
+            size, x = size * len(among), x * len(among) + among.index(c)
+    if size < 2:
+        return None
+    x = moved(x, size, key, domain + "".join(among[:1] or c for c, among in zip(text, classes, strict=True)), inverse)
     out = []
-    for c, base in zip(reversed(text), reversed(bases), strict=True):
-        if base:
-            x, d = divmod(x, base[0])
-            c = chr(ord(base[1]) + d)
+    for c, among in zip(reversed(text), reversed(classes), strict=True):
+        if among:
+            x, d = divmod(x, len(among))
+            c = among[d]
         out.append(c)
     return "".join(reversed(out))
 
@@ -181,23 +203,25 @@ def _letters(text: str, key: bytes, domain: str, inverse: bool) -> str:
 def email(text: str, key: bytes, inverse: bool = False) -> str | None:
     """The local part is permuted, letters among letters and digits among digits; the domain stays."""
     local, _, host = text.rpartition("@")
-    return f"{_letters(local, key, 'email', inverse)}@{host}"
+    new = _letters(local, key, "email", inverse)
+    return None if new is None else f"{new}@{host}"
 
 
 def secret(text: str, key: bytes, inverse: bool = False) -> str | None:
-    """Hexadecimal keys of 32 digits or more, with a digit and a letter."""
-    if text.isdigit() or text.isalpha() or text != text.lower():
+    """Hexadecimal keys of 32 digits or more, of one case, with a digit and a letter."""
+    if text.isdigit() or text.isalpha():
         return None
-    return f"{permute(int(text, 16), 16 ** len(text), key, 'hex%d' % len(text), inverse):0{len(text)}x}"
+    new = f"{moved(int(text, 16), 16 ** len(text), key, 'hex%d' % len(text), inverse):0{len(text)}x}"
+    return new.upper() if text.isupper() else new
 
 
 #: Kind -> what may be one, and the function that validates and maps it. The first that is valid at a place counts.
 KINDS: dict[str, tuple[str, Callable[[str, bytes, bool], str | None]]] = {
-    "email": (r"(?<![\w.+%-])[^\W_][\w.+%-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])", email),
-    "secret": (r"(?<![\w])[0-9a-f]{32,128}(?!\w)", secret),
+    "email": (r"(?<![\w.+%-])[^\W_][\w.+%-]{0,63}@(?:[^\W_](?:[^\W_]|-){0,62}\.){1,8}[^\W\d_]{2,24}(?![\w-])", email),
+    "secret": (r"(?<!\w)(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?!\w)", secret),
     "iban": (r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", iban),
     "ipv4": (r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", ipv4),
-    "date": (r"(?<![\w./-])(?:\d{4}(?P<s>[-/.])\d{2}(?P=s)\d{2}|\d{2}(?P<t>[-/.])\d{2}(?P=t)\d{4})(?![\w]|[-/.]\d)", date),
+    "date": (r"(?<![\w./-])(?:\d{4}(?P<s>[-/.])\d{2}(?P=s)\d{2}|\d{2}(?P<t>[-/.])\d{2}(?P=t)\d{4})(?!(?!T\d)\w|[-/.]\d)", date),
     "ssn": (r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w]|-\d)", ssn),
     "card": (r"(?:(?<![\w.+-])|(?<=\d-))\d(?:[ -]?\d){12,18}(?!\w|\.\d)", card),
     "phone": (r"(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)", phone),
@@ -207,6 +231,17 @@ ALONE = {k: re.compile(p) for k, (p, _) in KINDS.items()}
 NEEDED = re.compile(r"[0-9@]")
 #: Digits of the groups that cards are printed in, besides a single group.
 LAYOUTS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 5), (4, 4, 4, 1), (4, 4, 4, 2), (4, 4, 4, 3), (4, 4, 4, 4, 1), (4, 4, 4, 4, 2), (4, 4, 4, 4, 3), (6, 13)}
+#: Characters of an IBAN, by country.
+IBAN_LENGTH = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22,
+    "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22,
+    "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30,
+    "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27,
+    "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31,
+    "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+#: A year after a telephone number that is long enough without it.
+YEAR = re.compile(r" (?:19|20)\d\d$")
 GROUP, FIRST = re.compile(r"\w+"), re.compile(r"\W*\w+")
 
 
@@ -223,9 +258,11 @@ def _ends(kind: str, text: str) -> list[int]:
         return [len(text)]
     edges = [g.end() for g in GROUP.finditer(text)][::-1]
     if kind == "iban":
-        return [e for e in edges if e == len(text) or len(text[:e].replace(" ", "")) >= 15]
+        edges = [e for e in edges if e == len(text) or len(text[:e].replace(" ", "")) >= 15]
+        return sorted(edges, key=lambda e: len(text[:e].replace(" ", "")) != IBAN_LENGTH.get(text[:2]))
     if kind == "phone":
-        return edges
+        year = YEAR.search(text)
+        return edges[1:] + edges[:1] if year and len(re.sub(r"\D", "", text[: year.start()])) >= 10 else edges
     # groups of no printed layout are no card by chance as often, so a part of them has to begin like a bank's
     printed = _printed(text)
     return printed + [e for e in edges if e not in printed and (e == len(text) or text[0] in "23456")]
@@ -312,7 +349,8 @@ def pseudonymise(text: str | None, key: bytes, memo: dict | None = None) -> tupl
 def pii_pseudonyms(df: DataFrame, key: bytes = DEMO_KEY, text_col: str = "text") -> DataFrame:
     """df with its texts pseudonymised and pii, the array of (kind, pseudonym) found in each.
 
-    Texts are read whole. A null text stays null and has an empty array. Values that fail
+    Texts are read whole. A null or empty text stays as it is and has an empty array; equal rows
+    have equal results. A value that is reported has changed. Values that fail
     validation (a wrong check digit, a day that doesn't exist) stay as they are. Other columns
     pass through; a column named pii is replaced. An empty df gives no rows. No shuffle.
     """
