@@ -2,15 +2,15 @@
 
 Writing goes through Spark's own file writer, so task retries and lost executors leave no
 half-written archive. Reading deals out byte ranges: a task looks for gzip magic in its range,
-accepts a candidate when what it decodes to starts as a WARC header, and owns the records that
-start inside its range, reading past the end of the range to finish the last one.
+accepts a candidate when what it decodes to starts as a WARC header and other members follow it
+without a gap, and owns the records that start inside its range, reading past the end of the
+range to finish the last one.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-import uuid
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
@@ -20,13 +20,18 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder, table
+from .common import scratch, table
 
 #: Equal payloads of fewer bytes are all written in full.
 REVISIT_BYTES = 100
 #: Bytes of an archive that one reading task scans.
 SPLIT_BYTES = 8 << 20
 READ_BYTES = 1 << 18
+#: Ranges are dealt out over at most so many tasks for each core.
+TASKS_A_CORE = 64
+#: The longest run of bytes that a deflate stream can hold as they are. A member that lies within
+#: another one's data is cut there at the latest, and so are members that follow it.
+STORED_BYTES = 65_535
 MAGIC = b"\x1f\x8b\x08"
 ID_PREFIX = "urn:record:"
 DATE = "2024-01-01T00:00:00Z"
@@ -62,7 +67,8 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 
     Of rows with equal payloads of at least REVISIT_BYTES bytes the one with the smallest id is
     a response and the others revisit it; smaller payloads are all responses, and so are rows
-    without an id. A null body is an empty payload; a null url leaves its header out.
+    without an id, and all rows that share the smallest id. A null body is an empty payload; a
+    null url leaves its header out. No pages give no records. Other columns are left out.
     """
     rows = pages.select(
         F.col(f"`{id_col}`").cast("bigint").alias("id"),
@@ -95,15 +101,14 @@ def _opened(path: str) -> pa.NativeFile:
     return fs.open_input_file(unquote(inner) if path.startswith("file:") else inner)
 
 
-def _member(f: pa.NativeFile, at: int, ahead: bytes) -> tuple[bytes, int] | None:
-    """The member that starts at a byte of f, and its length; None when none with a WARC header does."""
+def _member(f: pa.NativeFile, at: int, ahead: bytes) -> tuple[bytes | None, int]:
+    """The member that starts at a byte of f, and its length. Without one: None and 0, or -1 where the file ends within it."""
     unpack = zlib.decompressobj(31)
     try:
         out = [unpack.decompress(ahead[:4096], 64)]
         if not out[0].startswith(b"WARC/1."):
-            return None
-        read, feed = 4096, unpack.unconsumed_tail
-        read = min(len(ahead), 4096)
+            return None, 0
+        read, feed = min(len(ahead), 4096), unpack.unconsumed_tail
         out.append(unpack.decompress(feed))
         while not unpack.eof:
             more = ahead[read : read + READ_BYTES]
@@ -111,43 +116,65 @@ def _member(f: pa.NativeFile, at: int, ahead: bytes) -> tuple[bytes, int] | None
                 f.seek(at + read)
                 more = f.read(READ_BYTES)
             if not more:
-                return None
+                return None, -1
             read += len(more)
             out.append(unpack.decompress(more))
     except zlib.error:
-        return None
+        return None, 0
     return b"".join(out), read - len(unpack.unused_data)
 
 
+def _goes_on(f: pa.NativeFile, begin: int, end: int) -> bool:
+    """Do members follow [begin, end) without a gap, further than they could within another member?
+
+    Where the file breaks off within one of them, its members from the start on tell.
+    """
+    size = f.size()
+    while end < size and end - begin <= STORED_BYTES:
+        f.seek(end)
+        _, length = _member(f, end, f.read(READ_BYTES))
+        if length < 0:
+            return any(at == begin for at, _ in members(f, 0, begin + 1))
+        if not length:
+            return False
+        end += length
+    return True
+
+
 def members(f: pa.NativeFile, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """(offset, decoded bytes) of the members that start in [start, end)."""
+    """(offset, decoded bytes) of the members that start in [start, end).
+
+    A member that lies as it is within another one's data is none of the file's. From such a
+    one, as from any byte by chance, no row of members leads on for long.
+    """
     at, base, data = start, start, b""
+    sure = start == 0  # whether what is at this byte can be nothing but a member's start
     while at < end:
-        if at - base >= len(data) - 4096 and (not data or len(data) >= READ_BYTES):
+        if at - base > len(data) - 4096 or not data:
             f.seek(at)
             base, data = at, f.read(READ_BYTES + 4096)
         found = data.find(MAGIC, at - base)
         if found < 0:
             if len(data) < READ_BYTES + 4096:
                 return
-            at = base + len(data) - len(MAGIC) + 1
-            f.seek(at)
-            base, data = at, f.read(READ_BYTES + 4096)
+            sure, at = False, base + len(data) - len(MAGIC) + 1
+            data = b""
             continue
-        if found > len(data) - 4096 and len(data) >= READ_BYTES + 4096:
-            at = base + found
-            f.seek(at)
-            base, data = at, f.read(READ_BYTES + 4096)
-            found = 0
+        sure = sure and base + found == at
         at = base + found
         if at >= end:
             return
-        got = _member(f, at, data[found:])
-        if got is None:
-            at += 1
+        if found > len(data) - 4096:
+            f.seek(at)
+            base, data, found = at, f.read(READ_BYTES + 4096), 0
+        raw, length = _member(f, at, data[found:])
+        if sure and length < 0:
+            return  # all that is left belongs to a member that the file breaks off in
+        if raw is None or not sure and not _goes_on(f, at, at + length):
+            sure, at = False, at + 1
             continue
-        yield at, got[0]
-        at += got[1]
+        yield at, raw
+        sure, at = True, at + length
 
 
 def parse_record(raw: bytes) -> dict:
@@ -175,8 +202,15 @@ RECORD = "path string, offset bigint, record_type string, record_id string, url
 
 
 def read_warc(spark: SparkSession, path: str, with_payload: bool = True, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """The records of all archives under path; payload_digest is computed from what was read."""
+    """The records of all archives under path; payload_digest is computed from what was read.
+
+    Archives have a gzip member for each record, one after another. Ranges are dealt out evenly
+    over as many tasks as there are ranges, or TASKS_A_CORE for each core. Empty files, and empty
+    archives, give no rows; what is damaged is passed over up to the next member.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "length")
+    count = files.agg(F.sum(F.expr(f"greatest(ceil(length / {split_bytes}), 1)"))).first()[0] or 1
+    tasks = int(min(count, TASKS_A_CORE * spark.sparkContext.defaultParallelism))
     ranges = files.select("path", F.explode(F.expr(f"sequence(0L, greatest(length - 1, 0), {split_bytes}L)")).alias("start"))
     schema = RECORD + (", payload binary" if with_payload else "")
     fields = [x.split()[0] for x in schema.split(", ")]
@@ -198,12 +232,12 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = True, split_b
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, arrow)
 
-    return ranges.repartition(F.col("path"), F.col("start")).mapInArrow(scan, schema)
+    return ranges.repartition(tasks).mapInArrow(scan, schema)
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives of all pages, written to the shared folder and read back."""
-    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    path = scratch(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
     got = read_warc(spark, path, with_payload=False)
     return got.select(F.col("record_id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("bigint").alias("refers_to"))

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import datetime
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -85,6 +87,44 @@ def test_warc_files_are_plain_gzip(spark, tmp_path):
     assert text.count(b"WARC/1.1\r\n") == 20
 
 
+def test_warc_ranges_are_dealt_out(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    rows = [(i, "u", "".join(rng.choice("abcdefgh ") for _ in range(2000))) for i in range(300)]
+    warc.write_warc(pages(spark, rows).coalesce(1), f"file://{tmp_path}/w")
+    got = warc.read_warc(spark, f"file://{tmp_path}/w", split_bytes=16_000)
+    spread = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(spread) == 300 and len(spread) > 8 and max(spread) < 60
+
+
+def test_warc_members_within_a_payload_are_none_of_the_archive(tmp_path):
+    import zlib as z
+
+    import pyarrow.fs as pafs
+
+    rng = random.Random(6)
+
+    def record(i, payload, level=4):
+        head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:record:{i}>\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+        pack = z.compressobj(level, z.DEFLATED, 31)
+        return pack.compress(head + payload + b"\r\n\r\n") + pack.flush()
+
+    inner = b"".join(record(f"in{k}", rng.randbytes(rng.choice([10, 3000]))) for k in range(40))
+    whole = [record(k, rng.randbytes(rng.choice([50, 4000, 30_000]))) for k in range(30)]
+    whole[3] = record(3, rng.randbytes(500) + inner + rng.randbytes(100), level=0)
+    whole[20] = record(20, inner, level=0)
+    whole[29] = record(29, inner[:30_000], level=0)
+    data = b"".join(whole)
+    starts = [len(b"".join(whole[:k])) for k in range(30)]
+    for name, content, want in (("a", data, starts), ("b", data[:-20], starts[:-1])):  # the second breaks off in its last record
+        (tmp_path / name).write_bytes(content)
+        with pafs.LocalFileSystem().open_input_file(str(tmp_path / name)) as f:
+            for split in (700, 5_000, 1 << 20):
+                found = [at for lo in range(0, len(content), split) for at, _ in warc.members(f, lo, lo + split)]
+                assert found == want
+
+
 def test_warc_of_no_pages(spark, tmp_path):
     warc.write_warc(pages(spark, []), f"file://{tmp_path}/w")
     assert warc.read_warc(spark, f"file://{tmp_path}/w").count() == 0
@@ -183,6 +223,90 @@ def test_what_follows_other_numbers_is_not_swallowed():
     assert pii.pseudonymise(f"+1 {CARD}", KEY)[0] == f"+1 {pii.pseudonymise(CARD, KEY)[0]}"
 
 
+def recognised(text):
+    """Every valid value that stands between blanks, marks or the text's ends, found by trying all substrings."""
+    edge = [i for i in range(len(text) + 1) if i in (0, len(text)) or text[i - 1] in " \n,;()" or text[i] in " \n,;()"]
+
+    def luhn(d):
+        return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+    def valid(s):
+        if re.fullmatch(r"\d{13,19}|\d{4} \d{4} \d{4} \d{4}|\d{4} \d{6} \d{5}|\d{4}-\d{4}-\d{4}-\d{4}", s):
+            return luhn(re.sub(r"\D", "", s))
+        if re.fullmatch(r"[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)", s):
+            flat = s.replace(" ", "")
+            size = {"DE": 22, "GB": 22, "FR": 27, "BE": 16, "NO": 15}.get(flat[:2])
+            return len(flat) == size and int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
+        if re.fullmatch(r"\d{3}-\d\d-\d{4}", s):
+            return s[:3] not in ("000", "666") and s[0] != "9" and s[4:6] != "00" and s[7:] != "0000"
+        if re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}", s):
+            return all(int(x) < 256 and str(int(x)) == x for x in s.split("."))
+        for pattern, form in ((r"\d{4}-\d\d-\d\d(?:T\d\d:\d\d:\d\dZ)?", "%Y-%m-%d"), (r"\d\d\.\d\d\.\d{4}", "%d.%m.%Y"), (r"\d\d/\d\d/\d{4}", "%m/%d/%Y")):
+            if re.fullmatch(pattern, s):
+                try:
+                    return 1900 <= datetime.datetime.strptime(s[:10], form).year < 2100
+                except ValueError:
+                    return False
+        if re.fullmatch(r"[0-9a-f]{32,}|[0-9A-F]{32,}", s):
+            return not s.isdigit() and not s.isalpha()
+        return bool(re.fullmatch(r"[^\W_][\w.+%-]{0,63}@(?:[a-z0-9]+\.)+[a-z]{2,6}", s))
+
+    return {text[a:b] for a in edge for b in edge if a < b <= a + 600 and valid(text[a:b])}
+
+
+def test_no_valid_value_stays(capsys):
+    rng = random.Random(21)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def made():
+        def card(n=16, groups=None):
+            d = digits(n - 1)
+            d += pii.luhn_digit(d)
+            return d if groups is None else " ".join(d[sum(groups[:i]) : sum(groups[: i + 1])] for i in range(len(groups)))
+
+        def bank():
+            country, size = rng.choice([("DE", 22), ("GB", 22), ("FR", 27), ("BE", 16), ("NO", 15)])
+            body = ("WEST" if country == "GB" else "") + digits(size - 4 - 4 * (country == "GB"))
+            check = 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
+            flat = f"{country}{check:02d}{body}"
+            return flat if rng.random() < 0.5 else " ".join(flat[i : i + 4] for i in range(0, size, 4))
+
+        day = datetime.date(rng.randint(1900, 2099), rng.randint(1, 12), rng.randint(1, 28))
+        return rng.choice(
+            [card(), card(groups=(4, 4, 4, 4)), card(15, (4, 6, 5)), card(rng.choice([13, 14, 19])), bank(), bank(), f"{digits(3)}-{digits(2)}-{digits(4)}",
+             ".".join(str(rng.randint(0, 300)) for _ in range(4)), day.isoformat(), f"{day.isoformat()}T10:20:30Z", day.strftime("%d.%m.%Y"), day.strftime("%m/%d/%Y"), "2021-02-30",
+             "".join(rng.choice("0123456789abcdef") for _ in range(rng.choice([31, 32, 40, 64, 130, 300]))), "".join(rng.choice("0123456789ABCDEF") for _ in range(rng.choice([32, 64]))),
+             rng.choice(["a", "ü", "日本", "x.y+1", "und34", "é1"]) + "@" + rng.choice(["mail.de", "x1.co.uk"]), digits(rng.choice([1, 2, 3, 4, 5, 13, 16, 20])), "THIS", "word", "NO", "+49 30 1234567", "(017) 555-7713", "12/27"]
+        )
+
+    for _ in range(1500):
+        text = "".join(made() + rng.choice([" ", " ", ", ", "; ", "\n", " (", ") "]) for _ in range(rng.randint(1, 6)))
+        got, found = pii.pseudonymise(text, KEY)
+        left = [x for x in recognised(text) if x in got]
+        assert not left, (text, got, left)
+        assert bool(found) == (got != text)
+
+
+def test_what_is_reported_has_changed():
+    for value in ("a@x.de", "ü@x.de", "日本@x.de", "1@x.de"):
+        for k in range(60):
+            text, found = pii.pseudonymise(value, b"%d" % k)
+            assert text != value and found == [("email", text)] and pii.email(text, b"%d" % k, True) == value
+    for size in (2, 3, 10, 257):
+        moved = [pii.moved(x, size, KEY, "t") for x in range(size)]
+        assert sorted(moved) == list(range(size)) and all(x != y for x, y in enumerate(moved))
+        assert [pii.moved(y, size, KEY, "t", inverse=True) for y in moved] == list(range(size))
+    # each digit of a long key depends on all of it
+    one, two = (pii.secret("0a1b" * 64 + x, KEY) for x in ("c", "d"))
+    assert sum(a == b for a, b in zip(one, two, strict=True)) < 40
+
+
+def test_values_link_whatever_follows():
+    for value, tails in (("+49 30 1234567", [", 2024", " 2024", " 1999.", "; call"]), ("2021-02-28", ["T10:00:00Z", " 10:00", ", x"]), ("BE68 5390 0754 7034", [" THIS", " THAT IS", ", x", " 12"])):
+        alone = pii.pseudonymise(value, KEY)[0]
+        assert all(pii.pseudonymise(value + x, KEY)[0] == alone + x for x in tails), value
+
+
 def test_pii_of_odd_rows(spark):
     rows = pii.pii_pseudonyms(documents(spark, [*ROWS, (60, VALUES[0]), (61, "see " + VALUES[0])])).collect()
     by = Counter((r.doc_id, r.text) for r in rows)
