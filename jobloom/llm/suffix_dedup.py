@@ -3,9 +3,13 @@
 Every string of LEAST bytes holds an anchor, the k-mer with the smallest hash of all that the
 string contains, and equal strings hold it at the same place. So only text around anchors that
 occur twice can repeat. That text is dealt out by the anchor's owner, of the texts that
-have it the one with the smallest digest; where an owner has very much of it, by the anchor as well. Each task builds run-length
-indexes of what it gets, streams the matching statistics and marks what also starts earlier.
-Copies of a whole text are told by digest and aren't indexed again.
+have it the one with the smallest digest; where an owner has very much of it, by the anchor as
+well. Of fragments with equal bytes only the earliest is indexed: all of the others starts
+earlier there. Each task builds run-length indexes of what it gets, streams the matching
+statistics and marks what also starts earlier. A group with more than a task should hold is cut
+into blocks, and each two blocks are indexed together, so a passage that a third of all
+documents share and vary is spread over tasks too. Copies of a whole text are told by digest
+and aren't indexed again.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mixed, table, text_buffer
+from .common import mixed, saved, table, text_buffer
 from .run_index import STOP, earlier_copies
 
 #: Bytes of a string that is removed where it repeats, and bytes of an anchor.
@@ -29,6 +33,8 @@ BLOCK = 1 << 15
 CHUNK = 1 << 19
 #: Anchors of one owner from which on they are dealt out apart.
 OWNER_ANCHORS = 50_000
+#: Bytes of different fragments of one group from which on it is cut into blocks of so many.
+BLOCK_BYTES = 1 << 20
 #: Stands for a null id, which counts as smallest.
 LOWEST = -(1 << 63)
 
@@ -110,7 +116,7 @@ def _packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fragment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(d, tie, lo, n, z, m, marks) -> (owner, part, d, tie, lo, start, bytes): the text around each owner's anchors.
+    """(d, tie, lo, n, z, m, marks) -> the text around each owner's anchors, and its digest.
 
     Should two texts ever share a tie, marks has the anchors of both, and so some text that
     needn't be looked at.
@@ -129,7 +135,7 @@ def _fragment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     end = b
                     continue
                 if open_group and begin < end:
-                    out.append((*open_group, d, tie, low, begin, text[begin:end]))
+                    out.append((*open_group, d, tie, low, begin, end, *_digest(text[begin:end]), text[begin:end]))
                     size += end - begin
                 open_group, begin, end = (owner, part), a, b
             if size > 1 << 22:
@@ -143,7 +149,7 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
 
-FRAGMENT = pa.schema([("owner", pa.int64()), ("part", pa.int64()), ("d", pa.int64()), ("tie", pa.int64()), ("lo", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())])
+FRAGMENT = pa.schema([("owner", pa.int64()), ("part", pa.int64()), ("d", pa.int64()), ("tie", pa.int64()), ("lo", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("bytes", pa.binary())])
 SPAN = pa.schema([("d", pa.int64()), ("tie", pa.int64()), ("lo", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
 
 
@@ -175,12 +181,12 @@ def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[int, int, int, int, bytes]] = []
     size, last = 0, None
     for batch in batches:
-        for owner, part, d, tie, low, start, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if size > CHUNK and (owner, part) != last:
-                if spans := repeated_spans(held):
+        for owner, part, pair, d, tie, low, start, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (size > CHUNK or pair) and (owner, part, pair) != last:
+                if held and (spans := repeated_spans(held)):
                     yield _batch(spans, SPAN)
                 held, size = [], 0
-            last = owner, part
+            last = owner, part, pair
             held.append((d, tie, low, start, data))
             size += len(data) + 1
     if held and (spans := repeated_spans(held)):
@@ -234,8 +240,9 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Removed is each byte that lies in a string of LEAST bytes, within one text's UTF-8, that
     also starts earlier: in a document with a smaller id, or earlier in the same. Strings are
     judged on the input. removed lists the maximal runs and kept has the other bytes. Null texts
-    are empty; null ids come before all others. Texts that share an id are ordered by digest,
-    and of rows alike in both one counts as first. An empty df gives no rows.
+    are empty; null ids come before all others (an id of -2^63 counts as null). Texts that share
+    an id are ordered by digest, and of rows alike in both one counts as first. Other columns
+    are left out. An empty df gives no rows.
     """
     docs = df.select(F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(LOWEST)).alias("d"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     found = docs.select("text").mapInArrow(_anchor_rows, "h bigint not null, tie bigint not null, pos bigint not null")
@@ -254,9 +261,24 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # copies of a text have the same anchors, which the set holds once
     marks = found.join(twice, "h").groupBy("tie").agg(F.collect_set(F.struct("pos", "owner", "part")).alias("marks"))
     marks = marks.join(firsts, "tie").select(*key, "marks")
-    fragments = rows.join(marks, key).select(*key, "n", "z", "m", "marks").mapInArrow(_fragment_rows, "owner bigint, part bigint, d bigint, tie bigint, lo bigint, start bigint, bytes binary")
-    fragments = fragments.repartition("owner", "part").sortWithinPartitions("owner", "part", *key, "start")
-    spans = fragments.mapInArrow(_span_rows, "d bigint, tie bigint, lo bigint, start bigint, stop bigint")
+    fragments = rows.join(marks, key).select(*key, "n", "z", "m", "marks").mapInArrow(
+        _fragment_rows, "owner bigint, part bigint, d bigint, tie bigint, lo bigint, start bigint, stop bigint, fp1 bigint, fp2 bigint, bytes binary"
+    )
+    fragments = saved(fragments, "fragments")
+    group, place = ["owner", "part"], [*key, "start"]
+    first = fragments.groupBy(*group, "fp1", "fp2").agg(F.min(F.struct(*place)).alias("at"), F.first("bytes").alias("bytes"))
+    first = first.select(*group, "at.*", "bytes")
+    # of fragments with equal bytes all but the earliest go as a whole
+    size = F.col("stop") - F.col("start")
+    later = fragments.filter(size >= LEAST).join(first.select(*group, *place), [*group, *place], "left_anti").select(*place, "stop")
+
+    bulk = fragments.select(*group, "fp1", "fp2", size.alias("size")).distinct().groupBy(*group).agg(F.sum("size").alias("size")).filter(F.col("size") > BLOCK_BYTES)
+    bulk = bulk.select(*group, F.expr(f"size div {BLOCK_BYTES} + 1").alias("blocks"))
+    # a group of one block is pair 0; of more, each block goes to its pairs with every other
+    first = first.join(bulk, group, "left").withColumn("block", F.pmod(F.xxhash64(*place), "blocks"))
+    pairs = F.expr("coalesce(transform(filter(sequence(0L, blocks - 1), x -> x <> block), x -> least(x, block) * blocks + greatest(x, block)), array(0L))")
+    dealt = first.select(*group, F.explode(pairs).alias("pair"), *place, "bytes").repartition(*group, "pair").sortWithinPartitions(*group, "pair", *place)
+    spans = dealt.mapInArrow(_span_rows, "d bigint, tie bigint, lo bigint, start bigint, stop bigint").union(later)
     spans = spans.groupBy(*key).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
     about = firsts.join(spans, key, "left").select(*key, F.lit(True).alias("own"), "spans")

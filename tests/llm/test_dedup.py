@@ -169,9 +169,13 @@ def test_run_index_equals_brute_force():
 
 
 def brute_repeats(rows, least=suffix_dedup.LEAST):
-    keyed = sorted((suffix_dedup.LOWEST if i is None else i, suffix_dedup._tie(suffix_dedup._digest((t or "").encode())[0]), (t or "").encode()) for i, t in rows)
+    def place(row):
+        text = (row[1] or "").encode()
+        d = hashlib.blake2b(text, digest_size=16).digest()
+        return row[0] is not None, row[0] or 0, int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
+
     seen, out = set(), []
-    for i, _, text in keyed:
+    for i, text in ((i, (t or "").encode()) for i, t in sorted(rows, key=place)):
         gone = bytearray(len(text))
         for j in range(len(text) - least + 1):
             part = text[j : j + least]
@@ -179,14 +183,14 @@ def brute_repeats(rows, least=suffix_dedup.LEAST):
                 gone[j : j + least] = b"\1" * least
             seen.add(part)
         kept = bytes(c for c, g in zip(text, gone, strict=True) if not g)
-        out.append((None if i == suffix_dedup.LOWEST else i, len(text), sum(gone), sum(map(bool, bytes(gone).split(b"\0"))), hashlib.sha256(kept).hexdigest()))
+        out.append((i, len(text), sum(gone), sum(map(bool, bytes(gone).split(b"\0"))), hashlib.sha256(kept).hexdigest()))
     return Counter(out)
 
 
-@pytest.mark.parametrize("split", [False, True])
-def test_repeated_strings_equal_brute_force(spark, monkeypatch, split):
-    if split:
-        monkeypatch.setattr(suffix_dedup, "OWNER_ANCHORS", 3)
+@pytest.mark.parametrize("anchors,block", [(50_000, 1 << 20), (3, 1 << 20), (50_000, 20_000), (20, 6_000)])
+def test_repeated_strings_equal_brute_force(spark, monkeypatch, anchors, block):
+    monkeypatch.setattr(suffix_dedup, "OWNER_ANCHORS", anchors)
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", block)
     rng = random.Random(9)
     letters = "abcdefghij \n"
     passages = ["".join(rng.choice(letters) for _ in range(rng.choice([99, 100, 101, 250, 900]))) for _ in range(6)]
@@ -216,7 +220,7 @@ def test_rows_alike_in_different_partitions_are_kept_once(spark):
 
 
 def test_many_texts_under_one_id_stay_apart(spark):
-    # two texts whose digests agree in 30 bits, which some 30,000 texts of an id have
+    # two texts whose digests agree in 30 bits, as some two among 30,000 texts of an id do
     seen, rng = {}, random.Random(12)
     for i in range(1 << 20):
         text = f"{i} " + "".join(chr(97 + (i * k + k * k) % 26) for k in range(1, 110))
