@@ -6,7 +6,8 @@ occur twice can repeat. That text is dealt out by the anchor's owner, of the tex
 have it the one with the smallest digest; where an owner has very much of it, by the anchor as
 well. Of fragments with equal bytes only the earliest is indexed: all of the others starts
 earlier there. Each task builds run-length indexes of what it gets, streams the matching
-statistics and marks what also starts earlier. A group with more than a task should hold is cut
+statistics and marks what also starts earlier. Fragments are cut at places that their content
+decides, so near copies differ in few of them. A group with more than a task should hold is cut
 into blocks, and each two blocks are indexed together, so a passage that a third of all
 documents share and vary is spread over tasks too. Copies of a whole text are told by digest
 and aren't indexed again.
@@ -15,6 +16,7 @@ and aren't indexed again.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +36,9 @@ CHUNK = 1 << 19
 #: Anchors of one owner from which on they are dealt out apart.
 OWNER_ANCHORS = 50_000
 #: Bytes of different fragments of one group from which on it is cut into blocks of so many.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 21
+#: Of so many anchors one is a place where fragments are cut.
+CUT_EVERY = 8
 #: Stands for a null id, which counts as smallest.
 LOWEST = -(1 << 63)
 
@@ -128,16 +132,20 @@ def _fragment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for d, tie, low, n, z, _, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             text = unpack.decompress(z)
             marks = sorted((m["owner"], m["part"], m["pos"]) for m in marks)
-            open_group, begin, end = None, 0, 0
+            open_group, begin, end, cuts = None, 0, 0, []
             for owner, part, pos in [*marks, (None, None, 0)]:
                 a, b = max(0, pos - LEAST + K), min(n, pos + LEAST)
-                if (owner, part) == open_group and a <= end:
-                    end = b
-                    continue
-                if open_group and begin < end:
-                    out.append((*open_group, d, tie, low, begin, end, *_digest(text[begin:end]), text[begin:end]))
-                    size += end - begin
-                open_group, begin, end = (owner, part), a, b
+                if (owner, part) != open_group or a > end:
+                    if open_group and begin < end:
+                        # content decides the cuts, and pieces overlap by all but one byte of a string
+                        for lo, hi in zip([begin, *cuts], [*cuts, end], strict=True):
+                            piece = text[lo : min(end, hi + LEAST - 1)]
+                            out.append((*open_group, d, tie, low, lo, lo + len(piece), *_digest(piece), piece))
+                            size += len(piece)
+                    open_group, begin, cuts = (owner, part), a, []
+                end = b
+                if begin < pos and zlib.crc32(text[pos : pos + K]) % CUT_EVERY == 0:
+                    cuts.append(pos)
             if size > 1 << 22:
                 yield _batch(out, FRAGMENT)
                 out, size = [], 0
