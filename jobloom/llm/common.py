@@ -43,7 +43,7 @@ def saved(df: DataFrame, name: str = "step") -> DataFrame:
     """The same rows as a written table in the shared folder: lineage ends there, and lost executors cost no more than their tasks."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._jobloom_path = path
     return out

@@ -4,13 +4,13 @@ Every string of LEAST bytes holds an anchor, the k-mer with the smallest hash of
 string contains, and equal strings hold it at the same place. So only text around anchors that
 occur twice can repeat. That text is dealt out by the anchor's owner, of the texts that
 have it the one with the smallest digest; where an owner has very much of it, by the anchor as
-well. Of fragments with equal bytes only the earliest is indexed: all of the others starts
-earlier there. Each task builds run-length indexes of what it gets, streams the matching
-statistics and marks what also starts earlier. Fragments are cut at places that their content
-decides, so near copies differ in few of them. A group with more than a task should hold is cut
-into blocks, and each two blocks are indexed together, so a passage that a third of all
-documents share and vary is spread over tasks too. Copies of a whole text are told by digest
-and aren't indexed again.
+well. Each task builds run-length indexes of what it gets, streams the matching statistics and
+marks what also starts earlier. A heavy owner's fragments are cut at places that their content
+decides, and of those with equal bytes only the earliest is indexed: all of the others starts
+earlier there. What is left of a group, where it is more than a task should hold, is cut into
+blocks, and each two blocks are indexed together, so a passage that a third of all documents
+share and vary is spread over tasks too. Copies of a whole text are told by digest and aren't
+indexed again.
 """
 
 from __future__ import annotations
@@ -33,8 +33,10 @@ LEAST, K = 100, 32
 BLOCK = 1 << 15
 #: Bytes of text that are indexed together, unless one group has more.
 CHUNK = 1 << 19
+#: Anchors of one owner from which on its fragments are cut by content, and equal ones indexed once.
+HEAVY_ANCHORS = 20_000
 #: Anchors of one owner from which on they are dealt out apart.
-OWNER_ANCHORS = 50_000
+OWNER_ANCHORS = 200_000
 #: Bytes of different fragments of one group from which on it is cut into blocks of so many.
 BLOCK_BYTES = 1 << 21
 #: Of so many anchors one is a place where fragments are cut.
@@ -144,7 +146,7 @@ def _fragment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                             size += len(piece)
                     open_group, begin, cuts = (owner, part), a, []
                 end = b
-                if begin < pos and zlib.crc32(text[pos : pos + K]) % CUT_EVERY == 0:
+                if (part or 0) >= 0 and begin < pos and zlib.crc32(text[pos : pos + K]) % CUT_EVERY == 0:
                     cuts.append(pos)
             if size > 1 << 22:
                 yield _batch(out, FRAGMENT)
@@ -255,9 +257,9 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     docs = df.select(F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(LOWEST)).alias("d"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     found = docs.select("text").mapInArrow(_anchor_rows, "h bigint not null, tie bigint not null, pos bigint not null")
     twice = found.groupBy("h").agg(F.count("tie").alias("c"), F.min("tie").alias("owner")).filter("c > 1")
-    # an owner of very many anchors is split by anchor, as finely as their number asks
-    load = twice.groupBy("owner").agg(F.sum("c").alias("load")).filter(F.col("load") > OWNER_ANCHORS)
-    twice = twice.join(load, "owner", "left").select("h", "owner", F.expr(f"coalesce(pmod(h, load div {OWNER_ANCHORS} + 1), 0)").alias("part"))
+    # part -1 has what isn't heavy; an owner of very many anchors is split by anchor, as finely as their number asks
+    load = twice.groupBy("owner").agg(F.sum("c").alias("load")).filter(F.col("load") > HEAVY_ANCHORS)
+    twice = twice.join(load, "owner", "left").select("h", "owner", F.expr(f"coalesce(pmod(h, load div {OWNER_ANCHORS} + 1), -1)").alias("part"))
 
     # keys that can't be null need no filter, so both joins read one and the same exchange of texts
     texts = docs.mapInArrow(_packed_rows, "d bigint not null, tie bigint not null, lo bigint not null, n bigint, z binary")
@@ -269,10 +271,14 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # copies of a text have the same anchors, which the set holds once
     marks = found.join(twice, "h").groupBy("tie").agg(F.collect_set(F.struct("pos", "owner", "part")).alias("marks"))
     marks = marks.join(firsts, "tie").select(*key, "marks")
-    fragments = rows.join(marks, key).select(*key, "n", "z", "m", "marks").mapInArrow(
-        _fragment_rows, "owner bigint, part bigint, d bigint, tie bigint, lo bigint, start bigint, stop bigint, fp1 bigint, fp2 bigint, bytes binary"
-    )
-    fragments = saved(fragments, "fragments")
+
+    def around(heavy: bool) -> DataFrame:
+        some = marks.select(*key, F.filter("marks", lambda m: (m["part"] >= 0) == heavy).alias("marks")).filter(F.size("marks") > 0)
+        return rows.join(some, key).select(*key, "n", "z", "m", "marks").mapInArrow(
+            _fragment_rows, "owner bigint, part bigint, d bigint, tie bigint, lo bigint, start bigint, stop bigint, fp1 bigint, fp2 bigint, bytes binary"
+        )
+
+    fragments = saved(around(True), "fragments")
     group, place = ["owner", "part"], [*key, "start"]
     first = fragments.groupBy(*group, "fp1", "fp2").agg(F.min(F.struct(*place)).alias("at"), F.first("bytes").alias("bytes"))
     first = first.select(*group, "at.*", "bytes")
@@ -285,7 +291,8 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # a group of one block is pair 0; of more, each block goes to its pairs with every other
     first = first.join(bulk, group, "left").withColumn("block", F.pmod(F.xxhash64(*place), "blocks"))
     pairs = F.expr("coalesce(transform(filter(sequence(0L, blocks - 1), x -> x <> block), x -> least(x, block) * blocks + greatest(x, block)), array(0L))")
-    dealt = first.select(*group, F.explode(pairs).alias("pair"), *place, "bytes").repartition(*group, "pair").sortWithinPartitions(*group, "pair", *place)
+    light = around(False).select(*group, F.lit(0).cast("bigint").alias("pair"), *place, "bytes")
+    dealt = first.select(*group, F.explode(pairs).alias("pair"), *place, "bytes").union(light).repartition(*group, "pair").sortWithinPartitions(*group, "pair", *place)
     spans = dealt.mapInArrow(_span_rows, "d bigint, tie bigint, lo bigint, start bigint, stop bigint").union(later)
     spans = spans.groupBy(*key).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 

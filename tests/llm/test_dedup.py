@@ -187,8 +187,9 @@ def brute_repeats(rows, least=suffix_dedup.LEAST):
     return Counter(out)
 
 
-@pytest.mark.parametrize("anchors,block", [(50_000, 1 << 20), (3, 1 << 20), (50_000, 20_000), (20, 6_000)])
-def test_repeated_strings_equal_brute_force(spark, monkeypatch, anchors, block):
+@pytest.mark.parametrize("heavy,anchors,block", [(20_000, 200_000, 1 << 21), (2, 3, 1 << 21), (0, 50_000, 20_000), (9, 20, 6_000)])
+def test_repeated_strings_equal_brute_force(spark, monkeypatch, heavy, anchors, block):
+    monkeypatch.setattr(suffix_dedup, "HEAVY_ANCHORS", heavy)
     monkeypatch.setattr(suffix_dedup, "OWNER_ANCHORS", anchors)
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", block)
     rng = random.Random(9)
