@@ -269,7 +269,8 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = texts.groupBy(*key).agg(F.first("n").alias("n"), F.first("z").alias("z"), F.count("*").alias("m"))
 
     # copies of a text have the same anchors, which the set holds once
-    marks = found.join(twice, "h").groupBy("tie").agg(F.collect_set(F.struct("pos", "owner", "part")).alias("marks"))
+    marks = saved(found.join(twice, "h").groupBy("tie").agg(F.collect_set(F.struct("pos", "owner", "part")).alias("marks")), "marks")
+    no_heavy = marks.filter(F.exists("marks", lambda m: m["part"] >= 0)).isEmpty()
     marks = marks.join(firsts, "tie").select(*key, "marks")
 
     def around(heavy: bool) -> DataFrame:
@@ -278,22 +279,25 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             _fragment_rows, "owner bigint, part bigint, d bigint, tie bigint, lo bigint, start bigint, stop bigint, fp1 bigint, fp2 bigint, bytes binary"
         )
 
-    fragments = saved(around(True), "fragments")
     group, place = ["owner", "part"], [*key, "start"]
-    first = fragments.groupBy(*group, "fp1", "fp2").agg(F.min(F.struct(*place)).alias("at"), F.first("bytes").alias("bytes"))
-    first = first.select(*group, "at.*", "bytes")
-    # of fragments with equal bytes all but the earliest go as a whole
-    size = F.col("stop") - F.col("start")
-    later = fragments.filter(size >= LEAST).join(first.select(*group, *place), [*group, *place], "left_anti").select(*place, "stop")
-
-    bulk = fragments.select(*group, "fp1", "fp2", size.alias("size")).distinct().groupBy(*group).agg(F.sum("size").alias("size")).filter(F.col("size") > BLOCK_BYTES)
-    bulk = bulk.select(*group, F.expr(f"size div {BLOCK_BYTES} + 1").alias("blocks"))
-    # a group of one block is pair 0; of more, each block goes to its pairs with every other
-    first = first.join(bulk, group, "left").withColumn("block", F.pmod(F.xxhash64(*place), "blocks"))
-    pairs = F.expr("coalesce(transform(filter(sequence(0L, blocks - 1), x -> x <> block), x -> least(x, block) * blocks + greatest(x, block)), array(0L))")
-    light = around(False).select(*group, F.lit(0).cast("bigint").alias("pair"), *place, "bytes")
-    dealt = first.select(*group, F.explode(pairs).alias("pair"), *place, "bytes").union(light).repartition(*group, "pair").sortWithinPartitions(*group, "pair", *place)
-    spans = dealt.mapInArrow(_span_rows, "d bigint, tie bigint, lo bigint, start bigint, stop bigint").union(later)
+    dealt = around(False).select(*group, F.lit(0).cast("bigint").alias("pair"), *place, "bytes")
+    later = None
+    if not no_heavy:
+        fragments = saved(around(True), "fragments")
+        first = fragments.groupBy(*group, "fp1", "fp2").agg(F.min(F.struct(*place)).alias("at"), F.first("bytes").alias("bytes"))
+        first = first.select(*group, "at.*", "bytes")
+        # of fragments with equal bytes all but the earliest go as a whole
+        size = F.col("stop") - F.col("start")
+        later = fragments.filter(size >= LEAST).join(first.select(*group, *place), [*group, *place], "left_anti").select(*place, "stop")
+        bulk = fragments.select(*group, "fp1", "fp2", size.alias("size")).distinct().groupBy(*group).agg(F.sum("size").alias("size")).filter(F.col("size") > BLOCK_BYTES)
+        bulk = bulk.select(*group, F.expr(f"size div {BLOCK_BYTES} + 1").alias("blocks"))
+        # a group of one block is pair 0; of more, each block goes to its pairs with every other
+        first = first.join(bulk, group, "left").withColumn("block", F.pmod(F.xxhash64(*place), "blocks"))
+        pairs = F.expr("coalesce(transform(filter(sequence(0L, blocks - 1), x -> x <> block), x -> least(x, block) * blocks + greatest(x, block)), array(0L))")
+        dealt = dealt.union(first.select(*group, F.explode(pairs).alias("pair"), *place, "bytes"))
+    dealt = dealt.repartition(*group, "pair").sortWithinPartitions(*group, "pair", *place)
+    spans = dealt.mapInArrow(_span_rows, "d bigint, tie bigint, lo bigint, start bigint, stop bigint")
+    spans = spans if later is None else spans.union(later)
     spans = spans.groupBy(*key).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
     about = firsts.join(spans, key, "left").select(*key, F.lit(True).alias("own"), "spans")
