@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 #: Fixed values of the queue's contract.
 BACKOFF_BASE_MS, BACKOFF_CAP_MS = 1_000, 60_000
-CLAIM_ERROR_CAP_MS, RECONNECT_CAP_MS = 60_000, 30_000
+CLAIM_ERROR_CAP_MS = 60_000
 LOG_CHARS, LOG_ENTRIES = 4_000, 1_000
 LOG_SUFFIX = "… [truncated]"
 JOURNAL_BYTES = 8_000_000
+#: Bytes of a record's time in JSON, with its name and quotes.
+TIME_BYTES = 32
 FATAL_ERRORS = ("NonRetryable", "NondeterminismError", "NonSerializableStepResult", "JournalTooLarge", "OrchestrationUnsupportedError")
 
 
@@ -52,7 +54,10 @@ def heartbeat_interval_ms(timeout_ms: Column) -> Column:
 
 def later_by_ms(ts: Column, ms: Column) -> Column:
     """A timestamp moved on by milliseconds."""
-    return F.timestamp_add("MILLISECOND", ms.cast("int"), ts)
+    ms = ms.cast("bigint")
+    day = F.lit(86_400_000)
+    # both parts are ints, however far the time lies
+    return F.timestamp_add("MILLISECOND", (ms % day).cast("int"), F.timestamp_add("DAY", F.floor(ms / day).cast("int") + F.when((ms < 0) & (ms % day != 0), 1).otherwise(0), ts))
 
 
 def lag_ms(now: Column, oldest: Column) -> Column:
@@ -84,19 +89,12 @@ def truncated_log(message: Column, most: int = LOG_CHARS) -> Column:
     return F.when(F.length(message) > most, F.concat(F.left(message, F.lit(max(0, most - len(LOG_SUFFIX)))), F.lit(LOG_SUFFIX))).otherwise(message)
 
 
-def record_bytes(*parts: Column) -> Column:
-    """Size of a journal record: UTF-8 bytes of its fields, with 16 for its structure."""
-    total = F.lit(16)
-    for p in parts:
-        total = total + F.coalesce(F.octet_length(p.cast("string")), F.lit(0))
-    return total.cast("bigint")
+def record_bytes(seq: Column, name: Column, result: Column) -> Column:
+    """Size of a journal record: UTF-8 bytes of its JSON, the time of its writing included; never less than its length in characters."""
+    fields = F.struct(seq.alias("seq"), name.alias("name"), result.alias("result"))
+    return (F.octet_length(F.to_json(fields, {"ignoreNullFields": "false"})) + TIME_BYTES).cast("bigint")
 
 
 def is_fatal(error: Column) -> Column:
     """Errors of the step journal that no retry can mend."""
     return F.coalesce(error.isin(*FATAL_ERRORS), F.lit(False))
-
-
-def absent_key(key: Column) -> Column:
-    """An empty key counts as none."""
-    return F.nullif(key, F.lit(""))

@@ -47,20 +47,24 @@ def claim_per_type(jobs: DataFrame, now: Column, k: int) -> DataFrame:
 
 
 def claim_with_capacity(jobs: DataFrame, now: Column, capacity: DataFrame) -> DataFrame:
-    """Claims of every type up to its capacity (type, capacity, at most most in all) less its active jobs."""
+    """Claims of every type up to its capacity (type, capacity) less its active jobs.
+
+    capacity has a row for each type of handler. Its largest value bounds what each task passes on.
+    """
+    most = capacity.agg(F.max("capacity")).first()[0] or 0
     busy = jobs.filter("status = 'active'").groupBy("type").agg(F.count("id").alias("busy"))
     room = capacity.join(busy, "type", "left").select("type", F.greatest(F.lit(0), F.col("capacity") - F.coalesce("busy", F.lit(0))).alias("room"))
     rank = F.row_number().over(Window.partitionBy("type").orderBy(*ORDER))
-    ranked = claimable(jobs, now).withColumn("rn", rank)
+    ranked = claimable(jobs, now).withColumn("rn", rank).filter(F.col("rn") <= most)
     return claim(ranked.join(room, "type").filter("rn <= room").drop("rn", "room"), now)
 
 
 def claim_by_key(jobs: DataFrame, now: Column, wanted: DataFrame) -> DataFrame:
-    """For each wanted (type, dedupe_key) the job that a claim by key yields, or a null id."""
+    """For each wanted (type, dedupe_key) the job that a claim by key yields, as claimed, or nulls."""
     due = jobs.filter((F.col("status") == "pending") & (F.col("run_at") <= now) & F.col("dedupe_key").isNotNull())
     free = due.join(held_slots(jobs), [*SLOT], "left_anti")
     best = free.withColumn("rn", F.row_number().over(Window.partitionBy("type", "dedupe_key").orderBy(*ORDER))).filter("rn = 1")
-    return wanted.join(best.select("type", "dedupe_key", "id", "priority"), ["type", "dedupe_key"], "left")
+    return wanted.join(claim(best, now).drop("rn"), ["type", "dedupe_key"], "left")
 
 
 def blocked(jobs: DataFrame, now: Column) -> DataFrame:
@@ -70,6 +74,36 @@ def blocked(jobs: DataFrame, now: Column) -> DataFrame:
     return due.join(holder, [*SLOT]).withColumn("cross_type", F.col("type") != F.col("holder_type"))
 
 
+def claim_or_enqueue(requests: DataFrame, jobs: DataFrame) -> DataFrame:
+    """requests (id, type, dedupe_key, dedupe_scope, latest) with outcome, and the job that each fell to.
+
+    At most one request for a key. claimed: a new active job; queued: a new follower; replaced:
+    the follower's data is the request's (latest only); waiting: a pending job of the key is
+    there already; yielded: the follower's place is taken by another type; rejected: the slot is
+    taken. Requests without a key are always claimed.
+    """
+    pending = jobs.filter("status = 'pending' and dedupe_key is not null")
+    any_pending = pending.groupBy("dedupe_key").agg(
+        F.count("id").alias("n_pending"), F.min(F.when(F.col("dedupe_scope") == "pending", F.struct("type", "id"))).alias("follower")
+    )
+    taken = jobs.filter("dedupe_key is not null and (status = 'active' or status = 'pending' and dedupe_scope = 'pending+active')").select(*SLOT).distinct().withColumn("taken", F.lit(True))
+    rows = requests.join(any_pending, "dedupe_key", "left").join(taken, [*SLOT], "left")
+    latest, scoped = F.coalesce("latest", F.lit(False)), F.col("dedupe_scope") == "pending"
+    own = F.coalesce(F.col("follower.type") == F.col("type"), F.lit(False))
+    outcome = (
+        F.when(F.col("dedupe_key").isNull(), "claimed")
+        .when(latest & own, "replaced")
+        .when(~latest & F.col("n_pending").isNotNull(), "waiting")
+        .when(F.col("taken").isNull(), "claimed")
+        .when(~scoped, "rejected")
+        .when(F.col("follower").isNotNull(), "yielded")
+        .otherwise("queued")
+    )
+    rows = rows.withColumn("outcome", outcome)
+    job = F.when(F.col("outcome") == "replaced", F.col("follower.id")).when(F.col("outcome").isin("claimed", "queued"), F.col("id"))
+    return rows.select(*requests.columns, "outcome", job.alias("job_id"))
+
+
 def drain_chain(jobs: DataFrame, now: Column, drains: int = 10) -> DataFrame:
     """Jobs that one handler run may take in a row for a key: its own and so many followers."""
     due = jobs.filter((F.col("status") == "pending") & (F.col("run_at") <= now) & F.col("dedupe_key").isNotNull())

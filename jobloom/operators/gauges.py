@@ -10,6 +10,8 @@ from ..sources.schemas import STATUSES
 
 #: Failures in a row at which one alarm is raised.
 ESCALATE_AT = 5
+#: Durations are counted by ranges of so many thousandths of a millisecond.
+RANGE_MICROS = 4096
 #: Rows that one sweep of the reaper takes at most.
 SWEEP_ROWS = 1_000
 
@@ -44,21 +46,47 @@ def event_counts(events: DataFrame) -> DataFrame:
 
 
 def duration_stats(events: DataFrame) -> DataFrame:
-    """Durations of finished runs by kind and type, in thousandths."""
+    """Durations of finished runs by kind and type, in thousandths, with the exact median.
+
+    Counts by range of values say in which ranges the median's two values lie; only these are
+    looked at value by value. No task holds more than one range's different values.
+    """
+    group = ["kind", "type"]
     whole = F.round(F.col("duration_ms") * 1000).cast("bigint")
-    done = events.filter("kind in ('completed', 'failed')").withColumn("micros", whole)
-    return done.groupBy("kind", "type").agg(F.count("event_id").alias("n"), F.sum("micros").alias("sum_micros"), F.min("micros").alias("min_micros"), F.max("micros").alias("max_micros"), F.expr("cast(round(percentile(micros, 0.5) * 2) as bigint)").alias("twice_median_micros"))
+    done = events.filter("kind in ('completed', 'failed')").select(*group, "event_id", whole.alias("micros")).withColumn("range", F.expr(f"micros div {RANGE_MICROS}"))
+    stats = done.groupBy(*group).agg(F.count("event_id").alias("n"), F.sum("micros").alias("sum_micros"), F.min("micros").alias("min_micros"), F.max("micros").alias("max_micros"), F.count("micros").alias("m"))
+
+    def upto(rows: DataFrame, within: list[str], by: str) -> DataFrame:
+        order = Window.partitionBy(*within).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumn("upto", F.sum("c").over(order))
+
+    def holds(rank: str, below: Column) -> Column:
+        return (F.expr(rank) >= below + F.col("upto") - F.col("c")) & (F.expr(rank) < below + F.col("upto"))
+
+    first, second = "(m - 1) div 2", "m div 2"  # places of the two middle values, from 0
+    ranges = upto(done.filter("micros is not null").groupBy(*group, "range").agg(F.count("micros").alias("c")), group, "range").join(stats.select(*group, "m"), group)
+    none = F.lit(0)
+    ranges = ranges.filter(holds(first, none) | holds(second, none)).select(*group, "range", "m", (F.col("upto") - F.col("c")).alias("below"))
+    values = done.groupBy(*group, "range", "micros").agg(F.count("micros").alias("c")).join(ranges, [*group, "range"])
+    values = upto(values, [*group, "range"], "micros")
+    times = holds(first, F.col("below")).cast("int") + holds(second, F.col("below")).cast("int")
+    middle = values.groupBy(*group).agg(F.sum(F.col("micros") * times).alias("twice_median_micros"))
+    return stats.join(middle, group, "left").select(*group, "n", "sum_micros", "min_micros", "max_micros", "twice_median_micros")
 
 
 def failure_streaks(events: DataFrame) -> DataFrame:
     """Runs of failures of each type that no completion interrupts, and whether they raise the alarm.
 
-    A streak's failures share the number of completions before them, so one window in order of
-    time numbers them, and an aggregate counts them.
+    A streak's failures share the number of completions before them. That is counted hour by
+    hour: a window adds up the hours' completions, others number the events within each hour.
     """
-    order = Window.partitionBy("type").orderBy("ts", "event_id")
-    ended = events.filter("kind in ('completed', 'failed')").withColumn("island", F.sum(F.when(F.col("kind") == "completed", 1).otherwise(0)).over(order))
-    streaks = ended.filter("kind = 'failed'").groupBy("type", "island").agg(F.count("event_id").alias("failures"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    ended = events.filter("kind in ('completed', 'failed')").withColumn("hour", F.date_trunc("hour", "ts")).withColumn("done", (F.col("kind") == "completed").cast("bigint"))
+    hours = ended.groupBy("type", "hour").agg(F.sum("done").alias("done_then"))
+    before = F.coalesce(F.sum("done_then").over(Window.partitionBy("type").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    hours = hours.select("type", "hour", before.alias("before"))
+    within = F.sum("done").over(Window.partitionBy("type", "hour").orderBy("ts", "event_id"))
+    islands = ended.withColumn("within", within).filter("kind = 'failed'").join(hours, ["type", "hour"]).withColumn("island", F.col("before") + F.col("within"))
+    streaks = islands.groupBy("type", "island").agg(F.count("event_id").alias("failures"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     return streaks.select("type", "failures", "first_ts", "last_ts", (F.col("failures") >= ESCALATE_AT).alias("escalated"))
 
 

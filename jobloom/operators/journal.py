@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import JOURNAL_BYTES, LOG_ENTRIES, record_bytes
@@ -41,6 +41,41 @@ def with_budget(journal: DataFrame, limit: int = JOURNAL_BYTES) -> DataFrame:
     return rows.withColumn("total_bytes", F.sum("bytes").over(order)).withColumn("fits", F.col("total_bytes") <= limit)
 
 
+def append_steps(appends: DataFrame, jobs: DataFrame, journal: DataFrame, limit: int = JOURNAL_BYTES) -> DataFrame:
+    """appends (job_id, token, seq, name, result), at most one for a job, with status and the journal's bytes afterwards.
+
+    lease-lost: the job isn't active under the token. A place that is taken is already-recorded
+    or, under another name, diverged. too-large: the journal would pass the limit; nothing is
+    written. appended steps renew the lease: see leases_renewed().
+    """
+    size = record_bytes(F.col("seq"), F.col("name"), F.col("result"))
+    totals = journal.groupBy("job_id").agg(F.sum(size).alias("total"))
+    known = journal.select("job_id", "seq", F.col("name").alias("recorded"))
+    held = jobs.filter("status = 'active'").select(F.col("id").alias("job_id"), F.col("claim_token").alias("token"), F.lit(True).alias("held"))
+    rows = appends.join(held, ["job_id", "token"], "left").join(known, ["job_id", "seq"], "left").join(totals, "job_id", "left")
+    before = F.coalesce("total", F.lit(0)).cast("bigint")
+    status = (
+        F.when(F.col("held").isNull(), "lease-lost")
+        .when(F.col("recorded") == F.col("name"), "already-recorded")
+        .when(F.col("recorded").isNotNull(), "diverged")
+        .when(before + size > limit, "too-large")
+        .otherwise("appended")
+    )
+    rows = rows.withColumn("status", status)
+    return rows.select(*appends.columns, "status", F.when(F.col("status") == "appended", before + size).otherwise(before).alias("journal_bytes"))
+
+
+def leases_renewed(jobs: DataFrame, appended: DataFrame, now: Column) -> DataFrame:
+    """jobs after append_steps(): those with an appended step hold their lease from now on."""
+    hit = appended.filter("status = 'appended'").select(F.col("job_id").alias("id"), F.lit(True).alias("hit"))
+    return jobs.join(hit, "id", "left").withColumn("claimed_at", F.when(F.col("hit"), now).otherwise(F.col("claimed_at"))).select(jobs.columns)
+
+
+def read_steps(journal: DataFrame) -> DataFrame:
+    """Each run's records in order of seq, whatever order they were stored in."""
+    return journal.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("seq", "name", "result"))).alias("steps"))
+
+
 def sorted_steps(journal: DataFrame) -> DataFrame:
     """Each run's step names in order of seq, whatever order they were stored in."""
     pairs = F.array_sort(F.collect_list(F.struct("seq", "name")))

@@ -7,15 +7,18 @@ handler's effects have to be idempotent: a step's idempotency key is there for t
 
 from __future__ import annotations
 
-import ast
 import hashlib
 import json
+import secrets
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import JOURNAL_BYTES, TIME_BYTES
+
 OUTCOMES = "job_id string, token string, op string, reason string"
 RUNS = "job_id string, op string, reason string, result string, new_steps array<struct<seq: int, name: string, result: string>>"
 
@@ -36,6 +39,26 @@ class NonSerializableStepResult(FatalJobError):
     """A step's result that the journal can't hold."""
 
 
+class JournalTooLarge(FatalJobError):
+    """A journal that would pass its limit."""
+
+
+class OrchestrationUnsupportedError(FatalJobError):
+    """A store without a journal."""
+
+
+class StepTimeout(Exception):
+    """A step, or a whole run, that took too long; another attempt may succeed."""
+
+
+class LeaseLostError(Exception):
+    """A run whose job another worker has claimed."""
+
+
+class OrchestrationConflictError(ValueError):
+    """A second definition for a type."""
+
+
 class Handlers:
     """One function for each type of job."""
 
@@ -46,11 +69,15 @@ class Handlers:
     def process(self, job_type: str, handler: Callable[[dict], None], concurrency: int = 1) -> None:
         """Register a handler; a type can have one only."""
         if job_type in self.by_type:
-            raise ValueError(f"{job_type} has a handler already")
+            raise OrchestrationConflictError(f"{job_type} has a handler already")
         if concurrency < 1:
             raise ValueError("concurrency must be positive")
         self.by_type[job_type], self.concurrency[job_type] = handler, concurrency
 
+    def capacity(self, spark: SparkSession) -> DataFrame:
+        """(type, capacity), for claims.claim_with_capacity()."""
+        return spark.createDataFrame(list(self.concurrency.items()), "type string, capacity int")
+
 
 def run_claimed(claimed: DataFrame, handlers: Handlers) -> DataFrame:
     """(job_id, token, op, reason) for claimed jobs: complete, fail, failFatal; types without handler are released."""
@@ -93,34 +120,70 @@ def serializable(value: object, path: str = "result") -> None:
         raise NonSerializableStepResult(f"{path}: {type(value).__name__}")
 
 
+#: Place and name of the record that freezes a run's start and seed.
+BOOTSTRAP_SEQ, BOOTSTRAP_NAME = -1, "$bootstrap"
+
+
+def json_bytes(seq: int, name: str, result: str | None) -> int:
+    """What functions.scalars.record_bytes() gives."""
+    return len(json.dumps({"seq": seq, "name": name, "result": result}, ensure_ascii=False, separators=(",", ":")).encode()) + TIME_BYTES
+
+
 class Run:
     """A run of an orchestration: steps found in the journal are not run again."""
 
-    def __init__(self, job_id: str, data: str | None, journal: dict[int, tuple[str, str]]) -> None:
-        self.job_id, self.data, self.journal = job_id, data, journal
+    def __init__(self, job_id: str, data: str | None, journal: dict[int, tuple[str, str]], limit: int = JOURNAL_BYTES, duration_ms: int | None = None) -> None:
+        self.job_id, self.data, self.journal, self.limit = job_id, data, journal, limit
         self.new: list[tuple[int, str, str]] = []
-        self.next_seq = 0
+        self.next_seq, self.began, self.duration_ms = 0, time.monotonic(), duration_ms
+        self.bytes = sum(json_bytes(seq, *x) for seq, x in journal.items())
 
     def key(self, seq: int, name: str) -> str:
         """The step's idempotency key."""
         return f"{self.job_id}:{seq}:{name}"
 
+    def _record(self, seq: int, name: str, value: object) -> None:
+        serializable(value)
+        result = json.dumps(value)
+        self.bytes += json_bytes(seq, name, result)
+        if self.bytes > self.limit:
+            raise JournalTooLarge(f"{name}: {self.bytes} bytes")
+        self.new.append((seq, name, result))
+
+    def _bootstrap(self) -> dict:
+        """The start time and the seed that the first attempt wrote down before all steps."""
+        if BOOTSTRAP_SEQ not in self.journal:
+            value = {"startedAt": int(time.time() * 1000), "seed": secrets.token_hex(16)}
+            self._record(BOOTSTRAP_SEQ, BOOTSTRAP_NAME, value)
+            self.journal[BOOTSTRAP_SEQ] = BOOTSTRAP_NAME, json.dumps(value)
+        return json.loads(self.journal[BOOTSTRAP_SEQ][1])
+
+    def now(self) -> int:
+        """Milliseconds at which the first attempt began, in every attempt."""
+        return self._bootstrap()["startedAt"]
+
     def uuid(self, label: str) -> str:
-        """An id that every attempt of this run gets alike."""
-        h = hashlib.sha256(f"{self.job_id}\0{label}".encode()).hexdigest()
+        """An id that every attempt of this run gets alike, and no other run does."""
+        h = hashlib.sha256(f"{self._bootstrap()['seed']}\0{label}".encode()).hexdigest()
         return f"{h[:8]}-{h[8:12]}-4{h[13:16]}-{'89ab'[int(h[16], 16) % 4]}{h[17:20]}-{h[20:32]}"
 
-    def step(self, name: str, f: Callable[[str], object]) -> object:
-        """The step's recorded result, or that of f(idempotency key), to be recorded."""
+    def step(self, name: str, f: Callable[[str], object], timeout_ms: int | None = None) -> object:
+        """The step's recorded result, or that of f(idempotency key), to be recorded.
+
+        A step that took longer than its timeout, or ends after the run's whole time, isn't recorded.
+        """
         seq, self.next_seq = self.next_seq, self.next_seq + 1
         if seq in self.journal:
             known, result = self.journal[seq]
             if known != name:
                 raise NondeterminismError(f"step {seq} is {known!r} in the journal, {name!r} in the code")
             return json.loads(result)
+        began = time.monotonic()
         value = f(self.key(seq, name))
-        serializable(value)
-        self.new.append((seq, name, json.dumps(value)))
+        for since, most in ((began, timeout_ms), (self.began, self.duration_ms)):
+            if most is not None and (time.monotonic() - since) * 1000 > most:
+                raise StepTimeout(f"{name}: more than {most} ms")
+        self._record(seq, name, value)
         return value
 
 
@@ -148,27 +211,3 @@ def run_orchestrations(jobs: DataFrame, steps: DataFrame, body: Callable[[Run],
             yield pd.DataFrame(out, columns=["job_id", "op", "reason", "result", "new_steps"])
 
     return jobs.join(journal, "job_id", "left").select("job_id", "data", "journal").mapInPandas(run, RUNS)
-
-
-#: Calls that a body may make inside steps only.
-NONDETERMINISTIC = {"time.time", "time.monotonic", "datetime.now", "datetime.datetime.now", "datetime.utcnow", "random.random", "random.randint", "random.choice", "uuid.uuid1", "uuid.uuid4", "os.urandom"}
-
-
-def control_path_problems(source: str) -> list[tuple[int, str]]:
-    """(line, call) of clock and random calls in a body's source that aren't inside a step's function."""
-    found: list[tuple[int, str]] = []
-
-    def visit(node: ast.AST) -> None:
-        if isinstance(node, ast.Call):
-            name = ast.unparse(node.func)
-            if name in NONDETERMINISTIC:
-                found.append((node.lineno, name))
-            if isinstance(node.func, ast.Attribute) and node.func.attr == "step":
-                for arg in node.args[:1]:
-                    visit(arg)
-                return
-        for child in ast.iter_child_nodes(node):
-            visit(child)
-
-    visit(ast.parse(source))
-    return found

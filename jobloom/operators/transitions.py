@@ -1,8 +1,8 @@
 """What lifecycle commands do to jobs, for whole batches of commands on different jobs.
 
-A batch holds at most one command for a job; streams of commands on the same job go through
-operators.fold. Commands with a token are fenced: they count only while the job's own token is
-the same.
+A batch holds at most one command for a job; operators.apply makes the new rows. Commands with
+a token are fenced: they count only while the job's own token is the same. The pending job that
+supersedes another may be that other itself, where an unfenced command fails a pending job.
 """
 
 from __future__ import annotations
@@ -22,11 +22,12 @@ def followers(jobs: DataFrame) -> DataFrame:
     return jobs.filter("status = 'pending' and dedupe_scope = 'pending' and dedupe_key is not null").select("dedupe_key").distinct().withColumn("follower", F.lit(True))
 
 
-def _followed() -> Column:
+def followed() -> Column:
+    """Does a pending job of its slot supersede a row joined with followers()?"""
     return F.coalesce(F.col("follower"), F.lit(False)) & (F.col("dedupe_scope") == "pending")
 
 
-def _applied(token: str = "token") -> Column:
+def open_to(token: str = "token") -> Column:
     """An open row that the command may change."""
     fenced = F.col(token).isNotNull()
     return F.when(fenced, (F.col("status") == "active") & (F.col("claim_token") == F.col(token))).otherwise(F.col("status").isin("pending", "active"))
@@ -49,7 +50,7 @@ def fail_outcomes(commands: DataFrame, jobs: DataFrame, now: Column) -> DataFram
     """
     rows = commands.join(jobs, commands["job_id"] == jobs["id"], "left").join(followers(jobs), "dedupe_key", "left")
     outcome = (
-        F.when(F.coalesce(_applied(), F.lit(False)), F.when(F.coalesce(_followed(), F.lit(False)), "superseded").when(F.col("attempt") >= F.col("max_attempts"), "failed-terminal").otherwise("retry-scheduled"))
+        F.when(F.coalesce(open_to(), F.lit(False)), F.when(F.coalesce(followed(), F.lit(False)), "superseded").when(F.col("attempt") >= F.col("max_attempts"), "failed-terminal").otherwise("retry-scheduled"))
         .otherwise(miss_class())
     )
     delay = backoff_ms(F.col("attempt"), F.col("backoff_strategy"), F.col("backoff_base_ms"), F.col("backoff_cap_ms"), F.col("id"))
@@ -63,8 +64,8 @@ def release_outcomes(commands: DataFrame, jobs: DataFrame) -> DataFrame:
     released; an open job that isn't active has lost its lease.
     """
     rows = commands.join(jobs, commands["job_id"] == jobs["id"], "left").join(followers(jobs), "dedupe_key", "left")
-    may = F.coalesce(_applied() & (F.col("status") == "active"), F.lit(False))
-    outcome = F.when(may, F.when(F.coalesce(_followed(), F.lit(False)), "superseded").otherwise("released")).otherwise(miss_class())
+    may = F.coalesce(open_to() & (F.col("status") == "active"), F.lit(False))
+    outcome = F.when(may, F.when(F.coalesce(followed(), F.lit(False)), "superseded").otherwise("released")).otherwise(miss_class())
     return rows.select("job_id", outcome.alias("outcome"))
 
 
@@ -80,15 +81,15 @@ def complete_outcomes(commands: DataFrame, jobs: DataFrame, receipts: DataFrame)
     rows = commands.join(jobs, commands["job_id"] == jobs["id"], "left").withColumn("t", F.coalesce("token", F.lit("")))
     rows = rows.join(own, ["job_id", "t"], "left").join(any_receipt.withColumnRenamed("t2", "t"), ["job_id", "t"], "left")
     late = (F.col("status") == "failed") & (F.col("claim_token") == F.col("token")) & F.col("answered").isNull()
-    done = F.coalesce(_applied() | late, F.lit(False))
+    done = F.coalesce(open_to() | late, F.lit(False))
     return rows.select("job_id", F.coalesce("told", F.when(done, "completed").otherwise(miss_class())).alias("outcome"))
 
 
 def heartbeat_outcomes(commands: DataFrame, jobs: DataFrame) -> DataFrame:
-    """commands (job_id, token) -> (job_id, outcome): applied or lease-lost; unfenced beats always apply."""
+    """commands (job_id, token) -> (job_id, outcome): applied, or lease-lost whatever the reason; unfenced beats always apply."""
     rows = commands.join(jobs, commands["job_id"] == jobs["id"], "left")
     hit = F.coalesce((F.col("status") == "active") & (F.col("claim_token") == F.col("token")), F.lit(False))
-    outcome = F.when(F.col("token").isNull() | hit, "applied").when(F.col("status").isNull(), "not-found").otherwise("lease-lost")
+    outcome = F.when(F.col("token").isNull() | hit, "applied").otherwise("lease-lost")
     return rows.select("job_id", outcome.alias("outcome"))
 
 
@@ -107,7 +108,7 @@ def reaper_outcomes(jobs: DataFrame, now: Column, timeout_ms: int = VISIBILITY_M
     """(id, new_status, fail_reason, new_run_at) for the jobs of one sweep; attempts stay as they are."""
     rows = reaper_candidates(jobs, now, timeout_ms, most).join(followers(jobs), "dedupe_key", "left")
     spent = F.col("attempt") >= F.col("max_attempts")
-    status = F.when(F.coalesce(_followed(), F.lit(False)), "superseded").when(spent, "failed").otherwise("pending")
+    status = F.when(F.coalesce(followed(), F.lit(False)), "superseded").when(spent, "failed").otherwise("pending")
     delay = backoff_ms(F.col("attempt"), F.col("backoff_strategy"), F.col("backoff_base_ms"), F.col("backoff_cap_ms"), F.col("id"))
     rows = rows.withColumn("new_status", status)
     return rows.select("id", "new_status", F.when(F.col("new_status") == "failed", F.lit(REAPED)).alias("fail_reason"), F.when(F.col("new_status") == "pending", later_by_ms(now, delay)).alias("new_run_at"))

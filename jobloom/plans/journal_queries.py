@@ -1,4 +1,4 @@
-"""Queries over step journals, logs, lifecycle events, leases and the command fold."""
+"""Queries over step journals, logs, lifecycle events, and leases."""
 
 from __future__ import annotations
 
@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import derived_uuid, idempotency_key, is_fatal, next_error_backoff_ms, truncated_log
-from ..operators import fold, gauges, journal, leases
-from ..sources.fixtures import commands, heartbeats, lifecycle, requested_steps, steps, table
+from ..operators import gauges, journal, leases
+from ..sources.fixtures import heartbeats, lifecycle, requested_steps, steps, table
 
 TAIL, LINE, BUDGET, LEASE_MS = 2, 200, 1_500, 12 * 3_600_000
 
@@ -81,12 +81,21 @@ def lease_lapses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leases.lapses(heartbeats(spark, sf_dir), LEASE_MS)
 
 
-def fold_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fold.fold_outcomes(commands(spark, sf_dir))
+def journal_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An append for each run: to jobs held or not, under right and stale tokens, at new places and taken ones."""
+    own = steps(spark, sf_dir)
+    runs = own.groupBy("job_id").agg(F.min("seq").alias("low"), F.max("seq").alias("top"), F.min_by("name", "seq").alias("first")).withColumn("j", F.col("job_id").cast("bigint"))
+    jobs = runs.selectExpr("job_id as id", "if(j % 4 = 0, 'pending', 'active') as status", "concat('tok', j) as claim_token")
+    appends = runs.selectExpr(
+        "job_id", "if(j % 7 = 0, 'stale', concat('tok', j)) as token", "if(j % 3 = 0, low, top + 1) as seq", "if(j % 3 = 0, if(j % 2 = 0, first, 'other'), 'final') as name",
+        "repeat('é\"x', cast(j % 40 as int)) as result",
+    )
+    return journal.append_steps(appends, jobs, own, BUDGET).select("job_id", "seq", "status", "journal_bytes")
 
 
-def fold_final_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fold.fold_jobs(commands(spark, sf_dir))
+def journal_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = journal.read_steps(steps(spark, sf_dir)).select("job_id", F.posexplode("steps").alias("place", "step"))
+    return got.select("job_id", F.col("place").cast("bigint").alias("place"), "step.seq", "step.name", "step.result")
 
 
 STEPS_SQL = """
@@ -105,6 +114,7 @@ requested AS (
   SELECT CAST(user_id AS VARCHAR) AS job_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events
 ), gaps AS (SELECT *, datesub('millisecond', before, ts) AS gap_ms FROM beats)
 """
+BYTES = "CAST(strlen(CAST(to_json({'seq': seq, 'name': name, 'result': result}) AS VARCHAR)) + 32 AS BIGINT)"
 H = "sha256('run-' || job_id || chr(0) || seq || ':' || name)"
 SQL = {
     "step_replay_plan": "SELECT job_id, seq, name, action, CASE WHEN action = 'replay' THEN result END AS result FROM plan",
@@ -112,9 +122,15 @@ SQL = {
     "step_dedup": """, a AS (SELECT job_id, seq, name, 1 AS arrival FROM steps UNION ALL SELECT job_id, seq, name, 2 FROM requested)
         SELECT job_id, seq, name, arrival, CASE WHEN row_number() OVER w = 1 THEN 'appended' WHEN name = first_value(name) OVER w THEN 'already-recorded' ELSE 'diverged' END AS status
         FROM a WINDOW w AS (PARTITION BY job_id, seq ORDER BY arrival)""",
-    "journal_budget": f""", b AS (SELECT job_id, seq, CAST(16 + strlen(CAST(seq AS VARCHAR)) + strlen(coalesce(name, '')) + strlen(coalesce(result, '')) AS BIGINT) AS bytes FROM steps),
+    "journal_budget": f""", b AS (SELECT job_id, seq, {BYTES} AS bytes FROM steps),
         t AS (SELECT *, CAST(sum(bytes) OVER (PARTITION BY job_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total_bytes FROM b)
         SELECT job_id, seq, bytes, total_bytes, total_bytes <= {BUDGET} AS fits FROM t""",
+    "journal_append": f""", r AS (SELECT job_id, CAST(job_id AS BIGINT) AS j, min(seq) AS low, max(seq) AS top, first(name ORDER BY seq) AS head, sum({BYTES}) AS total FROM steps GROUP BY job_id),
+        a AS (SELECT *, CASE WHEN j % 3 = 0 THEN low ELSE top + 1 END AS seq, CASE WHEN j % 3 <> 0 THEN 'final' WHEN j % 2 = 0 THEN head ELSE 'other' END AS name, repeat('é"x', CAST(j % 40 AS INT)) AS result FROM r),
+        b AS (SELECT *, {BYTES} AS size FROM a),
+        o AS (SELECT *, CASE WHEN j % 4 = 0 OR j % 7 = 0 THEN 'lease-lost' WHEN j % 3 = 0 AND name = head THEN 'already-recorded' WHEN j % 3 = 0 THEN 'diverged' WHEN total + size > {BUDGET} THEN 'too-large' ELSE 'appended' END AS status FROM b)
+        SELECT job_id, CAST(seq AS INT) AS seq, status, CAST(CASE WHEN status = 'appended' THEN total + size ELSE total END AS BIGINT) AS journal_bytes FROM o""",
+    "journal_records": "SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY seq) - 1 AS place, seq, name, result FROM steps",
     "journal_sorted": "SELECT job_id, count(*) AS n_steps, string_agg(name, '>' ORDER BY seq) AS names FROM steps GROUP BY job_id",
     "derive_uuid": f"SELECT job_id, seq, left({H}, 8) || '-' || substr({H}, 9, 4) || '-4' || substr({H}, 14, 3) || '-' || substr('89ab89ab89ab89ab', instr('0123456789abcdef', substr({H}, 17, 1)), 1) || substr({H}, 18, 3) || '-' || substr({H}, 21, 12) AS uuid FROM steps",
     "idempotency_keys": "SELECT job_id, seq, CASE WHEN seq % 3 = 0 THEN 'own-' || job_id ELSE job_id || ':' || seq || ':' || name END AS key FROM steps",
@@ -130,5 +146,5 @@ SQL = {
     "lease_lapses": f"SELECT job_id, before AS last_beat, ts AS next_beat, gap_ms FROM gaps WHERE gap_ms > {LEASE_MS}",
 }
 
-QUERIES = {name: globals()[name] for name in [*SQL, "fold_outcomes", "fold_final_state"]}
+QUERIES = {name: globals()[name] for name in SQL}
 ORACLES = {name: STEPS_SQL + sql for name, sql in SQL.items()}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import backoff_bounds_ms, heartbeat_interval_ms, receipt_key
-from ..operators import admission, claims, gauges, lookups, transitions
+from ..operators import admission, apply, claims, gauges, lookups, transitions
 from ..sources.fixtures import now, raw_jobs, table
 
 CLAIM_LIMIT, TYPE_LIMIT, CAPACITY, RETENTION = 50, 10, 700, 365
@@ -102,7 +102,7 @@ def claim_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def claim_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = table(spark, sf_dir, "customer").selectExpr("explode(array('t0', 't1', 't2', 't3')) as type", "concat('cust:', c_custkey) as dedupe_key")
-    return claims.claim_by_key(jobs_of(spark, sf_dir), now(), wanted)
+    return claims.claim_by_key(jobs_of(spark, sf_dir), now(), wanted).select("type", "dedupe_key", "id", "priority", "status", "attempt", "claim_token", "claimed_at")
 
 
 def claim_with_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,10 +115,69 @@ def drain_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _commands(jobs: DataFrame) -> DataFrame:
-    """A command for each job and for as many unknown ones; tokens are right, stale or absent by id."""
+    """A command for each job and for some unknown ones; tokens are right, stale or absent by id."""
     token = "case cast(id as bigint) % 5 when 0 then 'stale' when 1 then null else coalesce(claim_token, 'none') end as token"
     own = jobs.selectExpr("id as job_id", token)
-    return own.union(jobs.filter("status = 'pending'").selectExpr("concat('x', id)", "cast(null as string)"))
+    return own.union(jobs.filter("status = 'pending'").selectExpr("concat('x', id)", "if(cast(id as bigint) % 2 = 0, 'ghost', null)"))
+
+
+def _receipts(jobs: DataFrame) -> DataFrame:
+    """What half of the completed jobs, and half of the failed ones that have a token, were told."""
+    completed = jobs.filter("status = 'completed' and cast(id as bigint) % 2 = 0").selectExpr("id as job_id", "'none' as token", "'complete' as op", "'completed' as outcome")
+    return completed.union(jobs.filter("status = 'failed' and claim_token is not null and cast(id as bigint) % 4 = 0").selectExpr("id", "claim_token", "'fail'", "'failed-terminal'"))
+
+
+OPS = ("complete", "fail", "failFatal", "release", "completeClaimed", "heartbeat", "heartbeatClaimed")
+
+
+def _decided(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Commands of all kinds, decided, and the jobs."""
+    jobs = jobs_of(spark, sf_dir)
+    op = f"element_at(array{OPS}, cast(cast(replace(job_id, 'x', '') as bigint) % {len(OPS)} as int) + 1) as op"
+    commands = _commands(jobs).selectExpr("job_id", "token", op, "concat('boom ', job_id) as reason")
+    return apply.decide(commands, jobs, _receipts(jobs)), jobs
+
+
+def apply_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _decided(spark, sf_dir)[0].select("job_id", "op", "outcome", "changes")
+
+
+def apply_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    after = apply.jobs_after(*_decided(spark, sf_dir), now())
+    return after.select("id", "status", "run_at", "completed_at", "failed_at", "fail_reason", "claimed_at", "claim_token")
+
+
+def apply_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply.new_receipts(_decided(spark, sf_dir)[0])
+
+
+def apply_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply.events(_decided(spark, sf_dir)[0], now())
+
+
+def claim_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claimed = claims.claim_per_type(jobs_of(spark, sf_dir), now(), TYPE_LIMIT)
+    return apply.claim_events(claimed, now()).select("job_id", "type", "kind", "ts", "attempt")
+
+
+def batch_heartbeat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs = jobs_of(spark, sf_dir)
+    beats = jobs.filter("cast(id as bigint) % 3 = 0").selectExpr("id as job_id").union(jobs.filter("cast(id as bigint) % 3 = 0").selectExpr("concat('x', id)"))
+    return transitions.batch_heartbeat(jobs, beats, now()).select("id", "status", "claimed_at")
+
+
+def claim_or_enqueue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = table(spark, sf_dir, "customer").selectExpr(
+        "concat('r', c_custkey) as id", "concat('t', c_custkey % 4) as type", "if(c_custkey % 5 = 0, null, concat('cust:', c_custkey)) as dedupe_key",
+        "if(c_custkey % 5 = 0, null, if(c_custkey % 2 = 0, 'pending', 'pending+active')) as dedupe_scope", "c_custkey % 6 in (0, 4) and c_custkey % 5 <> 0 as latest",
+    )
+    return claims.claim_or_enqueue(requests, jobs_of(spark, sf_dir))
+
+
+def enqueue_against_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = raw_jobs(spark, sf_dir).filter("status = 'pending' and cast(id as bigint) % 2 = 0")
+    existing = jobs_of(spark, sf_dir).filter("status in ('pending', 'active') and cast(id as bigint) % 2 = 1")
+    return admission.enqueue(requests, existing).select("id", "dedupe_key", "blocked_by", "admitted")
 
 
 def fail_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,8 +192,7 @@ def release_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def terminal_miss_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = jobs_of(spark, sf_dir)
-    receipts = jobs.filter("status = 'completed' and cast(id as bigint) % 2 = 0").selectExpr("id as job_id", "'none' as token", "'complete' as op", "'completed' as outcome")
-    return transitions.complete_outcomes(_commands(jobs), jobs, receipts)
+    return transitions.complete_outcomes(_commands(jobs), jobs, _receipts(jobs))
 
 
 def heartbeat_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,7 +239,7 @@ WITH raw AS (
     CASE WHEN o_orderstatus = 'F' AND o_orderkey % 3 = 0 THEN o_orderdate + to_seconds(600 + o_orderkey % 3600) END AS completed_at,
     CASE WHEN o_orderstatus = 'F' AND o_orderkey % 3 <> 0 THEN o_orderdate + to_seconds(600 + o_orderkey % 3600) END AS failed_at,
     CASE WHEN o_orderstatus = 'F' AND o_orderkey % 3 <> 0 THEN 'handler error' END AS fail_reason,
-    CASE WHEN o_orderstatus = 'O' THEN left(sha256('tok:' || o_orderkey), 16) END AS claim_token,
+    CASE WHEN o_orderstatus = 'O' OR o_orderstatus = 'F' AND o_orderkey % 3 = 1 AND o_orderkey % 2 = 0 THEN left(sha256('tok:' || o_orderkey), 16) END AS claim_token,
     TIMESTAMP '1999-01-01 00:00:00' AS now
   FROM orders
 ), jobs AS (
@@ -214,7 +272,10 @@ WITH raw AS (
   SELECT id AS bid, low_ms, high_ms, CASE WHEN backoff_strategy = 'fixed' THEN low_ms ELSE greatest(low_ms, CAST(floor(high_ms * share) AS BIGINT)) END AS delay_ms FROM bounds
 ), commands AS (
   SELECT id AS job_id, CASE CAST(id AS BIGINT) % 5 WHEN 0 THEN 'stale' WHEN 1 THEN NULL ELSE coalesce(claim_token, 'none') END AS token FROM jobs
-  UNION ALL SELECT 'x' || id, NULL FROM jobs WHERE status = 'pending'
+  UNION ALL SELECT 'x' || id, CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN 'ghost' END FROM jobs WHERE status = 'pending'
+), rec AS (
+  SELECT id AS rid, 'none' AS rtok, 'complete' AS rop, 'completed' AS rout FROM jobs WHERE status = 'completed' AND CAST(id AS BIGINT) % 2 = 0
+  UNION ALL SELECT id, claim_token, 'fail', 'failed-terminal' FROM jobs WHERE status = 'failed' AND claim_token IS NOT NULL AND CAST(id AS BIGINT) % 4 = 0
 ), hit AS (
   SELECT c.job_id, c.token, j.*, f.fk IS NOT NULL AND j.dedupe_scope = 'pending' AS followed,
     CASE WHEN j.id IS NULL THEN 'not-found' WHEN j.status IN ('completed', 'failed', 'superseded') THEN 'already-terminal' ELSE 'lease-lost' END AS miss,
@@ -238,6 +299,37 @@ ENQUEUE = """, req AS (
 """
 COALESCE = "SELECT dedupe_key, first(id ORDER BY run_at, id) AS id, first(type ORDER BY run_at, id) AS type, first(priority ORDER BY run_at, id) AS priority, min(run_at) AS run_at, {data} AS data, count(*) AS n_requests FROM raw WHERE dedupe_scope = 'pending' GROUP BY dedupe_key"
 DONE = f"(status = 'completed' AND completed_at < now - INTERVAL {RETENTION} DAY OR status IN ('failed', 'superseded') AND failed_at < now - INTERVAL {RETENTION} DAY)"
+DECIDED = f""", ordered AS (
+  SELECT h.*, [{", ".join(repr(x) for x in OPS)}][CAST(CAST(replace(job_id, 'x', '') AS BIGINT) % {len(OPS)} AS INT) + 1] AS op, 'boom ' || job_id AS reason FROM hit h
+), answered AS (
+  SELECT o.*, r.rout AS told, a.rid IS NOT NULL AS answered, coalesce(claim_token = token, false) AS own FROM ordered o
+  LEFT JOIN rec r ON job_id = r.rid AND coalesce(token, '') = r.rtok AND op = r.rop LEFT JOIN (SELECT DISTINCT rid, rtok FROM rec) a ON job_id = a.rid AND token = a.rtok
+), tried AS (
+  SELECT *, coalesce(CASE op WHEN 'complete' THEN applied OR status = 'failed' AND own AND NOT answered WHEN 'release' THEN applied AND status = 'active' WHEN 'completeClaimed' THEN own AND status IN ('active', 'failed')
+    WHEN 'heartbeatClaimed' THEN own AND status = 'active' WHEN 'heartbeat' THEN token IS NULL OR own AND status = 'active' ELSE applied END, false) AS done FROM answered
+), decided AS (
+  SELECT *, told IS NULL AND done AND id IS NOT NULL AS changes, CASE WHEN told IS NOT NULL THEN told
+    WHEN NOT done THEN CASE WHEN op IN ('complete', 'fail', 'failFatal', 'release') THEN miss ELSE 'lease-lost' END
+    WHEN op IN ('complete', 'completeClaimed') THEN 'completed' WHEN op = 'failFatal' THEN 'failed-terminal' WHEN op = 'heartbeat' THEN 'applied' WHEN op = 'heartbeatClaimed' THEN 'heartbeated'
+    WHEN coalesce(followed, false) THEN 'superseded' WHEN op = 'release' THEN 'released' WHEN attempt >= max_attempts THEN 'failed-terminal' ELSE 'retry-scheduled' END AS outcome FROM tried
+)
+"""
+AFTER = f"""SELECT j.id,
+    CASE d.outcome WHEN 'completed' THEN 'completed' WHEN 'retry-scheduled' THEN 'pending' WHEN 'released' THEN 'pending' WHEN 'superseded' THEN 'superseded' WHEN 'failed-terminal' THEN 'failed' ELSE j.status END AS status,
+    CASE d.outcome WHEN 'retry-scheduled' THEN j.now + to_milliseconds(delay_ms) WHEN 'released' THEN j.now ELSE j.run_at END AS run_at,
+    CASE d.outcome WHEN 'completed' THEN j.now ELSE j.completed_at END AS completed_at,
+    CASE WHEN d.outcome IN ('failed-terminal', 'superseded') THEN j.now WHEN d.outcome = 'completed' THEN NULL ELSE j.failed_at END AS failed_at,
+    CASE WHEN d.outcome = 'superseded' THEN CASE WHEN d.op = 'release' THEN 'Released' ELSE d.reason END || '{apply.SUPERSEDED_NOTE}' WHEN d.outcome IN ('failed-terminal', 'retry-scheduled') THEN d.reason
+      WHEN d.outcome = 'completed' THEN NULL ELSE j.fail_reason END AS fail_reason,
+    CASE WHEN d.outcome IN ('applied', 'heartbeated') THEN j.now WHEN d.outcome = 'released' THEN NULL ELSE j.claimed_at END AS claimed_at,
+    CASE WHEN d.outcome = 'released' THEN NULL ELSE j.claim_token END AS claim_token
+  FROM jobs j LEFT JOIN (SELECT * FROM decided WHERE changes) d ON j.id = d.id LEFT JOIN delays ON j.id = bid"""
+EVENTS = """, e AS (
+  SELECT *, CASE WHEN outcome = 'lease-lost' THEN 'lease-lost' WHEN NOT changes THEN NULL WHEN outcome = 'completed' THEN 'completed' WHEN op = 'failFatal' THEN 'fail-fatal'
+    WHEN op = 'release' THEN CASE WHEN outcome = 'released' THEN 'shutdown-released' ELSE 'superseded' END WHEN op = 'fail' THEN CASE WHEN outcome = 'superseded' THEN 'superseded' ELSE 'failed' END END AS kind FROM decided)
+SELECT job_id, type, kind, TIMESTAMP '1999-01-01 00:00:00' AS ts, CASE WHEN kind IN ('completed', 'failed', 'superseded') THEN datesub('millisecond', claimed_at, now) END AS duration_ms,
+  CASE WHEN kind = 'failed' THEN attempt END AS attempt, CASE WHEN kind = 'failed' THEN max_attempts END AS max_attempts, CASE WHEN kind = 'failed' THEN outcome = 'failed-terminal' END AS terminal,
+  CASE WHEN kind IN ('failed', 'superseded', 'fail-fatal') THEN reason END AS reason, CASE WHEN kind = 'lease-lost' THEN op END AS op FROM e WHERE kind IS NOT NULL"""
 
 SQL = {
     "queue_stats": f"SELECT {GAUGES} FROM jobs",
@@ -261,7 +353,8 @@ SQL = {
     "claim_next_per_type": f"SELECT {CLAIM_COLS} FROM claimed WHERE rn <= {TYPE_LIMIT}",
     "claim_blocked": """SELECT d.id, d.dedupe_key, j.id AS holder_id, j.type AS holder_type, d.type <> j.type AS cross_type
         FROM due d JOIN jobs j ON d.dedupe_key = j.dedupe_key AND d.dedupe_scope = j.dedupe_scope AND j.status = 'active'""",
-    "claim_by_key": """SELECT w.type, w.dedupe_key, f.id, f.priority FROM (SELECT unnest(['t0', 't1', 't2', 't3']) AS type, 'cust:' || c_custkey AS dedupe_key FROM customer) w
+    "claim_by_key": """SELECT w.type, w.dedupe_key, f.id, f.priority, CASE WHEN f.id IS NOT NULL THEN 'active' END AS status, f.attempt + 1 AS attempt,
+          CASE WHEN f.id IS NOT NULL THEN left(sha256('claim:' || f.id || ':' || (f.attempt + 1)), 16) END AS claim_token, CASE WHEN f.id IS NOT NULL THEN f.now END AS claimed_at FROM (SELECT unnest(['t0', 't1', 't2', 't3']) AS type, 'cust:' || c_custkey AS dedupe_key FROM customer) w
         LEFT JOIN free f ON w.type = f.type AND w.dedupe_key = f.dedupe_key""",
     "claim_with_capacity": f"""SELECT {CLAIM_COLS} FROM claimed c WHERE rn <= greatest(0, {CAPACITY} + CAST(substr(type, 2) AS INT) - (SELECT count(*) FROM jobs j WHERE j.type = c.type AND j.status = 'active'))""",
     "drain_chain": """SELECT id, type, dedupe_key, place FROM (
@@ -269,8 +362,32 @@ SQL = {
     "fail_outcomes": """, o AS (SELECT job_id, id, now, CASE WHEN NOT applied THEN miss WHEN followed THEN 'superseded' WHEN attempt >= max_attempts THEN 'failed-terminal' ELSE 'retry-scheduled' END AS outcome FROM hit)
         SELECT job_id, outcome, CASE WHEN outcome = 'retry-scheduled' THEN now + to_milliseconds(delay_ms) END AS retry_run_at FROM o LEFT JOIN delays ON id = bid""",
     "release_outcomes": "SELECT job_id, CASE WHEN NOT (applied AND status = 'active') THEN miss WHEN followed THEN 'superseded' ELSE 'released' END AS outcome FROM hit",
-    "terminal_miss_class": """SELECT job_id, CASE WHEN status = 'completed' AND CAST(id AS BIGINT) % 2 = 0 AND token = 'none' THEN 'completed' WHEN applied THEN 'completed' ELSE miss END AS outcome FROM hit""",
-    "heartbeat_outcomes": "SELECT job_id, CASE WHEN token IS NULL OR coalesce(status = 'active' AND claim_token = token, false) THEN 'applied' WHEN status IS NULL THEN 'not-found' ELSE 'lease-lost' END AS outcome FROM hit",
+    "terminal_miss_class": """SELECT job_id, CASE WHEN r.rout IS NOT NULL THEN r.rout WHEN applied THEN 'completed' WHEN status = 'failed' AND claim_token = token AND a.rid IS NULL THEN 'completed' ELSE miss END AS outcome
+        FROM hit LEFT JOIN rec r ON job_id = r.rid AND token = r.rtok AND r.rop = 'complete' LEFT JOIN (SELECT DISTINCT rid, rtok FROM rec) a ON job_id = a.rid AND token = a.rtok""",
+    "apply_outcomes": DECIDED + "SELECT job_id, op, outcome, changes FROM decided",
+    "apply_jobs": DECIDED + AFTER,
+    "apply_receipts": DECIDED + "SELECT job_id, token, op, outcome FROM decided WHERE changes AND op IN ('complete', 'fail', 'failFatal', 'release')",
+    "apply_events": DECIDED + EVENTS,
+    "claim_events": f"SELECT id AS job_id, type, 'claimed' AS kind, TIMESTAMP '1999-01-01 00:00:00' AS ts, attempt FROM claimed WHERE rn <= {TYPE_LIMIT}",
+    "batch_heartbeat": "SELECT id, status, CASE WHEN status = 'active' AND CAST(id AS BIGINT) % 3 = 0 THEN now ELSE claimed_at END AS claimed_at FROM jobs",
+    "claim_or_enqueue": """, q AS (
+          SELECT 'r' || c_custkey AS id, 't' || (c_custkey % 4) AS type, CASE WHEN c_custkey % 5 <> 0 THEN 'cust:' || c_custkey END AS dedupe_key,
+            CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 2 = 0 THEN 'pending' ELSE 'pending+active' END AS dedupe_scope, c_custkey % 6 IN (0, 4) AND c_custkey % 5 <> 0 AS latest FROM customer
+        ), p AS (
+          SELECT q.*, (SELECT count(*) FROM jobs j WHERE j.dedupe_key = q.dedupe_key AND j.status = 'pending') AS n_pending,
+            (SELECT max(j.id) FROM jobs j WHERE j.dedupe_key = q.dedupe_key AND j.status = 'pending' AND j.dedupe_scope = 'pending') AS follower,
+            (SELECT max(j.type) FROM jobs j WHERE j.dedupe_key = q.dedupe_key AND j.status = 'pending' AND j.dedupe_scope = 'pending') AS follower_type,
+            (SELECT count(*) FROM jobs j WHERE j.dedupe_key = q.dedupe_key AND j.dedupe_scope = q.dedupe_scope AND (j.status = 'active' OR j.status = 'pending' AND j.dedupe_scope = 'pending+active')) AS taken
+          FROM q
+        ), o AS (
+          SELECT *, CASE WHEN dedupe_key IS NULL THEN 'claimed' WHEN latest AND follower_type = type THEN 'replaced' WHEN NOT latest AND n_pending > 0 THEN 'waiting' WHEN taken = 0 THEN 'claimed'
+            WHEN dedupe_scope <> 'pending' THEN 'rejected' WHEN follower IS NOT NULL THEN 'yielded' ELSE 'queued' END AS outcome FROM p)
+        SELECT id, type, dedupe_key, dedupe_scope, latest, outcome, CASE WHEN outcome = 'replaced' THEN follower WHEN outcome IN ('claimed', 'queued') THEN id END AS job_id FROM o""",
+    "enqueue_against_open": """, h2 AS (SELECT DISTINCT dedupe_key, dedupe_scope FROM jobs WHERE dedupe_key IS NOT NULL AND CAST(id AS BIGINT) % 2 = 1 AND (status = 'pending' OR status = 'active' AND dedupe_scope = 'pending+active')),
+        r2 AS (SELECT r.id, r.dedupe_key, CASE WHEN r.dedupe_key IS NULL THEN NULL WHEN h2.dedupe_key IS NOT NULL THEN 'existing' WHEN row_number() OVER (PARTITION BY r.dedupe_key, r.dedupe_scope ORDER BY r.run_at, r.id) > 1 THEN 'batch' END AS blocked_by
+          FROM raw r LEFT JOIN h2 ON r.dedupe_key = h2.dedupe_key AND r.dedupe_scope = h2.dedupe_scope WHERE r.status = 'pending' AND CAST(r.id AS BIGINT) % 2 = 0)
+        SELECT *, blocked_by IS NULL AS admitted FROM r2""",
+    "heartbeat_outcomes": "SELECT job_id, CASE WHEN token IS NULL OR coalesce(status = 'active' AND claim_token = token, false) THEN 'applied' ELSE 'lease-lost' END AS outcome FROM hit",
     "reaper_candidates": "SELECT id, claimed_at FROM reaped",
     "reaper_outcomes": f""", o AS (SELECT r.*, CASE WHEN f.fk IS NOT NULL AND dedupe_scope = 'pending' THEN 'superseded' WHEN attempt >= max_attempts THEN 'failed' ELSE 'pending' END AS new_status FROM reaped r LEFT JOIN followers f ON dedupe_key = fk)
         SELECT id, new_status, CASE WHEN new_status = 'failed' THEN '{transitions.REAPED}' END AS fail_reason, CASE WHEN new_status = 'pending' THEN now + to_milliseconds(delay_ms) END AS new_run_at FROM o LEFT JOIN delays ON id = bid""",

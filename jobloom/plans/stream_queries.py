@@ -12,9 +12,15 @@ from ..streaming import feed
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared one; below a temporary one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='jobloom-')}"
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    """A new folder below the cluster's shared one; in local mode, where none is set, below a temporary one. It goes when the application ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='jobloom-')}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/stream-{uuid.uuid4().hex}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return str(folder.toString())
 
 
 def cdc_pending_feed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,7 +45,8 @@ def jobs_from_orders(orders: DataFrame) -> DataFrame:
         "if(o_orderstatus = 'F' and o_orderkey % 3 = 0, timestampadd(SECOND, cast(600 + o_orderkey % 3600 as int), o_orderdate), null) as completed_at",
         "if(o_orderstatus = 'F' and o_orderkey % 3 <> 0, timestampadd(SECOND, cast(600 + o_orderkey % 3600 as int), o_orderdate), null) as failed_at",
         "if(o_orderstatus = 'F' and o_orderkey % 3 <> 0, 'handler error', null) as fail_reason",
-        "if(o_orderstatus = 'O', substring(sha2(concat('tok:', o_orderkey), 256), 1, 16), null) as claim_token",
+        # the reaper leaves a failed job its token
+        "if(o_orderstatus = 'O' or o_orderstatus = 'F' and o_orderkey % 3 = 1 and o_orderkey % 2 = 0, substring(sha2(concat('tok:', o_orderkey), 256), 1, 16), null) as claim_token",
     )
 
 
@@ -78,22 +79,3 @@ def lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def heartbeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beats of workers: each event is a beat of its user's job."""
     return table(spark, sf_dir, "events").selectExpr("cast(user_id as string) as job_id", "ts")
-
-
-def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A lifecycle command for each event. A user's jobs share a slot with those of one neighbour."""
-    ops = "array('enqueue','claim','complete','enqueue','claim','fail','claimOrEnqueue','heartbeat','release','claimOrEnqueueLatest','step','failFatal','claim','completeClaimed')"
-    return table(spark, sf_dir, "events").selectExpr(
-        "event_id as seq",
-        f"element_at({ops}, cast(event_id % 14 + 1 as int)) as op",
-        "concat('j', event_id) as job_id",
-        "concat('t', user_id % 2) as type",
-        "if(user_id % 3 = 0, null, concat('k', user_id div 2)) as dedupe_key",
-        "if(user_id % 3 = 0, null, if(user_id div 2 % 2 = 0, 'pending', 'pending+active')) as dedupe_scope",
-        "concat('u', user_id) as group_id",
-        "props as data",
-        "if(event_id % 11 = 0, 'stale', null) as token",
-        "cast(1 + user_id % 3 as int) as max_attempts",
-        "cast(event_id % 5 as int) as step_seq",
-        "concat('s', event_id % 5) as step_name",
-    )

@@ -30,7 +30,7 @@ class QueueStore(Protocol):
     def reset(self) -> None: ...
 
 
-LOGS = {"commands": schemas.COMMANDS, "events": schemas.EVENTS, "steps": schemas.STEPS}
+LOGS = {"commands": schemas.COMMANDS, "events": schemas.EVENTS, "steps": schemas.STEPS, "receipts": schemas.RECEIPTS}
 
 
 @dataclass
@@ -45,14 +45,17 @@ class ParquetStore:
         folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/jobs")
         return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()), folder
 
-    def version(self) -> int:
-        """The newest complete version; 0 for none."""
+    def _versions(self) -> list[tuple[int, bool]]:
+        """All versions, and whether each is complete."""
         fs, folder = self._fs()
         if not fs.exists(folder):
-            return 0
-        found = [x.getPath() for x in fs.listStatus(folder)]
+            return []
         marker = self.spark._jvm.org.apache.hadoop.fs.Path
-        return max((int(p.getName()[1:]) for p in found if fs.exists(marker(p, "_SUCCESS"))), default=0)
+        return [(int(p.getName()[1:]), fs.exists(marker(p, "_SUCCESS"))) for p in (x.getPath() for x in fs.listStatus(folder))]
+
+    def version(self) -> int:
+        """The newest complete version; 0 for none."""
+        return max((n for n, whole in self._versions() if whole), default=0)
 
     def jobs(self) -> DataFrame:
         """The jobs of the newest version; without one, no rows."""
@@ -63,7 +66,7 @@ class ParquetStore:
 
     def save_jobs(self, jobs: DataFrame) -> int:
         """Write the next version, and say which it is."""
-        n = self.version() + 1
+        n = max((n for n, _ in self._versions()), default=0) + 1  # after what a dead writer has left, too
         names = [f.split()[0] for f in schemas.JOBS.replace("\n", " ").split(",")]
         jobs.select(*names).write.partitionBy("status").parquet(f"{self.path}/jobs/v{n}")
         return n
@@ -93,13 +96,15 @@ class ParquetStore:
 
 
 _default: list[QueueStore] = []
+_scoped: list[QueueStore] = []
 
 
 def default_store() -> QueueStore:
     """The store that with_store() or set_default_store() has set."""
-    if not _default:
+    found = _scoped or _default
+    if not found:
         raise LookupError("no default store is set")
-    return _default[-1]
+    return found[0]
 
 
 def set_default_store(store: QueueStore | None) -> None:
@@ -112,10 +117,10 @@ def set_default_store(store: QueueStore | None) -> None:
 @contextmanager
 def with_store(store: QueueStore):
     """A default store for a block; blocks can't be nested."""
-    if len(_default) > 1:
+    if _scoped:
         raise RuntimeError("a scoped store is already set")
-    _default.append(store)
+    _scoped.append(store)
     try:
         yield store
     finally:
-        _default.pop()
+        _scoped.clear()

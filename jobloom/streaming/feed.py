@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-#: Wait between batches when rows are pushed, and when they are polled for.
+#: Wait between batches when rows are polled for, and when they are pushed besides.
 POLL_MS, POLL_WITH_PUSH_MS = 5_000, 60_000
 
 

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import admission, lookups, transitions
+from ..operators import admission, apply, lookups, transitions
 from ..sources.store import QueueStore
+from .feed import POLL_MS
 
+#: Wait between sweeps.
 REAPER_MS = 60_000
 
 
@@ -22,7 +24,7 @@ def admit_requests(requests: DataFrame, store: QueueStore, checkpoint: str, once
         store.save_jobs(jobs.unionByName(fresh))
 
     writer = requests.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="5 seconds")).start()
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{POLL_MS} milliseconds")).start()
 
 
 def swept(jobs: DataFrame, now: Column, timeout_ms: int = transitions.VISIBILITY_MS, most: int = 1_000) -> DataFrame:
@@ -40,6 +42,39 @@ def swept(jobs: DataFrame, now: Column, timeout_ms: int = transitions.VISIBILITY
     ).select(jobs.columns)
 
 
+def apply_batch(commands: DataFrame, store: QueueStore, now: Column) -> None:
+    """Apply commands (job_id, op, token, reason), one for a job, to the store: jobs, then receipts, then events.
+
+    A batch that runs again is answered by its receipts and changes nothing.
+    """
+    jobs = store.jobs()
+    decided = apply.decide(commands, jobs, store.log("receipts"))
+    receipts, told = apply.new_receipts(decided), apply.events(decided, now)
+    store.save_jobs(apply.jobs_after(decided, jobs, now))
+    store.append("events", told)
+    store.append("receipts", receipts)
+
+
+def apply_commands(commands: DataFrame, store: QueueStore, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """A stream of commands (job_id, op, token, reason, at) applied batch by batch; of several for a job in a batch the first by at counts."""
+
+    def batch(rows: DataFrame, _: int) -> None:
+        first = rows.groupBy("job_id").agg(F.min_by(F.struct("op", "token", "reason", "at"), "at").alias("c")).select("job_id", "c.op", "c.token", "c.reason")
+        apply_batch(first, store, F.lit(rows.agg(F.max("at")).first()[0]).cast("timestamp_ntz"))
+
+    writer = commands.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{POLL_MS} milliseconds")).start()
+
+
+def sweep_periodically(ticks: DataFrame, store: QueueStore, checkpoint: str, timeout_ms: int = transitions.VISIBILITY_MS) -> StreamingQuery:
+    """A stream of ticks (a rate source, say) whose every batch, REAPER_MS apart, sweeps the store once."""
+
+    def batch(rows: DataFrame, _: int) -> None:
+        store.save_jobs(swept(store.jobs(), F.expr("cast(current_timestamp() as timestamp_ntz)"), timeout_ms))
+
+    return ticks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=f"{REAPER_MS} milliseconds").start()
+
+
 def cleaned(jobs: DataFrame, now: Column, days: int = lookups.RETENTION_DAYS) -> DataFrame:
     """jobs without those that retention deletes."""
     return lookups.retention_survivors(jobs, now, days)

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,17 +100,82 @@ def test_resumed_runs_replay_their_steps(spark):
     jobs = spark.createDataFrame([("r1", None), ("r2", None), ("r3", None), ("r4", None)], "job_id string, data string")
     steps = spark.createDataFrame([("r2", 0, "first", json.dumps({"key": "old", "n": 5})), ("r4", 0, "other", "1")], schemas.STEPS)
     got = {r.job_id: r for r in processing.run_orchestrations(jobs, steps, body).collect()}
-    assert json.loads(got["r1"].result)[:2] == ["r1:0:first", 2] and len(got["r1"].new_steps) == 2
-    assert json.loads(got["r2"].result)[:2] == ["old", 6] and [s.seq for s in got["r2"].new_steps] == [1]
+    assert json.loads(got["r1"].result)[:2] == ["r1:0:first", 2] and [s.seq for s in got["r1"].new_steps] == [0, 1, -1]
+    assert json.loads(got["r2"].result)[:2] == ["old", 6] and [s.seq for s in got["r2"].new_steps] == [1, -1]
     assert got["r3"].op == "fail" and [s.name for s in got["r3"].new_steps] == ["first"]
     assert got["r4"].op == "failFatal"
     with pytest.raises(processing.NonSerializableStepResult):
         processing.serializable({"a": [object()]})
 
 
-def test_control_path_lint():
-    bad = "def body(run):\n    t = time.time()\n    run.step('a', lambda k: random.random())\n    return uuid.uuid4()\n"
-    assert processing.control_path_problems(bad) == [(2, "time.time"), (4, "uuid.uuid4")]
+def test_uuids_are_a_runs_own_and_frozen():
+    one, two = processing.Run("r", None, {}), processing.Run("r", None, {})
+    assert one.uuid("x") != two.uuid("x") and one.uuid("x") == one.uuid("x") != one.uuid("y")
+    (seq, name, result), *rest = one.new
+    again = processing.Run("r", None, {seq: (name, result)})
+    assert seq == -1 and not rest and again.uuid("x") == one.uuid("x") and again.now() == one.now() and not again.new
+
+
+def test_a_journal_has_a_limit_and_steps_a_time():
+    run = processing.Run("r", None, {}, limit=200)
+    run.step("small", lambda key: "x" * 50)
+    with pytest.raises(processing.JournalTooLarge):
+        run.step("large", lambda key: "x" * 100)
+    with pytest.raises(processing.StepTimeout):
+        processing.Run("r", None, {}).step("slow", lambda key: time.sleep(0.02), timeout_ms=5)
+    with pytest.raises(processing.StepTimeout):
+        processing.Run("r", None, {}, duration_ms=5).step("slow", lambda key: time.sleep(0.02))
+
+
+def test_json_bytes_agree(spark):
+    from jobloom.functions.scalars import record_bytes
+
+    rows = [(0, "a", "plain"), (1, 'q"\\', "é\n\t 日本 🙂/"), (2, None, None)]
+    df = spark.createDataFrame(rows, "seq int, name string, result string")
+    got = [r[0] for r in df.orderBy("seq").select(record_bytes(F.col("seq"), F.col("name"), F.col("result"))).collect()]
+    assert got == [processing.json_bytes(*r) for r in rows]
+
+
+def test_commands_are_applied_once(spark, tmp_path):
+    s = store.ParquetStore(spark, str(tmp_path / "store"))
+    jobs = fixtures.raw_jobs(spark, SF).filter("status = 'active'").limit(30)
+    s.save_jobs(jobs)
+    held = s.jobs().select(F.col("id").alias("job_id"), F.lit("complete").alias("op"), F.col("claim_token").alias("token"), F.lit("r").alias("reason"), F.lit("1999-01-01").cast("timestamp").alias("at"))
+    held.write.parquet(str(tmp_path / "commands"))
+    for k in range(2):  # the second time they are told what they were told before
+        stream = spark.readStream.schema(held.schema).parquet(str(tmp_path / "commands"))
+        upkeep.apply_commands(stream, s, str(tmp_path / f"offsets{k}")).awaitTermination()
+    assert s.jobs().filter("status = 'completed'").count() == 30
+    assert s.log("events").filter("kind = 'completed' and duration_ms is not null").count() == 30 and s.log("receipts").count() == 30
+
+
+def test_a_dead_writers_version_is_passed_over(spark, tmp_path):
+    s = store.ParquetStore(spark, str(tmp_path))
+    s.save_jobs(fixtures.raw_jobs(spark, SF).limit(3))
+    (tmp_path / "jobs" / "v2").mkdir()
+    assert s.version() == 1 and s.save_jobs(s.jobs()) == 3 and s.jobs().count() == 3
+    with store.with_store(s), pytest.raises(RuntimeError), store.with_store(s):
+        pass
+    with pytest.raises(LookupError):
+        store.default_store()
+
+
+def test_leases_follow_appended_steps(spark):
+    from jobloom.operators import journal
+
+    jobs = fixtures.raw_jobs(spark, SF).filter("status = 'active'").limit(2)
+    first = jobs.orderBy("id").first()
+    appended = journal.append_steps(spark.createDataFrame([(first.id, first.claim_token, 0, "a", "1")], "job_id string, token string, seq int, name string, result string"), jobs, spark.createDataFrame([], schemas.STEPS))
+    after = {r.id: r.claimed_at for r in journal.leases_renewed(jobs, appended, fixtures.now()).collect()}
+    assert sorted(str(t) == "1999-01-01 00:00:00" for t in after.values()) == [False, True] and str(after[first.id]) == "1999-01-01 00:00:00"
+
+
+def test_times_lie_any_distance_apart(spark):
+    from jobloom.functions.scalars import later_by_ms
+
+    rows = spark.createDataFrame([(ms,) for ms in (0, 1, -1, -300_000, 86_400_000, -86_400_000, 90 * 86_400_000 + 5, -90 * 86_400_000 - 5)], "ms bigint")
+    got = rows.select("ms", later_by_ms(fixtures.now(), F.col("ms")).alias("t")).collect()
+    assert all(r.t == dt.datetime(1999, 1, 1) + dt.timedelta(milliseconds=r.ms) for r in got)
 
 
 def test_backoff_never_leaves_its_bounds(spark):
