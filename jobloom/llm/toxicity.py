@@ -8,7 +8,7 @@ at most) are broadcast. Scoring is one pass over the texts without a shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import discard, saved, shuffle_width, table
 
 #: Labelled rows that take part in fitting, chosen by a hash of their id.
 SAMPLE_ROWS = 10_000
@@ -61,38 +61,63 @@ def _present(text: str | None, seen: np.ndarray) -> np.ndarray:
     return idx[seen[idx] == row]
 
 
-def fit_arrays(texts: list[str | None], labels: np.ndarray, l2: float = 1.0, steps: int = 150) -> ToxicityModel:
-    """Fit on texts in memory; labels are 0 or 1. With one label only, or none, the bias alone decides."""
-    y = np.asarray(labels, float)
-    pos, neg = y.sum(), len(y) - y.sum()
+class Counts(NamedTuple):
+    """Rows and, of each bucket, rows that have it, for labels 0 and 1."""
+
+    rows: np.ndarray
+    df: np.ndarray
+
+
+def count_buckets(rows: Iterator[tuple[str | None, int]]) -> Counts:
+    """One pass over (text, label); memory is that of the buckets and of one text."""
+    size = 1 << BUCKET_BITS
+    seen, df, n = np.zeros(size, np.int32), np.zeros((2, size), np.float32), np.zeros(2)
+    for text, label in rows:
+        df[label, _present(text, seen)] += 1
+        n[label] += 1
+    return Counts(n, df)
+
+
+def choose(counts: Counts) -> ToxicityModel:
+    """The surest n-grams with their log-count ratios as weights, not fitted yet; none where one label has no rows."""
+    (neg, pos), (df0, df1) = counts.rows, counts.df
     prior = float(np.log((pos + 1) / (neg + 2)))
     if not pos or not neg:
         return ToxicityModel(np.empty(0, np.int64), np.empty(0), prior)
-    size = 1 << BUCKET_BITS
-    seen, df = np.zeros(size, np.int32), np.zeros((2, size), np.float32)
-    for text, label in zip(texts, y, strict=True):
-        df[int(label), _present(text, seen)] += 1
-    p, q = (df[1] + 1) / (pos + 2), (df[0] + 1) / (neg + 2)
-    ratio = np.log(p / q)
-    sure = np.abs(ratio) / np.sqrt(1 / (df[1] + 1) + 1 / (df[0] + 1))
-    sure[df.sum(0) < 4] = 0
+    ratio = np.log((df1 + 1) / (pos + 2)) - np.log((df0 + 1) / (neg + 2))
+    sure = np.abs(ratio) / np.sqrt(1 / (df1 + 1) + 1 / (df0 + 1))
+    sure[counts.df.sum(0) < 4] = 0
     chosen = np.sort(np.argsort(-sure, kind="stable")[:FEATURES])
     chosen = chosen[sure[chosen] > 2]
-    number = np.full(size, -1, np.int32)
-    number[chosen] = np.arange(len(chosen))
-    rows, cols = [], []
-    for i, text in enumerate(texts):
-        found = number[_present(text, seen)]
-        found = found[found >= 0]
-        rows.append(np.full(len(found), i))
-        cols.append(found)
-    row, col = np.concatenate(rows), np.concatenate(cols)
-    value = ratio[chosen][col]
-    w, b = np.zeros(len(chosen)), prior
+    return ToxicityModel(chosen.astype(np.int64), ratio[chosen].astype(float), prior)
+
+
+def features(text: str | None, number: np.ndarray) -> np.ndarray:
+    """Places in the model of the n-grams that a text has; number maps a bucket to its place plus 1, or 0."""
+    hit = [x[x > 0] for x in (number[b] for b in ngram_buckets(text))]
+    return np.unique(np.concatenate(hit)) - 1 if hit else np.empty(0, np.int64)
+
+
+def numbered(model: ToxicityModel) -> np.ndarray:
+    """What features() looks buckets up in."""
+    number = np.zeros(1 << BUCKET_BITS, np.int32)
+    number[model.buckets] = np.arange(1, len(model.buckets) + 1)
+    return number
+
+
+def fit_weights(model: ToxicityModel, found: list[np.ndarray], labels: np.ndarray, l2: float = 1.0, steps: int = 150) -> ToxicityModel:
+    """Logistic regression over rows of features(), each present n-gram having its ratio as value."""
+    y = np.asarray(labels, float)
+    if not len(model.buckets) or not len(y):
+        return model
+    row, col = np.repeat(np.arange(len(y)), [len(x) for x in found]), np.concatenate(found).astype(np.int64)
+    ratio = model.weights
+    value = ratio[col]
+    w, b = np.zeros(len(ratio)), model.bias
     # accelerated gradient descent; the step is bounded by the largest curvature
     scale = np.bincount(row, value**2, len(y)).max() + 1
     rate = 1 / (0.25 * scale * np.sqrt(len(y)) + l2)
-    ahead, momentum = w.copy(), 0.0
+    ahead = w.copy()
     for k in range(steps):
         z = np.bincount(row, ahead[col] * value, len(y)) + b
         err = 1 / (1 + np.exp(-z)) - y
@@ -102,42 +127,71 @@ def fit_arrays(texts: list[str | None], labels: np.ndarray, l2: float = 1.0, ste
         w = new
         curve = np.maximum(np.exp(-np.abs(z)), 0.02).sum()
         b -= err.sum() / (0.25 * curve + 1)
-    return ToxicityModel(chosen.astype(np.int64), w * ratio[chosen], float(b))
+    return ToxicityModel(model.buckets, w * ratio, float(b))
+
+
+def fit_arrays(texts: list[str | None], labels: np.ndarray) -> ToxicityModel:
+    """Fit on texts in memory; labels are 0 or 1. With one label only, or none, the bias alone decides."""
+    model = choose(count_buckets(zip(texts, map(int, labels), strict=True)))
+    number = numbered(model)
+    return fit_weights(model, [features(t, number) for t in texts], labels)
 
 
 def fit_toxicity(labelled: DataFrame, text_col: str = "text", label_col: str = "label") -> ToxicityModel:
-    """Fit on at most SAMPLE_ROWS rows of (text, label); the caller bounds them.
+    """Fit on at most SAMPLE_ROWS rows of (text, label); the caller bounds them, and no task holds more than one of their texts.
 
-    One task fits; what comes back to the driver has FEATURES weights at most.
+    The rows are written to the shared folder. One task counts n-grams text by text; then all
+    tasks turn texts into places of the chosen n-grams, FEATURES a row at most, and one task fits
+    weights to these. What comes to the driver has FEATURES weights at most. Rows without one of
+    the two labels are left out; equal rows each count, in no order. Without rows the bias decides.
     """
+    rows = labelled.select(F.col(f"`{text_col}`").cast("string").alias("t"), F.col(f"`{label_col}`").cast("int").alias("y")).filter("y in (0, 1)")
+    rows = saved(rows, "labelled")
+
+    def packed(model: ToxicityModel) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"b": [model.buckets.astype("<i8").tobytes()], "w": [model.weights.astype("<f8").tobytes()], "bias": [model.bias]})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield packed(choose(count_buckets((t.as_py(), y.as_py()) for batch in batches for t, y in zip(*batch.columns, strict=True))))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = numbered(sent.value)
+        for batch in batches:
+            found = [features(t.as_py(), number).astype(np.int32) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["y", "x"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts: list[str | None] = []
-        labels: list[int] = []
+        labels, found = [], []
         for batch in batches:
-            texts += batch.column(0).to_pylist()
-            labels += batch.column(1).to_pylist()
-        model = fit_arrays(texts, np.array(labels, int))
-        yield pa.RecordBatch.from_pydict({"b": [model.buckets.astype("<i8").tobytes()], "w": [model.weights.astype("<f8").tobytes()], "bias": [model.bias]})
+            labels += batch.column(0).to_pylist()
+            found += [x.values.to_numpy() for x in batch.column(1)]
+        yield packed(fit_weights(sent.value, found, np.array(labels, int)))
 
-    rows = labelled.select(F.col(f"`{text_col}`").cast("string").alias("t"), F.col(f"`{label_col}`").cast("int").alias("y")).filter("y in (0, 1)")
-    got = rows.repartition(1).sortWithinPartitions("t", "y").mapInArrow(fit, "b binary, w binary, bias double").first()
-    if got is None:  # not a single row
-        return fit_arrays([], np.empty(0))
-    return ToxicityModel(np.frombuffer(got.b, "<i8"), np.frombuffer(got.w, "<f8"), got.bias)
+    def model_of(df: DataFrame, run: Callable) -> ToxicityModel | None:
+        got = df.mapInArrow(run, "b binary, w binary, bias double").first()
+        return got and ToxicityModel(np.frombuffer(got.b, "<i8"), np.frombuffer(got.w, "<f8"), got.bias)
+
+    model = model_of(rows.repartition(1), count) or fit_arrays([], np.empty(0))
+    if len(model.buckets):
+        sent = labelled.sparkSession.sparkContext.broadcast(model)
+        placed = rows.repartition(shuffle_width(labelled.sparkSession)).mapInArrow(place, "y int, x array<int>")
+        model = model_of(placed.repartition(1).sortWithinPartitions("y", "x"), fit)
+    discard(rows)
+    return model
 
 
 def score_text(text: str | None, number: np.ndarray, model: ToxicityModel) -> float:
-    """Probability of label 1; number maps a bucket to its place in the model, or 0."""
-    hit = [x[x > 0] for x in (number[b] for b in ngram_buckets(text))]
-    found = np.unique(np.concatenate(hit)) - 1 if hit else np.empty(0, np.int64)
+    """Probability of label 1; number is numbered(model)."""
+    found = features(text, number)
     return float(1 / (1 + np.exp(-np.clip(model.weights[found].sum() + model.bias, -500, 500))))
 
 
 def score_toxicity(df: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
     """df with score (0 to 1) and predicted (1 from 0.5 on) for every whole text.
 
-    Null and empty texts get the score that the bias gives. Equal texts have equal scores.
+    Null and empty texts get the score that the bias gives. Equal texts have equal scores, and
+    repeated rows each have one. Of a very long text only the n-grams of one block, and what was
+    found so far, are in memory.
     Other columns pass through; columns of those two names are replaced. An empty df gives no rows.
     """
     sent = df.sparkSession.sparkContext.broadcast(model)
@@ -146,8 +200,7 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        number = np.zeros(1 << BUCKET_BITS, np.int32)
-        number[model.buckets] = np.arange(1, len(model.buckets) + 1)
+        number = numbered(model)
         for batch in batches:
             score = np.array([score_text(x.as_py(), number, model) for x in batch.column(at)], float)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score), pa.array((score >= 0.5).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
