@@ -22,9 +22,8 @@ import public_tokenizers
 
 from .common import table
 
+#: Their ids follow those of the vocabulary.
 OPEN, SAY, CLOSE = "<|turn|>", "<|say|>", "<|done|>"
-#: First id of the markers; the vocabulary has 50,256 ids.
-FIRST_MARKER = 50_256
 
 
 def escape(text: str) -> str:
@@ -63,9 +62,9 @@ class Codec:
     def __init__(self, path: str | None = None) -> None:
         with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        marks = {x: FIRST_MARKER + i for i, x in enumerate((OPEN, SAY, CLOSE))}
+        marks = {x: max(ranks.values()) + 1 + i for i, x in enumerate((OPEN, SAY, CLOSE))}
         self.encoding = tiktoken.Encoding("chat", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=marks)
-        self.length = np.zeros(FIRST_MARKER + 3, np.int64)
+        self.length = np.zeros(max(marks.values()) + 1, np.int64)
         for token, i in ranks.items():
             self.length[i] = len(token)
         for token, i in marks.items():
@@ -95,7 +94,7 @@ def format_chat(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
 
     Turns follow turn, then role, then text, nulls first; repeated rows all count. Null roles and
     texts are empty; rows without a conversation id form one conversation. One conversation at a
-    time is in memory. vocab is a path to a vocabulary of ranks. An empty df gives no rows.
+    time is in memory, however long; other columns are left out. vocab is a path to a vocabulary of ranks. An empty df gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

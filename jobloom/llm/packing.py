@@ -29,7 +29,8 @@ from .common import shuffle_width, table
 
 WINDOW = 1024
 END_ID = 0
-SPECIAL, SPECIAL_ID = "<|endoftext|>", 50_256
+#: Encoded as one id, the first after those of the vocabulary.
+SPECIAL = "<|endoftext|>"
 #: Costs in tokens of padding: a cut inside a document, and inside a sentence.
 CUT_DOCUMENT, CUT_SENTENCE = 4, 24
 #: Shortest window that may go without padding, and what it costs to have one more window.
@@ -56,8 +57,8 @@ class Codec:
     def __init__(self, path: str | None = None) -> None:
         with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding("pack", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: SPECIAL_ID})
-        self.ends = np.zeros(SPECIAL_ID + 1, bool)
+        self.encoding = tiktoken.Encoding("pack", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: max(ranks.values()) + 1})
+        self.ends = np.zeros(max(ranks.values()) + 2, bool)
         for token, i in ranks.items():
             self.ends[i] = token.rstrip(b'"\')').endswith((b".", b"!", b"?", b"\n"))
 
@@ -179,8 +180,10 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of all documents.
 
     Documents keep their order of id, nulls first, repeated rows next to each other. A null or
-    empty text is the end id alone. Sequences do not cross partitions, which costs one padded sequence for each. An empty df
-    gives no rows.
+    empty text is the end id alone. Sequences do not cross partitions, which costs one padded
+    sequence for each; cuts are the best ones within blocks of BLOCK tokens of a partition, not
+    over all of them. A very long text is planned block by block. Other columns are left out. An
+    empty df gives no rows. vocab is a path to a vocabulary of ranks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

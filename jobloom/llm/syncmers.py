@@ -100,10 +100,11 @@ def likeness(a: Anchors, b: Anchors) -> float:
     return float(2 * share / (1 + share))
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with fingerprint, of each whole text: no shuffle. Null and empty texts have an empty one.
 
-    Other columns pass through; a column named fingerprint is replaced.
+    Other columns pass through; a column named fingerprint is replaced. Equal texts have equal
+    fingerprints; repeated rows stay. An empty df gives no rows.
     """
     rest = [c for c in df.columns if c != "fingerprint"]
     at = rest.index(text_col)
@@ -199,7 +200,9 @@ def compare_with_edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     The edited text has its last floor(n / 2) code points replaced by as many first ones (or
     all) of the next document by descending id; after the last comes the first, and a lone
     document follows itself. Null texts are empty; null ids come last; rows that share an id
-    follow each other in order of text. An empty df gives no rows.
+    follow each other in order of text. A text of fewer than K code points has one anchor, the
+    hash of all of it. One document with its successor is in memory at a time, and all rows of
+    one id are in one task. Other columns are left out. An empty df gives no rows.
     """
     return with_next(df, id_col, text_col, partitions).mapInArrow(_compare, EDITED)
 
