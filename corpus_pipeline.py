@@ -2,17 +2,16 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps, or what it made
 of them, with the columns of documents; the last returns the packed pieces. Between stages the
-rows are written as Parquet to the shared folder, so a lost executor costs one stage's tasks.
+rows are written as Parquet to the shared folder, so a lost executor costs one stage's tasks;
+these tables go when the application ends.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from jobloom.llm.common import shared_folder, table
+from jobloom.llm.common import scratch, table
 from jobloom.llm.exact_dedup import exact_dedup
 from jobloom.llm.jaccard_join import jaccard_components
 from jobloom.llm.packing import pack_documents
@@ -76,7 +75,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages, one after another, over documents."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = scratch(spark, "pipeline")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
