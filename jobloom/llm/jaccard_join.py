@@ -43,6 +43,8 @@ FILTER_BITS_EACH = 12
 FILTER_MOST = 26
 #: Pairs of one document from which on its set is sent to several tasks, so many for each.
 SET_PAIRS = 4096
+#: Documents of a list from which on its comparisons are dealt out among tasks, so many for each.
+LIST_ROWS = 1024
 
 
 def reduced(parts: DataFrame, dtype: str, op: Callable) -> np.ndarray | None:
@@ -269,8 +271,13 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     left = placed.join(mixed_lists, "token").groupBy("list1", "list2", "v", "c", "n", "matches").agg(*loosest)
     bits = vertices.select("v", *(F.col("bits")[i].alias(f"b{i}") for i in range(BITMAP_WORDS)))
     left = saved(left.join(bits, "v"))
-    other = left.select("list1", "list2", *(F.col(x).alias(f"{x}2") for x in left.columns if x not in ("list1", "list2")))
-    met = left.join(other, ["list1", "list2"]).filter("v > v2 and c <> c2").filter(_may_link(percent))
+    lists = ["list1", "list2"]
+    many = left.groupBy(*lists).agg((F.count("v") / LIST_ROWS).cast("int").alias("parts")).filter("parts > 0")
+    parts = F.coalesce("parts", F.lit(0))
+    other = left.select(*lists, *(F.col(x).alias(f"{x}2") for x in left.columns if x not in lists)).join(many, lists, "left")
+    other = other.withColumn("salt", F.explode(F.sequence(F.lit(0), parts))).drop("parts")
+    own = left.join(many, lists, "left").withColumn("salt", F.pmod(F.xxhash64("v"), parts + 1).cast("int")).drop("parts")
+    met = own.join(other, [*lists, "salt"]).filter("v > v2 and c <> c2").filter(_may_link(percent))
     more = met.groupBy(F.col("v").alias("a"), F.col("v2").alias("b")).agg(F.sum(F.least("tokens", "tokens2")).alias("k"), F.min(F.least("matches", "matches2")).alias("m")).filter("k >= m").select("a", "b")
     rest = saved(more)
     if not rest.isEmpty():

@@ -114,6 +114,7 @@ def test_word_hashes_tell_words_apart():
 
 def test_a_set_in_very_many_pairs_is_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "SET_PAIRS", 3)
+    monkeypatch.setattr(jaccard_join, "LIST_ROWS", 2)
     words = [f"w{i}" for i in range(60)]
     rows = [(k, " ".join([*words, f"own{k}"])) for k in range(40)] + [(100 + k, " ".join([f"v{k}{i}" for i in range(9)])) for k in range(5)]
     got = Counter(tuple(r) for r in jaccard_join.jaccard_components(documents(spark, rows)).collect())
