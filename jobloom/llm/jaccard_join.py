@@ -251,10 +251,11 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     posts = vertices.select(F.posexplode("prefix").alias("pos", "token"), "v", "n", "matches")
     # of a list, the set in which the token comes earliest has the fewest tokens of its own: the likeliest original
-    lists = posts.groupBy("token").agg(F.count("v").alias("size"), F.min_by("v", "pos").alias("center")).filter("size > 1").drop("size")
+    of_token = Window.partitionBy("token")
+    listed = posts.withColumns({"size": F.count("v").over(of_token), "center": F.min_by("v", "pos").over(of_token)}).filter("size > 1").drop("size")
     before = F.row_number().over(Window.partitionBy("v").orderBy("pos")) - 1
     # q: how many tokens before this one another set may have at all
-    posts = saved(posts.join(lists, "token").withColumn("q", before))
+    posts = saved(listed.withColumn("q", before))
 
     hits = posts.filter("v <> center").groupBy("v", "matches", "center").count().filter("count >= matches")
     best = hits.groupBy("v").agg(F.max_by("center", "count").alias("c"))
