@@ -173,7 +173,7 @@ def _with_set(rows: DataFrame, pairs: DataFrame, sets: DataFrame, side: str, oth
     parts = F.coalesce("parts", F.lit(0))
     dealt = rows.join(many, side, "left").withColumn("salt", F.pmod(F.xxhash64(other), parts + 1).cast("int")).drop("parts")
     own = sets.select(F.col("v").alias(side), F.col("tokens").alias(f"t_{side}")).join(many, side, "left")
-    return dealt.join(own.withColumn("salt", F.explode(F.sequence(F.lit(0), parts))).drop("parts"), [side, "salt"]).drop("salt")
+    return dealt.join(own.withColumn("salt", F.explode(F.sequence(F.lit(0), parts))).drop("parts").hint("merge"), [side, "salt"]).drop("salt")
 
 
 def verified(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
@@ -207,7 +207,8 @@ def verified(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, percent: in
 
     made = docs.mapInArrow(run, "id bigint, n bigint, sig1 bigint, sig2 bigint, tokens array<bigint>")
     key = [F.coalesce("id", F.lit(0)).alias("k"), "n", "sig1", "sig2"]
-    sets = made.select(*key, "tokens").join(wanted.select(*key, "v"), ["k", "n", "sig1", "sig2"]).select("v", "tokens")
+    # sets and pairs grow with the documents, so no estimate shall make one side of their joins a broadcast
+    sets = made.select(*key, "tokens").join(wanted.select(*key, "v").hint("merge"), ["k", "n", "sig1", "sig2"]).select("v", "tokens")
     both = _with_set(_with_set(pairs.select("a", "b"), pairs, sets, "a", "b"), pairs, sets, "b", "a")
     shared = F.size(F.array_intersect("t_a", "t_b"))
     return both.filter(100 * shared >= percent * (F.size("t_a") + F.size("t_b") - shared)).select("a", "b")
