@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mixed, saved, shuffle_width, table
+from .common import discard, mixed, saved, shuffle_width, table
 from .components import connected_components
 from .shingles import shingle_sets
 
@@ -250,6 +250,9 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     first = rows.filter("n > 0").groupBy(*sets).agg(F.min(F.struct("id", "matches", "prefix", "bits")).alias("x"))
     vertices = saved(first.select(F.monotonically_increasing_id().alias("v"), "x.id", *sets, "x.matches", "x.prefix", "x.bits"))
 
+    # prefixes are in vertices from here on
+    used, rows = rows, saved(rows.drop("matches", "prefix", "bits"))
+    discard(used)
     posts = vertices.select(F.posexplode("prefix").alias("pos", "token"), "v", "n", "matches")
     # of a list, the set in which the token comes earliest has the fewest tokens of its own: the likeliest original
     of_token = Window.partitionBy("token")
@@ -272,16 +275,19 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     loosest = [F.min("pos").alias("pos"), F.max("q").alias("q"), F.count("token").alias("tokens")]
     left = placed.join(mixed_lists, "token").groupBy("list1", "list2", "v", "c", "n", "matches").agg(*loosest)
     bits = vertices.select("v", *(F.col("bits")[i].alias(f"b{i}") for i in range(BITMAP_WORDS)))
-    left = saved(left.join(bits, "v"))
     lists = ["list1", "list2"]
-    many = left.groupBy(*lists).agg((F.count("v") / LIST_ROWS).cast("int").alias("parts")).filter("parts > 0")
-    parts = F.coalesce("parts", F.lit(0))
-    other = left.select(*lists, *(F.col(x).alias(f"{x}2") for x in left.columns if x not in lists)).join(many, lists, "left")
-    other = other.withColumn("salt", F.explode(F.sequence(F.lit(0), parts))).drop("parts")
-    own = left.join(many, lists, "left").withColumn("salt", F.pmod(F.xxhash64("v"), parts + 1).cast("int")).drop("parts")
-    met = own.join(other, [*lists, "salt"]).filter("v > v2 and c <> c2").filter(_may_link(percent))
+    parts = (F.count("v").over(Window.partitionBy(*lists)) / LIST_ROWS).cast("int")
+    left = saved(left.join(bits.hint("merge"), "v").withColumn("parts", parts))
+    # nothing below needs prefixes or their lists any more
+    discard(posts)
+    used, vertices = vertices, saved(vertices.select("v", "id", *sets))
+    discard(used)
+    other = left.select(*lists, F.explode(F.sequence(F.lit(0), "parts")).alias("salt"), *(F.col(x).alias(f"{x}2") for x in left.columns if x not in (*lists, "parts")))
+    own = left.withColumn("salt", F.pmod(F.xxhash64("v"), F.col("parts") + 1).cast("int")).drop("parts")
+    met = own.join(other.hint("merge"), [*lists, "salt"]).filter("v > v2 and c <> c2").filter(_may_link(percent))
     more = met.groupBy(F.col("v").alias("a"), F.col("v2").alias("b")).agg(F.sum(F.least("tokens", "tokens2")).alias("k"), F.min(F.least("matches", "matches2")).alias("m")).filter("k >= m").select("a", "b")
     rest = saved(more)
+    discard(left)
     if not rest.isEmpty():
         links = saved(links.union(verified(rest, vertices, docs, percent, words)))
         found = connected_components(links).select("v", F.col("root").alias("c"))
