@@ -1,7 +1,8 @@
-"""The queue's storage: versioned Parquet snapshots and append-only logs.
+"""The queue's storage: versioned Parquet snapshots, rows added to them, and append-only logs.
 
 One writer adds a version; readers take the newest complete one. Versions are whole folders with
-Spark's success marker, so a writer that dies leaves nothing that a reader would see.
+Spark's success marker, so a writer that dies leaves nothing that a reader would see. New jobs are
+added beside a version, whose rows aren't written again for them until many folders have come up.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ class QueueStore(Protocol):
 
     def save_jobs(self, jobs: DataFrame) -> int: ...
 
+    def add_jobs(self, rows: DataFrame) -> None: ...
+
     def append(self, log: str, rows: DataFrame) -> None: ...
 
     def log(self, name: str) -> DataFrame: ...
@@ -31,23 +34,27 @@ class QueueStore(Protocol):
 
 
 LOGS = {"commands": schemas.COMMANDS, "events": schemas.EVENTS, "steps": schemas.STEPS, "receipts": schemas.RECEIPTS}
+JOB_COLUMNS = [f.split()[0] for f in schemas.JOBS.replace("\n", " ").split(",")]
+
+#: Folders of added rows from which on they and their version become a new version.
+MERGE_AFTER = 32
 
 
 @dataclass
 class ParquetStore:
-    """Snapshots under path/jobs/v<n>, partitioned by status; logs under path/<name>."""
+    """Snapshots under path/jobs/v<n>, partitioned by status; rows added to one under path/added/v<n>; logs under path/<name>."""
 
     spark: SparkSession
     path: str
 
-    def _fs(self):
+    def _fs(self, name: str = "jobs"):
         jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/jobs")
+        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()), folder
 
-    def _versions(self) -> list[tuple[int, bool]]:
-        """All versions, and whether each is complete."""
-        fs, folder = self._fs()
+    def _versions(self, name: str = "jobs") -> list[tuple[int, bool]]:
+        """All numbered folders under a name, and whether each is complete."""
+        fs, folder = self._fs(name)
         if not fs.exists(folder):
             return []
         marker = self.spark._jvm.org.apache.hadoop.fs.Path
@@ -58,19 +65,27 @@ class ParquetStore:
         return max((n for n, whole in self._versions() if whole), default=0)
 
     def jobs(self) -> DataFrame:
-        """The jobs of the newest version; without one, no rows."""
+        """The jobs of the newest version and those added to it; without any, no rows."""
         n = self.version()
-        if not n:
-            return self.spark.createDataFrame([], schemas.JOBS)
-        return self.spark.read.schema(schemas.JOBS).parquet(f"{self.path}/jobs/v{n}")
+        read = self.spark.read.schema(schemas.JOBS)
+        jobs = read.parquet(f"{self.path}/jobs/v{n}") if n else self.spark.createDataFrame([], schemas.JOBS)
+        added = [f"{self.path}/added/v{n}/d{k}" for k, whole in self._versions(f"added/v{n}") if whole]
+        return jobs.unionByName(read.parquet(*added)) if added else jobs
 
     def save_jobs(self, jobs: DataFrame) -> int:
-        """Write the next version, and say which it is."""
+        """Write the next version, and say which it is; what was added to older ones counts no more."""
         n = max((n for n, _ in self._versions()), default=0) + 1  # after what a dead writer has left, too
-        names = [f.split()[0] for f in schemas.JOBS.replace("\n", " ").split(",")]
-        jobs.select(*names).write.partitionBy("status").parquet(f"{self.path}/jobs/v{n}")
+        jobs.select(*JOB_COLUMNS).write.partitionBy("status").parquet(f"{self.path}/jobs/v{n}")
         return n
 
+    def add_jobs(self, rows: DataFrame) -> None:
+        """Add jobs with new ids to the newest version; when there are many folders of such, all become the next version."""
+        n = self.version()
+        k = max((k for k, _ in self._versions(f"added/v{n}")), default=0) + 1
+        rows.select(*JOB_COLUMNS).write.parquet(f"{self.path}/added/v{n}/d{k}")
+        if k >= MERGE_AFTER:
+            self.save_jobs(self.jobs())
+
     def append(self, log: str, rows: DataFrame) -> None:
         """Add rows to a log."""
         rows.write.mode("append").parquet(f"{self.path}/{log}")
@@ -87,12 +102,13 @@ class ParquetStore:
         self.save_jobs(self.spark.createDataFrame([], schemas.JOBS))
 
     def compact(self, keep: int = 2) -> None:
-        """Delete all but the newest versions."""
-        fs, folder = self._fs()
+        """Delete all but the newest versions, and what was added to those deleted."""
         last = self.version()
-        for x in fs.listStatus(folder) if fs.exists(folder) else []:
-            if int(x.getPath().getName()[1:]) <= last - keep:
-                fs.delete(x.getPath(), True)
+        for name in ("added", "jobs"):
+            fs, folder = self._fs(name)
+            for x in fs.listStatus(folder) if fs.exists(folder) else []:
+                if int(x.getPath().getName()[1:]) <= last - keep:
+                    fs.delete(x.getPath(), True)
 
 
 _default: list[QueueStore] = []

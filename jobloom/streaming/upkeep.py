@@ -20,8 +20,7 @@ def admit_requests(requests: DataFrame, store: QueueStore, checkpoint: str, once
     def batch(rows: DataFrame, _: int) -> None:
         jobs = store.jobs()
         known = rows.join(jobs.select("id"), "id", "left_anti")  # a batch that ran before changes nothing
-        fresh = admission.enqueue(known, jobs).filter("admitted").select(jobs.columns)
-        store.save_jobs(jobs.unionByName(fresh))
+        store.add_jobs(admission.enqueue(known, jobs).filter("admitted").select(jobs.columns))
 
     writer = requests.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{POLL_MS} milliseconds")).start()

@@ -47,6 +47,24 @@ def test_requests_stream_in_and_are_swept(spark, tmp_path):
     assert upkeep.cleaned(fixtures.raw_jobs(spark, SF), fixtures.now()).filter("status = 'pending'").count() == jobs.count()
 
 
+def test_added_jobs_are_merged_at_intervals(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "MERGE_AFTER", 3)
+    s = store.ParquetStore(spark, str(tmp_path))
+    jobs = fixtures.raw_jobs(spark, SF).orderBy("id").limit(40).cache()
+    part = lambda k: jobs.filter(F.pmod(F.col("id").cast("bigint"), F.lit(5)) == k)
+    s.add_jobs(part(0))
+    assert s.version() == 0 and s.jobs().count() == part(0).count()
+    s.save_jobs(s.jobs().unionByName(part(1)))
+    (tmp_path / "added" / "v1" / "d1").mkdir(parents=True)  # a dead writer's
+    s.add_jobs(part(2))
+    assert s.version() == 1 and s.jobs().count() == part(0).count() + part(1).count() + part(2).count()
+    s.add_jobs(part(3).unionByName(part(4)))
+    assert s.version() == 2 and not (tmp_path / "added" / "v2").exists()
+    assert sorted(s.jobs().select(jobs.columns).collect(), key=lambda r: r.id) == sorted(jobs.collect(), key=lambda r: r.id)
+    s.compact(1)
+    assert not list((tmp_path / "added").glob("v*")) and s.jobs().count() == 40
+
+
 def test_listener_hears_of_types(spark, tmp_path):
     fixtures.raw_jobs(spark, SF).write.parquet(str(tmp_path / "changes"))
     heard = []
