@@ -162,7 +162,8 @@ def claim_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def batch_heartbeat(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs = jobs_of(spark, sf_dir)
-    beats = jobs.filter("cast(id as bigint) % 3 = 0").selectExpr("id as job_id").union(jobs.filter("cast(id as bigint) % 3 = 0").selectExpr("concat('x', id)"))
+    known = jobs.filter("type in ('t0', 't1')")  # one worker's jobs, and as many that are unknown
+    beats = known.selectExpr("id as job_id").union(known.selectExpr("concat('x', id)"))
     return transitions.batch_heartbeat(jobs, beats, now()).select("id", "status", "claimed_at")
 
 
@@ -175,9 +176,8 @@ def claim_or_enqueue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def enqueue_against_open(spark: SparkSession, sf_dir: str) -> DataFrame:
-    requests = raw_jobs(spark, sf_dir).filter("status = 'pending' and cast(id as bigint) % 2 = 0")
-    existing = jobs_of(spark, sf_dir).filter("status in ('pending', 'active') and cast(id as bigint) % 2 = 1")
-    return admission.enqueue(requests, existing).select("id", "dedupe_key", "blocked_by", "admitted")
+    """All jobs asked for once more, while the open ones are still there."""
+    return admission.enqueue(raw_jobs(spark, sf_dir), jobs_of(spark, sf_dir)).select("id", "dedupe_key", "blocked_by", "admitted")
 
 
 def fail_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -369,7 +369,7 @@ SQL = {
     "apply_receipts": DECIDED + "SELECT job_id, token, op, outcome FROM decided WHERE changes AND op IN ('complete', 'fail', 'failFatal', 'release')",
     "apply_events": DECIDED + EVENTS,
     "claim_events": f"SELECT id AS job_id, type, 'claimed' AS kind, TIMESTAMP '1999-01-01 00:00:00' AS ts, attempt FROM claimed WHERE rn <= {TYPE_LIMIT}",
-    "batch_heartbeat": "SELECT id, status, CASE WHEN status = 'active' AND CAST(id AS BIGINT) % 3 = 0 THEN now ELSE claimed_at END AS claimed_at FROM jobs",
+    "batch_heartbeat": "SELECT id, status, CASE WHEN status = 'active' AND type IN ('t0', 't1') THEN now ELSE claimed_at END AS claimed_at FROM jobs",
     "claim_or_enqueue": """, q AS (
           SELECT 'r' || c_custkey AS id, 't' || (c_custkey % 4) AS type, CASE WHEN c_custkey % 5 <> 0 THEN 'cust:' || c_custkey END AS dedupe_key,
             CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 2 = 0 THEN 'pending' ELSE 'pending+active' END AS dedupe_scope, c_custkey % 6 IN (0, 4) AND c_custkey % 5 <> 0 AS latest FROM customer
@@ -383,9 +383,9 @@ SQL = {
           SELECT *, CASE WHEN dedupe_key IS NULL THEN 'claimed' WHEN latest AND follower_type = type THEN 'replaced' WHEN NOT latest AND n_pending > 0 THEN 'waiting' WHEN taken = 0 THEN 'claimed'
             WHEN dedupe_scope <> 'pending' THEN 'rejected' WHEN follower IS NOT NULL THEN 'yielded' ELSE 'queued' END AS outcome FROM p)
         SELECT id, type, dedupe_key, dedupe_scope, latest, outcome, CASE WHEN outcome = 'replaced' THEN follower WHEN outcome IN ('claimed', 'queued') THEN id END AS job_id FROM o""",
-    "enqueue_against_open": """, h2 AS (SELECT DISTINCT dedupe_key, dedupe_scope FROM jobs WHERE dedupe_key IS NOT NULL AND CAST(id AS BIGINT) % 2 = 1 AND (status = 'pending' OR status = 'active' AND dedupe_scope = 'pending+active')),
+    "enqueue_against_open": """, h2 AS (SELECT DISTINCT dedupe_key, dedupe_scope FROM jobs WHERE dedupe_key IS NOT NULL AND (status = 'pending' OR status = 'active' AND dedupe_scope = 'pending+active')),
         r2 AS (SELECT r.id, r.dedupe_key, CASE WHEN r.dedupe_key IS NULL THEN NULL WHEN h2.dedupe_key IS NOT NULL THEN 'existing' WHEN row_number() OVER (PARTITION BY r.dedupe_key, r.dedupe_scope ORDER BY r.run_at, r.id) > 1 THEN 'batch' END AS blocked_by
-          FROM raw r LEFT JOIN h2 ON r.dedupe_key = h2.dedupe_key AND r.dedupe_scope = h2.dedupe_scope WHERE r.status = 'pending' AND CAST(r.id AS BIGINT) % 2 = 0)
+          FROM raw r LEFT JOIN h2 ON r.dedupe_key = h2.dedupe_key AND r.dedupe_scope = h2.dedupe_scope)
         SELECT *, blocked_by IS NULL AS admitted FROM r2""",
     "heartbeat_outcomes": "SELECT job_id, CASE WHEN token IS NULL OR coalesce(status = 'active' AND claim_token = token, false) THEN 'applied' ELSE 'lease-lost' END AS outcome FROM hit",
     "reaper_candidates": "SELECT id, claimed_at FROM reaped",
