@@ -1,7 +1,7 @@
 """A batch of lifecycle commands applied: the jobs afterwards, the receipts, and the events.
 
-Commands are (job_id, op, token, reason), at most one for a job in a batch. decide() joins them
-to their jobs once; what follows from its rows are projections, and one join back to the jobs.
+Commands are (job_id, op, token, reason): in a batch at most one for a job, or any number of
+heartbeats, which change nothing that another depends on. decide() joins them to their jobs once; what follows from its rows are projections, and one join back to the jobs.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from ..functions.scalars import backoff_ms, later_by_ms
 from .transitions import followed, followers, miss_class, open_to
 
 TERMINAL_OPS = ("complete", "fail", "failFatal", "release")
+HEARTBEATS = ("heartbeat", "heartbeatClaimed")
 #: Fixed value: what a superseded job's reason ends with.
 SUPERSEDED_NOTE = " (superseded: a queued follow-up already covers this work)"
 
@@ -54,7 +55,7 @@ def jobs_after(decided: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:
 
     A retry keeps its token and lease times, as a late completion needs them; a release drops both.
     """
-    done = decided.filter("changes").select(F.col("id"), F.col("op"), F.col("outcome"), F.col("reason"))
+    done = decided.filter("changes").select(F.col("id"), F.col("op"), F.col("outcome"), F.col("reason")).dropDuplicates(["id"])
     rows = jobs.join(done, "id", "left")
     is_ = lambda *x: F.coalesce(F.col("outcome").isin(*x), F.lit(False))
     delay = backoff_ms(F.col("attempt"), F.col("backoff_strategy"), F.col("backoff_base_ms"), F.col("backoff_cap_ms"), F.col("id"))

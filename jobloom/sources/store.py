@@ -1,8 +1,9 @@
 """The queue's storage: versioned Parquet snapshots, rows added to them, and append-only logs.
 
 One writer adds a version; readers take the newest complete one. Versions are whole folders with
-Spark's success marker, so a writer that dies leaves nothing that a reader would see. New jobs are
-added beside a version, whose rows aren't written again for them until many folders have come up.
+Spark's success marker, so a writer that dies leaves nothing that a reader would see. Log rows that
+belong to a version carry its number, and are seen with it or not at all. New jobs are added beside
+a version, whose rows aren't written again for them until many folders have come up.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from dataclasses import dataclass
 from typing import Protocol, runtime_checkable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import schemas
 
@@ -24,6 +26,8 @@ class QueueStore(Protocol):
 
     def save_jobs(self, jobs: DataFrame) -> int: ...
 
+    def commit(self, jobs: DataFrame, logs: dict[str, DataFrame]) -> int: ...
+
     def add_jobs(self, rows: DataFrame) -> None: ...
 
     def append(self, log: str, rows: DataFrame) -> None: ...
@@ -33,7 +37,7 @@ class QueueStore(Protocol):
     def reset(self) -> None: ...
 
 
-LOGS = {"commands": schemas.COMMANDS, "events": schemas.EVENTS, "steps": schemas.STEPS, "receipts": schemas.RECEIPTS}
+LOGS = {"commands": schemas.COMMANDS, "events": schemas.EVENTS, "steps": schemas.STEPS, "receipts": schemas.RECEIPTS, "batches": schemas.BATCHES}
 JOB_COLUMNS = [f.split()[0] for f in schemas.JOBS.replace("\n", " ").split(",")]
 
 #: Folders of added rows from which on they and their version become a new version.
@@ -74,8 +78,16 @@ class ParquetStore:
 
     def save_jobs(self, jobs: DataFrame) -> int:
         """Write the next version, and say which it is; what was added to older ones counts no more."""
+        return self.commit(jobs, {})
+
+    def commit(self, jobs: DataFrame, logs: dict[str, DataFrame]) -> int:
+        """save_jobs(), with rows for logs that readers see together with the version."""
         n = max((n for n, _ in self._versions()), default=0) + 1  # after what a dead writer has left, too
-        jobs.select(*JOB_COLUMNS).write.partitionBy("status").parquet(f"{self.path}/jobs/v{n}")
+        fs, folder = self._fs(f"jobs/v{n}")
+        fs.mkdirs(folder)  # no other version gets the number that the log rows carry
+        for name, rows in logs.items():
+            self.append(name, rows, n)
+        jobs.select(*JOB_COLUMNS).write.mode("append").partitionBy("status").parquet(f"{self.path}/jobs/v{n}")
         return n
 
     def add_jobs(self, rows: DataFrame) -> None:
@@ -86,28 +98,35 @@ class ParquetStore:
         if k >= MERGE_AFTER:
             self.save_jobs(self.jobs())
 
-    def append(self, log: str, rows: DataFrame) -> None:
-        """Add rows to a log."""
-        rows.write.mode("append").parquet(f"{self.path}/{log}")
+    def append(self, log: str, rows: DataFrame, version: int | None = None) -> None:
+        """Add rows to a log: at once, or with a version that is being written."""
+        rows.withColumn("version", F.lit(version).cast("int")).write.mode("append").parquet(f"{self.path}/{log}")
 
     def log(self, name: str) -> DataFrame:
-        """All rows of a log so far."""
+        """All rows of a log so far, without those whose version isn't complete."""
         fs, _ = self._fs()
         if not fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")):
             return self.spark.createDataFrame([], LOGS[name])
-        return self.spark.read.schema(LOGS[name]).parquet(f"{self.path}/{name}")
+        versions = self._versions()
+        newest = max((n for n, whole in versions if whole), default=0)
+        seen = F.col("version").isNull() | ((F.col("version") <= newest) & ~F.col("version").isin([n for n, whole in versions if not whole]))
+        return self.spark.read.schema(f"{LOGS[name]}, version int").parquet(f"{self.path}/{name}").filter(seen).drop("version")
 
     def reset(self) -> None:
         """Start with an empty queue: a version without jobs."""
         self.save_jobs(self.spark.createDataFrame([], schemas.JOBS))
 
     def compact(self, keep: int = 2) -> None:
-        """Delete all but the newest versions, and what was added to those deleted."""
+        """Delete all but the newest versions, and what was added to those deleted.
+
+        A dead writer's folder stays, as long as the store: it tells which log rows don't count.
+        """
         last = self.version()
+        dead = {n for n, whole in self._versions() if not whole}
         for name in ("added", "jobs"):
             fs, folder = self._fs(name)
             for x in fs.listStatus(folder) if fs.exists(folder) else []:
-                if int(x.getPath().getName()[1:]) <= last - keep:
+                if (n := int(x.getPath().getName()[1:])) <= last - keep and (name == "added" or n not in dead):
                     fs.delete(x.getPath(), True)
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import admission, apply, lookups, transitions
+from ..sources import schemas
 from ..sources.store import QueueStore
 from .feed import POLL_MS
 
@@ -41,25 +42,43 @@ def swept(jobs: DataFrame, now: Column, timeout_ms: int = transitions.VISIBILITY
     ).select(jobs.columns)
 
 
-def apply_batch(commands: DataFrame, store: QueueStore, now: Column) -> None:
-    """Apply commands (job_id, op, token, reason), one for a job, to the store: jobs, then receipts, then events.
+def apply_batch(commands: DataFrame, store: QueueStore, now: Column, done: dict[str, DataFrame] | None = None) -> None:
+    """Apply commands (job_id, op, token, reason), as operators.apply takes them, to the store.
 
-    A batch that runs again is answered by its receipts and changes nothing.
+    Jobs, receipts, events and what else is done become visible at once. A batch that runs again
+    is answered by its receipts.
     """
     jobs = store.jobs()
-    decided = apply.decide(commands, jobs, store.log("receipts"))
-    receipts, told = apply.new_receipts(decided), apply.events(decided, now)
-    store.save_jobs(apply.jobs_after(decided, jobs, now))
-    store.append("events", told)
-    store.append("receipts", receipts)
+    decided = apply.decide(commands, jobs, store.log("receipts")).persist()
+    store.commit(apply.jobs_after(decided, jobs, now), {"events": apply.events(decided, now), "receipts": apply.new_receipts(decided), **(done or {})})
+    decided.unpersist()
+
+
+def apply_in_order(commands: DataFrame, store: QueueStore, stream: str, batch: int) -> None:
+    """All commands (job_id, op, token, reason, at) of a stream's batch, those for one job in the order of at.
+
+    Round k has the k-th command of each job, heartbeats in a row as one, so there are as many
+    rounds as the busiest job has commands; each writes the job table. Ties in at go by op,
+    token and reason. Rounds that the store has seen are passed over, so a batch that was cut
+    off goes on where it stopped.
+    """
+    beat = F.col("op").isin(*apply.HEARTBEATS)
+    of_job = Window.partitionBy("job_id").orderBy("at", "op", "token", "reason")
+    numbered = commands.withColumn("starts", F.when(beat & F.lag(beat).over(of_job), 0).otherwise(1))
+    numbered = numbered.withColumn("round", F.sum("starts").over(of_job.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).persist()
+    before = {r[0] for r in store.log("batches").filter((F.col("stream") == stream) & (F.col("batch") == batch)).select("round").collect()}
+    for k, now in sorted(map(tuple, numbered.groupBy("round").agg(F.max("at")).collect())):
+        if k not in before:
+            done = commands.sparkSession.createDataFrame([(stream, batch, k)], schemas.BATCHES)
+            apply_batch(numbered.filter(F.col("round") == k).select("job_id", "op", "token", "reason"), store, F.lit(now).cast("timestamp_ntz"), {"batches": done})
+    numbered.unpersist()
 
 
 def apply_commands(commands: DataFrame, store: QueueStore, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """A stream of commands (job_id, op, token, reason, at) applied batch by batch; of several for a job in a batch the first by at counts."""
+    """A stream of commands (job_id, op, token, reason, at) applied batch by batch, each command once."""
 
-    def batch(rows: DataFrame, _: int) -> None:
-        first = rows.groupBy("job_id").agg(F.min_by(F.struct("op", "token", "reason", "at"), "at").alias("c")).select("job_id", "c.op", "c.token", "c.reason")
-        apply_batch(first, store, F.lit(rows.agg(F.max("at")).first()[0]).cast("timestamp_ntz"))
+    def batch(rows: DataFrame, number: int) -> None:
+        apply_in_order(rows, store, checkpoint, number)
 
     writer = commands.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{POLL_MS} milliseconds")).start()

@@ -167,6 +167,34 @@ def test_commands_are_applied_once(spark, tmp_path):
     assert s.log("events").filter("kind = 'completed' and duration_ms is not null").count() == 30 and s.log("receipts").count() == 30
 
 
+def test_commands_for_one_job_are_applied_in_order(spark, tmp_path):
+    s = store.ParquetStore(spark, str(tmp_path))
+    jobs = fixtures.raw_jobs(spark, SF).filter("status = 'active' and dedupe_key is null and attempt < max_attempts").orderBy("id").limit(2)
+    s.save_jobs(jobs)
+    one, two = sorted(s.jobs().collect(), key=lambda r: r.id)
+    at = lambda sec: dt.datetime(1999, 1, 1, 0, 0, sec)
+    rows = [(one.id, op, one.claim_token, None, at(i)) for i, op in enumerate(("heartbeat", "heartbeat", "complete", "complete"))]
+    rows += [(two.id, "fail", two.claim_token, "first", at(0)), (two.id, "heartbeat", two.claim_token, None, at(1)), ("none", "complete", "t", None, at(2))]
+    commands = spark.createDataFrame(rows[::-1], "job_id string, op string, token string, reason string, at timestamp")
+
+    class Dies(store.ParquetStore):
+        def commit(self, jobs, logs):
+            return super().commit(jobs.withColumn("id", F.raise_error(F.lit("dies"))), logs)
+
+    with pytest.raises(Exception, match="dies"):
+        upkeep.apply_in_order(commands, Dies(spark, str(tmp_path)), "stream", 0)
+    assert not s.log("events").count() and not s.log("receipts").count() and s.jobs().filter("status = 'active'").count() == 2
+    for _ in range(2):  # the second time there is nothing left to do
+        upkeep.apply_in_order(commands, s, "stream", 0)
+        after = {r.id: r for r in s.jobs().collect()}
+        assert after[one.id].status == "completed" and after[two.id].status == "pending" and after[two.id].fail_reason == "first"
+        assert after[one.id].claimed_at == at(2) and after[one.id].completed_at == at(2)
+        assert sorted((r.job_id, r.kind) for r in s.log("events").collect()) == sorted([(one.id, "completed"), (two.id, "failed"), (two.id, "lease-lost")])
+        assert s.log("receipts").count() == 2 and s.version() == 5
+    s.compact(1)
+    assert s.log("events").count() == 3 and s.jobs().count() == 2
+
+
 def test_a_dead_writers_version_is_passed_over(spark, tmp_path):
     s = store.ParquetStore(spark, str(tmp_path))
     s.save_jobs(fixtures.raw_jobs(spark, SF).limit(3))
