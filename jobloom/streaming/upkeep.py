@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import admission, apply, lookups, transitions
+from ..operators.gauges import SWEEP_ROWS
 from ..sources import schemas
 from ..sources.store import QueueStore
 from .feed import POLL_MS
@@ -27,10 +28,13 @@ def admit_requests(requests: DataFrame, store: QueueStore, checkpoint: str, once
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{POLL_MS} milliseconds")).start()
 
 
-def swept(jobs: DataFrame, now: Column, timeout_ms: int = transitions.VISIBILITY_MS, most: int = 1_000) -> DataFrame:
+def swept(jobs: DataFrame, now: Column, timeout_ms: int = transitions.VISIBILITY_MS, most: int = SWEEP_ROWS) -> DataFrame:
     """jobs after one sweep of the reaper."""
-    out = transitions.reaper_outcomes(jobs, now, timeout_ms, most).withColumnRenamed("fail_reason", "new_reason")
-    rows = jobs.join(out, "id", "left")
+    return _recovered(jobs, transitions.reaper_outcomes(jobs, now, timeout_ms, most), now)
+
+
+def _recovered(jobs: DataFrame, out: DataFrame, now: Column) -> DataFrame:
+    rows = jobs.join(out.withColumnRenamed("fail_reason", "new_reason"), "id", "left")
     gone = F.col("new_status").isin("failed", "superseded")
     return rows.withColumns(
         {
@@ -84,11 +88,26 @@ def apply_commands(commands: DataFrame, store: QueueStore, checkpoint: str, once
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{POLL_MS} milliseconds")).start()
 
 
+def sweep(store: QueueStore, now: Column, timeout_ms: int = transitions.VISIBILITY_MS, most: int = SWEEP_ROWS) -> None:
+    """One sweep of the store, with a reaper-recovered event that says how many jobs it handled, and whether that is as many as it may.
+
+    Where no job is stuck nothing is written.
+    """
+    jobs = store.jobs()
+    out = transitions.reaper_outcomes(jobs, now, timeout_ms, most).persist()
+    handled = out.count()
+    if handled:
+        told = jobs.sparkSession.range(1).select(F.lit("reaper-recovered").alias("kind"), now.alias("ts"), F.lit(handled).cast("bigint").alias("handled"), F.lit(handled >= most).alias("saturated"))
+        store.commit(_recovered(jobs, out, now), {"events": told})
+    out.unpersist()
+
+
 def sweep_periodically(ticks: DataFrame, store: QueueStore, checkpoint: str, timeout_ms: int = transitions.VISIBILITY_MS) -> StreamingQuery:
     """A stream of ticks (a rate source, say) whose every batch, REAPER_MS apart, sweeps the store once."""
 
     def batch(rows: DataFrame, _: int) -> None:
-        store.save_jobs(swept(store.jobs(), F.expr("cast(current_timestamp() as timestamp_ntz)"), timeout_ms))
+        now = rows.sparkSession.sql("SELECT cast(current_timestamp() AS timestamp_ntz)").first()[0]
+        sweep(store, F.lit(now), timeout_ms)
 
     return ticks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=f"{REAPER_MS} milliseconds").start()
 

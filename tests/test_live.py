@@ -47,6 +47,31 @@ def test_requests_stream_in_and_are_swept(spark, tmp_path):
     assert upkeep.cleaned(fixtures.raw_jobs(spark, SF), fixtures.now()).filter("status = 'pending'").count() == jobs.count()
 
 
+def test_sweeps_tell_what_they_handled(spark, tmp_path):
+    s = store.ParquetStore(spark, str(tmp_path))
+    s.save_jobs(fixtures.raw_jobs(spark, SF).filter("status = 'active'"))
+    want = sorted(upkeep.swept(s.jobs(), fixtures.now(), most=5).collect(), key=lambda r: r.id)
+    upkeep.sweep(s, fixtures.now(), most=5)
+    assert sorted(s.jobs().select(list(want[0].asDict())).collect(), key=lambda r: r.id) == want
+    upkeep.sweep(s, fixtures.now())
+    before = s.version()
+    upkeep.sweep(s, fixtures.now())
+    told = [(r.kind, r.saturated) for r in s.log("events").orderBy("handled").collect()]
+    assert s.version() == before and ("reaper-recovered", True) in told and ("reaper-recovered", False) in told and len(told) == 2
+
+
+def test_periodic_sweeps_run_on_ticks(spark, tmp_path):
+    s = store.ParquetStore(spark, str(tmp_path / "store"))
+    s.save_jobs(fixtures.raw_jobs(spark, SF).filter("status = 'active'").limit(10))
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    q = upkeep.sweep_periodically(ticks, s, str(tmp_path / "offsets"))
+    until = time.time() + 60
+    while s.version() < 2 and time.time() < until:
+        time.sleep(0.5)
+    q.stop()
+    assert s.jobs().filter("status = 'active'").count() == 0 and s.log("events").first().handled == 10
+
+
 def test_added_jobs_are_merged_at_intervals(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(store, "MERGE_AFTER", 3)
     s = store.ParquetStore(spark, str(tmp_path))
