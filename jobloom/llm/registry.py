@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, jaccard_join, packing, pii, suffix_dedup, syncmers, toxicity, warc
+from . import bpe, chat, exact_dedup, jaccard_join, packing, pii, source_audit, suffix_dedup, syncmers, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_chat": chat.op8_chat,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_bpe": bpe.op10_bpe,
+    "op13_divergence": source_audit.op13_divergence,
 }
 
 ORACLES = {
     "op5_warc": warc.OP5_SQL,
     "op8_chat": chat.OP8_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
+    "op13_divergence": source_audit.OP13_SQL,
 }
