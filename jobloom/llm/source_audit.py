@@ -26,7 +26,9 @@ LEAST_DOCUMENTS, TOP_TERMS = 3, 200
 #: A share of 1 as an integer.
 WHOLE = 1_000_000_000
 #: Distinct terms that a task holds before it passes them on, bytes of text at a time, and pairs of sources before they are passed on.
-HELD_TERMS, SLICE_BYTES, HELD_PAIRS = 300_000, 1 << 20, 1 << 20
+HELD_TERMS, SLICE_BYTES, HELD_PAIRS = 200_000, 1 << 20, 1 << 20
+#: Bits of a number that count documents; the rest count occurrences. No task comes near either bound.
+DOC_BITS = 30
 #: A-Z become a-z; bytes that are no part of a term become spaces.
 TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -53,27 +55,31 @@ def count_terms(df: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        held: dict[tuple[str, str], dict[bytes, int]] = {}  # occurrences and documents in one number
         size = 0
 
         def passed_on() -> Iterator[pa.RecordBatch]:
-            for (lang, source), (counts, docs) in held.items():
-                names = [None, *counts]
-                cols = [pa.repeat(pa.scalar(lang), len(names)), pa.repeat(pa.scalar(source), len(names)), pa.array(names, pa.binary()).cast(pa.string()), pa.array([0, *counts.values()], pa.int64()), pa.array([0, *(docs[t] for t in counts)], pa.int64())]
-                whole = pa.RecordBatch.from_arrays(cols, ["lang", "source", "term", "n", "docs"])
-                yield from (whole.slice(i, 50_000) for i in range(0, len(names), 50_000))
+            for (lang, source), found in held.items():
+                packed = np.fromiter(found.values(), np.int64, len(found))
+                names = [None, *found]
+                found.clear()
+                n, docs = (np.concatenate([[0], x]) for x in (packed >> DOC_BITS, packed & ((1 << DOC_BITS) - 1)))
+                for i in range(0, len(names), 20_000):
+                    part = slice(i, i + 20_000)
+                    term = pa.array(names[part], pa.binary()).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(term)), pa.repeat(pa.scalar(source), len(term)), term, pa.array(n[part]), pa.array(docs[part])], ["lang", "source", "term", "n", "docs"])
             held.clear()
 
         for batch in batches:
-            for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                counts, docs = held.setdefault((lang, source), (Counter(), Counter()))
-                size -= len(counts)
-                seen: set[bytes] = set()
-                for words in terms_of(text):
-                    counts.update(words)
-                    seen.update(words)
-                docs.update(seen)
-                size += len(counts)
+            for lang, source, text in zip(*batch.columns, strict=True):
+                found = held.setdefault((lang.as_py(), source.as_py()), {})
+                size -= len(found)
+                own: Counter = Counter()
+                for words in terms_of(text.as_py()):
+                    own.update(words)
+                for term, n in own.items():
+                    found[term] = found.get(term, 0) + (n << DOC_BITS | 1)
+                size += len(found)
                 if size > HELD_TERMS:
                     yield from passed_on()
                     size = 0
