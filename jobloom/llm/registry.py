@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, jaccard_join, packing, pii, source_audit, suffix_dedup, syncmers, toxicity, warc
+from . import alignment, bpe, chat, exact_dedup, jaccard_join, merge_replay, packing, pii, source_audit, suffix_dedup, syncmers, toxicity, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_chat": chat.op8_chat,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_bpe": bpe.op10_bpe,
+    "op11_alignment": alignment.op11_alignment,
+    "op12_merge_replay": merge_replay.op12_merge_replay,
     "op13_divergence": source_audit.op13_divergence,
 }
 
