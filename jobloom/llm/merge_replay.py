@@ -85,7 +85,10 @@ class MergeReplay:
 
     def __init__(self, path: str | None = None) -> None:
         with open(path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.set_ranks({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
+
+    def set_ranks(self, ranks: dict[bytes, int]) -> None:
+        self.ranks = ranks
         self.token = [b""] * (max(self.ranks.values()) + 1)
         for token, i in self.ranks.items():
             self.token[i] = token
@@ -100,6 +103,7 @@ class MergeReplay:
                 left, right = find(token[:k]), find(token[k:])
                 if left is not None and right is not None:
                     self.pairs[left << self.shift | right] = i
+        #: words that were replayed, with their ids
         self.words: dict[str, bytes] = {}
         self.rule, self.wide_rule = words_patterns()
 

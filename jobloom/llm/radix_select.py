@@ -37,7 +37,7 @@ def kth_values(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
 
 
 def tie_bounds(ties: DataFrame, keys: list[str]) -> DataFrame:
-    """ties (keys, item, need) -> (keys, last): of each group the need items that are first by UTF-8 bytes begin with last or with less."""
+    """ties (keys, item, need) -> (keys, last, bytes): of each group, the first so many bytes of the need items that come first are at most last."""
     state, done, seen, width = ties.select(*keys, "need").distinct().withColumn("prefix", F.lit(b"")), None, 0, FIRST_BYTES
     raw = F.col("item").cast("binary")
     while True:
@@ -45,7 +45,7 @@ def tie_bounds(ties: DataFrame, keys: list[str]) -> DataFrame:
         seen += width
         width *= 2
         state = saved(_narrowed(inside, keys, F.substring(raw, 1, seen), down=False), "ties")
-        settled = state.filter("n = need").select(*keys, F.col("prefix").alias("last"))
+        settled = state.filter("n = need").select(*keys, F.col("prefix").alias("last"), F.lit(seen).alias("bytes"))
         done = settled if done is None else done.union(settled)
         state = state.filter("n > need").drop("n")
         if state.isEmpty():
@@ -65,7 +65,7 @@ def top_k(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
     tied = at.filter((F.col("value") == F.col("least")) & (F.col("n_ties") > F.col("need"))).select(*keys, "item", "value", "need")
     chosen = above.select(*keys, "item", "value")
     last = tie_bounds(tied, keys)
-    fits = tied.join(last, keys).filter(F.substring(F.col("item").cast("binary"), F.lit(1), F.octet_length("last")) <= F.col("last"))
+    fits = tied.join(last, keys).filter(F.substring(F.col("item").cast("binary"), F.lit(1), F.col("bytes")) <= F.col("last"))
     chosen = chosen.union(fits.select(*keys, "item", "value"))
     # k rows a group at most are left to sort
     return chosen.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("value"), "item")))
