@@ -1,32 +1,33 @@
-"""Ids of a byte-level vocabulary: quickly where that is safe, and by the library that defines them elsewhere."""
+"""Ids of a byte-level vocabulary of ranks for any text: by the library where that is safe, by merge replay elsewhere."""
 
 from __future__ import annotations
 
 import base64
-import os
 import re
+from collections.abc import Sequence
 
+import numpy as np
 import tiktoken
-from tokenizers import Tokenizer
 
 import public_tokenizers
 
-#: A run of blanks that is longer is left to the tokenizers library: the quicker one's search for words runs out of stack at some 990,000.
+from .merge_replay import MergeReplay
+
+#: Texts with a longer run of blanks are split here: the library's search for words runs out of stack at some 990,000.
 LONG_RUN = 50_000
 BLANKS = re.compile(r"\s{%d}" % LONG_RUN)
 
 
 class ByteLevel:
-    """A vocabulary of ranks; special maps strings to the ids that they stand for."""
+    """A vocabulary of ranks, and special strings whose ids follow those of the vocabulary."""
 
-    def __init__(self, path: str | None = None, special: dict[str, int] | None = None, library: str | None = None) -> None:
+    def __init__(self, path: str | None = None, special: Sequence[str] = ()) -> None:
         with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.special = special or {}
+        self.special = {x: max(self.ranks.values()) + 1 + i for i, x in enumerate(special)}
         self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks, special_tokens=self.special)
-        self.marks = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.library = library or public_tokenizers.path("byte_bpe_50k.json")
-        self.slow: Tokenizer | None = None
+        self.marks = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
+        self.replay: MergeReplay | None = None
 
     def token_bytes(self) -> list[bytes]:
         """The bytes of each id; those of special ids are their strings."""
@@ -35,24 +36,16 @@ class ByteLevel:
             out[i] = token
         return out
 
-    def _plain(self, text: str) -> list[int]:
-        if len(text) < LONG_RUN or not BLANKS.search(text):
-            return self.encoding.encode_ordinary(text)
-        if self.slow is None:
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            self.slow = Tokenizer.from_file(self.library)
-            self.slow.no_truncation()
-            self.slow.no_padding()
-            self.slow.encode_special_tokens = True
-        return self.slow.encode_batch_fast([text], add_special_tokens=False)[0].ids
+    def _replayed(self, text: str) -> list[int]:
+        if self.replay is None:
+            self.replay = MergeReplay(ranks=self.ranks)
+        return np.frombuffer(self.replay.encode([text])[0], "<u4").tolist()
 
     def encode(self, text: str) -> list[int]:
-        """Ids of the whole text; strings of special tokens stand for one id each."""
-        if self.marks is None:
-            return self._plain(text)
+        """Ids of the whole text; each special string in it stands for one id."""
         if len(text) < LONG_RUN or not BLANKS.search(text):
-            return self.encoding.encode(text, allowed_special="all")
+            return self.encoding.encode(text, allowed_special="all") if self.special else self.encoding.encode_ordinary(text)
         out: list[int] = []
-        for i, part in enumerate(self.marks.split(text)):
-            out += [self.special[part]] if i % 2 else self._plain(part)
+        for i, part in enumerate(self.marks.split(text) if self.marks else [text]):
+            out += [self.special[part]] if i % 2 else self._replayed(part)
         return out

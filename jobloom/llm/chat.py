@@ -7,19 +7,16 @@ Turn markers are tokens of their own, so no token straddles the edge of a text.
 
 from __future__ import annotations
 
-import base64
 import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import public_tokenizers
-
+from .byte_level import ByteLevel
 from .common import table
 
 #: Their ids follow those of the vocabulary.
@@ -60,19 +57,12 @@ class Codec:
     """A byte-level encoding with the three markers, and each token's length in bytes."""
 
     def __init__(self, path: str | None = None) -> None:
-        with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        marks = {x: max(ranks.values()) + 1 + i for i, x in enumerate((OPEN, SAY, CLOSE))}
-        self.encoding = tiktoken.Encoding("chat", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=marks)
-        self.length = np.zeros(max(marks.values()) + 1, np.int64)
-        for token, i in ranks.items():
-            self.length[i] = len(token)
-        for token, i in marks.items():
-            self.length[i] = len(token)
+        self.level = ByteLevel(path, (OPEN, SAY, CLOSE))
+        self.length = np.array([len(x) for x in self.level.token_bytes()], np.int64)
 
     def encode(self, formatted: str) -> np.ndarray:
         """Ids of the whole text; every marker in it is meant as one."""
-        return np.array(self.encoding.encode(formatted, allowed_special="all"), np.int32)
+        return np.array(self.level.encode(formatted), np.int32)
 
     def spans(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Byte offsets at which each token starts and ends."""

@@ -83,11 +83,10 @@ def slices(text: str) -> Iterator[str]:
 class MergeReplay:
     """Ids of words by a table of ranks, as the tiktoken library gives them."""
 
-    def __init__(self, path: str | None = None) -> None:
-        with open(path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
-            self.set_ranks({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
-
-    def set_ranks(self, ranks: dict[bytes, int]) -> None:
+    def __init__(self, path: str | None = None, ranks: dict[bytes, int] | None = None) -> None:
+        if ranks is None:
+            with open(path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.ranks = ranks
         self.token = [b""] * (max(self.ranks.values()) + 1)
         for token, i in self.ranks.items():

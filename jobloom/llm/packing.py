@@ -10,7 +10,6 @@ tried besides.
 
 from __future__ import annotations
 
-import base64
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -18,13 +17,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import public_tokenizers
-
+from .byte_level import ByteLevel
 from .common import shuffle_width, table
 
 WINDOW = 1024
@@ -55,18 +52,14 @@ class Codec:
     """Ids of a byte-level vocabulary, the special token's string included, and which ids end a sentence."""
 
     def __init__(self, path: str | None = None) -> None:
-        with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encoding = tiktoken.Encoding("pack", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: max(ranks.values()) + 1})
-        self.ends = np.zeros(max(ranks.values()) + 2, bool)
-        for token, i in ranks.items():
+        self.level = ByteLevel(path, (SPECIAL,))
+        self.ends = np.zeros(max(self.level.ranks.values()) + 2, bool)
+        for token, i in self.level.ranks.items():
             self.ends[i] = token.rstrip(b'"\')').endswith((b".", b"!", b"?", b"\n"))
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of the whole text, then END_ID."""
-        ids = self.encoding.encode(text, allowed_special="all") if SPECIAL in text else self.encoding.encode_ordinary(text)
-        ids.append(END_ID)
-        return np.array(ids, np.uint32)
+        return np.array([*self.level.encode(text), END_ID], np.uint32)
 
 
 def candidates(doc_end: np.ndarray, sentence_end: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

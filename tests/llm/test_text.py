@@ -175,6 +175,15 @@ def test_chat_of_odd_rows(spark):
     assert chat.read_back(chat.format_chat(df.limit(0))).count() == 0
 
 
+def test_chat_of_very_long_runs(spark):
+    rows = [(i, k, role, t) for i, t in enumerate(LONG_RUNS) for k, role in enumerate(("user", "assistant"))]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = {r.conv_id: r for r in chat.read_back(chat.format_chat(df)).collect()}
+    for i, t in enumerate(LONG_RUNS):
+        assert (got[i].n_turns, got[i].loss_chars, got[i].loss_sha256) == (2, len(t), hashlib.sha256(t.encode()).hexdigest())
+        assert got[i].turns_sha256 == hashlib.sha256(f"user\n{t}\nassistant\n{t}\n".encode()).hexdigest()
+
+
 # --- PII
 
 KEY = b"k"
@@ -365,6 +374,18 @@ def test_packing_of_odd_rows(spark):
     assert packing.pack_documents(documents(spark, [])).count() == 0
 
 
+LONG_RUNS = [" " * 1_000_000, "a" + " " * 1_000_000 + "b", "a" + "\n" * 1_000_000 + "b <|endoftext|> c", "\t" * 1_000_000 + " x", "a" + " \n" * 500_000]
+
+
+def test_packing_of_very_long_runs(spark):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = list(enumerate(LONG_RUNS))
+    ids = [np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4") for _, t in rows]
+    pieces = packing.pack_documents(documents(spark, rows)).collect()
+    check_pieces(rows, pieces, ids)
+    assert all(p.ids_crc32 == zlib.crc32(ids[p.doc_id][p.start : p.start + p.length].tobytes()) for p in pieces)
+
+
 def test_packing_wastes_little(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     pieces = packing.pack_documents(docs, partitions=2).collect()
