@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, mixed, saved, shuffle_width, table
 from .components import connected_components
-from .shingles import shingle_sets
+from .shingles import Key, new_key, shingle_sets
 
 #: Buckets of the frequency sketch, as bits.
 SKETCH_BITS = 18
@@ -65,13 +65,13 @@ def reduced(parts: DataFrame, dtype: str, op: Callable) -> np.ndarray | None:
     return np.frombuffer(got[0], dtype) if got else None
 
 
-def token_frequencies(docs: DataFrame, words: int) -> np.ndarray:
+def token_frequencies(docs: DataFrame, words: int, key: Key) -> np.ndarray:
     """In how many documents the shingles of each bucket occur; docs is (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
-            for s in shingle_sets(batch.column(1), words):
+            for s in shingle_sets(batch.column(1), words, key):
                 total += np.bincount(s >> np.uint64(64 - SKETCH_BITS), minlength=len(total)).astype(np.uint32) if len(s) > 4096 else 0
                 if len(s) <= 4096:
                     np.add.at(total, s >> np.uint64(64 - SKETCH_BITS), np.uint32(1))
@@ -118,7 +118,7 @@ def bitmap(tokens: np.ndarray) -> np.ndarray:
     return np.packbits((count & 1).astype(np.uint8)).view("<i8")
 
 
-def _sets(docs: DataFrame, frequency: np.ndarray, percent: int, words: int) -> DataFrame:
+def _sets(docs: DataFrame, frequency: np.ndarray, percent: int, words: int, key: Key) -> DataFrame:
     """(id, n, sig1, sig2, matches, prefix, bits) of every document (id, text, and what else is carried along)."""
     carried = docs.columns[2:]
     excess = np.maximum(0.0, frequency.astype(float) - np.median(frequency))  # the rest of a bucket is other tokens
@@ -127,7 +127,7 @@ def _sets(docs: DataFrame, frequency: np.ndarray, percent: int, words: int) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, one, two, matches, kept, bits = [], [], [], [], [], []
-            for s in shingle_sets(batch.column(1), words):
+            for s in shingle_sets(batch.column(1), words, key):
                 m, p = prefix(s, sent.value, percent)
                 a, b = signatures(s)
                 n.append(len(s))
@@ -176,7 +176,7 @@ def _with_set(rows: DataFrame, pairs: DataFrame, sets: DataFrame, side: str, oth
     return dealt.join(own.withColumn("salt", F.explode(F.sequence(F.lit(0), parts))).drop("parts").hint("merge"), [side, "salt"]).drop("salt")
 
 
-def verified(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, percent: int, words: int) -> DataFrame:
+def verified(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, percent: int, words: int, key: Key) -> DataFrame:
     """Those of pairs (a, b) whose whole sets are alike; their documents' sets are made anew.
 
     pairs and vertices are to be written tables. Sets travel for the pairs' own documents only.
@@ -195,7 +195,7 @@ def verified(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, percent: in
                 at = _filter_places(batch.column(0).fill_null(0).to_numpy(), size)
                 part = batch.filter(pa.array((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).all(0)))
             made = []
-            for i, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1), words), strict=True):
+            for i, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1), words, key), strict=True):
                 one, two = signatures(s)
                 if (i, one, two) not in sent:  # rows alike in id and text give one set in a task
                     sent.add((i, one, two))
@@ -206,9 +206,9 @@ def verified(pairs: DataFrame, vertices: DataFrame, docs: DataFrame, percent: in
             )
 
     made = docs.mapInArrow(run, "id bigint, n bigint, sig1 bigint, sig2 bigint, tokens array<bigint>")
-    key = [F.coalesce("id", F.lit(0)).alias("k"), "n", "sig1", "sig2"]
+    names = [F.coalesce("id", F.lit(0)).alias("k"), "n", "sig1", "sig2"]
     # sets and pairs grow with the documents, so no estimate shall make one side of their joins a broadcast
-    sets = made.select(*key, "tokens").join(wanted.select(*key, "v").hint("merge"), ["k", "n", "sig1", "sig2"]).select("v", "tokens")
+    sets = made.select(*names, "tokens").join(wanted.select(*names, "v").hint("merge"), ["k", "n", "sig1", "sig2"]).select("v", "tokens")
     both = _with_set(_with_set(pairs.select("a", "b"), pairs, sets, "a", "b"), pairs, sets, "b", "a")
     shared = F.size(F.array_intersect("t_a", "t_b"))
     return both.filter(100 * shared >= percent * (F.size("t_a") + F.size("t_b") - shared)).select("a", "b")
@@ -243,7 +243,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     docs = df.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *([F.col(f"`{key_col}`").alias("key")] if key_col else []))
     plain = docs.select("id", "text")
-    rows = saved(_sets(docs, token_frequencies(plain, words), percent, words))
+    key = new_key()  # the answer doesn't depend on it
+    rows = saved(_sets(docs, token_frequencies(plain, words, key), percent, words, key))
     docs = plain
     sets = ["n", "sig1", "sig2"]
     # equal sets are one vertex; its prefix is the same in each document
@@ -264,7 +265,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     hits = posts.filter("v <> center").groupBy("v", "matches", "center").count().filter("count >= matches")
     best = hits.groupBy("v").agg(F.max_by("center", "count").alias("c"))
     pairs = saved(best.select(F.greatest("v", "c").alias("a"), F.least("v", "c").alias("b")).distinct())
-    links = saved(verified(pairs, vertices, docs, percent, words))
+    links = saved(verified(pairs, vertices, docs, percent, words, key))
 
     found = connected_components(links).select("v", F.col("root").alias("c"))
     placed = posts.drop("center").join(found, "v", "left").withColumn("c", F.coalesce("c", "v"))
@@ -289,7 +290,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rest = saved(more)
     discard(left)
     if not rest.isEmpty():
-        links = saved(links.union(verified(rest, vertices, docs, percent, words)))
+        links = saved(links.union(verified(rest, vertices, docs, percent, words, key)))
         found = connected_components(links).select("v", F.col("root").alias("c"))
 
     known = vertices.select("v", "id", *sets).join(found, "v", "left").withColumn("c", F.coalesce("c", "v"))

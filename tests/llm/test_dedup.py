@@ -91,6 +91,9 @@ def test_near_copies_equal_brute_force(spark, percent, words):
             rows.append((100 + len(rows), " ".join(own)))
     # words whose sums of powers modulo 2 ** 64 are equal whatever the base
     thue = ["".join("ab"[(i.bit_count() + k) % 2] for i in range(2048)) for k in (0, 1)]
+    # words that collide under an unkeyed mix of eight bytes at a time
+    probe = ["pqzpsgilaaaaaaab", "rlzmjfwqwyyeidpx"]
+    rows += [(710, probe[0]), (711, probe[1]), (712, f"some {probe[0]} words here"), (713, f"some {probe[1]} words here")]
     rows += [(700, thue[0]), (701, thue[1]), (702, " ".join(["x", thue[0], "y", "z", "q"])), (703, " ".join(["x", thue[1], "y", "z", "q"]))]
     # a chain: neighbours are alike, its ends aren't
     chain = [f"c{i}" for i in range(140)]
@@ -105,13 +108,53 @@ def test_word_hashes_tell_words_apart():
     words |= {"".join("ab"[(i.bit_count() + k) % 2] for i in range(n)) for k in (0, 1) for n in (16, 64, 512, 2048)}
     text = pa.array([" ".join(w.upper() for w in words), "\t".join(words)])
     data, at = text_buffer(text)
-    made, of = shingles.word_hashes(data, at)
+    made, of = shingles.word_hashes(data, at, (1, 2))
     # É isn't lower-cased, all else is
     assert len(set(made[of == 1].tolist())) == len(words) and made[of == 0].size == made[of == 1].size
     plain = np.array(["é" not in w for w in words])
     assert (made[of == 0] == made[of == 1])[plain].all()
 
 
+def sip13(data, key):
+    """SipHash-1-3, a word at a time."""
+    top = (1 << 64) - 1
+    turned = lambda x, n: (x << n | x >> (64 - n)) & top
+    v = [c ^ key[i % 2] for i, c in enumerate(shingles.SIP_START)]
+
+    def mix():
+        v[0] = (v[0] + v[1]) & top
+        v[1] = turned(v[1], 13) ^ v[0]
+        v[0] = turned(v[0], 32)
+        v[2] = (v[2] + v[3]) & top
+        v[3] = turned(v[3], 16) ^ v[2]
+        v[0] = (v[0] + v[3]) & top
+        v[3] = turned(v[3], 21) ^ v[0]
+        v[2] = (v[2] + v[1]) & top
+        v[1] = turned(v[1], 17) ^ v[2]
+        v[2] = turned(v[2], 32)
+
+    whole = len(data) // 8 * 8
+    for m in [*(int.from_bytes(data[i : i + 8], "little") for i in range(0, whole, 8)), int.from_bytes(data[whole:], "little") | (len(data) & 255) << 56]:
+        v[3] ^= m
+        mix()
+        v[0] ^= m
+    v[2] ^= 255
+    for _ in range(3):
+        mix()
+    return v[0] ^ v[1] ^ v[2] ^ v[3]
+
+
+def test_word_hashes_are_keyed():
+    words = ["a" * n for n in range(1, 65)] + ["pqzpsgilaaaaaaab", "rlzmjfwqwyyeidpx"]
+    data, at = text_buffer(pa.array([" ".join(words)]))
+    for key in ((0, 0), (5, 1 << 63), shingles.new_key()):
+        made, _ = shingles.word_hashes(data, at, key)
+        assert made.tolist() == [sip13(w.encode(), key) for w in words]
+    assert shingles.new_key() != shingles.new_key()
+    one, two = (shingles.word_hashes(*text_buffer(pa.array(["x" * 100])), (k, 0))[0][0] for k in (1, 2))
+    assert one != two
+
+
 def test_a_set_in_very_many_pairs_is_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "SET_PAIRS", 3)
     monkeypatch.setattr(jaccard_join, "LIST_ROWS", 2)
