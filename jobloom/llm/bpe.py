@@ -13,7 +13,9 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -46,6 +48,22 @@ WORD_FORM = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Repl
 WORD_RULE = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
+@cache
+def _joined_marks() -> frozenset[str]:
+    """Characters that the composition of normal forms can join to the one before them, Hangul vowels and ends included."""
+    pairs = (unicodedata.decomposition(chr(c)).split() for c in range(0x110000))
+    return frozenset({chr(int(p[1], 16)) for p in pairs if len(p) == 2 and p[0][0] != "<"} | {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))})
+
+
+@cache
+def stands_alone(c: str) -> bool:
+    """Does a character's normal form, and that of what follows, never depend on what stands before it?
+
+    Unknown characters may be marks in a newer version of Unicode than Python's.
+    """
+    return PLAIN.fullmatch(c) is not None or (unicodedata.combining(c) == 0 and unicodedata.category(c) not in ("Cn", "Mn", "Mc", "Me") and c not in _joined_marks())
+
+
 def cuts(text: str) -> list[int]:
     """Positions after which the rolling hash cuts the text."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -58,7 +76,8 @@ def cuts(text: str) -> list[int]:
         h = h[width:] + h[:-width] * np.uint32(pow(0x01000193, width, 1 << 32))
         width *= 2
     h = (h ^ (h >> np.uint32(16))) * np.uint32(0xC2B2AE35)
-    return (np.flatnonzero(h >> np.uint32(32 - CUT_BITS) == 0) + HASH_WINDOW).tolist()
+    places = (np.flatnonzero(h >> np.uint32(32 - CUT_BITS) == 0) + HASH_WINDOW).tolist()
+    return [p for p in places if p < len(text) and stands_alone(text[p])]
 
 
 class Encoded(NamedTuple):
@@ -132,10 +151,10 @@ class ChunkEncoder:
 
     def _by_library(self, texts: list[str]) -> list[Encoded]:
         out = []
-        for e in self.tokenizer.encode_batch(texts, add_special_tokens=False) if texts else ():
+        for text, e in zip(texts, self.tokenizer.encode_batch(texts, add_special_tokens=False) if texts else (), strict=True):
             begins, end, before = [], 0, None
             for k, ((a, b), w) in enumerate(zip(e.offsets, e.word_ids, strict=True)):
-                if w != before and a >= end:  # not within a character that became several
+                if w != before and a >= end and stands_alone(text[a]):  # not within a character that became several
                     begins.append((a, k))
                 before, end = w, max(end, b)
             out.append(Encoded(np.array(e.ids, "<u4").tobytes(), begins))
@@ -182,6 +201,8 @@ class ChunkEncoder:
         known, n = dict(chunk.head), len(tail)
         for far in (chunk.head[min(1, len(chunk.head) - 1)], chunk.head[-1]):
             width = far[0] + 2 * AHEAD
+            while width < len(text) and not stands_alone(text[width]):
+                width += 1
             seen = tail + text[:width]
             sure = len(seen) if final and width >= len(text) else len(seen) - AHEAD
             if self._is_plain(seen):

@@ -464,6 +464,22 @@ def test_joins_are_repaired_exactly(monkeypatch, name, bits):
     assert encoder.reused
 
 
+@pytest.mark.parametrize("bits", [2, 4, 8])
+def test_joins_are_exact_among_marks(monkeypatch, bits):
+    monkeypatch.setattr(bpe, "CUT_BITS", bits)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, encoder = Tokenizer.from_file(path), bpe.ChunkEncoder(path)
+    rng = random.Random(bits)
+    marks = ["\u0301", "\u0323", "\u0327", "\u0303", "\u0302", "\u0308", "\u0345", "\u093c", "\u3099"]
+    parts = ["'", "'re", "'s", "s", "e", "E", "the ", "Word", " ", "\n\n", "1", "\u00e9", "\u00c9", "\u0130", "\ufb01", "\u65e5", "\u304b", "\u0915", "\u1100", "\u1161", "\u11a8", "\uac00", "\U0001f600", "...", "a" * 20, "<|endoftext|>", *marks, *marks]
+    shared = ["".join(rng.choice(parts) for _ in range(rng.randint(20, 120))) for _ in range(8)]
+    shared += ["".join(rng.choice(marks) for _ in range(rng.randint(1, 40))) for _ in range(20)]
+    shared.append("\U0001f600\u0301\u0323\u0323\u0323\u00c9\u00c9\u0301\u0323\u0323\u00c9\u0301\u00c9\u00c9\u0301\u00c9\u0323")
+    for _ in range(3400):
+        text = "".join(rng.choice([rng.choice(shared), "".join(rng.choice(parts) for _ in range(rng.randint(0, 40)))]) for _ in range(rng.randint(1, 5)))
+        assert encoder.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
 def test_unknown_rules_are_left_to_the_library(tmp_path):
     import json
 
