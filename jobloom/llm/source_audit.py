@@ -90,16 +90,21 @@ def count_terms(df: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     return counted.groupBy(*GROUP, "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
+#: Counts below this can be multiplied by WHOLE.
+SMALL = 9_000_000_000
+
+
 def share(n: Column, total: Column, terms: Column) -> Column:
-    """1 + floor(WHOLE * (n + 1) / (total + terms)), by long division in steps of 1000, so nothing overflows."""
+    """1 + floor(WHOLE * (n + 1) / (total + terms)); for large counts by long division in steps of 1000, so nothing overflows."""
+    div = lambda x, y: F.call_function("div", x, y)
     by = F.greatest(F.lit(1), total + terms)
     whole = F.when(n + 1 >= by, 1).otherwise(0).cast("bigint")  # 1 where the only kept term is all there is
     rest = n + 1 - whole * by
     for _ in range(3):
         step = rest * 1000
-        digit = F.call_function("div", step, by)
+        digit = div(step, by)
         whole, rest = whole * 1000 + digit, step - digit * by
-    return whole + 1
+    return F.when(n < SMALL, div((n + 1) * WHOLE, by)).otherwise(whole) + 1
 
 
 def gap(p: Column, q: Column) -> Column:
