@@ -26,6 +26,12 @@ def admitted_jobs(jobs: DataFrame) -> DataFrame:
     return jobs.filter(~keyed).union(first.drop("slot_part", "rn"))
 
 
+def distinct_requests(requests: DataFrame) -> DataFrame:
+    """One request for each id: the first by run_at, then by its data."""
+    first = Window.partitionBy("id").orderBy("run_at", "data", "type")
+    return requests.withColumn("rn", F.row_number().over(first)).filter("rn = 1").drop("rn")
+
+
 def enqueue(requests: DataFrame, existing: DataFrame) -> DataFrame:
     """requests (id, type, data, dedupe_key, dedupe_scope, run_at, ...) with admitted and blocked_by.
 

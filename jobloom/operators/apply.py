@@ -21,10 +21,14 @@ SUPERSEDED_NOTE = " (superseded: a queued follow-up already covers this work)"
 def decide(commands: DataFrame, jobs: DataFrame, receipts: DataFrame) -> DataFrame:
     """commands with their job's columns (null where there is none), outcome, and whether it changes the job.
 
-    A receipt (job_id, token, op, outcome) answers a repeated command with what it was told
-    before, and nothing changes. Of the job's columns id and status keep their names.
+    A command that comes again is a command of its own: an unfenced fail, say, counts each time.
+    Only where again is set (an optional column: it repeats one whose answer was lost) the
+    newest receipt (job_id, token, op, outcome, at) answers it with what that was told, and
+    nothing changes. Of the job's columns id and status keep their names.
     """
-    told = receipts.select("job_id", F.coalesce("token", F.lit("")).alias("t"), "op", F.col("outcome").alias("told"))
+    told = latest_receipts(receipts)
+    if "again" not in commands.columns:
+        commands = commands.withColumn("again", F.lit(False))
     answered = receipts.filter("token is not null").select("job_id", F.col("token").alias("t")).distinct().withColumn("answered", F.lit(True))
     rows = commands.join(jobs, commands["job_id"] == jobs["id"], "left").join(followers(jobs), "dedupe_key", "left")
     rows = rows.withColumn("t", F.coalesce("token", F.lit(""))).join(told, ["job_id", "t", "op"], "left").join(answered, ["job_id", "t"], "left")
@@ -36,6 +40,7 @@ def decide(commands: DataFrame, jobs: DataFrame, receipts: DataFrame) -> DataFra
     done = done.when(op == "release", active & open_to()).when(op == "completeClaimed", own & (active | failed))
     done = done.when(op == "heartbeatClaimed", own & active).when(op == "heartbeat", F.col("token").isNull() | (own & active)).otherwise(open_to())
     hit = F.coalesce(done, F.lit(False))
+    told_again = F.when(F.col("again"), F.col("told"))
     result = (
         F.when(op.isin("complete", "completeClaimed"), "completed")
         .when(op == "failFatal", "failed-terminal")
@@ -46,16 +51,19 @@ def decide(commands: DataFrame, jobs: DataFrame, receipts: DataFrame) -> DataFra
     )
     # only terminal commands say why they missed
     miss = F.when(op.isin(*TERMINAL_OPS), miss_class()).otherwise("lease-lost")
-    rows = rows.withColumn("outcome", F.coalesce("told", F.when(hit, result).otherwise(miss)))
-    return rows.withColumn("changes", F.col("told").isNull() & hit & F.col("id").isNotNull()).drop("t", "told", "answered", "follower")
+    rows = rows.withColumn("outcome", F.coalesce(told_again, F.when(hit, result).otherwise(miss)))
+    return rows.withColumn("changes", told_again.isNull() & hit & F.col("id").isNotNull()).drop("t", "told", "again", "answered", "follower")
 
 
 def jobs_after(decided: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:
     """jobs as the decided commands leave them; all others as they are.
 
     A retry keeps its token and lease times, as a late completion needs them; a release drops both.
+    Two commands that change one job, heartbeats aside, are an error: see operators.slots for those.
     """
-    done = decided.filter("changes").select(F.col("id"), F.col("op"), F.col("outcome"), F.col("reason")).dropDuplicates(["id"])
+    beat = F.col("op").isin(*HEARTBEATS)
+    done = decided.filter("changes").groupBy("id").agg(F.count_if(~beat).alias("n"), F.min(F.struct(beat, "op", "outcome", "reason")).alias("x"))
+    done = done.withColumn("x", F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("several commands for job "), F.col("id")))).otherwise(F.col("x"))).select("id", "x.op", "x.outcome", "x.reason")
     rows = jobs.join(done, "id", "left")
     is_ = lambda *x: F.coalesce(F.col("outcome").isin(*x), F.lit(False))
     delay = backoff_ms(F.col("attempt"), F.col("backoff_strategy"), F.col("backoff_base_ms"), F.col("backoff_cap_ms"), F.col("id"))
@@ -74,9 +82,14 @@ def jobs_after(decided: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:
     return rows.withColumns(changed).select(jobs.columns)
 
 
-def new_receipts(decided: DataFrame) -> DataFrame:
-    """(job_id, token, op, outcome) of the terminal commands that changed a job."""
-    return decided.filter(F.col("changes") & F.col("op").isin(*TERMINAL_OPS)).select("job_id", "token", "op", "outcome")
+def latest_receipts(receipts: DataFrame) -> DataFrame:
+    """(job_id, t, op, told): the newest answer for each job, token ('' for none) and operation."""
+    return receipts.groupBy("job_id", F.coalesce("token", F.lit("")).alias("t"), "op").agg(F.max_by("outcome", F.struct("at", "outcome")).alias("told"))
+
+
+def new_receipts(decided: DataFrame, now: Column) -> DataFrame:
+    """(job_id, token, op, outcome, at) of the terminal commands that changed a job."""
+    return decided.filter(F.col("changes") & F.col("op").isin(*TERMINAL_OPS)).select("job_id", "token", "op", "outcome", now.alias("at"))
 
 
 def events(decided: DataFrame, now: Column) -> DataFrame:
@@ -90,6 +103,7 @@ def events(decided: DataFrame, now: Column) -> DataFrame:
         .when(~F.col("changes"), F.lit(None))
         .when(outcome == "completed", "completed")
         .when(op == "failFatal", "fail-fatal")
+        .when(op == "claimOrEnqueue", F.when(outcome == "claimed", "claimed"))
         .when(op == "release", F.when(outcome == "released", "shutdown-released").otherwise("superseded"))
         .when(op == "fail", F.when(outcome == "superseded", "superseded").otherwise("failed"))
     )
@@ -101,7 +115,7 @@ def events(decided: DataFrame, now: Column) -> DataFrame:
         "kind",
         now.alias("ts"),
         F.when(timed, F.timestamp_diff("MILLISECOND", F.col("claimed_at"), now)).alias("duration_ms"),
-        F.when(failed, F.col("attempt")).alias("attempt"),
+        F.when(failed | (F.col("kind") == "claimed"), F.col("attempt")).alias("attempt"),
         F.when(failed, F.col("max_attempts")).alias("max_attempts"),
         F.when(failed, outcome == "failed-terminal").alias("terminal"),
         F.when(F.col("kind").isin("failed", "superseded", "fail-fatal"), F.col("reason")).alias("reason"),

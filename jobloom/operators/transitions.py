@@ -72,17 +72,14 @@ def release_outcomes(commands: DataFrame, jobs: DataFrame) -> DataFrame:
 def complete_outcomes(commands: DataFrame, jobs: DataFrame, receipts: DataFrame) -> DataFrame:
     """commands (job_id, token) -> (job_id, outcome).
 
-    A receipt (job_id, token, op, outcome) answers a repeated command with what it was told
-    before. A job that the reaper failed while its owner still worked may be completed by that
-    owner, as long as the owner's token has no receipt.
+    A job that the reaper failed while its owner still worked may be completed by that owner, as
+    long as the owner's token has no receipt. A command that comes again is one of its own.
     """
-    own = receipts.filter("op = 'complete'").select("job_id", F.coalesce("token", F.lit("")).alias("t"), F.col("outcome").alias("told"))
-    any_receipt = receipts.filter("token is not null").select("job_id", F.col("token").alias("t2")).distinct().withColumn("answered", F.lit(True))
-    rows = commands.join(jobs, commands["job_id"] == jobs["id"], "left").withColumn("t", F.coalesce("token", F.lit("")))
-    rows = rows.join(own, ["job_id", "t"], "left").join(any_receipt.withColumnRenamed("t2", "t"), ["job_id", "t"], "left")
+    any_receipt = receipts.filter("token is not null").select("job_id", "token").distinct().withColumn("answered", F.lit(True))
+    rows = commands.join(jobs, commands["job_id"] == jobs["id"], "left").join(any_receipt, ["job_id", "token"], "left")
     late = (F.col("status") == "failed") & (F.col("claim_token") == F.col("token")) & F.col("answered").isNull()
     done = F.coalesce(open_to() | late, F.lit(False))
-    return rows.select("job_id", F.coalesce("told", F.when(done, "completed").otherwise(miss_class())).alias("outcome"))
+    return rows.select("job_id", F.when(done, "completed").otherwise(miss_class()).alias("outcome"))
 
 
 def heartbeat_outcomes(commands: DataFrame, jobs: DataFrame) -> DataFrame:

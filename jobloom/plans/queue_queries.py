@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import backoff_bounds_ms, heartbeat_interval_ms, receipt_key
-from ..operators import admission, apply, claims, gauges, lookups, transitions
-from ..sources.fixtures import now, raw_jobs, table
+from ..operators import admission, apply, claims, gauges, lookups, slots, transitions
+from ..sources.fixtures import NOW, now, raw_jobs, table
 
 CLAIM_LIMIT, TYPE_LIMIT, CAPACITY, RETENTION = 50, 10, 700, 365
 
@@ -122,9 +122,12 @@ def _commands(jobs: DataFrame) -> DataFrame:
 
 
 def _receipts(jobs: DataFrame) -> DataFrame:
-    """What half of the completed jobs, and half of the failed ones that have a token, were told."""
-    completed = jobs.filter("status = 'completed' and cast(id as bigint) % 2 = 0").selectExpr("id as job_id", "'none' as token", "'complete' as op", "'completed' as outcome")
-    return completed.union(jobs.filter("status = 'failed' and claim_token is not null and cast(id as bigint) % 4 = 0").selectExpr("id", "claim_token", "'fail'", "'failed-terminal'"))
+    """What half of the completed jobs, and half of the failed ones that have a token, were told; and what open ones were told earlier, without a token."""
+    completed = jobs.filter("status = 'completed' and cast(id as bigint) % 2 = 0").selectExpr("id as job_id", "'none' as token", "'complete' as op", "'completed' as outcome", "completed_at as at")
+    failed = jobs.filter("status = 'failed' and claim_token is not null and cast(id as bigint) % 4 = 0").selectExpr("id", "claim_token", "'fail'", "'failed-terminal'", "failed_at")
+    earlier = ", ".join(f"named_struct('op', '{op}', 'outcome', '{told}', 'at', {at})" for op, told, at in (("fail", "superseded", "created_at"), ("fail", "retry-scheduled", "run_at + interval 1 minute"), ("release", "released", "run_at")))
+    earlier = jobs.filter("status in ('pending', 'active') and cast(id as bigint) % 3 <> 0").selectExpr("id", "cast(null as string)", f"inline(array({earlier}))")
+    return completed.union(failed).union(earlier)
 
 
 OPS = ("complete", "fail", "failFatal", "release", "completeClaimed", "heartbeat", "heartbeatClaimed")
@@ -134,7 +137,7 @@ def _decided(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Commands of all kinds, decided, and the jobs."""
     jobs = jobs_of(spark, sf_dir)
     op = f"element_at(array{OPS}, cast(cast(replace(job_id, 'x', '') as bigint) % {len(OPS)} as int) + 1) as op"
-    commands = _commands(jobs).selectExpr("job_id", "token", op, "concat('boom ', job_id) as reason")
+    commands = _commands(jobs).selectExpr("job_id", "token", op, "concat('boom ', job_id) as reason", "cast(replace(job_id, 'x', '') as bigint) % 4 = 1 as again")
     return apply.decide(commands, jobs, _receipts(jobs)), jobs
 
 
@@ -148,7 +151,7 @@ def apply_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def apply_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apply.new_receipts(_decided(spark, sf_dir)[0])
+    return apply.new_receipts(_decided(spark, sf_dir)[0], now())
 
 
 def apply_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,11 +171,55 @@ def batch_heartbeat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claim_or_enqueue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    requests = table(spark, sf_dir, "customer").selectExpr(
-        "concat('r', c_custkey) as id", "concat('t', c_custkey % 4) as type", "if(c_custkey % 5 = 0, null, concat('cust:', c_custkey)) as dedupe_key",
-        "if(c_custkey % 5 = 0, null, if(c_custkey % 2 = 0, 'pending', 'pending+active')) as dedupe_scope", "c_custkey % 6 in (0, 4) and c_custkey % 5 <> 0 as latest",
+    requests = table(spark, sf_dir, "customer").select(
+        *(F.expr(x) for x in (
+            "concat('r', c_custkey) as id", "concat('t', c_custkey % 4) as type", "if(c_custkey % 5 = 0, null, concat('cust:', c_custkey)) as dedupe_key",
+            "if(c_custkey % 5 = 0, null, if(c_custkey % 2 = 0, 'pending', 'pending+active')) as dedupe_scope", "c_custkey % 6 in (0, 4) and c_custkey % 5 <> 0 as latest",
+        )),
+        now().alias("at"),
     )
-    return claims.claim_or_enqueue(requests, jobs_of(spark, sf_dir))
+    return claims.claim_or_enqueue(requests, jobs_of(spark, sf_dir)).drop("at")
+
+
+def _many_requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A request for each order, so one to some twenty for a key, of both scopes, types and modes; and the jobs that there are."""
+    requests = raw_jobs(spark, sf_dir).withColumn("n", F.col("id").cast("bigint")).selectExpr(
+        "concat('r', id) as id", "concat('t', n % 2) as type", "concat('d', id) as data", "priority", "max_attempts", "dedupe_key",
+        "if(dedupe_key is null, null, if(n % 3 = 0, 'pending+active', 'pending')) as dedupe_scope", "n % 4 = 1 as latest",
+        "timestampadd(SECOND, cast(n % 90 as int), run_at) as run_at", f"timestampadd(MINUTE, cast(n % 50000 as int), timestamp_ntz '{NOW}') as at",
+    )
+    return requests, jobs_of(spark, sf_dir)
+
+
+def claim_or_enqueue_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return claims.claim_or_enqueue(*_many_requests(spark, sf_dir)).select("id", "type", "dedupe_key", "dedupe_scope", "latest", "outcome", "job_id")
+
+
+def claim_or_enqueue_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests, jobs = _many_requests(spark, sf_dir)
+    after = claims.jobs_with_requests(claims.claim_or_enqueue(requests, jobs), jobs)
+    return after.select("id", "type", "data", "status", "attempt", "dedupe_key", "dedupe_scope", "run_at", "claimed_at", "claim_token")
+
+
+def _slot_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands for the open jobs of each key, one for each of its orders, applied in the order of their times."""
+    jobs = jobs_of(spark, sf_dir)
+    held = {s: (F.col("status") == s) for s in ("active", "pending")}
+    open_jobs = jobs.filter("dedupe_key is not null").groupBy("dedupe_key").agg(*(F.max(F.when(held[s], F.col(c))).alias(f"{s}_{c}") for s in held for c in ("id", "claim_token")))
+    pick = lambda c: f"if(n % 3 = 0, if(pending_id is null, active_{c}, pending_{c}), if(active_id is null, pending_{c}, active_{c}))"
+    commands = raw_jobs(spark, sf_dir).select("dedupe_key", F.col("id").cast("bigint").alias("n")).join(open_jobs, "dedupe_key").filter("active_id is not null or pending_id is not null").selectExpr(
+        f"{pick('id')} as job_id", f"element_at(array{OPS}, cast(n % {len(OPS)} as int) + 1) as op", f"case n % 5 when 0 then 'stale' when 1 then null when 2 then null else coalesce({pick('claim_token')}, 'none') end as token",
+        "concat('boom ', n) as reason", f"timestampadd(SECOND, cast(n as int), timestamp_ntz '{NOW}') as at",
+    )
+    return slots.folded(commands, jobs, _receipts(jobs))
+
+
+def slot_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slots.answers(_slot_fold(spark, sf_dir)).select("job_id", "op", "at", "outcome", "changes")
+
+
+def slot_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slots.changed_jobs(_slot_fold(spark, sf_dir)).select("id", "status", "run_at", "completed_at", "failed_at", "fail_reason", "claimed_at", "claim_token")
 
 
 def enqueue_against_open(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -223,7 +270,7 @@ def receipt_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 JOBS_SQL = """
-WITH raw AS (
+WITH RECURSIVE raw AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS id, 't' || (o_orderkey % 4) AS type,
     '{"userId":' || o_custkey || ',"cents":' || CAST(round(o_totalprice * 100) AS BIGINT) || '}' AS data,
     CASE o_orderstatus WHEN 'P' THEN 'pending' WHEN 'O' THEN 'active'
@@ -276,6 +323,10 @@ WITH raw AS (
 ), rec AS (
   SELECT id AS rid, 'none' AS rtok, 'complete' AS rop, 'completed' AS rout FROM jobs WHERE status = 'completed' AND CAST(id AS BIGINT) % 2 = 0
   UNION ALL SELECT id, claim_token, 'fail', 'failed-terminal' FROM jobs WHERE status = 'failed' AND claim_token IS NOT NULL AND CAST(id AS BIGINT) % 4 = 0
+), lost AS (
+  SELECT rid, rtok, rop, rout FROM rec
+  UNION ALL SELECT id, NULL, 'fail', 'retry-scheduled' FROM jobs WHERE status IN ('pending', 'active') AND CAST(id AS BIGINT) % 3 <> 0
+  UNION ALL SELECT id, NULL, 'release', 'released' FROM jobs WHERE status IN ('pending', 'active') AND CAST(id AS BIGINT) % 3 <> 0
 ), hit AS (
   SELECT c.job_id, c.token, j.*, f.fk IS NOT NULL AND j.dedupe_scope = 'pending' AS followed,
     CASE WHEN j.id IS NULL THEN 'not-found' WHEN j.status IN ('completed', 'failed', 'superseded') THEN 'already-terminal' ELSE 'lease-lost' END AS miss,
@@ -303,7 +354,7 @@ DECIDED = f""", ordered AS (
   SELECT h.*, [{", ".join(repr(x) for x in OPS)}][CAST(CAST(replace(job_id, 'x', '') AS BIGINT) % {len(OPS)} AS INT) + 1] AS op, 'boom ' || job_id AS reason FROM hit h
 ), answered AS (
   SELECT o.*, r.rout AS told, a.rid IS NOT NULL AS answered, coalesce(claim_token = token, false) AS own FROM ordered o
-  LEFT JOIN rec r ON job_id = r.rid AND coalesce(token, '') = r.rtok AND op = r.rop LEFT JOIN (SELECT DISTINCT rid, rtok FROM rec) a ON job_id = a.rid AND token = a.rtok
+  LEFT JOIN lost r ON job_id = r.rid AND token IS NOT DISTINCT FROM r.rtok AND op = r.rop AND CAST(replace(job_id, 'x', '') AS BIGINT) % 4 = 1 LEFT JOIN (SELECT DISTINCT rid, rtok FROM rec) a ON job_id = a.rid AND token = a.rtok
 ), tried AS (
   SELECT *, coalesce(CASE op WHEN 'complete' THEN applied OR status = 'failed' AND own AND NOT answered WHEN 'release' THEN applied AND status = 'active' WHEN 'completeClaimed' THEN own AND status IN ('active', 'failed')
     WHEN 'heartbeatClaimed' THEN own AND status = 'active' WHEN 'heartbeat' THEN token IS NULL OR own AND status = 'active' ELSE applied END, false) AS done FROM answered
@@ -330,6 +381,71 @@ EVENTS = """, e AS (
 SELECT job_id, type, kind, TIMESTAMP '1999-01-01 00:00:00' AS ts, CASE WHEN kind IN ('completed', 'failed', 'superseded') THEN datesub('millisecond', claimed_at, now) END AS duration_ms,
   CASE WHEN kind = 'failed' THEN attempt END AS attempt, CASE WHEN kind = 'failed' THEN max_attempts END AS max_attempts, CASE WHEN kind = 'failed' THEN outcome = 'failed-terminal' END AS terminal,
   CASE WHEN kind IN ('failed', 'superseded', 'fail-fatal') THEN reason END AS reason, CASE WHEN kind = 'lease-lost' THEN op END AS op FROM e WHERE kind IS NOT NULL"""
+#: One request after another, key by key: the state is whether the scopes' places are taken, and the follower.
+MANY = """, q AS (
+  SELECT 'r' || id AS id, 't' || (CAST(id AS BIGINT) % 2) AS type, 'd' || id AS data, dedupe_key, CASE WHEN dedupe_key IS NULL THEN NULL WHEN CAST(id AS BIGINT) % 3 = 0 THEN 'pending+active' ELSE 'pending' END AS dedupe_scope,
+    CAST(id AS BIGINT) % 4 = 1 AS latest, run_at + to_seconds(CAST(id AS BIGINT) % 90) AS run_at, now + to_minutes(CAST(id AS BIGINT) % 50000) AS moment FROM raw
+), keyed AS (
+  SELECT *, row_number() OVER (PARTITION BY dedupe_key ORDER BY moment, id) AS n FROM q WHERE dedupe_key IS NOT NULL AND NOT (latest AND dedupe_scope <> 'pending')
+), start AS (
+  SELECT k.dedupe_key AS key, coalesce(bool_or(j.status = 'active' AND j.dedupe_scope = 'pending'), false) AS ap, coalesce(bool_or(j.status = 'pending' AND j.dedupe_scope = 'pending+active'), false) AS op,
+    coalesce(bool_or(j.status = 'active' AND j.dedupe_scope = 'pending+active'), false) AS oa, max(j.id) FILTER (WHERE j.status = 'pending' AND j.dedupe_scope = 'pending') AS p_id,
+    max(j.type) FILTER (WHERE j.status = 'pending' AND j.dedupe_scope = 'pending') AS p_type, max(j.data) FILTER (WHERE j.status = 'pending' AND j.dedupe_scope = 'pending') AS p_data
+  FROM (SELECT DISTINCT dedupe_key FROM keyed) k LEFT JOIN jobs j ON j.dedupe_key = k.dedupe_key GROUP BY k.dedupe_key
+), scan AS (
+  SELECT key, CAST(0 AS BIGINT) AS n, ap, op, oa, p_id, p_type, p_data, CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS outcome, CAST(NULL AS VARCHAR) AS job_id FROM start
+  UNION ALL
+  SELECT key, n, ap OR outcome = 'claimed' AND scope = 'pending', op, oa OR outcome = 'claimed' AND scope = 'pending+active', CASE WHEN outcome = 'queued' THEN id ELSE p_id END, CASE WHEN outcome = 'queued' THEN type ELSE p_type END,
+    CASE WHEN outcome IN ('queued', 'replaced') THEN data ELSE p_data END, id, outcome, CASE WHEN outcome = 'replaced' THEN p_id WHEN outcome IN ('claimed', 'queued') THEN id END
+  FROM (SELECT s.key, k.n, s.ap, s.op, s.oa, s.p_id, s.p_type, s.p_data, k.id, k.type, k.data, k.dedupe_scope AS scope,
+      CASE WHEN k.latest AND s.p_type = k.type THEN 'replaced' WHEN NOT k.latest AND (s.op OR s.p_id IS NOT NULL) THEN 'waiting'
+        WHEN k.dedupe_scope = 'pending+active' THEN CASE WHEN s.oa OR s.op THEN 'rejected' ELSE 'claimed' END WHEN NOT s.ap THEN 'claimed' WHEN s.p_id IS NOT NULL THEN 'yielded' ELSE 'queued' END AS outcome
+    FROM scan s JOIN keyed k ON k.dedupe_key = s.key AND k.n = s.n + 1)
+), asked AS (
+  SELECT q.*, CASE WHEN q.latest AND coalesce(q.dedupe_scope, '') <> 'pending' THEN 'refused' WHEN q.dedupe_key IS NULL THEN 'claimed' ELSE s.outcome END AS outcome,
+    CASE WHEN q.latest AND coalesce(q.dedupe_scope, '') <> 'pending' THEN NULL WHEN q.dedupe_key IS NULL THEN q.id ELSE s.job_id END AS job_id FROM q LEFT JOIN scan s ON s.id = q.id
+), told_data AS (
+  SELECT p_id, p_data FROM scan WHERE p_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC) = 1
+)
+"""
+#: One command after another, key by key: the state is the key's active and its pending job.
+_SIDE = ("id", "status", "token", "claimed", "run", "done", "failed", "reason", "told", "new")
+_PICKED = ", ".join(f"CASE WHEN c.job_id = s.a_id THEN s.a_{x} ELSE s.p_{x} END AS t_{x}" for x in _SIDE[1:])
+_NEXT = {
+    "status": "CASE outcome WHEN 'completed' THEN 'completed' WHEN 'retry-scheduled' THEN 'pending' WHEN 'released' THEN 'pending' WHEN 'superseded' THEN 'superseded' WHEN 'failed-terminal' THEN 'failed' ELSE t_status END",
+    "token": "CASE WHEN outcome = 'released' THEN NULL ELSE t_token END",
+    "claimed": "CASE WHEN outcome IN ('applied', 'heartbeated') THEN moment WHEN outcome = 'released' THEN NULL ELSE t_claimed END",
+    "run": "CASE outcome WHEN 'retry-scheduled' THEN moment + to_milliseconds(delay_ms) WHEN 'released' THEN moment ELSE t_run END",
+    "done": "CASE WHEN outcome = 'completed' THEN moment ELSE t_done END",
+    "failed": "CASE WHEN outcome IN ('failed-terminal', 'superseded') THEN moment WHEN outcome = 'completed' THEN NULL ELSE t_failed END",
+    "reason": f"CASE WHEN outcome = 'superseded' THEN CASE WHEN op = 'release' THEN 'Released' ELSE reason END || '{apply.SUPERSEDED_NOTE}' WHEN outcome IN ('failed-terminal', 'retry-scheduled') THEN reason WHEN outcome = 'completed' THEN NULL ELSE t_reason END",
+    "told": "t_told OR token IS NOT NULL AND op IN ('complete', 'fail', 'failFatal', 'release')",
+    "new": "true",
+}
+_AFTER = ", ".join(f"{side}_id, " + ", ".join(f"CASE WHEN may AND job_id = {side}_id THEN {_NEXT[x]} ELSE {side}_{x} END AS {side}_{x}" for x in _SIDE[1:]) for side in "ap")
+SLOTS = f""", slot_open AS (
+  SELECT dedupe_key AS key, max(id) FILTER (WHERE status = 'active') AS a0, max(id) FILTER (WHERE status = 'pending') AS p0 FROM jobs WHERE dedupe_key IS NOT NULL AND status IN ('pending', 'active') GROUP BY dedupe_key
+), given AS (
+  SELECT key, CAST(r.id AS BIGINT) AS k, CASE WHEN CAST(r.id AS BIGINT) % 3 = 0 THEN coalesce(p0, a0) ELSE coalesce(a0, p0) END AS job_id FROM raw r JOIN slot_open ON r.dedupe_key = key
+), cmds AS (
+  SELECT g.key, g.job_id, [{", ".join(repr(x) for x in OPS)}][CAST(k % {len(OPS)} AS INT) + 1] AS op, CASE k % 5 WHEN 0 THEN 'stale' WHEN 1 THEN NULL WHEN 2 THEN NULL ELSE coalesce(j.claim_token, 'none') END AS token,
+    'boom ' || k AS reason, j.now + to_seconds(k) AS moment, d.delay_ms, j.attempt, j.max_attempts, j.dedupe_scope AS scope, row_number() OVER (PARTITION BY g.key ORDER BY k) AS n
+  FROM given g JOIN jobs j ON j.id = g.job_id JOIN delays d ON d.bid = g.job_id
+), walk AS (
+  SELECT key, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS job_id, CAST(NULL AS VARCHAR) AS op, CAST(NULL AS TIMESTAMP) AS moment, CAST(NULL AS VARCHAR) AS outcome, false AS may,
+    {", ".join(f"{s}.id AS {s}_id, {s}.status AS {s}_status, {s}.claim_token AS {s}_token, {s}.claimed_at AS {s}_claimed, {s}.run_at AS {s}_run, {s}.completed_at AS {s}_done, {s}.failed_at AS {s}_failed, {s}.fail_reason AS {s}_reason, false AS {s}_told, false AS {s}_new" for s in "ap")}
+  FROM slot_open LEFT JOIN jobs a ON a.id = a0 LEFT JOIN jobs p ON p.id = p0
+  UNION ALL
+  SELECT key, n, job_id, op, moment, outcome, may, {_AFTER} FROM (
+    SELECT *, CASE WHEN NOT may THEN CASE WHEN op IN ('complete', 'fail', 'failFatal', 'release') AND t_status IN ('completed', 'failed', 'superseded') THEN 'already-terminal' ELSE 'lease-lost' END
+        WHEN op IN ('complete', 'completeClaimed') THEN 'completed' WHEN op = 'heartbeat' THEN 'applied' WHEN op = 'heartbeatClaimed' THEN 'heartbeated' WHEN op = 'failFatal' THEN 'failed-terminal'
+        WHEN scope = 'pending' AND (coalesce(a_status, '') = 'pending' OR coalesce(p_status, '') = 'pending') THEN 'superseded' WHEN op = 'release' THEN 'released' WHEN attempt >= max_attempts THEN 'failed-terminal' ELSE 'retry-scheduled' END AS outcome
+    FROM (SELECT *, CASE op WHEN 'heartbeat' THEN token IS NULL OR own AND t_status = 'active' WHEN 'heartbeatClaimed' THEN own AND t_status = 'active' WHEN 'completeClaimed' THEN own AND t_status IN ('active', 'failed')
+          WHEN 'release' THEN hit AND t_status = 'active' WHEN 'complete' THEN hit OR t_status = 'failed' AND own AND NOT t_told ELSE hit END AS may
+      FROM (SELECT *, coalesce(t_token = token, false) AS own, CASE WHEN token IS NULL THEN t_status IN ('pending', 'active') ELSE t_status = 'active' AND coalesce(t_token = token, false) END AS hit
+        FROM (SELECT s.* EXCLUDE (n, job_id, op, moment, outcome, may), c.* EXCLUDE (key), {_PICKED} FROM walk s JOIN cmds c ON c.key = s.key AND c.n = s.n + 1))))
+), last AS (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC) = 1)
+"""
 
 SQL = {
     "queue_stats": f"SELECT {GAUGES} FROM jobs",
@@ -362,11 +478,11 @@ SQL = {
     "fail_outcomes": """, o AS (SELECT job_id, id, now, CASE WHEN NOT applied THEN miss WHEN followed THEN 'superseded' WHEN attempt >= max_attempts THEN 'failed-terminal' ELSE 'retry-scheduled' END AS outcome FROM hit)
         SELECT job_id, outcome, CASE WHEN outcome = 'retry-scheduled' THEN now + to_milliseconds(delay_ms) END AS retry_run_at FROM o LEFT JOIN delays ON id = bid""",
     "release_outcomes": "SELECT job_id, CASE WHEN NOT (applied AND status = 'active') THEN miss WHEN followed THEN 'superseded' ELSE 'released' END AS outcome FROM hit",
-    "terminal_miss_class": """SELECT job_id, CASE WHEN r.rout IS NOT NULL THEN r.rout WHEN applied THEN 'completed' WHEN status = 'failed' AND claim_token = token AND a.rid IS NULL THEN 'completed' ELSE miss END AS outcome
-        FROM hit LEFT JOIN rec r ON job_id = r.rid AND token = r.rtok AND r.rop = 'complete' LEFT JOIN (SELECT DISTINCT rid, rtok FROM rec) a ON job_id = a.rid AND token = a.rtok""",
+    "terminal_miss_class": """SELECT job_id, CASE WHEN applied THEN 'completed' WHEN status = 'failed' AND claim_token = token AND a.rid IS NULL THEN 'completed' ELSE miss END AS outcome
+        FROM hit LEFT JOIN (SELECT DISTINCT rid, rtok FROM rec) a ON job_id = a.rid AND token = a.rtok""",
     "apply_outcomes": DECIDED + "SELECT job_id, op, outcome, changes FROM decided",
     "apply_jobs": DECIDED + AFTER,
-    "apply_receipts": DECIDED + "SELECT job_id, token, op, outcome FROM decided WHERE changes AND op IN ('complete', 'fail', 'failFatal', 'release')",
+    "apply_receipts": DECIDED + "SELECT job_id, token, op, outcome, TIMESTAMP '1999-01-01 00:00:00' AS at FROM decided WHERE changes AND op IN ('complete', 'fail', 'failFatal', 'release')",
     "apply_events": DECIDED + EVENTS,
     "claim_events": f"SELECT id AS job_id, type, 'claimed' AS kind, TIMESTAMP '1999-01-01 00:00:00' AS ts, attempt FROM claimed WHERE rn <= {TYPE_LIMIT}",
     "batch_heartbeat": "SELECT id, status, CASE WHEN status = 'active' AND type IN ('t0', 't1') THEN now ELSE claimed_at END AS claimed_at FROM jobs",
@@ -383,6 +499,12 @@ SQL = {
           SELECT *, CASE WHEN dedupe_key IS NULL THEN 'claimed' WHEN latest AND follower_type = type THEN 'replaced' WHEN NOT latest AND n_pending > 0 THEN 'waiting' WHEN taken = 0 THEN 'claimed'
             WHEN dedupe_scope <> 'pending' THEN 'rejected' WHEN follower IS NOT NULL THEN 'yielded' ELSE 'queued' END AS outcome FROM p)
         SELECT id, type, dedupe_key, dedupe_scope, latest, outcome, CASE WHEN outcome = 'replaced' THEN follower WHEN outcome IN ('claimed', 'queued') THEN id END AS job_id FROM o""",
+    "claim_or_enqueue_many": MANY + "SELECT id, type, dedupe_key, dedupe_scope, latest, outcome, job_id FROM asked",
+    "claim_or_enqueue_jobs": MANY + """SELECT id, type, coalesce(p_data, data) AS data, status, attempt, dedupe_key, dedupe_scope, run_at, claimed_at, claim_token FROM jobs LEFT JOIN told_data ON p_id = id
+        UNION ALL SELECT a.id, a.type, coalesce(p_data, data), CASE outcome WHEN 'claimed' THEN 'active' ELSE 'pending' END, CASE outcome WHEN 'claimed' THEN 1 ELSE 0 END, dedupe_key, dedupe_scope, CASE outcome WHEN 'claimed' THEN moment ELSE run_at END,
+          CASE outcome WHEN 'claimed' THEN moment END, CASE outcome WHEN 'claimed' THEN left(sha256('claim:' || a.id || ':1'), 16) END FROM asked a LEFT JOIN told_data ON p_id = a.id WHERE outcome IN ('claimed', 'queued')""",
+    "slot_outcomes": SLOTS + "SELECT job_id, op, moment AS at, outcome, may AS changes FROM walk WHERE n > 0",
+    "slot_jobs": SLOTS + " UNION ALL ".join(f"SELECT {x}_id AS id, {x}_status AS status, {x}_run AS run_at, {x}_done AS completed_at, {x}_failed AS failed_at, {x}_reason AS fail_reason, {x}_claimed AS claimed_at, {x}_token AS claim_token FROM last WHERE {x}_new" for x in "ap"),
     "enqueue_against_open": """, h2 AS (SELECT DISTINCT dedupe_key, dedupe_scope FROM jobs WHERE dedupe_key IS NOT NULL AND (status = 'pending' OR status = 'active' AND dedupe_scope = 'pending+active')),
         r2 AS (SELECT r.id, r.dedupe_key, CASE WHEN r.dedupe_key IS NULL THEN NULL WHEN h2.dedupe_key IS NOT NULL THEN 'existing' WHEN row_number() OVER (PARTITION BY r.dedupe_key, r.dedupe_scope ORDER BY r.run_at, r.id) > 1 THEN 'batch' END AS blocked_by
           FROM raw r LEFT JOIN h2 ON r.dedupe_key = h2.dedupe_key AND r.dedupe_scope = h2.dedupe_scope)

@@ -38,7 +38,7 @@ class QueueStore(Protocol):
 
 
 LOGS = {"commands": schemas.COMMANDS, "events": schemas.EVENTS, "steps": schemas.STEPS, "receipts": schemas.RECEIPTS, "batches": schemas.BATCHES}
-JOB_COLUMNS = [f.split()[0] for f in schemas.JOBS.replace("\n", " ").split(",")]
+JOB_COLUMNS = schemas.names(schemas.JOBS)
 
 #: Folders of added rows from which on they and their version become a new version.
 MERGE_AFTER = 32

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import admission, apply, lookups, transitions
+from ..operators import admission, apply, lookups, slots, transitions
 from ..operators.gauges import SWEEP_ROWS
 from ..sources import schemas
 from ..sources.store import QueueStore
@@ -21,7 +21,7 @@ def admit_requests(requests: DataFrame, store: QueueStore, checkpoint: str, once
 
     def batch(rows: DataFrame, _: int) -> None:
         jobs = store.jobs()
-        known = rows.join(jobs.select("id"), "id", "left_anti")  # a batch that ran before changes nothing
+        known = admission.distinct_requests(rows).join(jobs.select("id"), "id", "left_anti")  # a batch that ran before changes nothing
         store.add_jobs(admission.enqueue(known, jobs).filter("admitted").select(jobs.columns))
 
     writer = requests.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
@@ -46,40 +46,35 @@ def _recovered(jobs: DataFrame, out: DataFrame, now: Column) -> DataFrame:
     ).select(jobs.columns)
 
 
-def apply_batch(commands: DataFrame, store: QueueStore, now: Column, done: dict[str, DataFrame] | None = None) -> None:
-    """Apply commands (job_id, op, token, reason), as operators.apply takes them, to the store.
+def apply_batch(commands: DataFrame, store: QueueStore, now: Column) -> None:
+    """Apply commands (job_id, op, token, reason), at most one for a job, as operators.apply takes them, to the store.
 
-    Jobs, receipts, events and what else is done become visible at once. A batch that runs again
-    is answered by its receipts.
+    Jobs, receipts and events become visible at once.
     """
     jobs = store.jobs()
     decided = apply.decide(commands, jobs, store.log("receipts")).persist()
-    store.commit(apply.jobs_after(decided, jobs, now), {"events": apply.events(decided, now), "receipts": apply.new_receipts(decided), **(done or {})})
+    store.commit(apply.jobs_after(decided, jobs, now), {"events": apply.events(decided, now), "receipts": apply.new_receipts(decided, now)})
     decided.unpersist()
 
 
 def apply_in_order(commands: DataFrame, store: QueueStore, stream: str, batch: int) -> None:
-    """All commands (job_id, op, token, reason, at) of a stream's batch, those for one job in the order of at.
+    """All commands and requests of a stream's batch, as operators.slots takes them: each slot's in the order of at, each with its own time.
 
-    Round k has the k-th command of each job, heartbeats in a row as one, so there are as many
-    rounds as the busiest job has commands; each writes the job table. Ties in at go by op,
-    token and reason. Rounds that the store has seen are passed over, so a batch that was cut
-    off goes on where it stopped.
+    The batch is one version of the store, whatever number of commands a job has in it. A batch
+    that the store has seen changes nothing.
     """
-    beat = F.col("op").isin(*apply.HEARTBEATS)
-    of_job = Window.partitionBy("job_id").orderBy("at", "op", "token", "reason")
-    numbered = commands.withColumn("starts", F.when(beat & F.lag(beat).over(of_job), 0).otherwise(1))
-    numbered = numbered.withColumn("round", F.sum("starts").over(of_job.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).persist()
-    before = {r[0] for r in store.log("batches").filter((F.col("stream") == stream) & (F.col("batch") == batch)).select("round").collect()}
-    for k, now in sorted(map(tuple, numbered.groupBy("round").agg(F.max("at")).collect())):
-        if k not in before:
-            done = commands.sparkSession.createDataFrame([(stream, batch, k)], schemas.BATCHES)
-            apply_batch(numbered.filter(F.col("round") == k).select("job_id", "op", "token", "reason"), store, F.lit(now).cast("timestamp_ntz"), {"batches": done})
-    numbered.unpersist()
+    if not store.log("batches").filter((F.col("stream") == stream) & (F.col("batch") == batch)).isEmpty():
+        return
+    jobs = store.jobs()
+    done = slots.folded(commands, jobs, store.log("receipts")).persist()
+    told, at = slots.answers(done), F.col("at")
+    seen = commands.sparkSession.createDataFrame([(stream, batch, 0)], schemas.BATCHES)
+    store.commit(slots.jobs_afterwards(jobs, slots.changed_jobs(done)), {"events": apply.events(told, at), "receipts": apply.new_receipts(told, at), "batches": seen})
+    done.unpersist()
 
 
 def apply_commands(commands: DataFrame, store: QueueStore, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """A stream of commands (job_id, op, token, reason, at) applied batch by batch, each command once."""
+    """A stream of commands (job_id, op, token, reason, at, and what else operators.slots takes) applied batch by batch, each command once."""
 
     def batch(rows: DataFrame, number: int) -> None:
         apply_in_order(rows, store, checkpoint, number)

@@ -213,9 +213,9 @@ def test_commands_for_one_job_are_applied_in_order(spark, tmp_path):
         upkeep.apply_in_order(commands, s, "stream", 0)
         after = {r.id: r for r in s.jobs().collect()}
         assert after[one.id].status == "completed" and after[two.id].status == "pending" and after[two.id].fail_reason == "first"
-        assert after[one.id].claimed_at == at(2) and after[one.id].completed_at == at(2)
+        assert after[one.id].claimed_at == at(1) and after[one.id].completed_at == at(2) and after[two.id].fail_reason == "first"
         assert sorted((r.job_id, r.kind) for r in s.log("events").collect()) == sorted([(one.id, "completed"), (two.id, "failed"), (two.id, "lease-lost")])
-        assert s.log("receipts").count() == 2 and s.version() == 5
+        assert s.log("receipts").count() == 2 and s.version() == 3  # one write a batch
     s.compact(1)
     assert s.log("events").count() == 3 and s.jobs().count() == 2
 
