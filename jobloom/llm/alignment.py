@@ -39,6 +39,9 @@ class Transducer:
 
     def __init__(self, a_bytes: list[bytes], b_bytes: list[bytes]) -> None:
         self.bytes = (a_bytes, b_bytes)
+        #: of each first token the second with the same bytes: from the empty state, the two are a group
+        equal = {x: i for i, x in enumerate(b_bytes)}
+        self.equal = [equal.get(x, -1) for x in a_bytes]
         self.reset()
 
     def reset(self) -> None:
@@ -77,7 +80,7 @@ class Transducer:
         if self.known > MEMO:
             self.reset()
         ends_a, ends_b = [], []
-        takes_b, follow = self.takes_b, self.next
+        takes_b, follow, equal = self.takes_b, self.next, self.equal
         i = j = state = 0
         n, m = len(a), len(b)
         while i < n or j < m:
@@ -87,6 +90,11 @@ class Transducer:
             else:
                 token = a[i]
                 i += 1
+                if not state and j < m and equal[token] == b[j]:
+                    j += 1
+                    ends_a.append(i)
+                    ends_b.append(j)
+                    continue
             to = follow[state].get(token)
             state = self._step(state, token) if to is None else to
             if not state:
@@ -109,6 +117,9 @@ class Aligner:
             piece = self.b.id_to_piece(i)
             self.b_bytes.append(bytes([int(piece[1:-1], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
         self.transducer = Transducer(self.a_bytes, self.b_bytes)
+        #: ids as text with what follows them in groups_text(): of the first side within and at the end of a group, and of the second
+        sides = ((len(self.a_bytes), ",|"), (len(self.b_bytes), ",;"))
+        self.strings = [f"{i}{mark}" for n, marks in sides for mark in marks for i in range(n)]
 
     def align(self, text: str | None) -> tuple[list[int], list[int], list[int], list[int]]:
         if not text:
@@ -119,21 +130,24 @@ class Aligner:
         own = self.b_bytes
         if b"".join([own[i] for i in b]) != data:
             return [], [], [], []
-        a = self.a.encode(whole)
-        own = self.a_bytes
-        if b"".join([own[i] for i in a]) != data:
-            return [], [], [], []
+        a = self.a.encode(whole)  # covers any bytes; the transducer would find out if it didn't
         return a, b, *self.transducer.groups(a, b)
 
 
-def groups_text(a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]) -> str:
-    """`a1,a2|b1;a3|b2,b3`: the groups' ids."""
-    x, y = list(map(str, a)), list(map(str, b))
-    parts, i, j = [], 0, 0
-    for k, m in zip(ends_a, ends_b, strict=True):
-        parts.append(f"{x[i]}|{y[j]}" if k - i == 1 and m - j == 1 else f"{','.join(x[i:k])}|{','.join(y[j:m])}")
-        i, j = k, m
-    return ";".join(parts)
+    def groups_text(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> str:
+        """`a1,a2|b1;a3|b2,b3`: the groups' ids."""
+        if not len(ends_a):
+            return ""
+        n, m = len(self.a_bytes), len(self.b_bytes)
+        one, two = a.copy(), b + 2 * n
+        one[ends_a - 1] += n
+        two[ends_b - 1] += m
+        out = np.empty(len(a) + len(b), np.int64)
+        # a group's first ids come after all second ids before it, and its second ids after all its first ones
+        out[np.arange(len(a)) + np.repeat(np.concatenate([[0], ends_b[:-1]]), np.diff(ends_a, prepend=0))] = one
+        out[np.arange(len(b)) + np.repeat(ends_a, np.diff(ends_b, prepend=0))] = two
+        strings = self.strings
+        return "".join([strings[i] for i in out.tolist()])[:-1]
 
 
 def _summed(keys: list[np.ndarray], sums: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -143,32 +157,35 @@ def _summed(keys: list[np.ndarray], sums: list[np.ndarray]) -> tuple[np.ndarray,
     return found, total
 
 
-def links(a: list[int], b: list[int], ends_a: list[int], ends_b: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def links(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct linked pairs (as numbers, sorted) and how often each is linked."""
-    if not ends_a:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
     size_a, size_b = np.diff(ends_a, prepend=0), np.diff(ends_b, prepend=0)
-    first_a, first_b = np.asarray(ends_a, np.int64) - size_a, np.asarray(ends_b, np.int64) - size_b
+    first_a, first_b = ends_a - size_a, ends_b - size_b
     product = size_a * size_b
-    keys, sums = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    small = np.flatnonzero(product < GROUP_LINKS)
-    part = np.cumsum(product[small]) // LINKS
-    for lo, hi in zip(*(lambda c: (c[:-1], c[1:]))(np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(small)]])), strict=True):
-        g = small[lo:hi]
-        n = product[g]
-        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        width = np.repeat(size_b[g], n)
-        pairs = ids_a[np.repeat(first_a[g], n) + inside // width] * PAIR + ids_b[np.repeat(first_b[g], n) + inside % width]
-        k, s = np.unique(pairs, return_counts=True)
-        keys.append(k)
-        sums.append(s)
-    for g in np.flatnonzero(product >= GROUP_LINKS):
-        x, nx = np.unique(ids_a[first_a[g] : first_a[g] + size_a[g]], return_counts=True)
-        y, ny = np.unique(ids_b[first_b[g] : first_b[g] + size_b[g]], return_counts=True)
+    single = product == 1
+    plain = a[first_a[single]] * PAIR + b[first_b[single]]
+    rest = np.flatnonzero(~single)
+    n = product[rest]
+    few = n < GROUP_LINKS
+    small, large = rest[few], rest[~few]
+    n = n[few]
+    part = np.cumsum(n) // LINKS  # so many links are laid out at a time
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(small)]])
+    keys, sums = [], []
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        g, k = small[lo:hi], n[lo:hi]
+        inside = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        width = np.repeat(size_b[g], k)
+        pairs = a[np.repeat(first_a[g], k) + inside // width] * PAIR + b[np.repeat(first_b[g], k) + inside % width]
+        found, times = np.unique(np.concatenate([plain, pairs]) if not lo else pairs, return_counts=True)
+        keys.append(found)
+        sums.append(times)
+    for g in large:
+        x, nx = np.unique(a[first_a[g] : first_a[g] + size_a[g]], return_counts=True)
+        y, ny = np.unique(b[first_b[g] : first_b[g] + size_b[g]], return_counts=True)
         keys.append((x[:, None] * PAIR + y).ravel())
         sums.append((nx[:, None] * ny).ravel())
-    return _summed(keys, sums)
+    return (keys[0], sums[0]) if len(keys) == 1 else _summed(keys, sums)
 
 
 def align_tokens(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", a_path: str | None = None, b_path: str | None = None) -> DataFrame:
@@ -214,9 +231,10 @@ class Block:
         self.chars = 0
 
     def add(self, doc_id: int | None, text: str | None, aligner: Aligner) -> None:
-        got = a, b, ends_a, ends_b = aligner.align(text)
+        got = a, b, ends_a, _ = [np.array(x, np.int64) for x in aligner.align(text)]
         keys, times = links(*got)
-        self.docs.append((doc_id, len(a), len(b), len(ends_a), int(times.sum()), hashlib.sha256(groups_text(*got).encode()).hexdigest() if a else "", len(keys)))
+        digest = hashlib.sha256(aligner.groups_text(*got).encode()).hexdigest() if len(a) else ""
+        self.docs.append((doc_id, len(a), len(b), len(ends_a), int(times.sum()), digest, len(keys)))
         self.keys.append(keys)
         self.times.append(times)
         self.chars += len(text or "")
