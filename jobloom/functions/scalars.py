@@ -85,8 +85,13 @@ def receipt_key(token: Column) -> Column:
 
 
 def truncated_log(message: Column, most: int = LOG_CHARS) -> Column:
-    """A log line of at most so many characters, marked where it was cut."""
-    return F.when(F.length(message) > most, F.concat(F.left(message, F.lit(max(0, most - len(LOG_SUFFIX)))), F.lit(LOG_SUFFIX))).otherwise(message)
+    """A log line of at most so many UTF-16 units, marked where it was cut, never within a character."""
+    units = F.encode(message, "UTF-16BE")
+    room = 2 * max(0, most - len(LOG_SUFFIX))
+    # the last unit that fits may be the first half of a character
+    half = F.hex(F.substring(units, max(1, room - 1), 1)).between("D8", "DB")
+    kept = F.when(half, F.substring(units, 1, max(0, room - 2))).otherwise(F.substring(units, 1, room))
+    return F.when(F.octet_length(units) > 2 * most, F.concat(F.decode(kept, "UTF-16BE"), F.lit(LOG_SUFFIX))).otherwise(message)
 
 
 def record_bytes(seq: Column, name: Column, result: Column) -> Column:

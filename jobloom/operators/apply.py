@@ -55,8 +55,8 @@ def decide(commands: DataFrame, jobs: DataFrame, receipts: DataFrame) -> DataFra
     return rows.withColumn("changes", told_again.isNull() & hit & F.col("id").isNotNull()).drop("t", "told", "again", "answered", "follower")
 
 
-def jobs_after(decided: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:
-    """jobs as the decided commands leave them; all others as they are.
+def jobs_after(decided: DataFrame, jobs: DataFrame, now: Column, changed_only: bool = False) -> DataFrame:
+    """jobs as the decided commands leave them; all others as they are, or left out.
 
     A retry keeps its token and lease times, as a late completion needs them; a release drops both.
     Two commands that change one job, heartbeats aside, are an error: see operators.slots for those.
@@ -64,7 +64,7 @@ def jobs_after(decided: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:
     beat = F.col("op").isin(*HEARTBEATS)
     done = decided.filter("changes").groupBy("id").agg(F.count_if(~beat).alias("n"), F.min(F.struct(beat, "op", "outcome", "reason")).alias("x"))
     done = done.withColumn("x", F.when(F.col("n") > 1, F.raise_error(F.concat(F.lit("several commands for job "), F.col("id")))).otherwise(F.col("x"))).select("id", "x.op", "x.outcome", "x.reason")
-    rows = jobs.join(done, "id", "left")
+    rows = jobs.join(done, "id", "inner" if changed_only else "left")
     is_ = lambda *x: F.coalesce(F.col("outcome").isin(*x), F.lit(False))
     delay = backoff_ms(F.col("attempt"), F.col("backoff_strategy"), F.col("backoff_base_ms"), F.col("backoff_cap_ms"), F.col("id"))
     ended = is_("failed-terminal", "superseded")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import JOURNAL_BYTES, LOG_ENTRIES, record_bytes
+from ..functions.scalars import JOURNAL_BYTES, LOG_CHARS, LOG_ENTRIES, record_bytes, truncated_log
 
 
 def replay_plan(requested: DataFrame, journal: DataFrame) -> DataFrame:
@@ -82,6 +82,16 @@ def sorted_steps(journal: DataFrame) -> DataFrame:
     return journal.groupBy("job_id").agg(pairs.alias("steps")).select("job_id", F.size("steps").cast("bigint").alias("n_steps"), F.array_join(F.transform("steps", lambda s: s["name"]), ">").alias("names"))
 
 
+def append_logs(kept: DataFrame, entries: DataFrame, most: int = LOG_ENTRIES, chars: int = LOG_CHARS) -> DataFrame:
+    """What is kept of jobs' logs (job_id, seq, message) after entries of that shape were added: the newest of each job.
+
+    Messages are cut to chars; kept ones were when they came. Tasks pass on the newest of each
+    job only, whatever the number of entries.
+    """
+    new = entries.select("job_id", "seq", truncated_log(F.col("message"), chars).alias("message"))
+    return log_tail(kept.select("job_id", "seq", "message").unionByName(new), most)
+
+
 def log_tail(logs: DataFrame, most: int = LOG_ENTRIES) -> DataFrame:
     """The newest entries (job_id, seq, message) of each job."""
     return logs.withColumn("rn", F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("seq")))).filter(F.col("rn") <= most).drop("rn")

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import typed
 from ..functions.scalars import JOURNAL_BYTES, TIME_BYTES
 
 OUTCOMES = "job_id string, token string, op string, reason string"
@@ -104,20 +105,17 @@ def run_claimed(claimed: DataFrame, handlers: Handlers) -> DataFrame:
     return claimed.select("id", "type", "data", "attempt", "claim_token").mapInPandas(run, OUTCOMES)
 
 
-def serializable(value: object, path: str = "result") -> None:
+def serialized(value: object) -> str:
+    """A result as the journal holds it; what it can't hold is rejected with the place of it."""
+    try:
+        return typed.encoded(value)
+    except typed.NotStorable as e:
+        raise NonSerializableStepResult(str(e)) from None
+
+
+def serializable(value: object) -> None:
     """Reject what the journal can't hold, with the place of it."""
-    if value is None or isinstance(value, str | bool | int | float):
-        return
-    if isinstance(value, list):
-        for i, x in enumerate(value):
-            serializable(x, f"{path}[{i}]")
-    elif isinstance(value, dict):
-        for k, x in value.items():
-            if not isinstance(k, str):
-                raise NonSerializableStepResult(f"{path}: key {k!r}")
-            serializable(x, f"{path}.{k}")
-    else:
-        raise NonSerializableStepResult(f"{path}: {type(value).__name__}")
+    serialized(value)
 
 
 #: Place and name of the record that freezes a run's start and seed.
@@ -143,8 +141,7 @@ class Run:
         return f"{self.job_id}:{seq}:{name}"
 
     def _record(self, seq: int, name: str, value: object) -> None:
-        serializable(value)
-        result = json.dumps(value)
+        result = serialized(value)
         self.bytes += json_bytes(seq, name, result)
         if self.bytes > self.limit:
             raise JournalTooLarge(f"{name}: {self.bytes} bytes")
@@ -177,7 +174,7 @@ class Run:
             known, result = self.journal[seq]
             if known != name:
                 raise NondeterminismError(f"step {seq} is {known!r} in the journal, {name!r} in the code")
-            return json.loads(result)
+            return typed.decoded(result)
         began = time.monotonic()
         value = f(self.key(seq, name))
         for since, most in ((began, timeout_ms), (self.began, self.duration_ms)):
@@ -202,7 +199,7 @@ def run_orchestrations(jobs: DataFrame, steps: DataFrame, body: Callable[[Run],
                 r = Run(job_id, data, {s["seq"]: (s["name"], s["result"]) for s in (known if known is not None else [])})
                 op, reason, result = "complete", None, None
                 try:
-                    result = json.dumps(body(r))
+                    result = serialized(body(r))
                 except FatalJobError as e:
                     op, reason = "failFatal", str(e)
                 except Exception as e:  # noqa: BLE001

@@ -49,6 +49,7 @@ class SlotFold:
 
     def __init__(self) -> None:
         self.jobs: dict[str, Row] = {}
+        self.before: dict[str, Row] = {}
         self.changed: set[str] = set()
         self.asked: set[str] = set()
         #: tokens of jobs under which some command was answered, and all answers of this fold
@@ -58,6 +59,7 @@ class SlotFold:
     def add(self, job: Row, answered: bool = False) -> None:
         """A job as it was before; answered says whether there is a receipt for its own token."""
         self.jobs[job["id"]] = job
+        self.before[job["id"]] = dict(job)
         if answered:
             self.answered.add((job["id"], job["claim_token"]))
 
@@ -182,7 +184,7 @@ def _group(job_id: str, key: str, is_open: Column) -> Column:
 
 
 def folded(commands: DataFrame, jobs: DataFrame, receipts: DataFrame) -> DataFrame:
-    """(job, told): the new state of each job that changed or is new, and the answer to each command.
+    """(job, was, told): the new state of each job that changed or is new with its old one, and the answer to each command.
 
     commands are (job_id, op, token, reason, at), and may have again (it repeats one whose answer
     was lost, and is told what that was told), request (a job's row, for 'enqueue' and
@@ -212,20 +214,20 @@ def folded(commands: DataFrame, jobs: DataFrame, receipts: DataFrame) -> DataFra
     rows = members.select("grp", F.lit(0).alias("kind"), F.lit(None).cast("timestamp_ntz").alias("at"), F.struct(*schemas.names(schemas.JOBS)).cast(JOB).alias("job"), F.coalesce("answered", F.lit(False)).alias("answered"), F.lit(None).alias("cmd"))
     rows = rows.unionByName(placed.select("grp", F.lit(1).alias("kind"), "at", F.lit(None).cast(JOB).alias("job"), F.lit(None).cast("boolean").alias("answered"), command.alias("cmd")))
     dealt = rows.repartition("grp").sortWithinPartitions("grp", "kind", "at", "cmd.op", "cmd.token", "cmd.reason", "cmd.job_id")
-    return dealt.mapInArrow(_run, f"job {JOB}, told {schemas.as_struct(TOLD)}")
+    return dealt.mapInArrow(_run, f"job {JOB}, was {JOB}, told {schemas.as_struct(TOLD)}")
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema, group, fold, out = None, None, SlotFold(), []
 
     def settled() -> None:
-        out.extend({"job": fold.jobs[i], "told": None} for i in sorted(fold.changed))
+        out.extend({"job": fold.jobs[i], "was": fold.before.get(i), "told": None} for i in sorted(fold.changed))
 
     for batch in batches:
         if schema is None:
             job = batch.schema.field("job").type
             told = pa.struct([(n, ARROW[t]) for n, t in map(str.split, TOLD.split(", "))])
-            schema = pa.schema([("job", job), ("told", told)])
+            schema = pa.schema([("job", job), ("was", job), ("told", told)])
         for row in batch.to_pylist():
             if row["grp"] != group:
                 settled()
@@ -233,7 +235,7 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if row["kind"] == 0:
                 fold.add(row["job"], row["answered"])
             else:
-                out.append({"job": None, "told": fold.apply(row["cmd"])})
+                out.append({"job": None, "was": None, "told": fold.apply(row["cmd"])})
         if len(out) > 5_000:
             yield pa.RecordBatch.from_pylist(out, schema)
             out.clear()
@@ -247,6 +249,11 @@ def changed_jobs(done: DataFrame) -> DataFrame:
     return done.filter("job is not null").select("job.*")
 
 
+def jobs_before(done: DataFrame) -> DataFrame:
+    """The old rows of the jobs that folded() changes."""
+    return done.filter("was is not null").select("was.*")
+
+
 def answers(done: DataFrame) -> DataFrame:
     """The answers of folded(), shaped as apply.events() and apply.new_receipts() take them."""
     return done.filter("told is not null").select("told.*")

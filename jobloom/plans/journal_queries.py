@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import typed
 from ..functions.scalars import derived_uuid, idempotency_key, is_fatal, next_error_backoff_ms, truncated_log
 from ..operators import gauges, journal, leases
 from ..sources.fixtures import heartbeats, lifecycle, requested_steps, steps, table
@@ -51,6 +52,24 @@ def log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return journal.log_tail(steps(spark, sf_dir).select("job_id", "seq", F.col("result").alias("message")), TAIL)
 
 
+def log_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each run's first steps are in its log, cut to its newest; then the others' texts come."""
+    logs = steps(spark, sf_dir).select("job_id", "seq", F.col("result").alias("message"))
+    first = F.col("seq") % 3 == 0
+    kept = journal.append_logs(logs.limit(0), logs.filter(first), TAIL, LINE)
+    return journal.append_logs(kept, logs.filter(~first), TAIL, LINE)
+
+
+def typed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored value of some kind for each event, and what it is."""
+    rows = table(spark, sf_dir, "events").selectExpr(
+        "event_id", """case event_id % 10 when 0 then 'null' when 1 then 'true' when 2 then cast(event_id as string) when 3 then concat(event_id, '.5') when 4 then concat('"', event_type, '"')
+          when 5 then concat('[', event_id, ',null]') when 6 then concat('{"a":', event_id, '}') when 7 then concat('{"$date":"', date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), 'Z"}') when 8 then '{"$void":true}' else 'no json' end as stored""",
+    )
+    value = typed.variant(F.col("stored"))
+    return rows.select("event_id", typed.kind(value).alias("kind"), typed.is_void(value).alias("void"), typed.as_date(value).alias("moment"), F.try_variant_get(value, "$.a", "bigint").alias("a"))
+
+
 def log_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", truncated_log(F.coalesce("text", F.lit("")), LINE).alias("line"))
 
@@ -114,6 +133,9 @@ requested AS (
   SELECT CAST(user_id AS VARCHAR) AS job_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events
 ), gaps AS (SELECT *, datesub('millisecond', before, ts) AS gap_ms FROM beats)
 """
+#: A line cut to LINE units of UTF-16, in which characters beyond the basic plane count twice.
+UNITS = "(length({x}) + length(regexp_replace({x}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')))"
+CUT = f"CASE WHEN {UNITS} > {LINE} THEN left({{x}}, list_max(list_filter(range(0, {LINE - 12}), lambda k: {UNITS.replace('{x}', 'left({x}, CAST(k AS INT))')} <= {LINE - 13}))::INT) || '… [truncated]' ELSE {{x}} END"
 BYTES = "CAST(strlen(CAST(to_json({'seq': seq, 'name': name, 'result': result}) AS VARCHAR)) + 32 AS BIGINT)"
 H = "sha256('run-' || job_id || chr(0) || seq || ':' || name)"
 SQL = {
@@ -135,7 +157,12 @@ SQL = {
     "derive_uuid": f"SELECT job_id, seq, left({H}, 8) || '-' || substr({H}, 9, 4) || '-4' || substr({H}, 14, 3) || '-' || substr('89ab89ab89ab89ab', instr('0123456789abcdef', substr({H}, 17, 1)), 1) || substr({H}, 18, 3) || '-' || substr({H}, 21, 12) AS uuid FROM steps",
     "idempotency_keys": "SELECT job_id, seq, CASE WHEN seq % 3 = 0 THEN 'own-' || job_id ELSE job_id || ':' || seq || ':' || name END AS key FROM steps",
     "log_tail": f"SELECT job_id, seq, message FROM (SELECT job_id, seq, result AS message, row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) AS rn FROM steps) WHERE rn <= {TAIL}",
-    "log_truncate": f"SELECT doc_id, CASE WHEN length(coalesce(text, '')) > {LINE} THEN substr(text, 1, {LINE - 13}) || '… [truncated]' ELSE coalesce(text, '') END AS line FROM documents",
+    "log_truncate": f"SELECT doc_id, {CUT.format(x="coalesce(text, '')")} AS line FROM documents",
+    "log_append": f""", kept AS (SELECT job_id, seq, result, row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) AS rn FROM steps WHERE seq % 3 = 0),
+        both_ AS (SELECT job_id, seq, result FROM kept WHERE rn <= {TAIL} UNION ALL SELECT job_id, seq, result FROM steps WHERE seq % 3 <> 0)
+        SELECT job_id, seq, {CUT.format(x="result")} AS message FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) AS rn FROM both_) WHERE rn <= {TAIL}""",
+    "typed_values": """SELECT event_id, ['null', 'boolean', 'number', 'number', 'string', 'array', 'object', 'date', 'void', NULL][CAST(event_id % 10 AS INT) + 1] AS kind, event_id % 10 = 8 AS void,
+        CASE WHEN event_id % 10 = 7 THEN date_trunc('second', ts) END AS moment, CASE WHEN event_id % 10 = 6 THEN event_id END AS a FROM events""",
     "fatal_errors": "SELECT event_id, event_id % 5 IN (0, 1, 3) AS fatal, CAST(least(60000, greatest(1000, 200 * event_id)) AS BIGINT) AS next_ms FROM events",
     "event_counts": "SELECT kind, type, count(*) AS n, count(*) FILTER (WHERE kind = 'failed' AND terminal) AS n_dead, count(*) FILTER (WHERE kind = 'failed' AND NOT terminal) AS n_retried FROM life GROUP BY kind, type",
     "event_duration_stats": "SELECT kind, type, count(*) AS n, CAST(sum(micros) AS BIGINT) AS sum_micros, min(micros) AS min_micros, max(micros) AS max_micros, CAST(round(quantile_cont(micros, 0.5) * 2) AS BIGINT) AS twice_median_micros FROM life WHERE kind IN ('completed', 'failed') GROUP BY kind, type",

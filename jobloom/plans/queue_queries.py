@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import backoff_bounds_ms, heartbeat_interval_ms, receipt_key
-from ..operators import admission, apply, claims, gauges, lookups, slots, transitions
+from ..operators import admission, apply, audit, claims, gauges, lookups, slots, transitions
 from ..sources.fixtures import NOW, now, raw_jobs, table
 
 CLAIM_LIMIT, TYPE_LIMIT, CAPACITY, RETENTION = 50, 10, 700, 365
@@ -222,6 +222,24 @@ def slot_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.changed_jobs(_slot_fold(spark, sf_dir)).select("id", "status", "run_at", "completed_at", "failed_at", "fail_reason", "claimed_at", "claim_token")
 
 
+def _tampered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The jobs before and after a batch of commands with its receipts, in which faults are planted by id."""
+    decided, jobs = _decided(spark, sf_dir)
+    after, receipts = apply.jobs_after(decided, jobs, now()), apply.new_receipts(decided, now())
+    n = F.col("id").cast("bigint")
+    after = after.filter(n % 97 != 0).withColumns({
+        "completed_at": F.when((n % 89 == 0) & F.col("completed_at").isNotNull(), now()).otherwise(F.col("completed_at")),
+        "attempt": F.when(n % 83 == 0, F.col("attempt") - 1).otherwise(F.col("attempt")),
+    })
+    k = F.regexp_replace("job_id", "x", "").cast("bigint")
+    return jobs, after, receipts.filter(k % 79 != 0).union(receipts.filter(k % 73 == 0))
+
+
+def terminal_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs whose writes between two snapshots break a rule."""
+    return audit.terminal_writes(*_tampered(spark, sf_dir), now())
+
+
 def enqueue_against_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All jobs asked for once more, while the open ones are still there."""
     return admission.enqueue(raw_jobs(spark, sf_dir), jobs_of(spark, sf_dir)).select("id", "dedupe_key", "blocked_by", "admitted")
@@ -503,6 +521,21 @@ SQL = {
     "claim_or_enqueue_jobs": MANY + """SELECT id, type, coalesce(p_data, data) AS data, status, attempt, dedupe_key, dedupe_scope, run_at, claimed_at, claim_token FROM jobs LEFT JOIN told_data ON p_id = id
         UNION ALL SELECT a.id, a.type, coalesce(p_data, data), CASE outcome WHEN 'claimed' THEN 'active' ELSE 'pending' END, CASE outcome WHEN 'claimed' THEN 1 ELSE 0 END, dedupe_key, dedupe_scope, CASE outcome WHEN 'claimed' THEN moment ELSE run_at END,
           CASE outcome WHEN 'claimed' THEN moment END, CASE outcome WHEN 'claimed' THEN left(sha256('claim:' || a.id || ':1'), 16) END FROM asked a LEFT JOIN told_data ON p_id = a.id WHERE outcome IN ('claimed', 'queued')""",
+    "terminal_audit": DECIDED + """, later AS (
+          SELECT a.id, a.status, CASE WHEN CAST(a.id AS BIGINT) % 89 = 0 AND a.completed_at IS NOT NULL THEN TIMESTAMP '1999-01-01 00:00:00' ELSE a.completed_at END AS completed_at, a.failed_at, a.fail_reason,
+            j.attempt - CASE WHEN CAST(a.id AS BIGINT) % 83 = 0 THEN 1 ELSE 0 END AS attempt FROM (""" + AFTER + """) a JOIN jobs j ON j.id = a.id WHERE CAST(a.id AS BIGINT) % 97 <> 0
+        ), receipts AS (
+          SELECT job_id, outcome FROM decided, range(2) t(k) WHERE changes AND op IN ('complete', 'fail', 'failFatal', 'release')
+            AND (t.k = 0 AND CAST(replace(job_id, 'x', '') AS BIGINT) % 79 <> 0 OR t.k = 1 AND CAST(replace(job_id, 'x', '') AS BIGINT) % 73 = 0)
+        ), ends AS (SELECT job_id, count(*) AS ends FROM receipts WHERE outcome IN ('completed', 'failed-terminal', 'superseded') GROUP BY job_id)
+        SELECT 'job lost' AS rule, id AS job_id, 1 AS n FROM jobs j WHERE NOT EXISTS (SELECT 1 FROM later l WHERE l.id = j.id)
+          AND NOT coalesce(status = 'completed' AND completed_at < now - INTERVAL 7 DAY OR status IN ('failed', 'superseded') AND failed_at < now - INTERVAL 7 DAY, false)
+        UNION ALL SELECT 'written again', j.id, 1 FROM jobs j JOIN later l ON l.id = j.id WHERE j.status IN ('completed', 'failed', 'superseded')
+          AND NOT (l.status = j.status AND l.completed_at IS NOT DISTINCT FROM j.completed_at AND l.failed_at IS NOT DISTINCT FROM j.failed_at) AND NOT (j.status = 'failed' AND l.status = 'completed')
+        UNION ALL SELECT 'ends twice', job_id, ends FROM ends WHERE ends > 1
+        UNION ALL SELECT 'end without receipt', j.id, 1 FROM jobs j JOIN later l ON l.id = j.id WHERE l.status IN ('completed', 'failed') AND j.status IN ('pending', 'active')
+          AND NOT EXISTS (SELECT 1 FROM ends e WHERE e.job_id = j.id) AND NOT coalesce(l.fail_reason LIKE 'stuck:%', false)
+        UNION ALL SELECT 'attempt falls back', j.id, j.attempt - l.attempt FROM jobs j JOIN later l ON l.id = j.id WHERE l.attempt < j.attempt""",
     "slot_outcomes": SLOTS + "SELECT job_id, op, moment AS at, outcome, may AS changes FROM walk WHERE n > 0",
     "slot_jobs": SLOTS + " UNION ALL ".join(f"SELECT {x}_id AS id, {x}_status AS status, {x}_run AS run_at, {x}_done AS completed_at, {x}_failed AS failed_at, {x}_reason AS fail_reason, {x}_claimed AS claimed_at, {x}_token AS claim_token FROM last WHERE {x}_new" for x in "ap"),
     "enqueue_against_open": """, h2 AS (SELECT DISTINCT dedupe_key, dedupe_scope FROM jobs WHERE dedupe_key IS NOT NULL AND (status = 'pending' OR status = 'active' AND dedupe_scope = 'pending+active')),

@@ -12,7 +12,7 @@ COMMANDS = "seq bigint, ts timestamp_ntz, op string, job_id string, type string,
 STEPS = "job_id string, seq int, name string, result string"
 EVENTS = "job_id string, type string, kind string, ts timestamp_ntz, duration_ms bigint, attempt int, max_attempts int, terminal boolean, reason string, op string, handled bigint, saturated boolean"
 RECEIPTS = "job_id string, token string, op string, outcome string, at timestamp_ntz"
-BATCHES = "stream string, batch bigint, round int"
+BATCHES = "stream string, batch bigint"
 
 
 

@@ -1,9 +1,10 @@
-"""The queue's storage: versioned Parquet snapshots, rows added to them, and append-only logs.
+"""The queue's storage: Parquet partitions of jobs, of which a batch rewrites those that it touches, and logs.
 
-One writer adds a version; readers take the newest complete one. Versions are whole folders with
-Spark's success marker, so a writer that dies leaves nothing that a reader would see. Log rows that
-belong to a version carry its number, and are seen with it or not at all. New jobs are added beside
-a version, whose rows aren't written again for them until many folders have come up.
+Open jobs lie apart from finished ones, by a hash of their slot; finished jobs by the day on which
+they ended. A batch first writes what it changes beside the table, then overwrites the touched
+partitions and adds to the logs; both can be done again with the same result, so a writer that
+died is caught up with by the next. One writer at a time; a reader that has to see whole
+batches reads between them.
 """
 
 from __future__ import annotations
@@ -22,13 +23,11 @@ from . import schemas
 class QueueStore(Protocol):
     """What the rest of the library needs of a storage."""
 
-    def jobs(self) -> DataFrame: ...
+    def jobs(self, open_only: bool = False) -> DataFrame: ...
 
-    def save_jobs(self, jobs: DataFrame) -> int: ...
+    def save_jobs(self, jobs: DataFrame) -> None: ...
 
-    def commit(self, jobs: DataFrame, logs: dict[str, DataFrame]) -> int: ...
-
-    def add_jobs(self, rows: DataFrame) -> None: ...
+    def update(self, changed: DataFrame, before: DataFrame | None, logs: dict[str, DataFrame]) -> None: ...
 
     def append(self, log: str, rows: DataFrame) -> None: ...
 
@@ -39,94 +38,122 @@ class QueueStore(Protocol):
 
 LOGS = {"commands": schemas.COMMANDS, "events": schemas.EVENTS, "steps": schemas.STEPS, "receipts": schemas.RECEIPTS, "batches": schemas.BATCHES}
 JOB_COLUMNS = schemas.names(schemas.JOBS)
+#: Where a job lies; all but the last never change for an open job.
+PLACE = ("area", "day", "part")
+OPEN_AREA, DONE_AREA = "open", "done"
+
 
-#: Folders of added rows from which on they and their version become a new version.
-MERGE_AFTER = 32
+def placed(jobs: DataFrame, parts: int) -> DataFrame:
+    """jobs with the partition that each belongs to."""
+    is_open = F.col("status").isin(*schemas.OPEN)
+    slot = F.coalesce(F.when(F.col("dedupe_key") != "", F.col("dedupe_key")), F.col("id"))
+    ended = F.date_format(F.coalesce("completed_at", "failed_at", "created_at"), "yyyy-MM-dd")
+    return jobs.withColumns({"area": F.when(is_open, OPEN_AREA).otherwise(DONE_AREA), "day": F.when(is_open, "-").otherwise(F.coalesce(ended, F.lit("-"))), "part": F.pmod(F.xxhash64(slot), F.lit(parts)).cast("int")})
 
 
 @dataclass
 class ParquetStore:
-    """Snapshots under path/jobs/v<n>, partitioned by status; rows added to one under path/added/v<n>; logs under path/<name>."""
+    """Jobs under path/jobs/area=/day=/part=, a batch that isn't done yet under path/unfinished, logs under path/<name>.
+
+    parts is how many partitions the open jobs, and those that ended on one day, are dealt out to;
+    it has to stay as it is. The larger it is, the less a batch of few changes rewrites.
+    """
 
     spark: SparkSession
     path: str
-
-    def _fs(self, name: str = "jobs"):
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()), folder
-
-    def _versions(self, name: str = "jobs") -> list[tuple[int, bool]]:
-        """All numbered folders under a name, and whether each is complete."""
-        fs, folder = self._fs(name)
-        if not fs.exists(folder):
-            return []
-        marker = self.spark._jvm.org.apache.hadoop.fs.Path
-        return [(int(p.getName()[1:]), fs.exists(marker(p, "_SUCCESS"))) for p in (x.getPath() for x in fs.listStatus(folder))]
-
-    def version(self) -> int:
-        """The newest complete version; 0 for none."""
-        return max((n for n, whole in self._versions() if whole), default=0)
-
-    def jobs(self) -> DataFrame:
-        """The jobs of the newest version and those added to it; without any, no rows."""
-        n = self.version()
-        read = self.spark.read.schema(schemas.JOBS)
-        jobs = read.parquet(f"{self.path}/jobs/v{n}") if n else self.spark.createDataFrame([], schemas.JOBS)
-        added = [f"{self.path}/added/v{n}/d{k}" for k, whole in self._versions(f"added/v{n}") if whole]
-        return jobs.unionByName(read.parquet(*added)) if added else jobs
-
-    def save_jobs(self, jobs: DataFrame) -> int:
-        """Write the next version, and say which it is; what was added to older ones counts no more."""
-        return self.commit(jobs, {})
-
-    def commit(self, jobs: DataFrame, logs: dict[str, DataFrame]) -> int:
-        """save_jobs(), with rows for logs that readers see together with the version."""
-        n = max((n for n, _ in self._versions()), default=0) + 1  # after what a dead writer has left, too
-        fs, folder = self._fs(f"jobs/v{n}")
-        fs.mkdirs(folder)  # no other version gets the number that the log rows carry
-        for name, rows in logs.items():
-            self.append(name, rows, n)
-        jobs.select(*JOB_COLUMNS).write.mode("append").partitionBy("status").parquet(f"{self.path}/jobs/v{n}")
-        return n
-
-    def add_jobs(self, rows: DataFrame) -> None:
-        """Add jobs with new ids to the newest version; when there are many folders of such, all become the next version."""
-        n = self.version()
-        k = max((k for k, _ in self._versions(f"added/v{n}")), default=0) + 1
-        rows.select(*JOB_COLUMNS).write.parquet(f"{self.path}/added/v{n}/d{k}")
-        if k >= MERGE_AFTER:
-            self.save_jobs(self.jobs())
-
-    def append(self, log: str, rows: DataFrame, version: int | None = None) -> None:
-        """Add rows to a log: at once, or with a version that is being written."""
-        rows.withColumn("version", F.lit(version).cast("int")).write.mode("append").parquet(f"{self.path}/{log}")
+    parts: int = 16
+
+    def _file(self, name: str):
+        file = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return file.getFileSystem(self.spark._jsc.hadoopConfiguration()), file
+
+    def _exists(self, name: str) -> bool:
+        fs, file = self._file(name)
+        return fs.exists(file)
+
+    def _delete(self, name: str) -> None:
+        fs, file = self._file(name)
+        fs.delete(file, True)
+
+    def _table(self) -> DataFrame:
+        schema = f"{schemas.JOBS}, area string, day string, part int"
+        return self.spark.read.schema(schema).parquet(f"{self.path}/jobs") if self._exists("jobs") else self.spark.createDataFrame([], schema)
+
+    def _write(self, rows: DataFrame, name: str, mode: str) -> None:
+        out = rows.select(*JOB_COLUMNS, *PLACE).repartition(*PLACE).write.mode(mode).option("partitionOverwriteMode", "dynamic")
+        out.partitionBy(*PLACE).parquet(f"{self.path}/{name}")
+
+    def jobs(self, open_only: bool = False) -> DataFrame:
+        """All jobs, or those that are pending or active, whose partitions alone are read."""
+        rows = self._table()
+        return (rows.filter(F.col("area") == OPEN_AREA) if open_only else rows).select(*JOB_COLUMNS)
+
+    def save_jobs(self, jobs: DataFrame) -> None:
+        """Start anew with these jobs."""
+        self._write(placed(jobs, self.parts), "next", "overwrite")
+        self._delete("jobs")
+        fs, file = self._file("next")
+        fs.rename(file, self._file("jobs")[1])
+
+    def update(self, changed: DataFrame, before: DataFrame | None, logs: dict[str, DataFrame]) -> None:
+        """Put changed jobs in the place of before, their old rows, add those that have none there, and add rows to logs."""
+        self.recover()
+        rows = placed(changed.select(*JOB_COLUMNS), self.parts)
+        touched = rows.select(*PLACE) if before is None else rows.select(*PLACE).union(placed(before, self.parts).select(*PLACE))
+        for name, part in (("changed", rows), ("touched", touched.distinct()), *((f"log-{n}", r) for n, r in logs.items())):
+            part.write.mode("overwrite").parquet(f"{self.path}/unfinished/{name}")
+        self.spark.range(1).write.mode("overwrite").parquet(f"{self.path}/unfinished/ready")
+        self.recover()
+
+    def recover(self) -> None:
+        """Finish the batch that was written last, or forget it where it wasn't written to its end."""
+        if self._exists("unfinished/ready/_SUCCESS"):
+            self._rewrite(self.spark.read.parquet(f"{self.path}/unfinished/changed"), self.spark.read.parquet(f"{self.path}/unfinished/touched"))
+            fs, folder = self._file("unfinished")
+            for name in (x.getPath().getName() for x in fs.listStatus(folder)):
+                if name.startswith("log-"):  # the events of a batch come after its jobs
+                    log, (_, to) = name[4:], self._file(name[4:])
+                    fs.mkdirs(to)
+                    fs.rename(self._file(f"unfinished/{name}")[1], self._file(f"{log}/batch={len(fs.listStatus(to))}")[1])
+            self._delete("unfinished/ready")
+        self._delete("unfinished")
+
+    def _rewrite(self, changed: DataFrame, touched: DataFrame) -> None:
+        """Overwrite the touched partitions with what was there of other jobs, and the changed ones."""
+        where = [tuple(r) for r in touched.select(*PLACE).collect()]  # partitions of one batch: those of the open jobs, and of a few days
+        if not where:
+            return
+        here = F.lit(False)
+        for area, day in {x[:2] for x in where}:
+            here = here | ((F.col("area") == area) & (F.col("day") == day) & F.col("part").isin([x[2] for x in where if x[:2] == (area, day)]))
+        others = lambda: self._table().filter(here).join(changed.select("id"), "id", "left_anti")
+        self._write(others().unionByName(changed), "jobs", "overwrite")
+        # partitions that nothing is left in aren't overwritten
+        filled = {tuple(r) for r in others().select(*PLACE).union(changed.select(*PLACE)).distinct().collect()}
+        for area, day, part in set(where) - filled:
+            self._delete(f"jobs/area={area}/day={day}/part={part}")
+
+    def append(self, log: str, rows: DataFrame) -> None:
+        """Add rows to a log at once."""
+        rows.write.mode("append").parquet(f"{self.path}/{log}/batch=-1")
 
     def log(self, name: str) -> DataFrame:
-        """All rows of a log so far, without those whose version isn't complete."""
-        fs, _ = self._fs()
-        if not fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")):
+        """All rows of a log so far."""
+        if not self._exists(name):
             return self.spark.createDataFrame([], LOGS[name])
-        versions = self._versions()
-        newest = max((n for n, whole in versions if whole), default=0)
-        seen = F.col("version").isNull() | ((F.col("version") <= newest) & ~F.col("version").isin([n for n, whole in versions if not whole]))
-        return self.spark.read.schema(f"{LOGS[name]}, version int").parquet(f"{self.path}/{name}").filter(seen).drop("version")
+        return self.spark.read.schema(LOGS[name]).option("recursiveFileLookup", True).parquet(f"{self.path}/{name}")
 
     def reset(self) -> None:
-        """Start with an empty queue: a version without jobs."""
-        self.save_jobs(self.spark.createDataFrame([], schemas.JOBS))
-
-    def compact(self, keep: int = 2) -> None:
-        """Delete all but the newest versions, and what was added to those deleted.
-
-        A dead writer's folder stays, as long as the store: it tells which log rows don't count.
-        """
-        last = self.version()
-        dead = {n for n, whole in self._versions() if not whole}
-        for name in ("added", "jobs"):
-            fs, folder = self._fs(name)
-            for x in fs.listStatus(folder) if fs.exists(folder) else []:
-                if (n := int(x.getPath().getName()[1:])) <= last - keep and (name == "added" or n not in dead):
+        """Start with an empty queue."""
+        self._delete("unfinished")
+        self._delete("jobs")
+
+    def forget(self, before: str) -> None:
+        """Drop jobs that ended before a day (yyyy-MM-dd): whole partitions go, and nothing is rewritten."""
+        if self._exists(f"jobs/area={DONE_AREA}"):
+            fs, folder = self._file(f"jobs/area={DONE_AREA}")
+            for x in fs.listStatus(folder):
+                if "day=-" != x.getPath().getName() < f"day={before}":
                     fs.delete(x.getPath(), True)
 
 

@@ -15,7 +15,9 @@ class LeaseTimer(StatefulProcessor):
     """Beats (job_id, ts, token) -> lease-lost when no beat of the token came for a whole timeout.
 
     A beat with another token than the lease's own is late: it is answered with stale-token and
-    doesn't renew the lease. A claim (kind 'claim') starts a lease anew.
+    doesn't renew the lease. A claim (kind 'claim') starts a lease anew. A terminal command (kind
+    'end') counts while the lease is confirmed: then it is answered with ended, and the lease
+    goes; after a whole timeout without a beat its write is suppressed, and the lease is lost.
     """
 
     def __init__(self, timeout_ms: int) -> None:
@@ -35,6 +37,14 @@ class LeaseTimer(StatefulProcessor):
             at = int(ts.timestamp() * 1000)
             if kind == "claim":
                 token, last, n = own, at, 1
+            elif kind == "end" and (token is None or own != token):
+                out.append((key[0], "suppressed", at, n))
+            elif kind == "end" and at - last <= self.timeout_ms:
+                out.append((key[0], "ended", at, n))
+                token, last, n = None, None, 0
+            elif kind == "end":
+                out += [(key[0], "lease-lost", last, n), (key[0], "suppressed", at, n)]
+                token, last, n = None, None, 0
             elif token is None or own != token:
                 out.append((key[0], "stale-token", at, n))
             elif at - last > self.timeout_ms:
@@ -63,7 +73,9 @@ class LeaseTimer(StatefulProcessor):
 
 
 def lease_events(beats: DataFrame, timeout_ms: int, late: str = "0 seconds") -> DataFrame:
-    """Lost leases of a stream of beats (job_id, ts, seq, kind, token), by event time.
+    """Lost and ended leases of a stream of claims, beats and ends (job_id, ts, seq, kind, token), by event time.
+
+    Only ends that are answered with ended are to be applied.
 
     It needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass).
     """

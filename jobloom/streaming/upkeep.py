@@ -1,8 +1,8 @@
-"""Batches of a live queue: admit requests, claim, run handlers, sweep; each a version of the snapshot."""
+"""Batches of a live queue: admit requests, claim, run handlers, sweep; each rewrites the partitions that it touches."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -16,13 +16,27 @@ from .feed import POLL_MS
 REAPER_MS = 60_000
 
 
+def _seen(store: QueueStore, stream: str, batch: int) -> bool:
+    return not store.log("batches").filter((F.col("stream") == stream) & (F.col("batch") == batch)).isEmpty()
+
+
+def _batch_row(spark: SparkSession, stream: str, batch: int) -> DataFrame:
+    return spark.createDataFrame([(stream, batch)], schemas.BATCHES)
+
+
 def admit_requests(requests: DataFrame, store: QueueStore, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """A stream of requests, shaped as jobs, into the store: each batch adds those that slots have room for."""
+    """A stream of requests, shaped as jobs, into the store: each batch adds those that slots have room for.
 
-    def batch(rows: DataFrame, _: int) -> None:
-        jobs = store.jobs()
-        known = admission.distinct_requests(rows).join(jobs.select("id"), "id", "left_anti")  # a batch that ran before changes nothing
-        store.add_jobs(admission.enqueue(known, jobs).filter("admitted").select(jobs.columns))
+    Only open jobs are read. A batch that ran before changes nothing, and neither does a request
+    whose id an open job, or an earlier request of the batch, has.
+    """
+
+    def batch(rows: DataFrame, number: int) -> None:
+        if _seen(store, checkpoint, number):
+            return
+        jobs = store.jobs(open_only=True)
+        new = admission.distinct_requests(rows).join(jobs.select("id"), "id", "left_anti")
+        store.update(admission.enqueue(new, jobs).filter("admitted").select(jobs.columns), None, {"batches": _batch_row(rows.sparkSession, checkpoint, number)})
 
     writer = requests.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{POLL_MS} milliseconds")).start()
@@ -30,11 +44,11 @@ def admit_requests(requests: DataFrame, store: QueueStore, checkpoint: str, once
 
 def swept(jobs: DataFrame, now: Column, timeout_ms: int = transitions.VISIBILITY_MS, most: int = SWEEP_ROWS) -> DataFrame:
     """jobs after one sweep of the reaper."""
-    return _recovered(jobs, transitions.reaper_outcomes(jobs, now, timeout_ms, most), now)
+    return _recovered(jobs, transitions.reaper_outcomes(jobs, now, timeout_ms, most), now, "left")
 
 
-def _recovered(jobs: DataFrame, out: DataFrame, now: Column) -> DataFrame:
-    rows = jobs.join(out.withColumnRenamed("fail_reason", "new_reason"), "id", "left")
+def _recovered(jobs: DataFrame, out: DataFrame, now: Column, how: str) -> DataFrame:
+    rows = jobs.join(out.withColumnRenamed("fail_reason", "new_reason"), "id", how)
     gone = F.col("new_status").isin("failed", "superseded")
     return rows.withColumns(
         {
@@ -47,29 +61,30 @@ def _recovered(jobs: DataFrame, out: DataFrame, now: Column) -> DataFrame:
 
 
 def apply_batch(commands: DataFrame, store: QueueStore, now: Column) -> None:
-    """Apply commands (job_id, op, token, reason), at most one for a job, as operators.apply takes them, to the store.
-
-    Jobs, receipts and events become visible at once.
-    """
+    """Apply commands (job_id, op, token, reason), at most one for a job, as operators.apply takes them, to the store."""
     jobs = store.jobs()
     decided = apply.decide(commands, jobs, store.log("receipts")).persist()
-    store.commit(apply.jobs_after(decided, jobs, now), {"events": apply.events(decided, now), "receipts": apply.new_receipts(decided, now)})
+    changed = decided.filter("changes").select("id")
+    store.update(
+        apply.jobs_after(decided, jobs, now, changed_only=True),
+        jobs.join(changed, "id", "left_semi"),
+        {"events": apply.events(decided, now), "receipts": apply.new_receipts(decided, now)},
+    )
     decided.unpersist()
 
 
 def apply_in_order(commands: DataFrame, store: QueueStore, stream: str, batch: int) -> None:
     """All commands and requests of a stream's batch, as operators.slots takes them: each slot's in the order of at, each with its own time.
 
-    The batch is one version of the store, whatever number of commands a job has in it. A batch
-    that the store has seen changes nothing.
+    The store is written once, whatever number of commands a job has in the batch. A batch that
+    the store has seen changes nothing.
     """
-    if not store.log("batches").filter((F.col("stream") == stream) & (F.col("batch") == batch)).isEmpty():
+    if _seen(store, stream, batch):
         return
-    jobs = store.jobs()
-    done = slots.folded(commands, jobs, store.log("receipts")).persist()
+    done = slots.folded(commands, store.jobs(), store.log("receipts")).persist()
     told, at = slots.answers(done), F.col("at")
-    seen = commands.sparkSession.createDataFrame([(stream, batch, 0)], schemas.BATCHES)
-    store.commit(slots.jobs_afterwards(jobs, slots.changed_jobs(done)), {"events": apply.events(told, at), "receipts": apply.new_receipts(told, at), "batches": seen})
+    logs = {"events": apply.events(told, at), "receipts": apply.new_receipts(told, at), "batches": _batch_row(commands.sparkSession, stream, batch)}
+    store.update(slots.changed_jobs(done), slots.jobs_before(done), logs)
     done.unpersist()
 
 
@@ -88,21 +103,25 @@ def sweep(store: QueueStore, now: Column, timeout_ms: int = transitions.VISIBILI
 
     Where no job is stuck nothing is written.
     """
-    jobs = store.jobs()
+    jobs = store.jobs(open_only=True)
     out = transitions.reaper_outcomes(jobs, now, timeout_ms, most).persist()
     handled = out.count()
     if handled:
         told = jobs.sparkSession.range(1).select(F.lit("reaper-recovered").alias("kind"), now.alias("ts"), F.lit(handled).cast("bigint").alias("handled"), F.lit(handled >= most).alias("saturated"))
-        store.commit(_recovered(jobs, out, now), {"events": told})
+        store.update(_recovered(jobs, out, now, "inner"), jobs.join(out.select("id"), "id", "left_semi"), {"events": told})
     out.unpersist()
 
 
 def sweep_periodically(ticks: DataFrame, store: QueueStore, checkpoint: str, timeout_ms: int = transitions.VISIBILITY_MS) -> StreamingQuery:
-    """A stream of ticks (a rate source, say) whose every batch, REAPER_MS apart, sweeps the store once."""
+    """A stream of ticks (a rate source, say) whose every batch, REAPER_MS apart, sweeps the store once; a sweep that fails is a reaper-error event, and the next goes on."""
 
     def batch(rows: DataFrame, _: int) -> None:
         now = rows.sparkSession.sql("SELECT cast(current_timestamp() AS timestamp_ntz)").first()[0]
-        sweep(store, F.lit(now), timeout_ms)
+        try:
+            sweep(store, F.lit(now), timeout_ms)
+        except Exception as e:  # noqa: BLE001  the next sweep tries again
+            failed = rows.sparkSession.createDataFrame([("reaper-error", now, str(e))], "kind string, ts timestamp_ntz, reason string")
+            store.append("events", failed)
 
     return ticks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(processingTime=f"{REAPER_MS} milliseconds").start()
 

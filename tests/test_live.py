@@ -9,32 +9,103 @@ from pyspark.sql import functions as F
 
 from jobloom.operators import processing
 from jobloom.sources import fixtures, schemas, store
-from jobloom.streaming import feed, leases, upkeep
+from jobloom.streaming import feed, leases, listeners, upkeep
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_store_keeps_whole_versions(spark, tmp_path):
-    s = store.ParquetStore(spark, str(tmp_path))
+def test_store_keeps_jobs_and_logs(spark, tmp_path):
+    s = store.ParquetStore(spark, str(tmp_path), parts=2)
     assert s.jobs().count() == 0
     jobs = fixtures.raw_jobs(spark, SF).limit(20)
-    assert s.save_jobs(jobs) == 1
-    assert s.jobs().count() == 20
+    s.save_jobs(jobs)
+    assert s.jobs().count() == 20 and s.jobs(open_only=True).count() == s.jobs().filter("status in ('pending', 'active')").count()
+    s.save_jobs(s.jobs().limit(10))
+    assert s.jobs().count() == 10
+    s.append("events", spark.createDataFrame([("a",)], "job_id string"))
+    assert s.log("events").count() == 1 and s.log("steps").count() == 0
     s.reset()
-    assert s.version() == 2 and s.jobs().count() == 0
-    s.compact(1)
-    assert s.version() == 2
-    assert s.log("events").count() == 0
+    assert s.jobs().count() == 0
     with store.with_store(s):
         assert store.default_store() is s
+        with pytest.raises(RuntimeError), store.with_store(s):
+            pass
     with pytest.raises(LookupError):
         store.default_store()
+    with pytest.raises(TypeError):
+        store.set_default_store("no store")
+
+
+def written(path):
+    """Bytes of each data file by its path and time of writing."""
+    return {(str(p), p.stat().st_mtime_ns): p.stat().st_size for p in path.rglob("*.parquet")}
+
+
+def test_a_batch_writes_what_it_touches(spark, tmp_path):
+    raw = fixtures.raw_jobs(spark, SF)
+    for folder, copies in (("one", 1), ("many", 30)):
+        s = store.ParquetStore(spark, str(tmp_path / folder), parts=4)
+        # the same open jobs beside ever more finished ones
+        done = raw.filter("status not in ('pending', 'active')").crossJoin(spark.range(copies).withColumnRenamed("id", "k")).withColumn("id", F.concat("id", F.lit("-"), "k")).drop("k")
+        s.save_jobs(raw.filter("status in ('pending', 'active')").unionByName(done))
+    sizes = []
+    for folder in ("one", "many"):
+        s = store.ParquetStore(spark, str(tmp_path / folder), parts=4)
+        before = written(tmp_path / folder / "jobs")
+        upkeep.sweep(s, fixtures.now(), most=5)
+        after = written(tmp_path / folder / "jobs")
+        sizes.append((sum(after.values()), sum(v for k, v in after.items() if k not in before)))
+    (small, wrote_small), (large, wrote_large) = sizes
+    assert large > 1.5 * small and wrote_large < 1.1 * wrote_small and wrote_large < 0.5 * large
+
+
+def test_partitions_follow_their_jobs(spark, tmp_path):
+    s = store.ParquetStore(spark, str(tmp_path), parts=2)
+    jobs = fixtures.raw_jobs(spark, SF).filter("status = 'active'").orderBy("id").limit(6)
+    s.save_jobs(jobs)
+    held = s.jobs()
+    done = held.withColumns({"status": F.lit("failed"), "failed_at": fixtures.now()})
+    s.update(done, held, {})
+    assert s.jobs().count() == 6 and s.jobs(open_only=True).count() == 0
+    assert not [p for p in (tmp_path / "jobs" / "area=open").rglob("*.parquet")]
+    first = s.jobs().orderBy("id").limit(1)
+    s.update(first.withColumns({"status": F.lit("completed"), "completed_at": F.lit(dt.datetime(2001, 1, 1)).cast("timestamp_ntz"), "failed_at": F.lit(None).cast("timestamp_ntz")}), first, {})
+    assert {r.status: r["count"] for r in s.jobs().groupBy("status").count().collect()} == {"failed": 5, "completed": 1}
+    s.forget("2000-01-01")
+    assert [r.status for r in s.jobs().collect()] == ["completed"]
+
+
+def test_a_batch_that_was_cut_off_is_finished(spark, tmp_path):
+    jobs = fixtures.raw_jobs(spark, SF).filter("status = 'active'").orderBy("id").limit(4)
+
+    class Dies(store.ParquetStore):
+        def recover(self):
+            if self._exists("unfinished/ready"):
+                raise RuntimeError("dies")
+
+    class DiesLater(store.ParquetStore):
+        def _delete(self, name):
+            if name == "unfinished/ready":
+                raise RuntimeError("dies")
+            super()._delete(name)
+
+    for n, kind in enumerate((Dies, DiesLater)):
+        path = str(tmp_path / str(n))
+        store.ParquetStore(spark, path, parts=2).save_jobs(jobs)
+        dying = kind(spark, path, parts=2)
+        with pytest.raises(RuntimeError):
+            upkeep.sweep(dying, F.expr("timestamp_ntz '2030-01-01'"))
+        s = store.ParquetStore(spark, path, parts=2)
+        assert s.log("events").count() == n
+        for _ in range(2):
+            s.recover()
+            assert s.jobs().filter("status = 'active'").count() == 0 and s.jobs().count() == 4 and s.log("events").count() == 1
 
 
 def test_requests_stream_in_and_are_swept(spark, tmp_path):
     jobs = fixtures.raw_jobs(spark, SF).filter("status = 'pending'")
     jobs.repartition(2).write.parquet(str(tmp_path / "requests"))
-    s = store.ParquetStore(spark, str(tmp_path / "store"))
+    s = store.ParquetStore(spark, str(tmp_path / "store"), parts=2)
     requests = feed.job_changes(spark, str(tmp_path / "requests"), schemas.JOBS)
     upkeep.admit_requests(requests, s, str(tmp_path / "offsets")).awaitTermination()
     admitted = s.jobs()
@@ -48,48 +119,30 @@ def test_requests_stream_in_and_are_swept(spark, tmp_path):
 
 
 def test_sweeps_tell_what_they_handled(spark, tmp_path):
-    s = store.ParquetStore(spark, str(tmp_path))
+    s = store.ParquetStore(spark, str(tmp_path), parts=2)
     s.save_jobs(fixtures.raw_jobs(spark, SF).filter("status = 'active'"))
     want = sorted(upkeep.swept(s.jobs(), fixtures.now(), most=5).collect(), key=lambda r: r.id)
     upkeep.sweep(s, fixtures.now(), most=5)
     assert sorted(s.jobs().select(list(want[0].asDict())).collect(), key=lambda r: r.id) == want
     upkeep.sweep(s, fixtures.now())
-    before = s.version()
+    before = written(tmp_path)
     upkeep.sweep(s, fixtures.now())
     told = [(r.kind, r.saturated) for r in s.log("events").orderBy("handled").collect()]
-    assert s.version() == before and ("reaper-recovered", True) in told and ("reaper-recovered", False) in told and len(told) == 2
+    assert written(tmp_path) == before and ("reaper-recovered", True) in told and ("reaper-recovered", False) in told and len(told) == 2
 
 
 def test_periodic_sweeps_run_on_ticks(spark, tmp_path):
-    s = store.ParquetStore(spark, str(tmp_path / "store"))
+    s = store.ParquetStore(spark, str(tmp_path / "store"), parts=2)
     s.save_jobs(fixtures.raw_jobs(spark, SF).filter("status = 'active'").limit(10))
     ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
     q = upkeep.sweep_periodically(ticks, s, str(tmp_path / "offsets"))
     until = time.time() + 60
-    while s.version() < 2 and time.time() < until:
+    while s.log("events").isEmpty() and time.time() < until:
         time.sleep(0.5)
     q.stop()
     assert s.jobs().filter("status = 'active'").count() == 0 and s.log("events").first().handled == 10
 
 
-def test_added_jobs_are_merged_at_intervals(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(store, "MERGE_AFTER", 3)
-    s = store.ParquetStore(spark, str(tmp_path))
-    jobs = fixtures.raw_jobs(spark, SF).orderBy("id").limit(40).cache()
-    part = lambda k: jobs.filter(F.pmod(F.col("id").cast("bigint"), F.lit(5)) == k)
-    s.add_jobs(part(0))
-    assert s.version() == 0 and s.jobs().count() == part(0).count()
-    s.save_jobs(s.jobs().unionByName(part(1)))
-    (tmp_path / "added" / "v1" / "d1").mkdir(parents=True)  # a dead writer's
-    s.add_jobs(part(2))
-    assert s.version() == 1 and s.jobs().count() == part(0).count() + part(1).count() + part(2).count()
-    s.add_jobs(part(3).unionByName(part(4)))
-    assert s.version() == 2 and not (tmp_path / "added" / "v2").exists()
-    assert sorted(s.jobs().select(jobs.columns).collect(), key=lambda r: r.id) == sorted(jobs.collect(), key=lambda r: r.id)
-    s.compact(1)
-    assert not list((tmp_path / "added").glob("v*")) and s.jobs().count() == 40
-
-
 def test_listener_hears_of_types(spark, tmp_path):
     fixtures.raw_jobs(spark, SF).write.parquet(str(tmp_path / "changes"))
     heard = []
@@ -113,6 +166,51 @@ def test_leases_end_by_timer_and_by_gap(spark, tmp_path):
     assert not any(j == "c" for j, _, _ in got)
 
 
+def test_late_ends_are_suppressed(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1)
+    row = lambda s, seq, job, kind, token: (job, at + dt.timedelta(seconds=s), seq, kind, token)
+    rows = [[row(0, 0, "a", "claim", "x"), row(10, 1, "a", "end", "x"), row(0, 0, "b", "claim", "y"), row(0, 0, "c", "claim", "z")]]
+    rows += [[row(100, 2, "b", "end", "y"), row(20, 1, "c", "end", "other")], [row(500, 9, "d", "claim", "w")], [row(505, 3, "c", "end", "z")], [row(900, 9, "d", "beat", "v")]]
+    for i, part in enumerate(rows):
+        spark.createDataFrame(part, "job_id string, ts timestamp, seq int, kind string, token string").coalesce(1).write.parquet(str(tmp_path / "beats" / f"part={i:02d}"))
+    stream = spark.readStream.schema("job_id string, ts timestamp, seq int, kind string, token string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "beats" / "*"))
+    q = leases.lease_events(stream, 60_000).writeStream.format("memory").queryName("lease_ends").option("checkpointLocation", str(tmp_path / "offsets")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = sorted((r.job_id, r.kind) for r in spark.table("lease_ends").collect() if r.job_id in "abc")
+    assert got == [("a", "ended"), ("b", "lease-lost"), ("b", "suppressed"), ("c", "lease-lost"), ("c", "suppressed"), ("c", "suppressed")]
+
+
+def test_listeners_hear_events_after_their_jobs(spark, tmp_path):
+    s = store.ParquetStore(spark, str(tmp_path / "store"), parts=2)
+    s.save_jobs(fixtures.raw_jobs(spark, SF).filter("status = 'active'").limit(3))
+    upkeep.sweep(s, F.expr("timestamp_ntz '2030-01-01'"))
+    heard = []
+
+    def listener(events):
+        heard.append((sorted(r.kind for r in events.collect()), s.jobs().filter("status = 'active'").count()))
+        raise ValueError("a listener's own fault")
+
+    for _ in range(2):  # the second time there is nothing new
+        listeners.on_job_event(s, listener, str(tmp_path / "offsets"), once=True).awaitTermination()
+    listeners.on_job_event(s, listener, str(tmp_path / "other"), kinds=["failed"], once=True).awaitTermination()
+    assert heard == [(["reaper-recovered"], 0)]
+
+
+def test_a_failing_sweep_is_an_event(spark, tmp_path):
+    class Fails(store.ParquetStore):
+        def jobs(self, open_only=False):
+            raise OSError("no such disk")
+
+    s = Fails(spark, str(tmp_path / "store"), parts=2)
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    q = upkeep.sweep_periodically(ticks, s, str(tmp_path / "offsets"))
+    until = time.time() + 60
+    while s.log("events").isEmpty() and time.time() < until:
+        time.sleep(0.5)
+    q.stop()
+    assert (s.log("events").first().kind, s.log("events").first().reason) == ("reaper-error", "no such disk")
+
+
 def test_handlers_give_outcomes(spark):
     handlers = processing.Handlers()
 
@@ -180,7 +278,7 @@ def test_json_bytes_agree(spark):
 
 
 def test_commands_are_applied_once(spark, tmp_path):
-    s = store.ParquetStore(spark, str(tmp_path / "store"))
+    s = store.ParquetStore(spark, str(tmp_path / "store"), parts=2)
     jobs = fixtures.raw_jobs(spark, SF).filter("status = 'active'").limit(30)
     s.save_jobs(jobs)
     held = s.jobs().select(F.col("id").alias("job_id"), F.lit("complete").alias("op"), F.col("claim_token").alias("token"), F.lit("r").alias("reason"), F.lit("1999-01-01").cast("timestamp").alias("at"))
@@ -193,7 +291,7 @@ def test_commands_are_applied_once(spark, tmp_path):
 
 
 def test_commands_for_one_job_are_applied_in_order(spark, tmp_path):
-    s = store.ParquetStore(spark, str(tmp_path))
+    s = store.ParquetStore(spark, str(tmp_path), parts=2)
     jobs = fixtures.raw_jobs(spark, SF).filter("status = 'active' and dedupe_key is null and attempt < max_attempts").orderBy("id").limit(2)
     s.save_jobs(jobs)
     one, two = sorted(s.jobs().collect(), key=lambda r: r.id)
@@ -203,11 +301,11 @@ def test_commands_for_one_job_are_applied_in_order(spark, tmp_path):
     commands = spark.createDataFrame(rows[::-1], "job_id string, op string, token string, reason string, at timestamp")
 
     class Dies(store.ParquetStore):
-        def commit(self, jobs, logs):
-            return super().commit(jobs.withColumn("id", F.raise_error(F.lit("dies"))), logs)
+        def update(self, changed, before, logs):
+            super().update(changed.withColumn("id", F.raise_error(F.lit("dies"))), before, logs)
 
     with pytest.raises(Exception, match="dies"):
-        upkeep.apply_in_order(commands, Dies(spark, str(tmp_path)), "stream", 0)
+        upkeep.apply_in_order(commands, Dies(spark, str(tmp_path), parts=2), "stream", 0)
     assert not s.log("events").count() and not s.log("receipts").count() and s.jobs().filter("status = 'active'").count() == 2
     for _ in range(2):  # the second time there is nothing left to do
         upkeep.apply_in_order(commands, s, "stream", 0)
@@ -215,20 +313,8 @@ def test_commands_for_one_job_are_applied_in_order(spark, tmp_path):
         assert after[one.id].status == "completed" and after[two.id].status == "pending" and after[two.id].fail_reason == "first"
         assert after[one.id].claimed_at == at(1) and after[one.id].completed_at == at(2) and after[two.id].fail_reason == "first"
         assert sorted((r.job_id, r.kind) for r in s.log("events").collect()) == sorted([(one.id, "completed"), (two.id, "failed"), (two.id, "lease-lost")])
-        assert s.log("receipts").count() == 2 and s.version() == 3  # one write a batch
-    s.compact(1)
-    assert s.log("events").count() == 3 and s.jobs().count() == 2
-
-
-def test_a_dead_writers_version_is_passed_over(spark, tmp_path):
-    s = store.ParquetStore(spark, str(tmp_path))
-    s.save_jobs(fixtures.raw_jobs(spark, SF).limit(3))
-    (tmp_path / "jobs" / "v2").mkdir()
-    assert s.version() == 1 and s.save_jobs(s.jobs()) == 3 and s.jobs().count() == 3
-    with store.with_store(s), pytest.raises(RuntimeError), store.with_store(s):
-        pass
-    with pytest.raises(LookupError):
-        store.default_store()
+        assert s.log("receipts").count() == 2
+    assert s.log("batches").count() == 1 and s.jobs().count() == 2
 
 
 def test_leases_follow_appended_steps(spark):
