@@ -213,7 +213,8 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, text_col: str = "text")
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(text, label) of the labelled rows of the training folds, SAMPLE_ROWS of them at most.
 
-    A row is of the training folds when crc32 of its id as text, mod 5, isn't 0.
+    A row is of the training folds when crc32 of its id as text, mod 5, isn't 0. Of rows that
+    share an id the one with the smallest text counts.
     """
     chosen = (
         labels.filter("doc_id is not null and toxic in (0, 1) and crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0")
@@ -222,12 +223,12 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
         .orderBy(F.xxhash64(F.col("k").cast("string")), "k")
         .limit(SAMPLE_ROWS)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("k")).select("text", "label")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("k")).groupBy("k").agg(F.min("text").alias("text"), F.first("label").alias("label")).select("text", "label")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents by a model that has seen the training folds' labels only."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_toxicity(training_rows(docs, table(spark, sf_dir, "labels")))
-    held_out = F.expr("crc32(cast(cast(doc_id as string) as binary)) % 5 = 0")
+    held_out = F.expr("coalesce(crc32(cast(cast(doc_id as string) as binary)) % 5 = 0, false)")
     return score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
