@@ -122,14 +122,22 @@ def ssn(text: str, key: bytes, inverse: bool = False) -> str | None:
     return f"{a + (a >= 666):03d}-{b + 1:02d}-{c + 1:04d}"
 
 
+#: Country codes of two digits. 1 and 7 have one, all others three.
+TWO_DIGIT_CODES = set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+HOME_CODE = "1"
+
+
 def phone(text: str, key: bytes, inverse: bool = False) -> str | None:
-    """7 to 15 digits with a country code or an area code in brackets; the country code stays."""
-    lead = re.match(r"\+\d{1,3}", text)
-    cut = lead.end() if lead else 0
-    d = re.sub(r"\D", "", text[cut:])
-    if not 7 <= len(d) <= 14:
+    """A country code, which stays, and 7 to 14 digits; without a code it is that of North America.
+
+    Equal numbers link however they are spelled, with the code or, there, without it.
+    """
+    d = re.sub(r"\D", "", text)
+    code = "" if text[0] != "+" else d[:1] if d[:1] in ("1", "7") else d[:2] if d[:2] in TWO_DIGIT_CODES else d[:3]
+    own = d[len(code) :]
+    if not 7 <= len(own) <= 14:
         return None
-    return text[:cut] + _refill(text[cut:], _digits(d, key, "phone" + text[:cut], inverse))
+    return _refill(text, code + _digits(own, key, "phone+" + (code or HOME_CODE), inverse))
 
 
 def ipv4(text: str, key: bytes, inverse: bool = False) -> str | None:
@@ -146,7 +154,10 @@ FIRST_DAY, DAYS = dt.date(1900, 1, 1).toordinal(), dt.date(2100, 1, 1).toordinal
 
 
 def date(text: str, key: bytes, inverse: bool = False) -> str | None:
-    """A real day of 1900 to 2099: year first, or year last (day before month; else month before day)."""
+    """A real day of 1900 to 2099: year first, or year last (day before month; else month before day).
+
+    Equal days link within one of the three orders, whatever the separator, and not from one to another.
+    """
     sep = re.search(r"\D", text)[0]
     parts = text.split(sep)
     orders = ["ymd"] if len(parts[0]) == 4 else ["dmy", "mdy"]
@@ -200,11 +211,16 @@ def _letters(text: str, key: bytes, domain: str, inverse: bool) -> str | None:
     return "".join(reversed(out))
 
 
+#: Characters of a local part that are permuted together; it may have any number of them.
+LOCAL_PART = 64
+
+
 def email(text: str, key: bytes, inverse: bool = False) -> str | None:
     """The local part is permuted, letters among letters and digits among digits; the domain stays."""
     local, _, host = text.rpartition("@")
-    new = _letters(local, key, "email", inverse)
-    return None if new is None else f"{new}@{host}"
+    parts = [local[i : i + LOCAL_PART] for i in range(0, len(local), LOCAL_PART)]
+    new = [_letters(x, key, f"email{i or ''}", inverse) for i, x in enumerate(parts)]
+    return None if not any(new) else "".join(y or x for x, y in zip(parts, new, strict=True)) + f"@{host}"
 
 
 def secret(text: str, key: bytes, inverse: bool = False) -> str | None:
@@ -217,7 +233,7 @@ def secret(text: str, key: bytes, inverse: bool = False) -> str | None:
 
 #: Kind -> what may be one, and the function that validates and maps it. The first that is valid at a place counts.
 KINDS: dict[str, tuple[str, Callable[[str, bytes, bool], str | None]]] = {
-    "email": (r"(?<![\w.+%-])[^\W_][\w.+%-]{0,63}@(?:[^\W_](?:[^\W_]|-){0,62}\.){1,8}[^\W\d_]{2,24}(?![\w-])", email),
+    "email": (r"(?<![\w.+%-])[^\W_][\w.+%'-]*@(?:[^\W_](?:[^\W_]|-){0,62}\.){1,8}[^\W\d_]{2,24}(?![\w-])", email),
     "secret": (r"(?<!\w)(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?!\w)", secret),
     "iban": (r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", iban),
     "ipv4": (r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", ipv4),
@@ -228,7 +244,7 @@ KINDS: dict[str, tuple[str, Callable[[str, bytes, bool], str | None]]] = {
 }
 PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, (p, _) in KINDS.items()))
 ALONE = {k: re.compile(p) for k, (p, _) in KINDS.items()}
-NEEDED = re.compile(r"[0-9@]")
+NEEDED = re.compile(r"[\d@]")
 #: Digits of the groups that cards are printed in, besides a single group.
 LAYOUTS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 5), (4, 4, 4, 1), (4, 4, 4, 2), (4, 4, 4, 3), (4, 4, 4, 4, 1), (4, 4, 4, 4, 2), (4, 4, 4, 4, 3), (6, 13)}
 #: Characters of an IBAN, by country.
@@ -268,10 +284,19 @@ def _ends(kind: str, text: str) -> list[int]:
     return printed + [e for e in edges if e not in printed and (e == len(text) or text[0] in "23456")]
 
 
+def _mapped(kind: str, text: str, key: bytes) -> str | None:
+    """The pseudonym of a value in whatever digits it is written: validated as ASCII digits, and written in its own again."""
+    zero = next((ord(c) - unicodedata.decimal(c) for c in text if c.isdecimal()), 48)
+    if zero == 48 or kind in ("email", "secret", "iban"):
+        return KINDS[kind][1](text, key, False)
+    new = KINDS[kind][1]("".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in text), key, False)
+    return new and "".join(chr(zero + int(c)) if c in string.digits else c for c in new)
+
+
 def _valid(kind: str, text: str, key: bytes) -> tuple[int, str] | None:
     """The length and the pseudonym of the valid value that a candidate begins with."""
     for end in _ends(kind, text):
-        if (new := KINDS[kind][1](text[:end], key, False)) is not None:
+        if (new := _mapped(kind, text[:end], key)) is not None:
             return end, new
     return None
 
@@ -279,7 +304,7 @@ def _valid(kind: str, text: str, key: bytes) -> tuple[int, str] | None:
 def _printed_card(text: str, at: int) -> bool:
     """Whether a valid card in a printed layout begins at a place of text."""
     m = ALONE["card"].match(text, at)
-    return bool(m) and any(card(m[0][:e], b"") for e in _printed(m[0]))
+    return bool(m) and any(_mapped("card", m[0][:e], b"") for e in _printed(m[0]))
 
 
 def _card_inside(text: str, start: int, stop: int) -> bool:
@@ -302,7 +327,7 @@ def _before_others(text: str, start: int, stop: int) -> int:
             if other:
                 cuts.append(start + len(text[start : g.start()].rstrip(" .-(")))
                 break
-    return next((c for c in cuts if phone(text[start:c], b"")), (cuts or [stop])[0])
+    return next((c for c in cuts if _mapped("phone", text[start:c], b"")), (cuts or [stop])[0])
 
 
 def pseudonymise(text: str | None, key: bytes, memo: dict | None = None) -> tuple[str | None, list[tuple[str, str]]]:

@@ -59,6 +59,12 @@ def test_toxicity_of_odd_rows(spark):
     assert not len(empty.buckets) and toxicity.score_toxicity(documents(spark), empty).filter("predicted = 1").count() == 0
 
 
+def test_training_rows_are_bounded_by_rows(spark):
+    docs = spark.createDataFrame([(2, f"text {k}") for k in range(50)] + [(3, None), (None, "no id")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(2, 1), (2, 1), (3, 0), (None, 1)], "doc_id bigint, toxic int")
+    assert sorted(map(tuple, toxicity.training_rows(docs, labels).collect()), key=str) == [("text 0", 1), (None, 0)]
+
+
 def test_n_grams_do_not_depend_on_blocks(monkeypatch):
     text = "".join(random.Random(4).choice("abcdeé ") for _ in range(5000))
     whole = set(np.concatenate(list(toxicity.ngram_buckets(text))).tolist())
@@ -312,6 +318,36 @@ def test_no_valid_value_stays(capsys):
         assert bool(found) == (got != text)
 
 
+def test_no_address_stays_for_its_length_or_letters():
+    for local in ("a" * 65, "x1" * 400, "o'brien", "a.b+c%d-e'f", "é" * 70, "1" * 200):
+        text, found = pii.pseudonymise(f"to {local}@x.de, ok", KEY)
+        ((kind, new),) = found
+        assert kind == "email" and local not in text and text == f"to {new}@x.de, ok".replace("@x.de@x.de", "@x.de") and len(new) == len(local) + 5
+        assert pii.email(new, KEY, True) == f"{local}@x.de"
+
+
+def test_numbers_link_in_any_spelling():
+    def digits(text):
+        ((_, new),) = pii.pseudonymise(f"call {text}", KEY)[1]
+        return re.sub(r"\D", "", new)
+
+    for spellings in (["+49 30 1234567", "+49301234567", "+49-30-123-4567", "+49 (30) 1234567"], ["+420 601 123 456", "+420601123456"], ["+7 495 123 4567", "+74951234567"]):
+        made = {digits(x) for x in spellings}
+        assert len(made) == 1 and made.pop() not in {re.sub(r"\D", "", x) for x in spellings}
+    home = [digits(x)[-10:] for x in ("+1 (555) 123-4567", "+15551234567", "(555) 123-4567", "555-123-4567", "555.123.4567")]
+    assert len(set(home)) == 1 and home[0] != "5551234567"
+    assert digits("+49 30 1234567")[:2] == "49" and digits("+420 601 123 456")[:3] == "420"
+
+
+def test_values_in_other_digits_are_found():
+    arabic = {ord(c): chr(0x660 + i) for i, c in enumerate("0123456789")}
+    for value in ("4111 1111 1111 1111", "+49 30 1234567", "2021-02-28", "123-45-6789", "144.137.247.239"):
+        alone = pii.pseudonymise(value, KEY)[0]
+        text, found = pii.pseudonymise(f"x {value.translate(arabic)} y", KEY)
+        assert alone != value and text == f"x {alone.translate(arabic)} y" and len(found) == 1
+    assert pii.pseudonymise("x 4111 1111 1111 1112 y".translate(arabic), KEY)[1] == []
+
+
 def test_what_is_reported_has_changed():
     for value in ("a@x.de", "ü@x.de", "日本@x.de", "1@x.de"):
         for k in range(60):
