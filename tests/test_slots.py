@@ -2,15 +2,17 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
-from jobloom.operators import apply, claims, slots
+from jobloom.operators import apply, claims, processing, slots
 from jobloom.plans import queue_queries
 from jobloom.sources import fixtures, schemas
 from jobloom.sources.fixtures import NOW
 from jobloom.sources.store import ParquetStore
-from jobloom.streaming import upkeep
+from jobloom.streaming import chains, slot_state, upkeep
 
 SF = "/root/testdata/sf0.001"
 COMMAND = "job_id string, op string, token string, reason string, at timestamp"
@@ -116,3 +118,56 @@ def test_repeated_requests_of_a_batch_are_admitted_once(spark, tmp_path):
     s = ParquetStore(spark, str(tmp_path / "store"), parts=2)
     upkeep.admit_requests(spark.readStream.schema(schemas.JOBS).parquet(str(tmp_path / "requests")), s, str(tmp_path / "offsets")).awaitTermination()
     assert sorted(r.id for r in s.jobs().collect()) == ["a", "b"]
+
+
+def test_a_stream_keeps_slots_as_state(spark, tmp_path):
+    request = lambda i, sec, data, scope="pending", latest=False: ("k", i, "claimOrEnqueue", None, None, at(sec), latest, (i, "t0", data, None, 0, None, 1, "k", scope, "fixed", 1000, 30000, None, None, None, None, None, None, None))
+    command = lambda i, op, sec, token=None, reason=None: ("k", i, op, token, reason, at(sec), None, None)
+    batches = [
+        [request("a", 0, "one"), request("b", 1, "two"), request("c", 2, "three", latest=True)],
+        [command("a", "fail", 11, reason="late"), command("b", "failFatal", 10, reason="early")],
+        [command("a", "complete", 20), command("b", "heartbeat", 21, token="none"), command("a", "complete", 22)],
+    ]
+    schema = f"slot string, job_id string, op string, token string, reason string, at timestamp_ntz, latest boolean, request {slots.JOB}"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"part={i}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    q = slot_state.slot_stream(stream).writeStream.format("memory").queryName("slot_rows").option("checkpointLocation", str(tmp_path / "offsets")).start()
+    until = time.time() + 50
+    while time.time() < until and spark.table("slot_rows").filter("told is not null").count() < 8:
+        time.sleep(1)
+    q.stop()
+    told = {(r.told.job_id, r.told.op, (r.told["at"] - at(0)).seconds): r.told.outcome for r in spark.table("slot_rows").collect() if r.told}
+    assert told == {
+        ("a", "claimOrEnqueue", 0): "claimed", ("b", "claimOrEnqueue", 1): "queued", ("c", "claimOrEnqueue", 2): "replaced", ("b", "failFatal", 10): "failed-terminal",
+        ("a", "fail", 11): "failed-terminal", ("a", "complete", 20): "already-terminal", ("b", "heartbeat", 21): "lease-lost", ("a", "complete", 22): "already-terminal",
+    }
+    made = [(r.job.id, r.job.status, r.job.data) for r in spark.table("slot_rows").collect() if r.job]
+    assert sorted(made) == sorted([("a", "active", "one"), ("b", "pending", "three"), ("a", "failed", "one"), ("b", "failed", "three")])
+
+
+def test_chains_run_followers_and_keep_the_first_error(spark, tmp_path):
+    s = ParquetStore(spark, str(tmp_path), parts=1)
+    rows = [job("a0", "active", key="a", token="x")] + [job(f"a{i:02d}", "pending", key="a", attempt=0) for i in range(1, 13)]
+    rows += [job("b0", "active", key="b", token="y"), job("b1", "pending", key="b", attempt=0), job("c0", "active", key=None, scope=None, token="z"), job("d0", "active", key="d", token="w", attempt=3), job("d1", "pending", key="d", type_="t1", attempt=0)]
+    s.save_jobs(jobs_of(spark, *rows))
+
+    def handler(row):
+        if row["id"] in ("b0", "c0"):
+            raise ValueError(f"stale {row['id']}")
+
+    handlers = processing.Handlers()
+    handlers.process("t0", handler)
+    for wrong in (-1, 1.5, True, float("inf")):
+        with pytest.raises(ValueError):
+            chains.run_chains(s.jobs(), s, handlers, fixtures.now(), drains=wrong)
+    ran = chains.run_chains(s.jobs(open_only=True).filter("status = 'active'"), s, handlers, F.lit(at(100)).cast("timestamp_ntz"), drains=3).collect()
+    by = {(r.chain, r.place): (r.job_id, r.outcome, r.error) for r in ran}
+    assert [by["a0", k][:2] for k in range(4)] == [("a0", "completed"), ("a01", "completed"), ("a02", "completed"), ("a03", "completed")] and ("a0", 4) not in by
+    # the first job was superseded by its follower, which ran; the chain ends with the first error
+    assert by["b0", 0] == ("b0", "superseded", "stale b0") and by["b0", 1] == ("b1", "completed", "stale b0")
+    assert by["c0", 0] == ("c0", "retry-scheduled", "stale c0") and by["d0", 0] == ("d0", "completed", None) and len(by) == 8
+    after = {r.id: r.status for r in s.jobs().collect()}
+    assert after["a04"] == "pending" and after["d1"] == "pending" and after["b0"] == "superseded" and after["c0"] == "pending"
+    kinds = [r.kind for r in s.log("events").collect()]
+    assert kinds.count("claimed") == 4 and kinds.count("completed") == 6 and kinds.count("superseded") == 1 and kinds.count("failed") == 1
