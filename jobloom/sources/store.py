@@ -4,7 +4,7 @@ Open jobs lie apart from finished ones, by a hash of their slot; finished jobs b
 they ended. A batch first writes what it changes beside the table, then overwrites the touched
 partitions and adds to the logs; both can be done again with the same result, so a writer that
 died is caught up with by the next. One writer at a time; a reader that has to see whole
-batches reads between them.
+batches reads between them, and a DataFrame of jobs is good until the next batch.
 """
 
 from __future__ import annotations

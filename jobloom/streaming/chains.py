@@ -28,7 +28,7 @@ def run_chains(claimed: DataFrame, store: ParquetStore, handlers: processing.Han
     if isinstance(drains, bool) or not isinstance(drains, int) or drains < 0:
         raise ValueError(f"drains must be a non-negative integer, not {drains!r}")
     spark, folder = store.spark, f"{store.path}/runs/{uuid.uuid4().hex}"
-    ids = claimed.select(F.col("id").alias("chain"), "id")
+    ids, rounds = claimed.select(F.col("id").alias("chain"), "id"), 0
     for place in range(drains + 1):
         ids.write.parquet(f"{folder}/ids-{place}")  # whatever is claimed below, these are the round's
         ids = spark.read.parquet(f"{folder}/ids-{place}")
@@ -41,6 +41,7 @@ def run_chains(claimed: DataFrame, store: ParquetStore, handlers: processing.Han
         decided = apply.decide(told, store.jobs(), store.log("receipts"))
         ran = decided.join(ids.withColumnRenamed("id", "job_id"), "job_id").select("chain", F.lit(place).alias("place"), "job_id", "dedupe_key", "type", "op", "outcome", "reason")
         ran.write.parquet(f"{folder}/ran/place={place}")
+        rounds += 1
         decided = decided.persist()
         store.update(
             apply.jobs_after(decided, store.jobs(), now, changed_only=True),
@@ -61,7 +62,7 @@ def run_chains(claimed: DataFrame, store: ParquetStore, handlers: processing.Han
             break
         store.update(best.select(*schemas.names(schemas.JOBS)), jobs.join(best.select("id"), "id", "left_semi"), {"events": apply.claim_events(best, now)})
         ids = best.select("chain", "id")
-    ran = spark.read.schema(RAN).option("recursiveFileLookup", True).parquet(f"{folder}/ran") if not claimed.isEmpty() else spark.createDataFrame([], RAN)
+    ran = spark.read.schema(RAN).option("recursiveFileLookup", True).parquet(f"{folder}/ran") if rounds else spark.createDataFrame([], RAN)
     lost = F.min(F.when(F.col("outcome") == "superseded", F.struct("place", "reason")))
     last = F.max(F.struct("place", F.when(F.col("op").isin("fail", "failFatal"), F.col("reason")).alias("reason")))
     ends = ran.groupBy("chain").agg(F.coalesce(lost["reason"], last["reason"]).alias("error"))
