@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import secrets
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import typed
 from ..functions.scalars import JOURNAL_BYTES, TIME_BYTES
+from .transitions import VISIBILITY_MS
 
 OUTCOMES = "job_id string, token string, op string, reason string"
 RUNS = "job_id string, op string, reason string, result string, new_steps array<struct<seq: int, name: string, result: string>>"
@@ -52,6 +55,14 @@ class StepTimeout(Exception):
     """A step, or a whole run, that took too long; another attempt may succeed."""
 
 
+class MaxDurationExceeded(StepTimeout):
+    """A run that took longer than it may in all; another attempt may succeed."""
+
+
+class HeartbeatConfigConflict(ValueError):
+    """A lease that is to last longer than the reaper lets it."""
+
+
 class LeaseLostError(Exception):
     """A run whose job another worker has claimed."""
 
@@ -130,7 +141,8 @@ def json_bytes(seq: int, name: str, result: str | None) -> int:
 class Run:
     """A run of an orchestration: steps found in the journal are not run again."""
 
-    def __init__(self, job_id: str, data: str | None, journal: dict[int, tuple[str, str]], limit: int = JOURNAL_BYTES, duration_ms: int | None = None) -> None:
+    def __init__(self, job_id: str, data: str | None, journal: dict[int, tuple[str, str]], limit: int = JOURNAL_BYTES, duration_ms: float | None = None, step_timeout_ms: float | None = None) -> None:
+        self.step_timeout_ms = step_timeout_ms
         self.job_id, self.data, self.journal, self.limit = job_id, data, journal, limit
         self.new: list[tuple[int, str, str]] = []
         self.next_seq, self.began, self.duration_ms = 0, time.monotonic(), duration_ms
@@ -177,17 +189,63 @@ class Run:
             return typed.decoded(result)
         began = time.monotonic()
         value = f(self.key(seq, name))
-        for since, most in ((began, timeout_ms), (self.began, self.duration_ms)):
+        for since, most, error in ((began, timeout_ms or self.step_timeout_ms, StepTimeout), (self.began, self.duration_ms, MaxDurationExceeded)):
             if most is not None and (time.monotonic() - since) * 1000 > most:
-                raise StepTimeout(f"{name}: more than {most} ms")
+                raise error(f"{name}: more than {most} ms")
         self._record(seq, name, value)
         return value
 
 
-def run_orchestrations(jobs: DataFrame, steps: DataFrame, body: Callable[[Run], object]) -> DataFrame:
+@dataclass(frozen=True)
+class OrchestrationConfig:
+    """How runs of a type go: milliseconds, positive and finite where they are given.
+
+    A lease may be shorter than the reaper's timeout, and not longer. Where nothing else is said,
+    it is that timeout, the heartbeat comes three times in a lease, and a step may take a lease.
+    """
+
+    visibility_timeout_ms: float | None = None
+    heartbeat_interval_ms: float | None = None
+    step_timeout_ms: float | None = None
+    max_duration_ms: float | None = None
+    poll_interval_ms: float | None = None
+    concurrency: int = 1
+
+    def resolved(self, reaper_ms: float = VISIBILITY_MS) -> OrchestrationConfig:
+        """With everything that follows filled in, or an error that names what can't be."""
+        for name in ("visibility_timeout_ms", "heartbeat_interval_ms", "step_timeout_ms", "max_duration_ms", "poll_interval_ms"):
+            value = getattr(self, name)
+            if value is not None and not (math.isfinite(value) and value > 0):
+                raise ValueError(f"{name} must be a positive finite number of milliseconds, not {value}")
+        lease = self.visibility_timeout_ms or reaper_ms
+        if lease > reaper_ms:
+            raise HeartbeatConfigConflict(f"a lease of {lease} ms is longer than the reaper's {reaper_ms} ms")
+        return replace(self, visibility_timeout_ms=lease, heartbeat_interval_ms=self.heartbeat_interval_ms or max(1, lease // 3), step_timeout_ms=self.step_timeout_ms or lease)
+
+
+class Orchestrations:
+    """Bodies of durable runs by type; a type has one body, or one handler."""
+
+    def __init__(self, handlers: Handlers | None = None, reaper_ms: float = VISIBILITY_MS) -> None:
+        self.handlers, self.reaper_ms = handlers or Handlers(), reaper_ms
+        self.bodies: dict[str, tuple[Callable[[Run], object], OrchestrationConfig]] = {}
+
+    def define(self, job_type: str, body: Callable[[Run], object], config: OrchestrationConfig | None = None) -> OrchestrationConfig:
+        """Register a body; gives the configuration in full."""
+        made = (config or OrchestrationConfig()).resolved(self.reaper_ms)
+        self.handlers.process(job_type, lambda job: None, made.concurrency)  # the type is taken from here on
+        self.bodies[job_type] = body, made
+        return made
+
+    def run(self, jobs: DataFrame, steps: DataFrame) -> DataFrame:
+        """run_orchestrations() of jobs (job_id, type, data), each by its type's body; other types are left out."""
+        return run_orchestrations(jobs.filter(F.col("type").isin(list(self.bodies))), steps, dict(self.bodies))
+
+
+def run_orchestrations(jobs: DataFrame, steps: DataFrame, body: Callable[[Run], object] | dict[str, tuple[Callable[[Run], object], OrchestrationConfig]]) -> DataFrame:
     """jobs (job_id, data) resumed with their journal: what became of each run, and its new steps.
 
-    A run that fails keeps the steps that it finished. Each job's journal, which is bounded in
+    With bodies by type, jobs have a type besides. A run that fails keeps the steps that it finished. Each job's journal, which is bounded in
     bytes, travels to its run as one array.
     """
     journal = steps.groupBy("job_id").agg(F.collect_list(F.struct("seq", "name", "result")).alias("journal"))
@@ -195,11 +253,12 @@ def run_orchestrations(jobs: DataFrame, steps: DataFrame, body: Callable[[Run],
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for job_id, data, known in zip(frame["job_id"], frame["data"], frame["journal"], strict=True):
-                r = Run(job_id, data, {s["seq"]: (s["name"], s["result"]) for s in (known if known is not None else [])})
+            for job_id, kind, data, known in zip(frame["job_id"], frame["type"], frame["data"], frame["journal"], strict=True):
+                one, config = body[kind] if isinstance(body, dict) else (body, OrchestrationConfig())
+                r = Run(job_id, data, {s["seq"]: (s["name"], s["result"]) for s in (known if known is not None else [])}, duration_ms=config.max_duration_ms, step_timeout_ms=config.step_timeout_ms)
                 op, reason, result = "complete", None, None
                 try:
-                    result = serialized(body(r))
+                    result = serialized(one(r))
                 except FatalJobError as e:
                     op, reason = "failFatal", str(e)
                 except Exception as e:  # noqa: BLE001
@@ -207,4 +266,5 @@ def run_orchestrations(jobs: DataFrame, steps: DataFrame, body: Callable[[Run],
                 out.append((job_id, op, reason, result, [{"seq": s, "name": n, "result": v} for s, n, v in r.new]))
             yield pd.DataFrame(out, columns=["job_id", "op", "reason", "result", "new_steps"])
 
-    return jobs.join(journal, "job_id", "left").select("job_id", "data", "journal").mapInPandas(run, RUNS)
+    kind = F.col("type") if isinstance(body, dict) else F.lit("").alias("type")
+    return jobs.join(journal, "job_id", "left").select("job_id", kind, "data", "journal").mapInPandas(run, RUNS)

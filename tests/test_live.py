@@ -249,6 +249,29 @@ def test_resumed_runs_replay_their_steps(spark):
         processing.serializable({"a": [object()]})
 
 
+def test_orchestrations_are_configured_by_type(spark):
+    config = processing.OrchestrationConfig
+    made = processing.Orchestrations(reaper_ms=9_000)
+    full = made.define("t0", lambda run: run.step("a", lambda key: time.sleep(0.05)), config(step_timeout_ms=10))
+    assert (full.visibility_timeout_ms, full.heartbeat_interval_ms, full.step_timeout_ms) == (9_000, 3_000, 10)
+    made.define("t1", lambda run: run.step("a", lambda key: time.sleep(0.05)), config(max_duration_ms=10, concurrency=3))
+    made.define("t2", lambda run: run.step("a", lambda key: 7))
+    assert made.handlers.concurrency == {"t0": 1, "t1": 3, "t2": 1} and config(visibility_timeout_ms=2).resolved().heartbeat_interval_ms == 1
+    with pytest.raises(processing.OrchestrationConflictError):
+        made.define("t0", print)
+    with pytest.raises(processing.OrchestrationConflictError):
+        made.handlers.process("t2", print)
+    with pytest.raises(processing.HeartbeatConfigConflict):
+        made.define("t3", print, config(visibility_timeout_ms=9_001))
+    for wrong in (0, -1, float("inf"), float("nan")):
+        for name in ("visibility_timeout_ms", "heartbeat_interval_ms", "step_timeout_ms", "max_duration_ms", "poll_interval_ms"):
+            with pytest.raises(ValueError, match=name):
+                made.define("t3", print, config(**{name: wrong}))
+    jobs = spark.createDataFrame([("a", "t0", None), ("b", "t1", None), ("c", "t2", None), ("d", "other", None)], "job_id string, type string, data string")
+    got = {r.job_id: r for r in made.run(jobs, spark.createDataFrame([], schemas.STEPS)).collect()}
+    assert {k: r.op for k, r in got.items()} == {"a": "fail", "b": "fail", "c": "complete"} and got["c"].result == "7" and "more than 10 ms" in got["a"].reason
+
+
 def test_uuids_are_a_runs_own_and_frozen():
     one, two = processing.Run("r", None, {}), processing.Run("r", None, {})
     assert one.uuid("x") != two.uuid("x") and one.uuid("x") == one.uuid("x") != one.uuid("y")
