@@ -29,9 +29,13 @@ def claimable(jobs: DataFrame, now: Column) -> DataFrame:
     return due.filter("dedupe_key is null").union(best.select(due.columns))
 
 
-def claim(rows: DataFrame, now: Column) -> DataFrame:
-    """The rows as active jobs: one attempt more, a lease from now, and a token of their own."""
-    token = F.substring(F.sha2(F.concat_ws(":", F.lit("claim"), "id", (F.col("attempt") + 1).cast("string")), 256), 1, 16)
+def claim(rows: DataFrame, now: Column, fresh: bool = False) -> DataFrame:
+    """The rows as active jobs: one attempt more, a lease from now, and a token of their own.
+
+    The token follows from id and attempt, so it is the same each time that it is worked out. A
+    fresh one is random: such rows have to be written before anything is made of them.
+    """
+    token = F.expr("uuid()") if fresh else F.substring(F.sha2(F.concat_ws(":", F.lit("claim"), "id", (F.col("attempt") + 1).cast("string")), 256), 1, 16)
     return rows.withColumns({"status": F.lit("active"), "claim_token": token, "attempt": F.col("attempt") + 1, "claimed_at": now})
 
 
@@ -59,12 +63,12 @@ def claim_with_capacity(jobs: DataFrame, now: Column, capacity: DataFrame) -> Da
     return claim(ranked.join(room, "type").filter("rn <= room").drop("rn", "room"), now)
 
 
-def claim_by_key(jobs: DataFrame, now: Column, wanted: DataFrame) -> DataFrame:
+def claim_by_key(jobs: DataFrame, now: Column, wanted: DataFrame, fresh: bool = False) -> DataFrame:
     """For each wanted (type, dedupe_key) the job that a claim by key yields, as claimed, or nulls."""
     due = jobs.filter((F.col("status") == "pending") & (F.col("run_at") <= now) & F.col("dedupe_key").isNotNull())
     free = due.join(held_slots(jobs), [*SLOT], "left_anti")
     best = free.withColumn("rn", F.row_number().over(Window.partitionBy("type", "dedupe_key").orderBy(*ORDER))).filter("rn = 1")
-    return wanted.join(claim(best, now).drop("rn"), ["type", "dedupe_key"], "left")
+    return wanted.join(claim(best, now, fresh).drop("rn"), ["type", "dedupe_key"], "left")
 
 
 def blocked(jobs: DataFrame, now: Column) -> DataFrame:

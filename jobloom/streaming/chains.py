@@ -53,7 +53,7 @@ def run_chains(claimed: DataFrame, store: ParquetStore, handlers: processing.Han
             break
         on = spark.read.schema(RAN).parquet(f"{folder}/ran/place={place}").filter("outcome in ('completed', 'superseded') and dedupe_key is not null")
         jobs = store.jobs(open_only=True)
-        best = claims.claim_by_key(jobs, now, on.select("chain", "type", "dedupe_key")).filter("id is not null")
+        best = claims.claim_by_key(jobs, now, on.select("chain", "type", "dedupe_key"), fresh=True).filter("id is not null")
         # two chains of a key and type take one follower between them
         best = best.groupBy("id").agg(F.min("chain").alias("chain"), *(F.first(c).alias(c) for c in schemas.names(schemas.JOBS) if c != "id"))
         best.write.parquet(f"{folder}/next-{place}")

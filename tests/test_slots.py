@@ -169,5 +169,7 @@ def test_chains_run_followers_and_keep_the_first_error(spark, tmp_path):
     assert by["c0", 0] == ("c0", "retry-scheduled", "stale c0") and by["d0", 0] == ("d0", "completed", None) and len(by) == 8
     after = {r.id: r.status for r in s.jobs().collect()}
     assert after["a04"] == "pending" and after["d1"] == "pending" and after["b0"] == "superseded" and after["c0"] == "pending"
+    tokens = [r.claim_token for r in s.jobs().collect() if r.id in ("a01", "a02", "a03", "b1")]
+    assert len(set(tokens)) == 4 and all(len(t) == 36 for t in tokens)  # random ones, written before they were used
     kinds = [r.kind for r in s.log("events").collect()]
     assert kinds.count("claimed") == 4 and kinds.count("completed") == 6 and kinds.count("superseded") == 1 and kinds.count("failed") == 1
