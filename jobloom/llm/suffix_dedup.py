@@ -7,10 +7,10 @@ have it the one with the smallest digest; where an owner has very much of it, by
 well. Each task builds run-length indexes of what it gets, streams the matching statistics and
 marks what also starts earlier. A heavy owner's fragments are cut at places that their content
 decides, and of those with equal bytes only the earliest is indexed: all of the others starts
-earlier there. What is left of a group, where it is more than a task should hold, is cut into
-blocks, and each two blocks are indexed together, so a passage that a third of all documents
-share and vary is spread over tasks too. Copies of a whole text are told by digest and aren't
-indexed again.
+earlier there. Where what is left of a group is more than a task should hold, as with a passage that
+a third of all documents share and vary, its strings are settled by 128-bit digests in place of
+an index: they are counted in tasks first, so no task gets a whole group, and the work grows with
+the group's bytes. Copies of a whole text are told by digest and aren't indexed again.
 """
 
 from __future__ import annotations
@@ -37,12 +37,14 @@ CHUNK = 1 << 19
 HEAVY_ANCHORS = 20_000
 #: Anchors of one owner from which on they are dealt out apart.
 OWNER_ANCHORS = 200_000
-#: Bytes of different fragments of one group from which on it is cut into blocks of so many.
-BLOCK_BYTES = 1 << 21
+#: Bytes of different fragments of one group from which on digests settle it.
+BLOCK_BYTES = 1 << 22
 #: Of so many anchors one is a place where fragments are cut.
 CUT_EVERY = 8
-#: Stands for a null id, which counts as smallest.
-LOWEST = -(1 << 63)
+#: A document's place in the order: is its id known (null ids come first), its id, its digest.
+KEY = ("known", "d", "tie", "lo")
+#: Neighbouring string starts that travel as the bits of one number.
+BITS = 64
 
 
 def anchors(data: np.ndarray, at: np.ndarray, least: int = LEAST, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -109,20 +111,20 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(d, text) -> (d, tie, lo, n, z): digests, and the text compressed for the shuffle."""
+    """(known, d, text) -> (known, d, tie, lo, n, z): digests, and the text compressed for the shuffle."""
     pack = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        data, at = text_buffer(batch.column(1))
+        data, at = text_buffer(batch.column(2))
         raw = [data[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
         hi, lo = zip(*map(_digest, raw), strict=True) if raw else ((), ())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(map(_tie, hi), pa.int64()), pa.array(lo, pa.int64()), pa.array(np.diff(at)), pa.array(map(pack.compress, raw), pa.binary())],
-            ["d", "tie", "lo", "n", "z"],
+            [batch.column(0), batch.column(1), pa.array(map(_tie, hi), pa.int64()), pa.array(lo, pa.int64()), pa.array(np.diff(at)), pa.array(map(pack.compress, raw), pa.binary())],
+            [*KEY, "n", "z"],
         )
 
 
 def _fragment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(d, tie, lo, n, z, m, marks) -> the text around each owner's anchors, and its digest.
+    """(known, d, tie, lo, n, z, m, marks) -> the text around each owner's anchors, and its digest.
 
     Should two texts ever share a tie, marks has the anchors of both, and so some text that
     needn't be looked at.
@@ -131,7 +133,7 @@ def _fragment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         out: list[tuple] = []
         size = 0
-        for d, tie, low, n, z, _, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for known, d, tie, low, n, z, _, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             text = unpack.decompress(z)
             marks = sorted((m["owner"], m["part"], m["pos"]) for m in marks)
             open_group, begin, end, cuts = None, 0, 0, []
@@ -142,7 +144,7 @@ def _fragment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                         # content decides the cuts, and pieces overlap by all but one byte of a string
                         for lo, hi in zip([begin, *cuts], [*cuts, end], strict=True):
                             piece = text[lo : min(end, hi + LEAST - 1)]
-                            out.append((*open_group, d, tie, low, lo, lo + len(piece), *_digest(piece), piece))
+                            out.append((*open_group, known, d, tie, low, lo, lo + len(piece), *_digest(piece), piece))
                             size += len(piece)
                     open_group, begin, cuts = (owner, part), a, []
                 end = b
@@ -159,21 +161,21 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
 
-FRAGMENT = pa.schema([("owner", pa.int64()), ("part", pa.int64()), ("d", pa.int64()), ("tie", pa.int64()), ("lo", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("bytes", pa.binary())])
-SPAN = pa.schema([("d", pa.int64()), ("tie", pa.int64()), ("lo", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
+FRAGMENT = pa.schema([("owner", pa.int64()), ("part", pa.int64()), ("known", pa.bool_()), ("d", pa.int64()), ("tie", pa.int64()), ("lo", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("bytes", pa.binary())])
+SPAN = pa.schema([("known", pa.bool_()), ("d", pa.int64()), ("tie", pa.int64()), ("lo", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
 
 
-def repeated_spans(fragments: list[tuple[int, int, int, int, bytes]], least: int = LEAST) -> list[tuple[int, int, int, int, int]]:
-    """Fragments (d, tie, lo, start, bytes) of texts -> spans (d, tie, lo, start, stop) of their bytes that
+def repeated_spans(fragments: list[tuple[bool, int, int, int, int, bytes]], least: int = LEAST) -> list[tuple[bool, int, int, int, int, int]]:
+    """Fragments (*KEY, start, bytes) of texts -> spans (*KEY, start, stop) of their bytes that
     lie in a string of least bytes that also starts earlier in one of the fragments.
 
-    Earlier means in a smaller (d, tie, lo), or in the same at a smaller position.
+    Earlier means in a smaller KEY, or in the same at a smaller position.
     """
-    text = np.frombuffer(b"".join(x for f in fragments for x in (f[4], bytes([STOP]))), np.uint8)
-    sizes = np.array([len(f[4]) + 1 for f in fragments], np.int64)
+    text = np.frombuffer(b"".join(x for f in fragments for x in (f[-1], bytes([STOP]))), np.uint8)
+    sizes = np.array([len(f[-1]) + 1 for f in fragments], np.int64)
     begin = np.cumsum(sizes) - sizes
-    names = {x: i for i, x in enumerate(sorted({f[:3] for f in fragments}))}
-    base = np.array([(names[f[:3]] << 40) + f[3] for f in fragments], np.int64) - begin
+    names = {x: i for i, x in enumerate(sorted({f[:4] for f in fragments}))}
+    base = np.array([(names[f[:4]] << 40) + f[4] for f in fragments], np.int64) - begin
     key = np.arange(len(text)) + np.repeat(base, sizes)
     hit = earlier_copies(text, np.repeat(begin + sizes - 1, sizes), key, least)
     edge = np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))
@@ -181,39 +183,80 @@ def repeated_spans(fragments: list[tuple[int, int, int, int, bytes]], least: int
     for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
         # a STOP is never marked, so a run lies in one fragment
         i = int(np.searchsorted(begin, a, "right")) - 1
-        d, tie, low, start, _ = fragments[i]
-        out.append((d, tie, low, start + a - int(begin[i]), start + b - 1 - int(begin[i]) + least))
+        *key, start, _ = fragments[i]
+        out.append((*key, start + a - int(begin[i]), start + b - 1 - int(begin[i]) + least))
     return out
 
 
 def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Fragments sorted by group -> spans; whole groups are indexed together, about CHUNK bytes at a time."""
-    held: list[tuple[int, int, int, int, bytes]] = []
+    held: list[tuple[bool, int, int, int, int, bytes]] = []
     size, last = 0, None
     for batch in batches:
-        for owner, part, pair, d, tie, low, start, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (size > CHUNK or pair) and (owner, part, pair) != last:
+        for owner, part, *at, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if size > CHUNK and (owner, part) != last:
                 if held and (spans := repeated_spans(held)):
                     yield _batch(spans, SPAN)
                 held, size = [], 0
-            last = owner, part, pair
-            held.append((d, tie, low, start, data))
+            last = owner, part
+            held.append((*at, data))
             size += len(data) + 1
     if held and (spans := repeated_spans(held)):
         yield _batch(spans, SPAN)
 
 
+def _string_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(*KEY, start, bytes) -> (h1, h2, *KEY, start) for each string of LEAST bytes of the fragments."""
+    for batch in batches:
+        data, at = text_buffer(batch.column(5))
+        begin, row, size = [], [], 0
+        for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+            begin.append(np.arange(a, max(a, b - LEAST + 1)))
+            row.append(np.full(len(begin[-1]), i))
+            size += len(begin[-1])
+            if size and (size > 1 << 16 or i == len(at) - 2):
+                places, of = np.concatenate(begin), np.concatenate(row)
+                raw = memoryview(data)
+                h = np.frombuffer(b"".join(hashlib.blake2b(raw[x : x + LEAST], digest_size=16).digest() for x in places.tolist()), np.int64).reshape(-1, 2)
+                key = [batch.column(k).take(pa.array(of)) for k in range(len(KEY))]
+                start = batch.column(4).to_numpy()[of] + places - at[of]
+                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), *key, pa.array(start)], ["h1", "h2", *KEY, "start"])
+                begin, row, size = [], [], 0
+
+
+def _bit_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(*KEY, base, bits) -> spans of the strings that start at base + i for each bit i."""
+    for batch in batches:
+        bits = np.unpackbits(np.ascontiguousarray(batch.column(5).to_numpy()).view(np.uint8), bitorder="little").reshape(-1, BITS)
+        edge = np.diff(np.pad(bits.astype(np.int8), ((0, 0), (1, 1))))
+        (row, begin), (_, end) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+        base = batch.column(4).to_numpy()[row] * BITS
+        key = [batch.column(i).take(pa.array(row)) for i in range(len(KEY))]
+        yield pa.RecordBatch.from_arrays([*key, pa.array(base + begin), pa.array(base + end - 1 + LEAST)], schema=SPAN)
+
+
+def _settled_by_digest(fragments: DataFrame) -> DataFrame:
+    """Fragments (*KEY, start, bytes) of any number -> SPAN rows of their strings that also start earlier in one of them."""
+    place = [*KEY, "start"]
+    types = "known boolean, d bigint, tie bigint, lo bigint"
+    strings = fragments.select(*place, "bytes").mapInArrow(_string_rows, f"h1 bigint, h2 bigint, {types}, start bigint")
+    first = strings.groupBy("h1", "h2").agg(F.count("*").alias("c"), F.min(F.struct(*place)).alias("at")).filter("c > 1")
+    later = strings.join(first, ["h1", "h2"]).filter(F.struct(*place) > F.col("at"))
+    held = later.groupBy(*KEY, F.expr(f"start div {BITS}").alias("base")).agg(F.expr(f"bit_or(shiftleft(1L, cast(start % {BITS} AS int)))").alias("bits"))
+    return held.mapInArrow(_bit_spans, f"{types}, start bigint, stop bigint")
+
+
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("kept", pa.binary())])
 
 
 def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(d, n, z, m, own, spans) -> m results; of rows alike one counts as first.
+    """(known, d, n, z, m, own, spans) -> m results; of rows alike one counts as first.
 
     own isn't null where the text is no copy of one with a smaller id.
     """
     unpack = zstandard.ZstdDecompressor()
 
-    def result(d: int, n: int, text: bytes, spans: list[tuple[int, int]]) -> tuple:
+    def result(d: int | None, n: int, text: bytes, spans: list[tuple[int, int]]) -> tuple:
         merged: list[tuple[int, int]] = []
         for a, b in sorted(spans):
             if merged and a <= merged[-1][1]:
@@ -225,13 +268,13 @@ def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts.append(text[at:a])
             at = b
         kept = b"".join([*parts, text[at:]])
-        return (None if d == LOWEST else d, n, sum(b - a for a, b in merged), len(merged), hashlib.sha256(kept).hexdigest(), [{"start": a, "stop": b} for a, b in merged], kept)
+        return (d, n, sum(b - a for a, b in merged), len(merged), hashlib.sha256(kept).hexdigest(), [{"start": a, "stop": b} for a, b in merged], kept)
 
     for batch in batches:
         out: list[tuple] = []
         size = 0
-        for d, n, z, m, own, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            text = unpack.decompress(z)
+        for known, d, n, z, m, own, spans in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            text, d = unpack.decompress(z), d if known else None
             first = result(d, n, text, [(s["start"], s["stop"]) for s in spans or ()]) if own else None
             copy = result(d, n, text, [(0, n)] if n >= LEAST else []) if m > 1 or not own else None
             for k in range(m):
@@ -250,11 +293,12 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Removed is each byte that lies in a string of LEAST bytes, within one text's UTF-8, that
     also starts earlier: in a document with a smaller id, or earlier in the same. Strings are
     judged on the input. removed lists the maximal runs and kept has the other bytes. Null texts
-    are empty; null ids come before all others (an id of -2^63 counts as null). Texts that share
+    are empty; null ids come before all others. Texts that share
     an id are ordered by digest, and of rows alike in both one counts as first. Other columns
     are left out. An empty df gives no rows.
     """
-    docs = df.select(F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(LOWEST)).alias("d"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    number = F.col(f"`{id_col}`").cast("bigint")
+    docs = df.select(number.isNotNull().alias("known"), F.coalesce(number, F.lit(0)).alias("d"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     found = docs.select("text").mapInArrow(_anchor_rows, "h bigint not null, tie bigint not null, pos bigint not null")
     twice = found.groupBy("h").agg(F.count("tie").alias("c"), F.min("tie").alias("owner")).filter("c > 1")
     # part -1 has what isn't heavy; an owner of very many anchors is split by anchor, as finely as their number asks
@@ -262,10 +306,10 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     twice = twice.join(load, "owner", "left").select("h", "owner", F.expr(f"coalesce(pmod(h, load div {OWNER_ANCHORS} + 1), -1)").alias("part"))
 
     # keys that can't be null need no filter, so both joins read one and the same exchange of texts
-    texts = docs.mapInArrow(_packed_rows, "d bigint not null, tie bigint not null, lo bigint not null, n bigint, z binary")
-    firsts = texts.groupBy("tie", "lo").agg(F.min("d").alias("d"))
+    texts = docs.mapInArrow(_packed_rows, "known boolean not null, d bigint not null, tie bigint not null, lo bigint not null, n bigint, z binary")
+    firsts = texts.groupBy("tie", "lo").agg(F.min("known").alias("known"), F.min("d").alias("d")).withColumn("d", F.when(F.col("known"), F.col("d")).otherwise(0))
     # rows alike in id and text become one with their number, wherever they come from
-    key = ["d", "tie", "lo"]
+    key = [*KEY]
     rows = texts.groupBy(*key).agg(F.first("n").alias("n"), F.first("z").alias("z"), F.count("*").alias("m"))
 
     # copies of a text have the same anchors, which the set holds once
@@ -276,32 +320,33 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def around(heavy: bool) -> DataFrame:
         some = marks.select(*key, F.filter("marks", lambda m: (m["part"] >= 0) == heavy).alias("marks")).filter(F.size("marks") > 0)
         return rows.join(some, key).select(*key, "n", "z", "m", "marks").mapInArrow(
-            _fragment_rows, "owner bigint, part bigint, d bigint, tie bigint, lo bigint, start bigint, stop bigint, fp1 bigint, fp2 bigint, bytes binary"
+            _fragment_rows, "owner bigint, part bigint, known boolean, d bigint, tie bigint, lo bigint, start bigint, stop bigint, fp1 bigint, fp2 bigint, bytes binary"
         )
 
     group, place = ["owner", "part"], [*key, "start"]
-    dealt = around(False).select(*group, F.lit(0).cast("bigint").alias("pair"), *place, "bytes")
-    later = None
+    dealt = around(False).select(*group, *place, "bytes")
+    others: list[DataFrame] = []
     if not no_heavy:
         fragments = saved(around(True), "fragments")
         first = fragments.groupBy(*group, "fp1", "fp2").agg(F.min(F.struct(*place)).alias("at"), F.first("bytes").alias("bytes"))
         first = first.select(*group, "at.*", "bytes")
         # of fragments with equal bytes all but the earliest go as a whole
         size = F.col("stop") - F.col("start")
-        later = fragments.filter(size >= LEAST).join(first.select(*group, *place), [*group, *place], "left_anti").select(*place, "stop")
+        others.append(fragments.filter(size >= LEAST).join(first.select(*group, *place), [*group, *place], "left_anti").select(*place, "stop"))
         bulk = fragments.select(*group, "fp1", "fp2", size.alias("size")).distinct().groupBy(*group).agg(F.sum("size").alias("size")).filter(F.col("size") > BLOCK_BYTES)
-        bulk = bulk.select(*group, F.expr(f"size div {BLOCK_BYTES} + 1").alias("blocks"))
-        # a group of one block is pair 0; of more, each block goes to its pairs with every other
-        first = first.join(bulk, group, "left").withColumn("block", F.pmod(F.xxhash64(*place), "blocks"))
-        pairs = F.expr("coalesce(transform(filter(sequence(0L, blocks - 1), x -> x <> block), x -> least(x, block) * blocks + greatest(x, block)), array(0L))")
-        dealt = dealt.union(first.select(*group, F.explode(pairs).alias("pair"), *place, "bytes"))
-    dealt = dealt.repartition(*group, "pair").sortWithinPartitions(*group, "pair", *place)
-    spans = dealt.mapInArrow(_span_rows, "d bigint, tie bigint, lo bigint, start bigint, stop bigint")
-    spans = spans if later is None else spans.union(later)
+        bulk = saved(bulk.select(*group), "bulk")
+        if not bulk.isEmpty():
+            others.append(_settled_by_digest(first.join(bulk, group, "left_semi")))
+            first = first.join(bulk, group, "left_anti")
+        dealt = dealt.union(first.select(*group, *place, "bytes"))
+    dealt = dealt.repartition(*group).sortWithinPartitions(*group, *place)
+    spans = dealt.mapInArrow(_span_rows, "known boolean, d bigint, tie bigint, lo bigint, start bigint, stop bigint")
+    for more in others:
+        spans = spans.union(more)
     spans = spans.groupBy(*key).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
     about = firsts.join(spans, key, "left").select(*key, F.lit(True).alias("own"), "spans")
-    done = rows.join(about, key, "left").select("d", "n", "z", "m", "own", "spans")
+    done = rows.join(about, key, "left").select("known", "d", "n", "z", "m", "own", "spans")
     return done.mapInArrow(_kept_rows, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, removed array<struct<start: bigint, stop: bigint>>, kept binary")
 
 

@@ -231,7 +231,7 @@ def brute_repeats(rows, least=suffix_dedup.LEAST):
     return Counter(out)
 
 
-@pytest.mark.parametrize("heavy,anchors,block", [(20_000, 200_000, 1 << 21), (2, 3, 1 << 21), (0, 50_000, 20_000), (9, 20, 6_000)])
+@pytest.mark.parametrize("heavy,anchors,block", [(20_000, 200_000, 1 << 21), (2, 3, 1 << 21), (0, 50_000, 20_000), (9, 20, 6_000), (0, 50_000, 0)])
 def test_repeated_strings_equal_brute_force(spark, monkeypatch, heavy, anchors, block):
     monkeypatch.setattr(suffix_dedup, "HEAVY_ANCHORS", heavy)
     monkeypatch.setattr(suffix_dedup, "OWNER_ANCHORS", anchors)
@@ -278,6 +278,28 @@ def test_many_texts_under_one_id_stay_apart(spark):
     assert got == brute_repeats(rows)
 
 
+@pytest.mark.parametrize("block", [1 << 22, 0])
+def test_the_smallest_id_is_no_null(spark, monkeypatch, block):
+    monkeypatch.setattr(suffix_dedup, "HEAVY_ANCHORS", 0)
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", block)
+    rng = random.Random(4)
+    a, b = ("".join(rng.choice("abcdef ") for _ in range(300)) for _ in range(2))
+    rows = [(-(1 << 63), a + "x"), (None, "y" + a), (0, a + b), (None, b), (-(1 << 63), b), (0, None)]
+    got = Counter(tuple(r)[:5] for r in suffix_dedup.suffix_dedup(documents(spark, rows)).collect())
+    assert got == brute_repeats(rows)
+
+
+def test_a_varied_passage_is_settled_by_digests(spark, monkeypatch):
+    # one passage with a field that differs everywhere: no two documents are alike, and all belong to one group
+    monkeypatch.setattr(suffix_dedup, "HEAVY_ANCHORS", 50)
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 2_000)
+    rng = random.Random(5)
+    head, tail = ("".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (120, 180))
+    rows = [(k, f"{head}{rng.getrandbits(60):020d}{tail}") for k in range(400)]
+    got = Counter(tuple(r)[:5] for r in suffix_dedup.suffix_dedup(documents(spark, rows)).collect())
+    assert got == brute_repeats(rows)
+
+
 def test_every_string_holds_an_anchor():
     rng = np.random.default_rng(2)
     data = rng.integers(97, 101, 100_000).astype(np.uint8)
