@@ -53,7 +53,8 @@ def placed(jobs: DataFrame, parts: int) -> DataFrame:
 
 @dataclass
 class ParquetStore:
-    """Jobs under path/jobs/area=/day=/part=, a batch that isn't done yet under path/unfinished, logs under path/<name>.
+    """Jobs under path/jobs/area=/day=/part=, a batch that isn't done yet under path/unfinished, logs under path/<name>,
+    and what each batch changed under path/changes/batch=, which sources.datasource streams.
 
     parts is how many partitions the open jobs, and those that ended on one day, are dealt out to;
     it has to stay as it is. The larger it is, the less a batch of few changes rewrites.
@@ -106,8 +107,11 @@ class ParquetStore:
         self.recover()
 
     def recover(self) -> None:
-        """Finish the batch that was written last, or forget it where it wasn't written to its end."""
-        if self._exists("unfinished/ready/_SUCCESS"):
+        """Finish the batch that was written last, or forget it where it wasn't written to its end.
+
+        What it changed becomes the change log's next batch, last of all: where it is there, the rest is done.
+        """
+        if self._exists("unfinished/ready/_SUCCESS") and self._exists("unfinished/changed"):
             self._rewrite(self.spark.read.parquet(f"{self.path}/unfinished/changed"), self.spark.read.parquet(f"{self.path}/unfinished/touched"))
             fs, folder = self._file("unfinished")
             for name in (x.getPath().getName() for x in fs.listStatus(folder)):
@@ -115,9 +119,27 @@ class ParquetStore:
                     log, (_, to) = name[4:], self._file(name[4:])
                     fs.mkdirs(to)
                     fs.rename(self._file(f"unfinished/{name}")[1], self._file(f"{log}/batch={len(fs.listStatus(to))}")[1])
-            self._delete("unfinished/ready")
+            self._move("unfinished/changed", f"changes/batch={self._next_change()}")
+        self._delete("unfinished/ready")
         self._delete("unfinished")
 
+    def _move(self, name: str, to: str) -> None:
+        fs, target = self._file(to)
+        fs.mkdirs(target.getParent())
+        fs.rename(self._file(name)[1], target)
+
+    def _changes(self) -> list[int]:
+        fs, folder = self._file("changes")
+        return sorted(int(x.getPath().getName().removeprefix("batch=")) for x in fs.listStatus(folder)) if fs.exists(folder) else []
+
+    def _next_change(self) -> int:
+        return max(self._changes(), default=-1) + 1
+
+    def forget_changes(self, keep: int = 1) -> None:
+        """Drop all but the newest batches of the change log, of which one has to stay, as its number is the next one's base."""
+        for n in self._changes()[: -max(1, keep)]:
+            self._delete(f"changes/batch={n}")
+
     def _rewrite(self, changed: DataFrame, touched: DataFrame) -> None:
         """Overwrite the touched partitions with what was there of other jobs, and the changed ones."""
         where = [tuple(r) for r in touched.select(*PLACE).collect()]  # partitions of one batch: those of the open jobs, and of a few days

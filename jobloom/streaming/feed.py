@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources import datasource
+
 #: Wait between batches when rows are polled for, and when they are pushed besides.
 POLL_MS, POLL_WITH_PUSH_MS = 5_000, 60_000
 
@@ -21,6 +23,12 @@ def job_changes(spark: SparkSession, path: str, schema: str, files_per_batch: in
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
+def store_changes(spark: SparkSession, path: str, latest: bool = False) -> DataFrame:
+    """Job rows as the batches of the store under path change them: all that its change log holds, or those from now on."""
+    datasource.register(spark)
+    return spark.readStream.format(datasource.NAME).option("from", "latest" if latest else "earliest").load(path)
+
+
 def pending_feed(changes: DataFrame) -> DataFrame:
     """Changes that leave a job pending: its id, type and run_at."""
     return changes.filter("status = 'pending'").select("id", "type", "run_at")
