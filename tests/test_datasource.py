@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In
 
 from jobloom.sources import datasource, fixtures, schemas, store
-from jobloom.streaming import feed, upkeep
 
 SF = "/root/testdata/sf0.001"
 
@@ -65,35 +64,14 @@ def test_filters_prune_files(spark, filled):
     assert late == []
 
 
-def test_changes_stream_in_and_go_on_after_a_restart(spark, filled, tmp_path):
-    heard = []
-
-    def listen():
-        feed.on_job_available(feed.pending_feed(feed.store_changes(spark, filled.path)), heard.append, str(tmp_path / "cp"), once=True).awaitTermination(120)
-
-    def pend(kind):
-        one = spark.createDataFrame(filled.jobs().filter(f"status = 'active' AND type = '{kind}'").limit(1).collect(), schemas.JOBS)
-        filled.update(one.withColumn("status", F.lit("pending")), one, {})
-
-    kinds = [r[0] for r in filled.jobs().filter("status = 'active'").select("type").distinct().orderBy("type").limit(2).collect()]
-    listen()
-    assert heard == []
-    pend(kinds[0])
-    listen()
-    listen()
-    assert heard == [[kinds[0]]]
-    pend(kinds[1])  # while nobody listens
-    pend(kinds[0])
-    listen()
-    assert heard == [[kinds[0]], kinds]
-    # a batch without changes, and forgotten ones
-    upkeep.sweep(filled, fixtures.now() - F.expr("INTERVAL 9000 DAYS"))
-    filled.forget_changes()
-    listen()
-    assert len(heard) == 2
-    pend(kinds[1])
-    listen()
-    assert heard[2:] == [[kinds[1]]]
+def test_offsets_follow_the_change_log(spark, filled):
+    reader = datasource.ChangeReader(filled.path, read(spark, filled).schema, False)
+    assert reader.initialOffset() == reader.latestOffset() == {"batch": 0}
+    one = spark.createDataFrame(filled.jobs().filter("status = 'active'").limit(1).collect(), schemas.JOBS)
+    filled.update(one.withColumn("status", F.lit("pending")), one, {})
+    assert reader.latestOffset() == {"batch": 1}
+    got = [r for f in reader.partitions({"batch": 0}, {"batch": 1}) for b in reader.read(f) for r in b.to_pylist()]
+    assert [(r["id"], r["status"]) for r in got] == [(one.first().id, "pending")]
 
 
 def test_a_batch_that_is_in_the_change_log_is_done(spark, filled):
