@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import backoff_ms, later_by_ms
-from .transitions import followed, followers, miss_class, open_to
+from .transitions import followed, followers, latest_receipts, miss_class, open_to
 
 TERMINAL_OPS = ("complete", "fail", "failFatal", "release")
 HEARTBEATS = ("heartbeat", "heartbeatClaimed")
@@ -82,11 +82,6 @@ def jobs_after(decided: DataFrame, jobs: DataFrame, now: Column, changed_only: b
     return rows.withColumns(changed).select(jobs.columns)
 
 
-def latest_receipts(receipts: DataFrame) -> DataFrame:
-    """(job_id, t, op, told): the newest answer for each job, token ('' for none) and operation."""
-    return receipts.groupBy("job_id", F.coalesce("token", F.lit("")).alias("t"), "op").agg(F.max_by("outcome", F.struct("at", "outcome")).alias("told"))
-
-
 def new_receipts(decided: DataFrame, now: Column) -> DataFrame:
     """(job_id, token, op, outcome, at) of the terminal commands that changed a job."""
     return decided.filter(F.col("changes") & F.col("op").isin(*TERMINAL_OPS)).select("job_id", "token", "op", "outcome", now.alias("at"))

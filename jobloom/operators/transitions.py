@@ -69,17 +69,28 @@ def release_outcomes(commands: DataFrame, jobs: DataFrame) -> DataFrame:
     return rows.select("job_id", outcome.alias("outcome"))
 
 
+def latest_receipts(receipts: DataFrame) -> DataFrame:
+    """(job_id, t, op, told): the newest answer for each job, token ('' for none) and operation."""
+    return receipts.groupBy("job_id", F.coalesce("token", F.lit("")).alias("t"), "op").agg(F.max_by("outcome", F.struct("at", "outcome")).alias("told"))
+
+
 def complete_outcomes(commands: DataFrame, jobs: DataFrame, receipts: DataFrame) -> DataFrame:
     """commands (job_id, token) -> (job_id, outcome).
 
     A job that the reaper failed while its owner still worked may be completed by that owner, as
-    long as the owner's token has no receipt. A command that comes again is one of its own.
+    long as the owner's token has no receipt. A command that comes again is one of its own, but
+    where again is set (an optional column: it repeats one whose answer was lost) the newest
+    receipt (job_id, token, op, outcome, at) of its own operation answers it.
     """
+    if "again" not in commands.columns:
+        commands = commands.withColumn("again", F.lit(False))
+    own = latest_receipts(receipts.filter("op = 'complete'")).drop("op")
     any_receipt = receipts.filter("token is not null").select("job_id", "token").distinct().withColumn("answered", F.lit(True))
     rows = commands.join(jobs, commands["job_id"] == jobs["id"], "left").join(any_receipt, ["job_id", "token"], "left")
+    rows = rows.withColumn("t", F.coalesce("token", F.lit(""))).join(own, ["job_id", "t"], "left")
     late = (F.col("status") == "failed") & (F.col("claim_token") == F.col("token")) & F.col("answered").isNull()
     done = F.coalesce(open_to() | late, F.lit(False))
-    return rows.select("job_id", F.when(done, "completed").otherwise(miss_class()).alias("outcome"))
+    return rows.select("job_id", F.coalesce(F.when(F.col("again"), F.col("told")), F.when(done, "completed").otherwise(miss_class())).alias("outcome"))
 
 
 def heartbeat_outcomes(commands: DataFrame, jobs: DataFrame) -> DataFrame:

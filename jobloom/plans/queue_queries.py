@@ -256,8 +256,9 @@ def release_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def terminal_miss_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All commands come again because their answers were lost: receipts answer those that have one."""
     jobs = jobs_of(spark, sf_dir)
-    return transitions.complete_outcomes(_commands(jobs), jobs, _receipts(jobs))
+    return transitions.complete_outcomes(_commands(jobs).withColumn("again", F.lit(True)), jobs, _receipts(jobs))
 
 
 def heartbeat_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -496,8 +497,8 @@ SQL = {
     "fail_outcomes": """, o AS (SELECT job_id, id, now, CASE WHEN NOT applied THEN miss WHEN followed THEN 'superseded' WHEN attempt >= max_attempts THEN 'failed-terminal' ELSE 'retry-scheduled' END AS outcome FROM hit)
         SELECT job_id, outcome, CASE WHEN outcome = 'retry-scheduled' THEN now + to_milliseconds(delay_ms) END AS retry_run_at FROM o LEFT JOIN delays ON id = bid""",
     "release_outcomes": "SELECT job_id, CASE WHEN NOT (applied AND status = 'active') THEN miss WHEN followed THEN 'superseded' ELSE 'released' END AS outcome FROM hit",
-    "terminal_miss_class": """SELECT job_id, CASE WHEN applied THEN 'completed' WHEN status = 'failed' AND claim_token = token AND a.rid IS NULL THEN 'completed' ELSE miss END AS outcome
-        FROM hit LEFT JOIN (SELECT DISTINCT rid, rtok FROM rec) a ON job_id = a.rid AND token = a.rtok""",
+    "terminal_miss_class": """SELECT job_id, CASE WHEN r.rout IS NOT NULL THEN r.rout WHEN applied THEN 'completed' WHEN status = 'failed' AND claim_token = token AND a.rid IS NULL THEN 'completed' ELSE miss END AS outcome
+        FROM hit LEFT JOIN rec r ON job_id = r.rid AND token = r.rtok AND r.rop = 'complete' LEFT JOIN (SELECT DISTINCT rid, rtok FROM rec) a ON job_id = a.rid AND token = a.rtok""",
     "apply_outcomes": DECIDED + "SELECT job_id, op, outcome, changes FROM decided",
     "apply_jobs": DECIDED + AFTER,
     "apply_receipts": DECIDED + "SELECT job_id, token, op, outcome, TIMESTAMP '1999-01-01 00:00:00' AS at FROM decided WHERE changes AND op IN ('complete', 'fail', 'failFatal', 'release')",

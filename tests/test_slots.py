@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from jobloom.operators import apply, claims, processing, slots
+from jobloom.operators import apply, claims, processing, slots, transitions
 from jobloom.plans import queue_queries
 from jobloom.sources import fixtures, schemas
 from jobloom.sources.fixtures import NOW
@@ -63,6 +63,16 @@ def test_a_failed_job_is_completed_late_only_without_receipt(spark):
     assert got == {("a", "fail"): ("failed-terminal", True), ("a", "complete"): ("completed", True), ("b", "fail"): ("failed-terminal", True), ("b", "complete"): ("already-terminal", False), ("c", "complete"): ("not-found", False), ("c", "heartbeat"): ("applied", False)}
 
 
+def test_a_lost_answer_to_a_completion_is_given_again(spark):
+    jobs = jobs_of(spark, *(job(i, "completed", key=None, scope=None, token="x") for i in "abc"), job("d", "active", key=None, scope=None, token="x"), job("e", "failed", key=None, scope=None, token="x"))
+    told = spark.createDataFrame([("a", "x", "complete", "completed", at(0)), ("b", "x", "complete", "completed", at(0)), ("c", "x", "fail", "retry-scheduled", at(0)), ("e", "x", "fail", "failed-terminal", at(0))], schemas.RECEIPTS)
+    commands = spark.createDataFrame([(i, "x", i != "b") for i in "abcdef"], "job_id string, token string, again boolean")
+    want = {"a": "completed", "b": "already-terminal", "c": "already-terminal", "d": "completed", "e": "already-terminal", "f": "not-found"}
+    assert {r.job_id: r.outcome for r in transitions.complete_outcomes(commands, jobs, told).collect()} == want
+    # without the column all are commands of their own
+    assert {r.job_id: r.outcome for r in transitions.complete_outcomes(commands.drop("again"), jobs, told).collect()} == want | {"a": "already-terminal"}
+
+
 def test_the_fold_of_single_commands_is_the_batch_operator(spark):
     decided, jobs = queue_queries._decided(spark, SF)
     commands = queue_queries._commands(jobs).withColumn("n", F.regexp_replace("job_id", "x", "").cast("bigint"))
