@@ -1,8 +1,8 @@
 """The k rows of largest value in each group, by radix selection over distributed histograms.
 
 A pass counts each group's rows by the next digit of their values, and the digit in which the
-k-th lies narrows what the next pass looks at: rows are never sorted, nor gathered by group. Where
-more rows than fit share the k-th value, their items' UTF-8 bytes are refined in the same way.
+k-th lies narrows what the next pass looks at: rows are never sorted, nor gathered by group. A first
+pass by the values' logarithms leaves little more than k rows a group for the others. Where more rows than fit share the k-th value, their items' UTF-8 bytes are refined in the same way.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from .common import saved
 
 #: Values have at most so many bits, and a digit so many of them.
 VALUE_BITS, DIGIT_BITS = 60, 15
+#: Classes of values by logarithm for each doubling.
+CLASSES = 256
 #: Bytes of an item that the first pass over ties looks at; each further pass looks at twice as many more.
 FIRST_BYTES = 8
 
@@ -36,6 +38,18 @@ def kth_values(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
     return state
 
 
+def largest(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """rows that can be among the k largest of their group: all whose value's class isn't below that of the k-th.
+
+    Classes needn't be exact, as they never fall while values rise.
+    """
+    kind = F.floor(F.log2(F.col("value") + 1.0) * CLASSES)
+    counted = rows.groupBy(*keys, kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    least = counted.withColumn("before", before).filter(F.col("before") < k).groupBy(*keys).agg(F.min("kind").alias("least"))
+    return rows.join(least, keys).filter(kind >= F.col("least")).drop("least")
+
+
 def tie_bounds(ties: DataFrame, keys: list[str]) -> DataFrame:
     """ties (keys, item, need) -> (keys, last, bytes): of each group, the first so many bytes of the need items that come first are at most last."""
     state, done, seen, width = ties.select(*keys, "need").distinct().withColumn("prefix", F.lit(b"")), None, 0, FIRST_BYTES
@@ -57,8 +71,9 @@ def top_k(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
 
     Ties go by the item's UTF-8 bytes, ascending; items are distinct within a group and not null,
     values are at least 0 and below 2 ** VALUE_BITS. Groups of at most k rows stay whole, and an
-    empty table gives no rows. rows should be a written table, as each pass reads it.
+    empty table gives no rows. rows are read twice, and what can be among the k is written.
     """
+    rows = saved(largest(rows, keys, k), "largest")
     bounds = saved(kth_values(rows, keys, k), "kth").withColumnsRenamed({"prefix": "least", "n": "n_ties"})
     at = rows.join(bounds, keys, "left")
     above = at.filter(F.col("least").isNull() | (F.col("value") > F.col("least")) | ((F.col("value") == F.col("least")) & (F.col("n_ties") == F.col("need"))))

@@ -26,7 +26,7 @@ LEAST_DOCUMENTS, TOP_TERMS = 3, 200
 #: A share of 1 as an integer.
 WHOLE = 1_000_000_000
 #: Distinct terms that a task holds before it passes them on, bytes of text at a time, and pairs of sources before they are passed on.
-HELD_TERMS, SLICE_BYTES, HELD_PAIRS = 200_000, 1 << 20, 1 << 20
+HELD_TERMS, SLICE_BYTES, HELD_PAIRS = 600_000, 1 << 20, 1 << 20
 #: Bits of a number that count documents; the rest count occurrences. No task comes near either bound.
 DOC_BITS = 30
 #: A-Z become a-z; bytes that are no part of a term become spaces.
@@ -51,7 +51,7 @@ def count_terms(df: DataFrame, text_col: str = "text", lang_col: str = "lang", s
 
     Null texts, langs and sources are ''. Each group has a row with a null term besides, so
     groups without terms are there too. Repeated rows count as documents of their own, other
-    columns are left out, and an empty df gives no rows.
+    columns are left out, and an empty df gives no rows. Rows of a language and a term lie together.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +87,8 @@ def count_terms(df: DataFrame, text_col: str = "text", lang_col: str = "lang", s
 
     rows = df.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))))
     counted = rows.mapInArrow(run, "lang string, source string, term string, n bigint, docs bigint")
-    return counted.groupBy(*GROUP, "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    # tasks have added up what they can: the rows are dealt out as they are, by what the next steps need together
+    return counted.repartition("lang", "term").groupBy(*GROUP, "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 #: Counts below this can be multiplied by WHOLE.
@@ -125,6 +126,7 @@ def both_have(rated: DataFrame) -> DataFrame:
         number: dict[tuple[str, str], int] = {}
         names: list[tuple[str, str]] = []
         keys, sums = np.empty(0, np.int64), np.empty(0, np.int64)
+        square = np.zeros((0, 0), np.int64)  # the sums of all pairs, while they are few enough to be held
 
         def added(keys: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             found, where = np.unique(keys, return_inverse=True)
@@ -132,8 +134,7 @@ def both_have(rated: DataFrame) -> DataFrame:
             np.add.at(total, where, sums)
             return found, total
 
-        def passed_on() -> pa.RecordBatch:
-            a, b = keys >> 32, keys & 0xFFFFFFFF
+        def passed_on(a: np.ndarray, b: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
             cols = [[names[i][0] for i in a], [names[i][1] for i in a], [names[i][1] for i in b]]
             return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols), pa.array(sums)], ["lang", "source", "item", "value"])
 
@@ -143,12 +144,13 @@ def both_have(rated: DataFrame) -> DataFrame:
             if rows is None or not len(rows):
                 continue
             rows = rows.combine_chunks()
-            lang, term = (rows[c].combine_chunks() for c in ("lang", "term"))
+            lang, source = (rows[c].combine_chunks().dictionary_encode() for c in GROUP)
+            term = rows["term"].combine_chunks()
+            at = lang.indices.to_numpy().astype(np.int64)
             n = len(rows)
             new = np.ones(n, bool)
             if n > 1:
-                same = pc.and_(pc.equal(lang[1:], lang[:-1]), pc.equal(term[1:], term[:-1]))
-                new[1:] = ~same.to_numpy(zero_copy_only=False)
+                new[1:] = (at[1:] != at[:-1]) | ~pc.equal(term[1:], term[:-1]).to_numpy(zero_copy_only=False)
             if batch is None:
                 kept = None
             else:  # the last term's rows may go on in the next batch
@@ -157,26 +159,40 @@ def both_have(rated: DataFrame) -> DataFrame:
             if not n:
                 continue
             of = np.cumsum(new[:n])
-            pairs = list(zip(lang[:n].to_pylist(), rows["source"][:n].to_pylist(), strict=True))
-            for x in set(pairs) - number.keys():
-                number[x] = len(names)
-                names.append(x)
-            who = np.array([number[x] for x in pairs], np.int64)
+            width = len(source.dictionary)
+            code = at[:n] * width + source.indices.to_numpy()[:n]
+            known = np.zeros(len(lang.dictionary) * width, np.int64)
+            for c in np.flatnonzero(np.bincount(code, minlength=len(known))).tolist():
+                x = lang.dictionary[c // width].as_py(), source.dictionary[c % width].as_py()
+                if x not in number:
+                    number[x] = len(names)
+                    names.append(x)
+                known[c] = number[x]
+            who = known[code]
+            if len(square) < len(names) and len(names) ** 2 <= HELD_PAIRS:
+                square = np.pad(square, (0, min(2 * len(names), int(HELD_PAIRS**0.5)) - len(square)))
+            held = len(names) <= len(square)
             p, p0 = (rows[c][:n].to_numpy() for c in ("p", "p0"))
             for d in range(1, int(np.bincount(of).max())):
                 i = np.flatnonzero(of[d:] == of[:-d])
                 for x, y in ((i, i + d), (i + d, i)):
                     value = gaps(p[x], p[y]) - gaps(p[x], p0[y]) - gaps(p0[x], p[y]) + gaps(p0[x], p0[y])
+                    if held:
+                        np.add.at(square.reshape(-1), who[x] * len(square) + who[y], value)
+                        continue
                     k, s = added(who[x] << 32 | who[y], value)
                     keys, sums = np.concatenate([keys, k]), np.concatenate([sums, s])
                 if len(keys) > HELD_PAIRS:
                     keys, sums = added(keys, sums)
                     if len(keys) > HELD_PAIRS // 2:
-                        yield passed_on()
+                        yield passed_on(keys >> 32, keys & 0xFFFFFFFF, sums)
                         keys, sums = keys[:0], sums[:0]
         keys, sums = added(keys, sums)
         if len(keys):
-            yield passed_on()
+            yield passed_on(keys >> 32, keys & 0xFFFFFFFF, sums)
+        a, b = np.nonzero(square)
+        if len(a):
+            yield passed_on(a, b, square[a, b])
 
     dealt = rated.select("lang", "source", "term", "p", "p0").repartition("lang", "term").sortWithinPartitions("lang", "term")
     return dealt.mapInArrow(run, "lang string, source string, item string, value bigint")
@@ -195,16 +211,20 @@ def divergence(df: DataFrame, text_col: str = "text", lang_col: str = "lang", so
     Terms in fewer than least documents of the language don't count; a language without others
     has divergences of 0. Nulls are ''; repeated rows are documents of their own; a df without rows gives none.
     """
-    counts = saved(count_terms(df, text_col, lang_col, source_col), "counts")
-    terms = saved(counts.filter("term is not null").groupBy("lang", "term").agg(F.sum("n").alias("n_lang"), F.sum("docs").alias("docs")).filter(F.col("docs") >= least).drop("docs"), "terms")
-    kept = saved(counts.filter("term is not null").drop("docs").join(terms, ["lang", "term"]), "kept")
-    langs = terms.groupBy("lang").agg(F.count("term").alias("terms"), F.sum("n_lang").alias("total_lang"))
-    groups = counts.filter("term is null").select(*GROUP).join(kept.groupBy(*GROUP).agg(F.sum("n").alias("total")), GROUP, "left").join(langs, "lang", "left").fillna(0)
-    groups = saved(groups.withColumn("p0", share(F.lit(0), F.col("total"), F.col("terms"))), "groups")
+    alike = Window.partitionBy("lang", "term")
+    counts = count_terms(df, text_col, lang_col, source_col).withColumns({
+        "n_lang": F.sum("n").over(alike), "docs": F.sum("docs").over(alike), "sources": F.count("source").over(alike), "leads": (F.col("source") == F.min("source").over(alike)).cast("int"),
+    })
+    counts = saved(counts.filter(F.col("term").isNull() | (F.col("docs") >= least)).drop("docs"), "counts")
+    kept = counts.filter("term is not null")
+    # a term is counted for the language with one of its sources; rows without a term have an n of 0
+    groups = saved(counts.groupBy(*GROUP).agg(F.sum("n").alias("total"), F.sum(F.when(F.col("term").isNull(), 0).otherwise(F.col("leads"))).alias("leads")), "groups")
+    langs = groups.groupBy("lang").agg(F.sum("leads").alias("terms"), F.sum("total").alias("total_lang"))
+    groups = saved(groups.drop("leads").join(langs, "lang").withColumn("p0", share(F.lit(0), F.col("total"), F.col("terms"))), "groups")
 
     rated = kept.join(groups, GROUP).withColumn("p", share(F.col("n"), F.col("total"), F.col("terms")))
     q = share(F.col("n_lang"), F.col("total_lang"), F.col("terms"))
-    over = saved(rated.withColumn("q", q).filter("p > q").select(*GROUP, F.col("term").alias("item"), gap(F.col("p"), F.col("q")).alias("value")), "over")
+    over = rated.withColumn("q", q).filter("p > q").select(*GROUP, F.col("term").alias("item"), gap(F.col("p"), F.col("q")).alias("value"))
     term = top_k(over, GROUP, top).select(*GROUP, F.lit("term").alias("part"), "item", "value", "rank")
 
     own, other = groups.alias("a"), groups.alias("b")
@@ -218,7 +238,7 @@ def divergence(df: DataFrame, text_col: str = "text", lang_col: str = "lang", so
         F.struct(F.col("b.source").alias("source"), F.col("a.source").alias("item"), (F.col("m") * (gap(o, p) - gap(o, p0))).alias("value")),
     )
     one = met.select("a.lang", F.explode(ways).alias("w")).select("lang", "w.source", "w.item", F.col("w.value").cast("decimal(38,0)").alias("value"))
-    two = both_have(rated).withColumn("value", F.col("value").cast("decimal(38,0)"))
+    two = both_have(rated.filter("sources > 1")).withColumn("value", F.col("value").cast("decimal(38,0)"))
     summed = base.union(one).union(two).groupBy(*GROUP, "item").agg(F.sum("value").cast("bigint").alias("value"))
     # all sources of a language are ranked against each: as many rows as the answer has
     pair = summed.withColumn("rank", F.row_number().over(Window.partitionBy(*GROUP).orderBy(F.desc("value"), "item"))).select(*GROUP, F.lit("pair").alias("part"), "item", "value", "rank")

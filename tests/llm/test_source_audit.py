@@ -78,3 +78,32 @@ def test_shares_do_not_overflow(spark):
     rows = [(10**12, 10**15, 7), (0, 0, 1), (5, 5, 1), (0, 10**15, 10**9), (123_456_789_012, 123_456_789_013, 2), (0, 0, 0)]
     got = spark.createDataFrame(rows, "n bigint, total bigint, v bigint").select("n", "total", "v", source_audit.share(F.col("n"), F.col("total"), F.col("v")).alias("p")).collect()
     assert all(r.p == 1 + 1_000_000_000 * (r.n + 1) // max(1, r.total + r.v) for r in got)
+
+
+def test_rows_pass_one_exchange_on_their_way_to_the_counts(spark):
+    df = spark.createDataFrame([("a b", "en", "s")], "text string, lang string, source string")
+    counted = source_audit.count_terms(df).withColumn("x", source_audit.F.sum("n").over(source_audit.Window.partitionBy("lang", "term")))
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    assert "HashAggregate" not in plan[plan.index("Exchange"):]
+
+
+@pytest.mark.parametrize("k", [1, 10, 200])
+def test_little_more_than_k_rows_a_group_are_refined(spark, k):
+    rng = random.Random(k)
+    rows = [(g, str(i), int(2 ** rng.uniform(0, 59))) for g in range(3) for i in range(1000 * g + 5)]
+    got = radix_select.largest(spark.createDataFrame(rows, "g int, item string, value bigint"), ["g"], k).collect()
+    for g in range(3):
+        own = sorted((r[2] for r in rows if r[0] == g), reverse=True)
+        chosen = sorted((r.value for r in got if r.g == g), reverse=True)
+        assert chosen[:k] == own[:k]
+        assert len(chosen) <= k + 25
+
+
+def test_pairs_of_sources_are_summed_alike_whether_held_or_passed_on(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(" ".join(rng.choice("abcdefgh") for _ in range(9)), rng.choice(["en", "de"]), rng.choice(["s1", "s2", "s3", "s4"])) for _ in range(60)]
+    want = brute(rows)
+    for held in (4, 9, 1 << 20):
+        monkeypatch.setattr(source_audit, "HELD_PAIRS", held)
+        assert audited(spark, rows) == want
