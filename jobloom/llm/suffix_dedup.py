@@ -7,7 +7,8 @@ have it the one with the smallest digest; where an owner has very much of it, by
 well. Each task builds run-length indexes of what it gets, streams the matching statistics and
 marks what also starts earlier. A heavy owner's fragments are cut at places that their content
 decides, and of those with equal bytes only the earliest is indexed: all of the others starts
-earlier there. Where what is left of a group is more than a task should hold, as with a passage that
+earlier there. Tasks settle that among their own fragments first, so a passage that all documents
+share leaves each of them with a span or two, and the group with what differs. Where what is left of a group is more than a task should hold, as with a passage that
 a third of all documents share and vary, its strings are settled by 128-bit digests in place of
 an index: they are counted in tasks first, so no task gets a whole group, and the work grows with
 the group's bytes. Copies of a whole text are told by digest and aren't indexed again.
@@ -126,6 +127,8 @@ def _packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _fragment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(known, d, tie, lo, n, z, m, marks) -> the text around each owner's anchors, and its digest.
 
+    Of heavy owners' fragments that are held together and equal, the earliest goes on; the others
+    become spans, rows without bytes, in which neighbours are one.
     Should two texts ever share a tie, marks has the anchors of both, and so some text that
     needn't be looked at.
     """
@@ -151,10 +154,37 @@ def _fragment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 if (part or 0) >= 0 and begin < pos and zlib.crc32(text[pos : pos + K]) % CUT_EVERY == 0:
                     cuts.append(pos)
             if size > 1 << 22:
-                yield _batch(out, FRAGMENT)
+                yield _batch(_settled_here(out), FRAGMENT)
                 out, size = [], 0
         if out:
-            yield _batch(out, FRAGMENT)
+            yield _batch(_settled_here(out), FRAGMENT)
+
+
+def _settled_here(rows: list[tuple]) -> list[tuple]:
+    """FRAGMENT rows, of which those of heavy owners that equal an earlier one of them become spans without bytes."""
+    first: dict[tuple, tuple] = {}
+    out, spans = [], []
+    for row in rows:
+        owner, part, *place = row[:7]
+        if part < 0:
+            out.append(row)
+            continue
+        # equal bytes of one owner and part; place is KEY and start
+        name = (owner, part, row[8], row[9])
+        other = first.setdefault(name, row)
+        if other is not row:
+            later = row
+            if place < [*other[2:7]]:
+                first[name], later = row, other
+            if later[7] - later[6] >= LEAST:
+                spans.append(later[2:8])
+    merged: list[tuple] = []
+    for span in sorted(spans):
+        if merged and merged[-1][:4] == span[:4] and span[4] <= merged[-1][5]:
+            merged[-1] = (*merged[-1][:5], max(merged[-1][5], span[5]))
+        else:
+            merged.append(span)
+    return [*out, *first.values(), *((0, 0, *span, 0, 0, None) for span in merged)]
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -327,7 +357,9 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     dealt = around(False).select(*group, *place, "bytes")
     others: list[DataFrame] = []
     if not no_heavy:
-        fragments = saved(around(True), "fragments")
+        found_here = saved(around(True), "fragments")
+        others.append(found_here.filter("bytes is null").select(*place, "stop"))
+        fragments = found_here.filter("bytes is not null")
         first = fragments.groupBy(*group, "fp1", "fp2").agg(F.min(F.struct(*place)).alias("at"), F.first("bytes").alias("bytes"))
         first = first.select(*group, "at.*", "bytes")
         # of fragments with equal bytes all but the earliest go as a whole

@@ -300,6 +300,22 @@ def test_a_varied_passage_is_settled_by_digests(spark, monkeypatch):
     assert got == brute_repeats(rows)
 
 
+def test_a_shared_passage_is_settled_within_tasks(spark, monkeypatch):
+    # what goes on to the joins grows with the tasks, not with the documents that share the passage
+    monkeypatch.setattr(suffix_dedup, "HEAVY_ANCHORS", 50)
+    held, keep = {}, suffix_dedup.saved
+    monkeypatch.setattr(suffix_dedup, "saved", lambda df, name="step": held.setdefault(name, keep(df, name)))
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    rows = [(k, f"{k} {passage} {rng.getrandbits(300):x}") for k in range(300)]
+    got = Counter(tuple(r)[:5] for r in suffix_dedup.suffix_dedup(documents(spark, rows)).collect())
+    assert got == brute_repeats(rows)
+    whole = held["fragments"].filter("bytes is not null")
+    pieces = whole.select("owner", "part", "fp1", "fp2").distinct().count()
+    assert whole.count() <= pieces + 300
+    assert held["fragments"].count() <= pieces + 3 * 300
+
+
 def test_every_string_holds_an_anchor():
     rng = np.random.default_rng(2)
     data = rng.integers(97, 101, 100_000).astype(np.uint8)
