@@ -14,6 +14,8 @@ import numpy as np
 
 #: Ends each fragment; no UTF-8 text has it.
 STOP = 0xFF
+#: Pairs of suffixes up to which each is compared by itself.
+FEW = 64
 
 
 class RunIndex(NamedTuple):
@@ -27,44 +29,53 @@ class RunIndex(NamedTuple):
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Start positions of all suffixes in lexicographic order, by doubling of what isn't settled yet."""
+    """Start positions of all suffixes in lexicographic order, by tripling of what isn't settled yet."""
     n = len(text)
-    wide = np.zeros(n + 7, np.uint64)
-    wide[:n] = text.astype(np.uint64) + np.uint64(1)  # 0 stands for the end
-    key = np.zeros(n, np.uint64)
-    for j in range(7):
-        key |= wide[j : n + j] << np.uint64(54 - 9 * j)
-    order = np.argsort(key)
-    key = key[order]
-    new = np.ones(n, bool)
-    new[1:] = key[1:] != key[:-1]
+    code = np.cumsum(np.bincount(text, minlength=256) > 0).astype(np.uint64)  # 0 stands for the end
+    bits = max(1, int(code[-1]).bit_length())
+    h = 64 // bits
+    key, width = np.zeros(n + h, np.uint64), 1
+    key[:n] = code[text]
+    wide = key
+    for step in bin(h)[3:]:  # so many symbols of each suffix in one number
+        key = key[:-width] << np.uint64(width * bits) | key[width:]
+        width *= 2
+        if step == "1":
+            key = key[:-1] << np.uint64(bits) | wide[width : len(key) - 1 + width]
+            width += 1
+    order = np.argsort(key[:n])
+    first, size = _runs_of_equal(key[order])
     del key, wide
-    first = np.flatnonzero(new)
-    sizes = np.diff(np.append(first, n))
-    group = np.repeat(first, sizes)
-    rank = np.empty(n, np.int64)
-    rank[order] = group
-    place = np.flatnonzero(np.repeat(sizes, sizes) > 1)  # places in suffix order whose suffixes aren't told apart
-    group, h = group[place], 7
+    order = order.astype(np.int32)
+    group = np.repeat(first, size)
+    rank = np.zeros(n + 1, np.int32)  # from 1; the end's is 0
+    rank[order] = group + 1
+    place = np.flatnonzero(np.repeat(size, size) > 1).astype(np.int32)  # places in suffix order whose suffixes aren't told apart
+    group, at = group[place], order[place]
+    times = 3 if (n + 1) ** 3 < 1 << 63 else 2
     while len(place):
-        at = order[place]
-        second = np.where(at + h < n, rank[np.minimum(at + h, n - 1)] + 1, 0)
-        both = group * np.int64(n + 1) + second
+        both = group.astype(np.int64)
+        for k in range(1, times):
+            both *= n + 1
+            both += rank[np.minimum(at + np.int64(k * h), n)]
         by = np.argsort(both)
-        at, both = at[by], both[by]
+        at = at[by]
         order[place] = at
-        new = np.ones(len(at), bool)
-        new[1:] = both[1:] != both[:-1]
-        first = np.flatnonzero(new)
-        sizes = np.diff(np.append(first, len(at)))
-        group = np.repeat(place[first], sizes)
-        rank[at] = group
-        keep = np.repeat(sizes, sizes) > 1
-        place, group = place[keep], group[keep]
-        h *= 2
+        first, size = _runs_of_equal(both[by])
+        group = np.repeat(place[first], size)
+        rank[at] = group + 1
+        keep = np.flatnonzero(np.repeat(size, size) > 1)
+        place, group, at = place[keep], group[keep], at[keep]
+        h *= times
     return order
 
 
+def _runs_of_equal(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin, and how long they are."""
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])).astype(np.int32)
+    return first, np.diff(np.append(first, np.int32(len(ordered))))
+
+
 def build(text: np.ndarray) -> RunIndex:
     """The index of some bytes."""
     order = suffix_order(text)
@@ -86,17 +97,29 @@ def common_length(text: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Length of the longest common prefix of the suffixes at a and at b, pair by pair."""
     n = len(text)
     length = np.zeros(len(a), np.int64)
-    pad = np.concatenate([text, np.zeros(8, np.uint8)])
-    words = np.lib.stride_tricks.sliding_window_view(pad, 8)
+    if not n:
+        return length
+    # eight bytes from each position on, the first one lowest
+    words = np.ndarray(n, "<u8", np.concatenate([text, np.zeros(7, np.uint8)]), strides=(1,)).copy()
     live = np.flatnonzero((a < n) & (b < n))
-    while len(live):
-        x, y = a[live] + length[live], b[live] + length[live]
-        room = n - np.maximum(x, y)
-        same = words[np.minimum(x, n)] == words[np.minimum(y, n)]
-        run = np.where(same.all(1), 8, np.argmin(same, 1))
-        run = np.minimum(run, room)
+    x, y = a[live].astype(np.int64), b[live].astype(np.int64)
+    while len(live) > FEW:
+        apart = words[x] ^ words[y]
+        run = np.minimum(np.bitwise_count((apart & -apart) - np.uint64(1)) >> 3, n - np.maximum(x, y))
         length[live] += run
-        live = live[(run == 8) & (room > 8)]
+        on = np.flatnonzero((run == 8) & (np.maximum(x, y) + 8 < n))
+        live, x, y = live[on], x[on] + 8, y[on] + 8
+    for k, i, j in zip(live.tolist(), x.tolist(), y.tolist(), strict=True):
+        room, done, step = n - max(i, j), 0, 64
+        while done < room:
+            apart = text[i + done : i + min(done + step, room)] != text[j + done : j + min(done + step, room)]
+            first = int(apart.argmax())
+            if apart[first]:
+                done += first
+                break
+            done += len(apart)
+            step *= 2
+        length[k] += done
     return length
 
 

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,8 +33,8 @@ from .run_index import STOP, earlier_copies
 #: Bytes of a string that is removed where it repeats, and bytes of an anchor.
 LEAST, K = 100, 32
 BLOCK = 1 << 15
-#: Bytes of text that are indexed together, unless one group has more.
-CHUNK = 1 << 19
+#: Bytes of text that are indexed together, unless one group has more; an order of more suffixes costs more for each.
+CHUNK = 1 << 17
 #: Anchors of one owner from which on its fragments are cut by content, and equal ones indexed once.
 HEAVY_ANCHORS = 20_000
 #: Anchors of one owner from which on they are dealt out apart.
@@ -125,7 +126,7 @@ def _packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fragment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(known, d, tie, lo, n, z, m, marks) -> the text around each owner's anchors, and its digest.
+    """(known, d, tie, lo, n, z, m, marks) -> the text around each owner's anchors, and for heavy ones its digest.
 
     Of heavy owners' fragments that are held together and equal, the earliest goes on; the others
     become spans, rows without bytes, in which neighbours are one.
@@ -134,32 +135,45 @@ def _fragment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
+        keys = list(zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True))
+        row, (owner, part, pos) = pc.list_parent_indices(batch.column(7)).to_numpy(), _mark_columns(batch.column(7))
+        by = np.lexsort((pos, part, owner, row))
+        row, owner, part, pos = row[by], owner[by], part[by], pos[by]
+        begin, end = np.maximum(0, pos - LEAST + K), np.minimum(batch.column(4).to_numpy()[row], pos + LEAST)
+        # text around neighbours of one owner and part is one fragment where it touches
+        new = (row[1:] != row[:-1]) | (owner[1:] != owner[:-1]) | (part[1:] != part[:-1]) | (begin[1:] > end[:-1])
+        first = np.flatnonzero(np.append(np.ones(min(1, len(row)), bool), new))
+        last = np.append(first[1:], len(row)) - 1 if len(first) else first
         out: list[tuple] = []
-        size = 0
-        for known, d, tie, low, n, z, _, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            text = unpack.decompress(z)
-            marks = sorted((m["owner"], m["part"], m["pos"]) for m in marks)
-            open_group, begin, end, cuts = None, 0, 0, []
-            for owner, part, pos in [*marks, (None, None, 0)]:
-                a, b = max(0, pos - LEAST + K), min(n, pos + LEAST)
-                if (owner, part) != open_group or a > end:
-                    if open_group and begin < end:
-                        # content decides the cuts, and pieces overlap by all but one byte of a string
-                        for lo, hi in zip([begin, *cuts], [*cuts, end], strict=True):
-                            piece = text[lo : min(end, hi + LEAST - 1)]
-                            out.append((*open_group, known, d, tie, low, lo, lo + len(piece), *_digest(piece), piece))
-                            size += len(piece)
-                    open_group, begin, cuts = (owner, part), a, []
-                end = b
-                if (part or 0) >= 0 and begin < pos and zlib.crc32(text[pos : pos + K]) % CUT_EVERY == 0:
-                    cuts.append(pos)
-            if size > 1 << 22:
-                yield _batch(_settled_here(out), FRAGMENT)
-                out, size = [], 0
+        size, held, text = 0, None, b""
+        for i, j, r, *group, a, b in zip(*(x.tolist() for x in (first, last, row[first], owner[first], part[first], begin[first], end[last])), strict=True):
+            if r != held:
+                if size > 1 << 22:
+                    yield _batch(_settled_here(out), FRAGMENT)
+                    out, size = [], 0
+                held, text = r, unpack.decompress(batch.column(5)[r].as_py())
+            if a >= b:
+                continue
+            if group[1] < 0:
+                out.append((*group, *keys[r], a, b, 0, 0, text[a:b]))
+                size += b - a
+                continue
+            # content decides the cuts, and pieces overlap by all but one byte of a string
+            cuts = [p for p in pos[i : j + 1].tolist() if a < p and zlib.crc32(text[p : p + K]) % CUT_EVERY == 0]
+            for lo, hi in zip([a, *cuts], [*cuts, b], strict=True):
+                piece = text[lo : min(b, hi + LEAST - 1)]
+                out.append((*group, *keys[r], lo, lo + len(piece), *_digest(piece), piece))
+                size += len(piece)
         if out:
             yield _batch(_settled_here(out), FRAGMENT)
 
 
+def _mark_columns(marks: pa.ListArray) -> list[np.ndarray]:
+    """owner, part and pos of all marks."""
+    flat = pc.list_flatten(marks)
+    return [flat.field(x).to_numpy() for x in ("owner", "part", "pos")]
+
+
 def _settled_here(rows: list[tuple]) -> list[tuple]:
     """FRAGMENT rows, of which those of heavy owners that equal an earlier one of them become spans without bytes."""
     first: dict[tuple, tuple] = {}

@@ -212,6 +212,44 @@ def test_run_index_equals_brute_force():
             assert (source[i], length[i]) == (j, n)
 
 
+@pytest.mark.parametrize("few", [0, 64])
+def test_common_prefixes_equal_brute_force(monkeypatch, few):
+    monkeypatch.setattr(run_index, "FEW", few)
+    rng = random.Random(2)
+    for size in (0, 1, 7, 8, 9, 40, 700):
+        part = bytes(rng.choice((0, 97, 255)) for _ in range(size // 2))
+        data = part + bytes([98]) * (size % 2) + part
+        a, b = (np.array([rng.randint(0, size) for _ in range(300)] + [0]) for _ in range(2))
+        b[-1] = size - len(part)  # a match that goes to the end
+        differ = a != b
+        a, b = a[differ], b[differ]
+        want = [next((k for k in range(size) if max(i, j) + k >= size or data[i + k] != data[j + k]), 0) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+        assert run_index.common_length(np.frombuffer(data, np.uint8), a, b).tolist() == want
+
+
+def test_long_repeats_are_ordered_in_few_sorts(monkeypatch):
+    rng = random.Random(3)
+    passage = bytes(rng.choice(b"abcdefghijklmnopqrstuvwxyz ,.") for _ in range(2000))
+    data = b"".join(passage + bytes([k]) for k in (1, 255, 2))
+    sorts, keep = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, *more, **named: sorts.append(len(x)) or keep(x, *more, **named))
+    assert run_index.suffix_order(np.frombuffer(data, np.uint8)).tolist() == sorted(range(len(data)), key=lambda i: data[i:])
+    assert len(sorts) <= 7  # by doubling from seven bytes: ten
+
+
+def test_order_of_more_bytes_than_three_ranks_fit_for():
+    rng = np.random.default_rng(4)
+    part = rng.integers(97, 123, 700_000).astype(np.uint8)
+    text = np.concatenate([part, part[:-1], part[5:], np.full(3000, 97, np.uint8)])
+    assert (len(text) + 1) ** 3 >= 1 << 63
+    order = run_index.suffix_order(text)
+    assert np.array_equal(np.sort(order), np.arange(len(text)))
+    rank = np.full(len(text) + 1, -1)
+    rank[order] = np.arange(len(text))
+    a, b = order[:-1], order[1:]
+    assert ((text[a] < text[b]) | (text[a] == text[b]) & (rank[a + 1] < rank[b + 1])).all()
+
+
 def brute_repeats(rows, least=suffix_dedup.LEAST):
     def place(row):
         text = (row[1] or "").encode()
@@ -316,6 +354,38 @@ def test_a_shared_passage_is_settled_within_tasks(spark, monkeypatch):
     assert held["fragments"].count() <= pieces + 3 * 300
 
 
+def test_only_heavy_fragments_get_digests(monkeypatch):
+    made, keep = [], suffix_dedup._digest
+    monkeypatch.setattr(suffix_dedup, "_digest", lambda text: made.append(text) or keep(text))
+    rng = random.Random(13)
+    texts = [bytes(rng.choice(b"abcdef ") for _ in range(n)) for n in (90, 150, 2000)]
+    # (owner, part, pos) of each text; 1,990 is near its end, and 290 near enough to 130 to touch
+    marks = [[(5, -1, 20)], [(6, -1, 140), (5, -1, 0)], [(6, -1, 290), (5, 0, 1000), (6, -1, 130), (6, -1, 1990), (6, -1, 700), (5, 1, 1000)]]
+    mark = pa.list_(pa.struct([("pos", pa.int64()), ("owner", pa.int64()), ("part", pa.int64())]))
+    columns = [pa.array([True] * 3), pa.array([1, 2, 3]), pa.array([7, 8, 9]), pa.array([0] * 3), pa.array(map(len, texts)), pa.array(map(suffix_dedup.zstandard.ZstdCompressor().compress, texts)), pa.array([1] * 3)]
+    columns.append(pa.array([[{"owner": o, "part": q, "pos": p} for o, q, p in m] for m in marks], mark))
+    batch = pa.RecordBatch.from_arrays(columns, ["known", "d", "tie", "lo", "n", "z", "m", "marks"])
+    got = [r for some in ([batch], [batch.slice(0, 0), batch.slice(0, 1), batch.slice(1)]) for b in suffix_dedup._fragment_rows(iter(some)) for r in b.to_pylist()]
+    assert all(r["bytes"] == texts[r["d"] - 1][r["start"] : r["stop"]] for r in got)
+    light = Counter((r["owner"], r["d"], r["start"], r["stop"]) for r in got if r["part"] < 0)
+    assert light == Counter(dict.fromkeys([(5, 1, 0, 90), (5, 2, 0, 100), (6, 2, 72, 150), (6, 3, 62, 390), (6, 3, 632, 800), (6, 3, 1922, 2000)], 2))
+    heavy = [r for r in got if r["part"] >= 0]
+    assert {(r["part"], min(x["start"] for x in heavy if x["part"] == r["part"]), max(x["stop"] for x in heavy if x["part"] == r["part"])) for r in heavy} == {(0, 932, 1100), (1, 932, 1100)}
+    assert len(made) == len(heavy)
+
+
+def test_groups_are_indexed_whole_and_few_at_a_time(monkeypatch):
+    held = []
+    monkeypatch.setattr(suffix_dedup, "repeated_spans", lambda fragments: held.append(fragments) or [])
+    columns = [[g for g in range(400) for _ in range(2)], [-1] * 800, [True] * 800, [*range(800)], [0] * 800, [0] * 800, [0] * 800, [bytes([97 + g % 20]) * 1000 for g in range(400) for _ in range(2)]]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["owner", "part", *suffix_dedup.KEY, "start", "bytes"])
+    assert not list(suffix_dedup._span_rows(iter([batch.slice(0, 333), batch.slice(333)])))
+    assert [f[1] for fragments in held for f in fragments] == [*range(800)]
+    assert all(len(fragments) % 2 == 0 for fragments in held)
+    # an order of more suffixes costs more for each of them
+    assert max(sum(len(f[-1]) for f in fragments) for fragments in held) < 140_000
+
+
 def test_every_string_holds_an_anchor():
     rng = np.random.default_rng(2)
     data = rng.integers(97, 101, 100_000).astype(np.uint8)
